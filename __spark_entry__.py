@@ -6,6 +6,7 @@ import os
 import sys
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,10 @@ from hiresift.operators.joins import lookup_join  # noqa: E402
 from hiresift.plans import prompts, reports, screening  # noqa: E402
 from hiresift.sources import fixtures, tables  # noqa: E402
 
+# The stand-in models below travel with the job to the executors.
+if __name__ in sys.modules:
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -213,7 +218,7 @@ def contact_info(spark, d):
 
 def contact_info_documents(spark, d):
     text = F.col("text")
-    return fixtures.table(spark, d, "documents").select(
+    return fixtures.documents(spark, d).select(
         "doc_id",
         contact.name(text).alias("name"),
         contact.email(text).alias("email"),
@@ -303,7 +308,7 @@ def tfidf_pairwise(spark, d):
 
 def tfidf_pairwise_documents(spark, d):
     items = fixtures.table(spark, d, "benchmark").select("item_id", term_counts("text").alias("job"))
-    docs = fixtures.table(spark, d, "documents").select(
+    docs = fixtures.documents(spark, d).select(
         "doc_id", F.expr("doc_id % 50").alias("item_id"), term_counts("text").alias("own")
     )
     return lookup_join(docs, items, "item_id", "doc_id", "left").select(

@@ -49,10 +49,10 @@ def corpus_similarity(
     per_resume = (
         salted_join(
             terms,
-            vocabulary.where(F.col("_n") > 0).drop("_n"),
+            vocabulary.where(F.col("_n") > 0),
             key,
             "candidate_id",
-            sizes=counted.select(*key, "_n"),
+            sizes="_n",
             rows_per_salt=rows_per_salt,
         )
         .groupBy("candidate_id")

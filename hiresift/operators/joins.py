@@ -39,36 +39,41 @@ def salted_join(
     keys: str | list[str],
     row_key: str | Column,
     how: str = "inner",
-    sizes: DataFrame | None = None,
+    sizes: DataFrame | str | None = None,
     rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
     """Shuffle join of ``fact`` to ``lookup`` (unique on ``keys``) with hot keys split.
 
     ``how`` may be inner, left, left_semi or left_anti: each fact row meets exactly
-    one copy of its lookup row, so the result equals the plain join.  ``sizes``
-    (keys + ``_n``) may come from a cheaper source than ``fact`` itself.  The list
-    of hot keys has at most (fact rows / rows_per_salt) entries, so it is always
-    small enough to broadcast.
+    one copy of its lookup row, so the result equals the plain join.  ``sizes`` may
+    be a frame (keys + ``_n``) from a cheaper source than ``fact``, or the name of a
+    column of ``lookup`` that already counts the fact rows of each key (dropped from
+    the result).  The list of hot keys has at most (fact rows / rows_per_salt)
+    entries, so it is always small enough to broadcast.
     """
     keys = [keys] if isinstance(keys, str) else keys
     row_key = F.col(row_key) if isinstance(row_key, str) else row_key
-    sizes = rows_per_key(fact, keys) if sizes is None else sizes
+
+    def salts_for(n: Column) -> Column:
+        return F.ceil(n / rows_per_salt).cast("int")
+
+    if isinstance(sizes, str):
+        counted = lookup.select(*keys, F.col(sizes).alias("_n"))
+        lookup = lookup.withColumn(_SALTS, salts_for(F.greatest(F.col(sizes), F.lit(1)))).drop(sizes)
+    else:
+        counted = rows_per_key(fact, keys) if sizes is None else sizes
     hot = F.broadcast(
-        sizes.where(F.col("_n") > rows_per_salt).select(
-            *keys, F.ceil(F.col("_n") / rows_per_salt).cast("int").alias(_SALTS)
-        )
+        counted.where(F.col("_n") > rows_per_salt).select(*keys, salts_for(F.col("_n")).alias(_SALTS))
     )
+    if _SALTS not in lookup.columns:
+        lookup = lookup.join(hot, keys, "left")
     salts = F.coalesce(F.col(_SALTS), F.lit(1))
     salted_fact = (
         fact.join(hot, keys, "left")
         .withColumn(_SALT, F.pmod(F.xxhash64(row_key), salts).cast("int"))
         .drop(_SALTS)
     )
-    salted_lookup = (
-        lookup.join(hot, keys, "left")
-        .withColumn(_SALT, F.explode(F.sequence(F.lit(0), salts - 1)))
-        .drop(_SALTS)
-    )
+    salted_lookup = lookup.withColumn(_SALT, F.explode(F.sequence(F.lit(0), salts - 1))).drop(_SALTS)
     return salted_fact.join(salted_lookup, [*keys, _SALT], how).drop(_SALT)
 
 

@@ -1,93 +1,91 @@
 """Reading order of pages whose text may stand in two columns.
 
 One row is one document: ``pages ARRAY<STRUCT<height, words ARRAY<STRUCT<text, x0,
-x1, top>>>>>``.  Grouping words into lines and lines into column blocks looks back
-at where the current line or block began, which no window frame expresses; it runs
-over Arrow batches of rows (``mapInPandas``), so documents spread with the scan and
-nothing is shuffled.
+x1, top>>>>>``.  Spark stacks the pages and sorts the words inside the row.  Grouping
+words into lines and lines into column blocks looks back at where the current line
+or block began, which no window frame expresses; that part runs over Arrow batches
+of rows (``mapInArrow``), so documents spread with the scan and nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hiresift.functions.fixed_values import COLUMN_GAP, LINE_TOLERANCE
 from hiresift.functions.text import is_blank
 
+# Task functions travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-def _lines(words: pd.DataFrame) -> Iterator[pd.DataFrame]:
+# Words of all pages on one continuous sheet, by height, then from left to right.
+_SORTED_WORDS = """sort_array(flatten(transform(coalesce(pages, array()), (page, p) ->
+  transform(page.words, (w, i) -> struct(
+    w.top + aggregate(slice(pages, 1, p), 0D, (acc, before) -> acc + before.height) as y,
+    w.x0 as x0, p as page_no, i as word_no, w.x1 as x1, w.text as text)))))"""
+
+Word = tuple[float, float, float, str]  # y, x0, x1, text
+
+
+def _lines(words: list[Word]) -> Iterator[list[Word]]:
     """Words in lines, top to bottom; a line reaches a tolerance below its first word."""
-    words = words.sort_values(["y", "x0"], kind="stable", ignore_index=True)
-    tops = words["y"].to_numpy()
-    begin = 0
-    while begin < len(tops):
-        end = begin + 1
-        while end < len(tops) and tops[end] - tops[begin] <= LINE_TOLERANCE:
-            end += 1
-        yield words.iloc[begin:end].sort_values("x0", kind="stable")
-        begin = end
-
-
-def _gap(line: pd.DataFrame) -> tuple[int, float] | None:
-    """Where the widest gap of a line is and its middle, if it is wide enough."""
-    left, right = line["x1"].to_numpy()[:-1], line["x0"].to_numpy()[1:]
-    if len(left) == 0:
-        return None
-    at = int(np.argmax(right - left))
-    if right[at] - left[at] <= COLUMN_GAP:
-        return None
-    return at + 1, (left[at] + right[at]) / 2
-
-
-def _in_order(lines: Iterable[pd.DataFrame]) -> Iterator[str]:
+    line: list[Word] = []
+    for word in words:
+        if line and word[0] - line[0][0] > LINE_TOLERANCE:
+            yield sorted(line, key=lambda w: w[1])
+            line = []
+        line.append(word)
+    if line:
+        yield sorted(line, key=lambda w: w[1])
+
+
+def _text(words: Iterable[Word]) -> str:
+    return " ".join(w[3] for w in words)
+
+
+def _in_order(lines: Iterable[list[Word]]) -> Iterator[str]:
     """Lines of text; those of a two-column block left column first."""
     left: list[str] = []
     right: list[str] = []
     middle = None
     for line in lines:
-        text = line["text"].tolist()
-        gap = _gap(line)
-        if gap is not None:
-            cut, middle = gap
-            left.append(" ".join(text[:cut]))
-            right.append(" ".join(text[cut:]))
-        elif middle is not None and line["x0"].max() < middle:
-            left.append(" ".join(text))
-        elif middle is not None and line["x0"].min() > middle:
-            right.append(" ".join(text))
+        gaps = [b[1] - a[2] for a, b in zip(line, line[1:])]
+        cut = gaps.index(max(gaps)) if gaps else None
+        if cut is not None and gaps[cut] > COLUMN_GAP:
+            middle = (line[cut][2] + line[cut + 1][1]) / 2
+            left.append(_text(line[: cut + 1]))
+            right.append(_text(line[cut + 1 :]))
+        elif middle is not None and line[-1][1] < middle:
+            left.append(_text(line))
+        elif middle is not None and line[0][1] > middle:
+            right.append(_text(line))
         else:
             yield from left
             yield from right
             left, right, middle = [], [], None
-            yield " ".join(text)
+            yield _text(line)
     yield from left
     yield from right
 
 
-def _document_text(pages) -> str:
-    """Text of one document; pages are stacked into one continuous sheet."""
-    rows, offset = [], 0.0
-    for page in pages if pages is not None else ():
-        rows += [(w["text"], w["x0"], w["x1"], w["top"] + offset) for w in page["words"]]
-        offset += page["height"]
-    words = pd.DataFrame(rows, columns=["text", "x0", "x1", "y"])
-    return "\n".join(_in_order(_lines(words)))
-
-
 def reading_order(documents: DataFrame) -> DataFrame:
     """``(doc_id, text)`` in reading order from ``(doc_id, pages)``; '' without words."""
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = [_document_text(pages) for pages in frame["pages"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "text": texts})
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("y", "x0", "x1", "text")]
+            texts = ["\n".join(_in_order(_lines(list(zip(*words))))) for words in zip(*columns)]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return documents.select("doc_id", "pages").mapInPandas(read, "doc_id bigint, text string")
+    words = documents.select("doc_id", F.expr(_SORTED_WORDS).alias("words"))
+    return words.select(
+        "doc_id", *[F.col(f"words.{c}").alias(c) for c in ("y", "x0", "x1", "text")]
+    ).mapInArrow(read, "doc_id bigint, text string")
 
 
 def text_or_fallback(layout_text: Column, plain_text: Column) -> Column:

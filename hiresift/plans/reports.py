@@ -133,14 +133,8 @@ def last_by_name(candidates: DataFrame) -> DataFrame:
 
 def status_by_name(candidates: DataFrame, **options) -> DataFrame:
     """Candidates with the status found under their name instead of their id."""
-    by_name = last_by_name(candidates)
     return salted_join(
-        candidates,
-        by_name.drop("_n"),
-        ["session_id", "name"],
-        "id",
-        sizes=by_name.select("session_id", "name", "_n"),
-        **options,
+        candidates, last_by_name(candidates), ["session_id", "name"], "id", sizes="_n", **options
     )
 
 

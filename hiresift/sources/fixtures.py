@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from hiresift.functions.skills import ALL_SKILLS
 from hiresift.functions.text import strip_sql
+from hiresift.sources.tables import spread
 
 _SK = ",".join(ALL_SKILLS)
 
@@ -151,7 +152,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source, columns = VIEW_SQL[name]
-    return table(spark, sf_dir, source).selectExpr(*columns)
+    rows = table(spark, sf_dir, source)
+    if name == "resumes":
+        rows = spread(rows.select("c_custkey", "c_name", "c_mktsegment"))
+    return rows.selectExpr(*columns)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def ai_replies(spark: SparkSession, sf_dir: str) -> DataFrame:

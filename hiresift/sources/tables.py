@@ -59,6 +59,16 @@ def read_resume_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly row-wise work on a table that comes as one small file.
+
+    A table with at least as many splits as cores is left alone, so this never
+    shuffles a large one.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def readable(resumes: DataFrame) -> DataFrame:
     return resumes.where(~is_blank(F.col("raw_text")))
 
