@@ -80,6 +80,9 @@ def unreadable(resumes: DataFrame) -> DataFrame:
     )
 
 
+_written: list[str] = []
+
+
 def _shared_folder(spark: SparkSession) -> str | None:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None and spark.sparkContext.master.startswith("local"):
@@ -95,6 +98,7 @@ def materialize(df: DataFrame) -> DataFrame:
     it needs.  The folder is the one named by ``spark.checkpoint.dir``; only a
     local session without one gets a folder of its own.  Elsewhere, with no
     folder named, the frame is returned as it is and computed again per pass.
+    ``release`` removes the copies.
     """
     spark = df.sparkSession
     folder = _shared_folder(spark)
@@ -102,9 +106,17 @@ def materialize(df: DataFrame) -> DataFrame:
         return df
     path = f"{folder.rstrip('/')}/hiresift-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the copies this process made, once the results built on them are stored."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def export_rankings(table: DataFrame, path: str, max_rows_per_file: int = 1_000_000) -> None:
     """Rankings as CSV, one folder per session, rows in rank order.
 
@@ -123,8 +135,11 @@ def export_rankings(table: DataFrame, path: str, max_rows_per_file: int = 1_000_
 
 
 def export_reports(lines: DataFrame, path: str) -> None:
-    """Report lines as text, one folder per session and report name, in line order."""
-    order = ["session_id", "rank", "line_no"]
+    """Report lines as text, one folder per session and report name, in line order.
+
+    The order begins with the folder columns, so writing by folder needs no other sort.
+    """
+    order = ["session_id", "file_name", "rank", "line_no"]
     (
         lines.repartitionByRange(*order)
         .sortWithinPartitions(*order)
