@@ -1,7 +1,7 @@
 """Résumé sections: header lines, merged headers, bullet and continuation items.
 
-A section is worked out inside its row with array functions, so parsing a corpus
-is a map over the scan: no explode, no shuffle.
+A text is cut before its header lines and the parts are put together inside the row,
+so parsing a corpus is a map over the scan: no explode, no shuffle.
 """
 
 from __future__ import annotations
@@ -23,86 +23,103 @@ from hiresift.functions.text import (
 
 SECTIONS = list(SECTION_ALIASES)
 ALL_ALIASES = [a for aliases in SECTION_ALIASES.values() for a in aliases]
-_LONGEST_FIRST = sorted(ALL_ALIASES, key=len, reverse=True)
-ALIAS_PATTERN = "|".join(re.sub(r"([^\w\s])", r"\\\1", a) for a in _LONGEST_FIRST)
+
+
+def _longest_first(aliases: list[str]) -> list[str]:
+    return sorted(aliases, key=len, reverse=True)
+
+
+def _escaped(alias: str) -> str:
+    return re.sub(r"([^\w\s])", r"\\\1", alias)
+
+
+ALIAS_PATTERN = "|".join(map(_escaped, _longest_first(ALL_ALIASES)))
+# For use under (?i): the Kelvin sign is the one character outside ASCII whose
+# lower-case form is an ASCII letter.
+_ANY_CASE = ALIAS_PATTERN.replace("k", r"(?:k|\x{212A})")
+_H = WS_CLASS.replace(r"\x{09}-\x{0D}", r"\x{09}\x{0B}-\x{0D}")  # blanks but the line feed
 # Two or more headers and nothing else; atomic, so a longer header once taken
 # is never given back for a shorter one.
 MERGED_HEADERS = rf"^(?>(?>{ALIAS_PATTERN})[{WS_CLASS}]*+){{2,}}+\z"
+# The same anywhere in a text whose every line follows a line feed.
+_SOME_MERGED = rf"(?i)\n[{_H}]*+(?>(?>{_ANY_CASE})[{_H}]*+){{2,}}+(?=\n|\z)"
+_BEFORE_HEADER = rf"(?i)\n(?=(?:{_ANY_CASE})(?=\n|\z))"
 
 
-def _unmerged_sql(lines: str, form: str) -> str:
-    """Lines with every line made of several headers replaced by those headers.
-
-    ``form`` is what ``line`` is compared as (its stripped form, in lower case).
-    """
+def _unmerged_sql(text: str) -> str:
+    """Text in which every line made of several headers is replaced by those headers."""
     split_line = let_sql(
-        form,
+        f"lower({strip_sql('line')})",
         "low",
         f"case when low rlike {quoted(MERGED_HEADERS)}"
         f" then regexp_extract_all(low, {quoted(f'(?:{ALIAS_PATTERN})')}, 0)"
         " else array(line) end",
     )
-    return f"flatten(transform({lines}, line -> {split_line}))"
+    return f"array_join(flatten(transform(split({text}, '\\n'), line -> {split_line})), '\\n')"
 
 
 def split_merged_headers(text: str) -> Column:
     """Column ``text`` with merged header lines split; other lines keep their exact form."""
-    lines = f"split({text}, '\\n')"
-    return F.expr(f"array_join({_unmerged_sql(lines, f'lower({strip_sql('line')})')}, '\\n')")
+    return F.expr(f"case when '\\n' || {text} rlike {quoted(_SOME_MERGED)} then {_unmerged_sql(text)} else {text} end")
 
 
-def _headers_sql(lines: str) -> str:
-    """For each line the section it opens, '' for a line that is no header."""
-    cases = " ".join(
-        f"when low in ({quoted_list(aliases)}) then {quoted(section)}"
-        for section, aliases in SECTION_ALIASES.items()
-    )
-    lookup = let_sql("lower(line)", "low", f"case {cases} else '' end")
-    longest = max(map(len, ALL_ALIASES))
-    return f"transform({lines}, line -> case when length(line) > {longest} then '' else {lookup} end)"
+def _parts_sql(text: str, split_headers: bool) -> str:
+    """The text cut before every header line, lines stripped and blank ones left out.
 
+    The first part is what stands before any header; every line in it, and every line
+    after the header in the others, follows a line feed.
+    """
+    lines = f"array_remove(transform(split(coalesce({text}, ''), '\\n'), line -> {strip_sql('line')}), '')"
+    whole = f"'\\n' || array_join({lines}, '\\n')"
 
-def _items_sql(body: str) -> str:
-    """Join continuation lines to the bullet (or first line) they follow.
+    def cut(value: str) -> str:
+        return f"split(regexp_replace({value}, {quoted(_BEFORE_HEADER)}, '\\n\\n'), '\\n\\n')"
 
-    Lines never contain a line break, so the break can mark where items start.
-    """
-    is_bullet = " or ".join(f"startswith(line, {quoted(b)})" for b in BULLETS)
-    glued = (
-        f"array_join(transform(body, (line, i) -> case when {is_bullet} then '\\n' || substring(line, 3)"
-        " when i = 0 then '\\n' || line else ' ' || line end), '')"
-    )
-    return let_sql(
-        body,
-        "body",
-        f"case when size(body) = 0 then {EMPTY_STRINGS_SQL}"
-        f" else split(substring({glued}, 2), '\\n') end",
+    if not split_headers:
+        return cut(whole)
+    unmerged = f"case when t rlike {quoted(_SOME_MERGED)} then {_unmerged_sql('t')} else t end"
+    return let_sql(whole, "t", cut(unmerged))
+
+
+def _opened_sql() -> str:
+    """For each part the section its header opens, '' for the part before any header."""
+    cases = " ".join(
+        f"when lower(substring_index(part, '\\n', 1)) in ({quoted_list(aliases)}) then {quoted(section)}"
+        for section, aliases in SECTION_ALIASES.items()
     )
+    return f"transform(parts, (part, i) -> case when i = 0 then '' {cases} end)"
 
 
 def _section_sql(section: str) -> str:
-    """Items between the first header of ``section`` and the next other header.
+    """Items between the first header of ``section`` and the next header of another one.
 
-    ``ls`` are the lines and ``hs`` their headers; ``start`` is the 1-based place of
-    the first header, so ``start`` is also the 0-based place of the line after it.
+    Headers of the same section in between are passed over.  A line that does not
+    begin with a bullet continues the line before it, unless it is the first.
     """
     name = quoted(section)
     stop = (
-        f"coalesce(get(filter(transform(hs, (h, i) -> case when i >= start and h not in ('', {name}) then i end),"
-        " i -> i is not null), 0), size(ls))"
+        f"coalesce(get(filter(transform(opened, (o, i) -> case when i >= start and o <> {name} then i end),"
+        " i -> i is not null), 0), size(parts))"
     )
-    body = "filter(slice(ls, start + 1, stop - start), (line, i) -> line <> '' and get(hs, start + i) = '')"
+    body = (
+        f"array_join(transform(slice(parts, start, {stop} - start + 1),"
+        " part -> substring(part, length(substring_index(part, '\\n', 1)) + 1)), '')"
+    )
+    # Items start after two line feeds; a single one that is left joins two lines.
+    bullets = "|".join(map(_escaped, BULLETS))
+    marked = f"regexp_replace({body}, {quoted(rf'\n(?:{bullets})')}, '\\n\\n')"
+    joined = f"regexp_replace({marked}, {quoted(r'\n(?<=[^\n]\n)(?!\n)')}, ' ')"
+    items = f"array_remove(split({joined}, '\\n+'), '')"
     return let_sql(
-        f"cast(array_position(hs, {name}) as int)",
+        f"cast(array_position(opened, {name}) as int)",
         "start",
-        f"case when start = 0 then {EMPTY_STRINGS_SQL} else {let_sql(stop, 'stop', _items_sql(body))} end",
+        f"case when start = 0 then {EMPTY_STRINGS_SQL} else {items} end",
     )
 
 
 def extract_sections(text: str, sections: list[str] = SECTIONS, split_headers: bool = True) -> Column:
     """Struct with one ``array<string>`` of items per section of column ``text``."""
-    lines = f"transform(split(coalesce({text}, ''), '\\n'), line -> {strip_sql('line')})"
-    if split_headers:
-        lines = _unmerged_sql(lines, "lower(line)")
     fields = ", ".join(f"{_section_sql(s)} as {s}" for s in sections)
-    return F.expr(let_sql(lines, "ls", let_sql(_headers_sql("ls"), "hs", f"struct({fields})")))
+    return F.expr(
+        let_sql(_parts_sql(text, split_headers), "parts", let_sql(_opened_sql(), "opened", f"struct({fields})"))
+    )

@@ -1,4 +1,4 @@
-"""TF-IDF cosine similarity of two term-count arrays, as exact integer sums.
+"""TF-IDF cosine similarity of two term histograms, as exact integer sums.
 
 With two documents the inverse document frequency takes only two values: 1 for a
 term in both and 1 + ln 1.5 for a term in one.  The cosine therefore needs the
@@ -12,8 +12,6 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hiresift.functions.text import let_sql
-
 RARE_WEIGHT_SQUARED = (1 + math.log(1.5)) ** 2
 
 
@@ -22,25 +20,19 @@ def percent(cosine: Column) -> Column:
     return F.bround(cosine * 100, 1)
 
 
-def _sum_sql(array: str, value: str) -> str:
-    return f"aggregate({array}, 0L, (acc, t) -> acc + {value})"
-
-
-def _norm_squared_sql(every: str, shared: str) -> str:
-    square = "cast(t.tf as bigint) * t.tf"
-    return (
-        f"({_sum_sql(shared, square)} + {RARE_WEIGHT_SQUARED!r}D *"
-        f" ({_sum_sql(every, square)} - {_sum_sql(shared, square)}))"
-    )
-
-
 def pairwise_similarity(a: str, b: str) -> Column:
-    """Percent similarity of columns ``a`` and ``b`` (``array<struct<term, tf>>`` sorted by
-    term); 0.0 if nothing is shared, NULL if a side is NULL."""
-    # Both sides keep the shared terms in term order, so they line up.
-    keep = "filter({}, t -> array_contains(names, t.term))"
-    dot = _sum_sql("zip_with(sa, sb, (x, y) -> struct(cast(x.tf as bigint) * y.tf as product))", "t.product")
-    cosine = f"{dot} / sqrt({_norm_squared_sql(a, 'sa')} * {_norm_squared_sql(b, 'sb')})"
-    scored = let_sql(keep.format(a), "sa", let_sql(keep.format(b), "sb", f"bround(100 * ({cosine}), 1)"))
-    names = f"array_intersect(transform({a}, t -> t.term), transform({b}, t -> t.term))"
-    return F.expr(let_sql(names, "names", f"case when size(names) > 0 then {scored} when size(names) = 0 then 0.0D end"))
+    """Percent similarity of the histogram columns ``a`` and ``b`` (see ``term_counts``);
+    0.0 if no term is shared, NULL if a side is NULL."""
+    own = "cast(get({0}.tfs, cast(array_position({0}.terms, term) as int) - 1) as bigint)"
+    shared = (
+        f"transform(array_intersect({a}.terms, {b}.terms),"
+        f" term -> struct({own.format(a)} as x, {own.format(b)} as y))"
+    )
+    norms = " * ".join(
+        f"(acc.{s} + {RARE_WEIGHT_SQUARED!r}D * ({c}.squares - acc.{s}))" for s, c in (("x", a), ("y", b))
+    )
+    return F.expr(
+        f"aggregate({shared}, struct(0L as dot, 0L as x, 0L as y),"
+        " (acc, t) -> struct(acc.dot + t.x * t.y as dot, acc.x + t.x * t.x as x, acc.y + t.y * t.y as y),"
+        f" acc -> case when acc.dot = 0 then 0.0D else bround(100 * (acc.dot / sqrt({norms})), 1) end)"
+    )

@@ -95,11 +95,12 @@ def plain_characters(c: Column) -> Column:
 
 
 def term_counts(text: str, stop_words: list[str] = STOP_WORDS) -> Column:
-    """Terms of column ``text`` with their counts: ``array<struct<term, tf>>`` by term.
+    """Term histogram of column ``text``: ``struct<terms, tfs, squares>``.
 
-    A term is a run of two or more word characters, lower-cased.  The histogram is
-    built inside the row (sort, then run lengths), so a document never has to be
-    exploded and shuffled to learn its own term frequencies.
+    ``terms`` are the distinct terms in order, ``tfs`` their counts and ``squares`` the
+    sum of squared counts.  A term is a run of two or more word characters, lower-cased.
+    The histogram is built inside the row (sort, then run lengths), so a document
+    never has to be exploded and shuffled to learn its own term frequencies.
     """
     usable = [w for w in stop_words if re.fullmatch(r"\w{2,}", w)]
     words = f"regexp_extract_all(lower({text}), {quoted(f'[{WORD_CLASS}]{{2,}}')}, 0)"
@@ -109,8 +110,16 @@ def term_counts(text: str, stop_words: list[str] = STOP_WORDS) -> Column:
         "filter(transform(s, (w, i) -> case when i = 0 or w <> get(s, i - 1) then i end),"
         " p -> p is not null)"
     )
-    runs = (
-        "transform(starts, (p, k) -> struct(get(s, p) as term,"
-        " coalesce(get(starts, k + 1), size(s)) - p as tf))"
+    lengths = "transform(starts, (p, k) -> coalesce(get(starts, k + 1), size(s)) - p)"
+    histogram = (
+        "struct(array_distinct(s) as terms, tfs as tfs,"
+        " aggregate(tfs, 0L, (acc, n) -> acc + cast(n as bigint) * n) as squares)"
     )
-    return F.expr(let_sql(f"sort_array({words})", "s", let_sql(starts, "starts", runs)))
+    return F.expr(
+        let_sql(f"sort_array({words})", "s", let_sql(starts, "starts", let_sql(lengths, "tfs", histogram)))
+    )
+
+
+def term_rows(counts: str) -> Column:
+    """Generator of ``(term, tf)`` rows from a histogram column."""
+    return F.inline(F.arrays_zip(f"{counts}.terms", f"{counts}.tfs")).alias("term", "tf")

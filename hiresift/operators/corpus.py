@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hiresift.functions.similarity import percent
-from hiresift.functions.text import term_counts
+from hiresift.functions.text import term_counts, term_rows
 from hiresift.operators.joins import ROWS_PER_SALT, lookup_join, salted_join
 from hiresift.sources.tables import materialize
 
@@ -20,13 +20,17 @@ def corpus_similarity(
     resumes: DataFrame, sessions: DataFrame, rows_per_salt: int = ROWS_PER_SALT, **options
 ) -> DataFrame:
     """``(candidate_id, session_id, similarity)`` for every résumé."""
-    terms = materialize(
-        resumes.select("candidate_id", "session_id", F.inline(term_counts("raw_text")))
+    # Stored as one compact row per résumé; opened into terms on each of the two passes.
+    counts = materialize(
+        resumes.select("candidate_id", "session_id", term_counts("raw_text").alias("terms"))
     )
-    jobs = sessions.select(F.col("id").alias("session_id"), F.inline(term_counts("job_description")))
+    terms = counts.select("candidate_id", "session_id", term_rows("terms"))
+    jobs = sessions.select(
+        F.col("id").alias("session_id"), term_counts("job_description").alias("terms")
+    ).select("session_id", term_rows("terms"))
     key = ["session_id", "term"]
 
-    documents = resumes.groupBy("session_id").agg((F.count(F.lit(1)) + 1).alias("n_docs"))
+    documents = counts.groupBy("session_id").agg((F.count(F.lit(1)) + 1).alias("n_docs"))
     # A term occurs once per document in ``terms``, so rows are document counts.
     counted = (
         terms.select(*key, F.lit(1).alias("in_resume"), F.lit(0).alias("job_tf"))
@@ -62,7 +66,7 @@ def corpus_similarity(
         )
     )
     scored = lookup_join(
-        resumes.select("candidate_id", "session_id"),
+        counts.select("candidate_id", "session_id"),
         job_norms,
         "session_id",
         "candidate_id",

@@ -39,7 +39,8 @@ def test_term_counts_match_a_counter(spark):
         found = Counter(w for w in re.findall(r"\w\w+", v.lower()) if w not in set(STOP_WORDS))
         want.append(sorted(found.items()))
     got = result(texts(spark, values).withColumn("x", term_counts("t")))
-    assert [[(e["term"], e["tf"]) for e in row] for row in got] == want
+    assert [list(zip(row["terms"], row["tfs"])) for row in got] == want
+    assert [row["squares"] for row in got] == [sum(n * n for _, n in w) for w in want]
 
 
 def test_plain_characters(spark):
