@@ -179,7 +179,7 @@ def column_widths(ranked: DataFrame) -> DataFrame:
     return longest.unpivot("session_id", list(shown), "column_name", "_longest").select(
         "session_id",
         "column_name",
-        (F.greatest(F.col("_longest"), F.length("column_name")) + 2).alias("width"),
+        (F.greatest(F.col("_longest"), F.length("column_name")) + 2).cast("bigint").alias("width"),
     )
 
 

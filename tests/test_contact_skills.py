@@ -97,3 +97,12 @@ def test_phone_on_random_digit_texts(spark):
     phone = re.compile(r"(\+?\d{1,3}[-.\s]?)?\(?\d{2,4}\)?[-.\s]?\d{3,4}[-.\s]?\d{3,7}")
     want = [m.group().strip() if (m := phone.search(v)) else "Not found" for v in values]
     assert result(texts(spark, values).withColumn("x", contact.phone(F.col("t")))) == want
+
+
+def test_email_on_random_texts(spark):
+    rng = random.Random(11)
+    values = ["".join(rng.choice("ab1.@@-_% \n.co") for _ in range(30)) for _ in range(800)]
+    email = re.compile(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}")
+    want = [m.group() if (m := email.search(v)) else "Not found" for v in values]
+    assert any(w != "Not found" for w in want)
+    assert result(texts(spark, values).withColumn("x", contact.email(F.col("t")))) == want

@@ -129,3 +129,16 @@ def test_ranks_run_from_one(spark):
     assert ranks == [(10, 1), (10, 2), (10, 3), (11, 1), (12, 1), (99, 1)]
     for r in rows:
         assert set(r["matched_skills"]).isdisjoint(r["missing_skills"])
+
+
+def test_very_long_documents_are_read_whole(spark):
+    """Megabytes of text: no deep recursion, no quadratic search, nothing cut off."""
+    lines = "".join(f"- item {i} of the list\n" for i in range(60_000))
+    text = "x" * 1_000_000 + "\n@\nExperience\n" + lines + "EDUCATION CERTIFICATIONS\n" + lines + "last@example.org rust"
+    resumes = spark.createDataFrame([(1, 10, "big.txt", text)], "candidate_id bigint, session_id bigint, filename string, raw_text string")
+    parsed = screening.parse_resumes(resumes).first()
+    assert (parsed["email"], parsed["skills"]) == ("last@example.org", ["rust"])
+    assert len(parsed["experience"]) == 60_000 and len(parsed["certifications"]) == 60_000
+    assert parsed["certifications"][-1].endswith("last@example.org rust")
+    scored = screening.score_resumes(resumes, frames(spark)[1]).first()
+    assert scored["certifications"] == 100.0
