@@ -43,9 +43,12 @@ def corpus_similarity(
         )
     )
     idf = F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
-    vocabulary = lookup_join(
-        counted, documents, "session_id", "term", rows_per_salt=rows_per_salt, **options
-    ).select(*key, "_n", "job_tf", (idf * idf).alias("w2"))
+    # Stored, because the norms, the list of hot terms and the join each read a part of it.
+    vocabulary = materialize(
+        lookup_join(
+            counted, documents, "session_id", "term", rows_per_salt=rows_per_salt, **options
+        ).select(*key, "_n", "job_tf", (idf * idf).alias("w2"))
+    )
 
     job_norms = vocabulary.groupBy("session_id").agg(
         F.sum(F.col("job_tf") * F.col("job_tf") * F.col("w2")).alias("job_norm2")

@@ -52,7 +52,10 @@ def rank_within_sessions(
     """
     keys = [session, score, "_block"]
     keyed = scored.withColumn("_block", id_block(scored, id_col, block_rows))
-    blocks = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    # Said once here, the joins below need no filters of their own, which would differ
+    # and keep the two uses of these counts from sharing one shuffle.
+    present = F.col(session).isNotNull() & F.col(score).isNotNull() & F.col("_block").isNotNull()
+    blocks = keyed.where(present).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     scores = (
         blocks.groupBy(session, score)
         .agg(F.sum("_n").alias("_n"))

@@ -18,7 +18,7 @@ from hiresift.functions.fixed_values import (
     RELEVANCE_USER,
 )
 from hiresift.functions.text import bullet_text, joined_or
-from hiresift.operators.joins import lookup_join
+from hiresift.operators.joins import lookup_join, rows_per_key
 from hiresift.plans.reports import CATEGORIES, percent_text
 
 CANDIDATES_PER_PIECE = 200
@@ -51,7 +51,9 @@ def relevance_prompts(parsed: DataFrame, sessions: DataFrame, **options) -> Data
         )
     )
     rows = parsed.select("candidate_id", "session_id", wanted).where(F.size("items") > 0)
-    joined = lookup_join(rows, jobs, "session_id", "candidate_id", **options)
+    # Counting résumés instead of their items spares a second parse; it only sets the split.
+    sizes = rows_per_key(parsed, ["session_id"])
+    joined = lookup_join(rows, jobs, "session_id", "candidate_id", sizes=sizes, **options)
     return joined.where((F.col("category") != "skills") | (F.length("job_description") > 0)).select(
         "candidate_id",
         "category",
