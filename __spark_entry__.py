@@ -417,7 +417,8 @@ def report_lines(spark, d):
 
 
 def candidate_context(spark, d):
-    return prompts.candidate_context(_ranked(spark, d))
+    # Smaller pieces than a request holds, so that large sessions show how they add up.
+    return prompts.candidate_context(_ranked(spark, d), per_piece=200)
 
 
 def interview_prompts(spark, d):

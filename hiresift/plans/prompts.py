@@ -21,7 +21,9 @@ from hiresift.functions.text import bullet_text, joined_or
 from hiresift.operators.joins import lookup_join, rows_per_key
 from hiresift.plans.reports import CATEGORIES, percent_text
 
-CANDIDATES_PER_PIECE = 200
+# About what fits in one request to a model with a 128k-token window.  Larger sessions
+# keep their whole context, as a table of pieces.
+CANDIDATES_PER_PIECE = 1000
 MESSAGES_PER_REQUEST = 1000
 
 

@@ -28,6 +28,7 @@ from hiresift.functions.sections import ALIAS_PATTERN, SECTIONS
 from hiresift.functions.similarity import RARE_WEIGHT_SQUARED
 from hiresift.functions.skills import ALL_SKILLS
 from hiresift.functions.text import WHITESPACE, WS_CLASS
+from hiresift.plans.prompts import CANDIDATES_PER_PIECE
 from hiresift.sources.fixtures import _REPLY, VIEW_SQL
 
 CATEGORIES = list(WEIGHTS)
@@ -194,6 +195,17 @@ def _reply_score(reply: str) -> str:
     return f"case when ({number}) < 0 then 0.0 when ({number}) > 100 then 100.0 else {number} end"
 
 
+def _context(per_piece: int) -> str:
+    return f"""
+    select session_id, (rank - 1) // {per_piece} as piece_no, string_agg(
+      'Rank ' || rank || ': ' || name || ' — Overall Score: ' || {pct('overall')} || chr(10)
+      || {" || ".join(f"'  {c.capitalize()} Match: ' || {pct(c)} || chr(10)" for c in CATEGORIES)}
+      || '  Matched Skills: ' || {listed('matched_skills', 'None')} || chr(10)
+      || '  Missing Skills: ' || {listed('missing_skills', 'None')} || chr(10),
+      chr(10) order by rank) as context
+    from ranked group by 1, 2"""
+
+
 # name -> SQL; a name may use those before it
 CTES = {name: _view(name) for name in VIEW_SQL}
 CTES |= {
@@ -260,17 +272,11 @@ CTES |= {
       {' union all '.join(f"select '{c}' as category, '{t}' as item_type, s.{c} as items" for c, t in AI_CATEGORIES.items())}
     ) c
     where len(c.items) > 0 and (c.category <> 'skills' or length(s.job_description) > 0)""",
-    "context": f"""
-    select session_id, (rank - 1) // 200 as piece_no, string_agg(
-      'Rank ' || rank || ': ' || name || ' — Overall Score: ' || {pct('overall')} || chr(10)
-      || {" || ".join(f"'  {c.capitalize()} Match: ' || {pct(c)} || chr(10)" for c in CATEGORIES)}
-      || '  Matched Skills: ' || {listed('matched_skills', 'None')} || chr(10)
-      || '  Missing Skills: ' || {listed('missing_skills', 'None')} || chr(10),
-      chr(10) order by rank) as context
-    from ranked group by 1, 2""",
+    "context": _context(200),
+    "request_context": _context(CANDIDATES_PER_PIECE),
     "system_prompts": f"""
-    select c.session_id, case when n <= 200 then {q(CHAT_SYSTEM_HEAD)} || context || {q(CHAT_SYSTEM_TAIL)} end as system_prompt
-    from context c join (select session_id, count(*) as n from ranked group by 1) z using (session_id)
+    select c.session_id, case when n <= {CANDIDATES_PER_PIECE} then {q(CHAT_SYSTEM_HEAD)} || context || {q(CHAT_SYSTEM_TAIL)} end as system_prompt
+    from request_context c join (select session_id, count(*) as n from ranked group by 1) z using (session_id)
     where piece_no = 0""",
     "messages": """
     with asked as (select conv_id, max(turn) as q, from chat where role = 'user' group by 1),
