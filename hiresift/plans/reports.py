@@ -285,6 +285,7 @@ def report_lines(ranked: DataFrame, sessions: DataFrame, **options) -> DataFrame
     """The report of every session as lines: three of heading, four per candidate.
 
     ``rank`` 0 marks the heading; lines read in (rank, line_no) order.  Needs ``status``.
+    The heading comes with the best candidate's row, so the ranking is read once.
     """
     titles = sessions.select(
         F.col("id").alias("session_id"),
@@ -292,47 +293,31 @@ def report_lines(ranked: DataFrame, sessions: DataFrame, **options) -> DataFrame
         "job_title",
         date_of(F.col("created_at")).alias("_date"),
     )
+    line_type = "array<struct<rank:bigint,line_no:int,line:string>>"
 
-    def lines(*texts: Column) -> Column:
-        return F.posexplode(F.array(*texts)).alias("_pos", "line")
+    def lines(rank: Column, *texts: Column) -> Column:
+        numbered = [F.struct(rank, F.lit(i), text) for i, text in enumerate(texts, start=1)]
+        return F.array(*numbered).cast(line_type)
 
-    def scores() -> Column:
-        labels = ["Skills", "Experience", "Education", "Certs", "Projects"]
-        parts = [F.concat(F.lit(f"{label}: "), percent_text(F.col(c))) for label, c in zip(labels, CATEGORIES)]
-        return F.concat_ws("  ", *parts)
-
-    heading = plain_characters(
-        F.concat(
-            F.col("rank").cast("string"), F.lit(". "), F.col("name"), F.lit(" - "),
-            percent_text(F.col("overall")), F.lit(" ("), F.col("status"), F.lit(")"),
-        )
-    )
-    body = lookup_join(
-        ranked, titles.select("session_id", "file_name"), "session_id", "candidate_id", **options
-    ).select(
-        "session_id",
-        "file_name",
-        "rank",
-        lines(
-            heading,
-            scores(),
-            F.concat(F.lit("Matched skills: "), joined_or(F.col("matched_skills"), "None")),
-            F.concat(F.lit("Missing skills: "), joined_or(F.col("missing_skills"), "None")),
-        ),
+    labels = ["Skills", "Experience", "Education", "Certs", "Projects"]
+    scores = [F.concat(F.lit(f"{label}: "), percent_text(F.col(c))) for label, c in zip(labels, CATEGORIES)]
+    name_line = F.concat(
+        F.col("rank").cast("string"), F.lit(". "), F.col("name"), F.lit(" - "),
+        percent_text(F.col("overall")), F.lit(" ("), F.col("status"), F.lit(")"),
     )
-    head = (
-        titles.join(ranked.select("session_id").distinct(), "session_id", "left_semi")
-        .select(
-            "session_id",
-            "file_name",
-            F.lit(0).cast("bigint").alias("rank"),
-            lines(
-                F.lit(REPORT_TITLE),
-                F.concat(F.lit("Job: "), F.col("job_title")),
-                F.concat(F.lit("Generated: "), F.col("_date")),
-            ),
-        )
+    candidate = lines(
+        F.col("rank"),
+        plain_characters(name_line),
+        F.concat_ws("  ", *scores),
+        F.concat(F.lit("Matched skills: "), joined_or(F.col("matched_skills"), "None")),
+        F.concat(F.lit("Missing skills: "), joined_or(F.col("missing_skills"), "None")),
     )
-    return head.unionByName(body).select(
-        "session_id", "file_name", "rank", (F.col("_pos") + 1).alias("line_no"), "line"
+    heading = lines(
+        F.lit(0),
+        F.lit(REPORT_TITLE),
+        F.concat(F.lit("Job: "), F.col("job_title")),
+        F.concat(F.lit("Generated: "), F.col("_date")),
     )
+    every = F.when(F.col("rank") == 1, F.concat(heading, candidate)).otherwise(candidate)
+    joined = lookup_join(ranked, titles, "session_id", "candidate_id", **options)
+    return joined.select("session_id", "file_name", F.inline(every))
