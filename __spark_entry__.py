@@ -23,6 +23,11 @@ from hiresift.operators.joins import lookup_join  # noqa: E402
 from hiresift.plans import prompts, reports, screening  # noqa: E402
 from hiresift.sources import fixtures, tables  # noqa: E402
 
+try:
+    from hiresift.llm import queries as llm_queries  # noqa: E402
+except ImportError:  # the rest works without that subpackage
+    llm_queries = None
+
 # The stand-in models below travel with the job to the executors.
 if __name__ in sys.modules:
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -484,10 +489,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named["extract_skills"] = skills
     named["required_skills"] = required
     named |= {f"score_{c}": _one_score(c) for c in screening.WEIGHTS}
+    if llm_queries is not None:
+        named |= llm_queries.queries()
     return named
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle.sql import statements
 
-    return statements()
+    named = statements()
+    if llm_queries is not None:
+        named |= llm_queries.oracle_sql()
+    return named

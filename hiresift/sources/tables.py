@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,29 +81,29 @@ def unreadable(resumes: DataFrame) -> DataFrame:
 
 
 _written: list[str] = []
+_persisted: list[DataFrame] = []
 
 
-def _shared_folder(spark: SparkSession) -> str | None:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None and spark.sparkContext.master.startswith("local"):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hiresift-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that all executors share, as the session names it."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a costly intermediate once, as Parquet in the shared folder, and read it back.
+    """Compute a costly intermediate once.
 
-    The copy survives lost executors, and each later pass reads only the columns
-    it needs.  The folder is the one named by ``spark.checkpoint.dir``; only a
-    local session without one gets a folder of its own.  Elsewhere, with no
-    folder named, the frame is returned as it is and computed again per pass.
+    With a shared folder (``spark.checkpoint.dir``) it is written there as Parquet and
+    read back: the copy survives lost executors, and each later pass reads only the
+    columns it needs.  Without one it is persisted in memory and on disk with its
+    lineage, so a lost part is computed again.  Both ways hold on every master.
     ``release`` removes the copies.
     """
     spark = df.sparkSession
-    folder = _shared_folder(spark)
+    folder = shared_folder(spark)
     if folder is None:
-        return df
+        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+        _persisted.append(kept)
+        return kept
     path = f"{folder.rstrip('/')}/hiresift-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
@@ -112,6 +112,8 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Delete the copies this process made, once the results built on them are stored."""
+    while _persisted:
+        _persisted.pop().unpersist()
     while _written:
         path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
