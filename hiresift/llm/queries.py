@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hiresift.llm import line_dedup, url_filter
+from hiresift.llm import line_dedup, quality, secret_scan, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         line_dedup.op4_line_dedup,
+        quality.op7_quality_rules,
+        secret_scan.op8_secret_scan,
         url_filter.op10_url_filter,
     ]
     return {f.__name__: f for f in found}
