@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -86,3 +88,14 @@ def gram_hashes(hashes: np.ndarray, size: int, factor: int = 0x9E3779B97F4A7C15)
     for k in range(size):
         total = total * step + hashes[k : k + n]
     return mix(total)
+
+
+def worker_cache(key: str, build: Callable[[], object], keep: int = 4) -> object:
+    """What ``build`` makes, kept in the worker process for later tasks of the same job."""
+    store = sys.modules.setdefault("_hiresift_worker_cache", types.ModuleType("_hiresift_worker_cache")).__dict__
+    held = store.setdefault("held", {})
+    if key not in held:
+        while len(held) >= keep:
+            held.pop(next(iter(held)))
+        held[key] = build()
+    return held[key]

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hiresift.llm import bpe, line_dedup, packing, quality, secret_scan, url_filter
+from hiresift.llm import bpe, language_id, line_dedup, packing, quality, secret_scan, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         packing.op2_packing,
+        language_id.op3_language_id,
         line_dedup.op4_line_dedup,
         bpe.op6_bpe_codec,
         quality.op7_quality_rules,
