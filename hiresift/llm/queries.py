@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hiresift.llm import bpe, language_id, line_dedup, packing, quality, secret_scan, url_filter
+from hiresift.llm import bpe, language_id, line_dedup, packing, quality, secret_scan, substring_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
+        substring_dedup.op1_substring_dedup,
         packing.op2_packing,
         language_id.op3_language_id,
         line_dedup.op4_line_dedup,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**line_dedup.SQL, **url_filter.SQL}
+    return {**substring_dedup.SQL, **line_dedup.SQL, **url_filter.SQL}
