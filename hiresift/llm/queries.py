@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hiresift.llm import bpe, language_id, line_dedup, packing, quality, secret_scan, substring_dedup, url_filter
+from hiresift.llm import bpe, language_id, line_dedup, ngram_join, packing, quality, secret_scan, substring_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         bpe.op6_bpe_codec,
         quality.op7_quality_rules,
         secret_scan.op8_secret_scan,
+        ngram_join.op9_ngram_join,
         url_filter.op10_url_filter,
     ]
     return {f.__name__: f for f in found}

@@ -248,7 +248,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "op1_substring_dedup": f"""
 with d as (
-  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') as words
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words
   from documents
 ), starts as (
   select doc_id, words, unnest(range(1, len(words) - {WINDOW} + 2)) as s from d where len(words) >= {WINDOW}
