@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hiresift.llm import bpe, language_id, line_dedup, ngram_join, packing, quality, secret_scan, substring_dedup, url_filter
+from hiresift.llm import bpe, embedding_dedup, language_id, line_dedup, ngram_join, packing, quality, secret_scan, substring_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         packing.op2_packing,
         language_id.op3_language_id,
         line_dedup.op4_line_dedup,
+        embedding_dedup.op5_embedding_dedup,
         bpe.op6_bpe_codec,
         quality.op7_quality_rules,
         secret_scan.op8_secret_scan,
@@ -25,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**substring_dedup.SQL, **line_dedup.SQL, **url_filter.SQL}
+    return {**substring_dedup.SQL, **line_dedup.SQL, **embedding_dedup.SQL, **url_filter.SQL}
