@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from hiresift.llm import bpe, embedding_dedup, language_id, line_dedup, ngram_join, packing, quality, secret_scan, substring_dedup, url_filter
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         substring_dedup.op1_substring_dedup,
@@ -22,7 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ngram_join.op9_ngram_join,
         url_filter.op10_url_filter,
     ]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in [*found, pipeline]}
 
 
 def oracle_sql() -> dict[str, str]:
