@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hiresift.operators.joins import salted_join
 from hiresift.sources.tables import materialize
 
 MIN_CHARS, MIN_DOCS, SHARDS, SALTS = 20, 3, 64, 8
@@ -64,9 +65,21 @@ class CuckooFilter:
         return (mark.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) & np.uint64(len(self.table) - 1)
 
     def insert(self, k1: np.ndarray, k2: np.ndarray) -> None:
-        for a, b, mark, one, two in zip(k1, k2, *(x.tolist() for x in self._places(k1, k2)), strict=True):
-            if not self._place(mark, one, two):
-                self.stash.append((int(a), int(b)))
+        marks, ones, twos = self._places(k1, k2)
+        rest = np.arange(len(marks))
+        for places in (ones, twos):  # what finds a free slot in its first or second bucket, all at once
+            rest = rest[np.argsort(places[rest], kind="stable")]
+            bucket = places[rest]
+            new = np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)]
+            rank = np.arange(len(bucket)) - np.maximum.accumulate(np.where(new, np.arange(len(bucket)), 0))
+            full = self.table[bucket] != EMPTY
+            fits = rank < SLOTS - full.sum(axis=1)
+            slot = np.argsort(full, axis=1, kind="stable")[np.arange(len(bucket)), np.minimum(rank, SLOTS - 1)]
+            self.table[bucket[fits], slot[fits]] = marks[rest[fits]]
+            rest = rest[~fits]
+        for i in rest.tolist():
+            if not self._place(int(marks[i]), int(ones[i]), int(twos[i])):
+                self.stash.append((int(k1[i]), int(k2[i])))
 
     def _place(self, mark: int, one: int, two: int) -> bool:
         moved = []
@@ -201,7 +214,7 @@ def insert(store: LineStore, docs: DataFrame) -> LineStore:
 def delete(store: LineStore, doc_ids: DataFrame) -> LineStore:
     """Take documents out: ``delete(insert(s, d), ids of d)`` answers like ``s``."""
     gone = doc_ids.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id")).distinct()
-    refs = materialize(store.refs.join(gone, "doc_id", "left_anti"))
+    refs = materialize(store.refs.join(gone, "doc_id", "left_anti").select(*store.refs.columns))
     changes = _crossings(counts(store.refs), counts(refs), store.min_docs)
     return LineStore(refs, materialize(_updated(store.filters, changes)), store.min_docs, store.min_chars, store.shards)
 
@@ -239,8 +252,9 @@ def drops(store: LineStore, docs: DataFrame, salts: int = SALTS) -> DataFrame:
     probes = lines.unionByName(filters, allowMissingColumns=True).repartition("shard", "salt")
     probes = probes.sortWithinPartitions("shard", "salt", F.col("filter").isNull())
     maybe = probes.mapInArrow(_probe, "doc_id long, text_hash long, line_no int, shard int, k1 long, k2 long")
-    shared = counts(store.refs).where(F.col("n_docs") >= store.min_docs)
-    return maybe.join(shared, KEYS).where(F.col("doc_id") < F.col("last_doc")).select("doc_id", "text_hash", "line_no")
+    shared = materialize(counts(store.refs).where(F.col("n_docs") >= store.min_docs))
+    found = salted_join(maybe, shared, KEYS, "doc_id", sizes="n_docs")
+    return found.where(F.col("doc_id") < F.col("last_doc")).select("doc_id", "text_hash", "line_no")
 
 
 def dedup_lines(store: LineStore, docs: DataFrame) -> DataFrame:
