@@ -281,14 +281,15 @@ def reading_order(spark, d):
 
 
 def text_fallback(spark, d):
-    docs = _resumes(spark, d).selectExpr(
-        "candidate_id",
-        "case when candidate_id % 4 = 0 then null when candidate_id % 4 = 1 then ' ' || chr(10)"
-        " else 'layout: ' || filename end as layout_text",
-        "case when candidate_id % 10 = 0 then null else raw_text end as plain_text",
-    )
-    text = layout.text_or_fallback(F.col("layout_text"), F.col("plain_text"))
-    return docs.select("candidate_id", text.alias("text"))
+    return layout.extract_texts(fixtures.damaged_pages(spark, d)).withColumnRenamed("doc_id", "candidate_id")
+
+
+def parse_documents(spark, d):
+    """Pages to records: layout, fallback and parse in one plan."""
+    known = _resumes(spark, d).select("candidate_id", "session_id", "filename")
+    texts = text_fallback(spark, d).withColumnRenamed("text", "raw_text")
+    parsed = screening.parse_resumes(texts.join(known, "candidate_id"))
+    return _with_joined_lists(parsed)
 
 
 # --- scores -----------------------------------------------------------------------------------
@@ -313,8 +314,9 @@ def tfidf_pairwise(spark, d):
 
 def tfidf_pairwise_documents(spark, d):
     items = fixtures.table(spark, d, "benchmark").select("item_id", term_counts("text").alias("job"))
+    # Items are numbered from 0; every document meets the one of its turn.
     docs = fixtures.documents(spark, d).select(
-        "doc_id", F.expr("doc_id % 50").alias("item_id"), term_counts("text").alias("own")
+        "doc_id", (F.col("doc_id") % F.lit(items.count())).alias("item_id"), term_counts("text").alias("own")
     )
     return lookup_join(docs, items, "item_id", "doc_id", "left").select(
         "doc_id",
@@ -478,7 +480,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         candidate_notes, session_options, dashboard, processed_count, candidates_with_notes,
         status_by_name, first_by_name, contact_info, contact_info_documents, skills_by_category,
         section_items, split_headers, sections_all, parse_resumes, sanitize_text, parse_ai_reply,
-        reading_order, text_fallback, tfidf_pairwise, tfidf_pairwise_documents, tfidf_corpus,
+        reading_order, text_fallback, parse_documents, tfidf_pairwise, tfidf_pairwise_documents, tfidf_corpus,
         overall_score, matched_skills, missing_skills, ai_score_fallback, relevance_prompts,
         relevance_with_scorer, rank_candidates, rank_min_score, score_band, top_k_per_session,
         rankings_table, column_widths, score_unpivot, profile_cards, compare_scores,

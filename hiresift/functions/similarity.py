@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hiresift.functions.text import let_sql
+
 RARE_WEIGHT_SQUARED = (1 + math.log(1.5)) ** 2
 
 
@@ -23,11 +25,16 @@ def percent(cosine: Column) -> Column:
 def pairwise_similarity(a: str, b: str) -> Column:
     """Percent similarity of the histogram columns ``a`` and ``b`` (see ``term_counts``);
     0.0 if no term is shared, NULL if a side is NULL."""
-    own = "cast(get({0}.tfs, cast(array_position({0}.terms, term) as int) - 1) as bigint)"
-    shared = (
-        f"transform(array_intersect({a}.terms, {b}.terms),"
-        f" term -> struct({own.format(a)} as x, {own.format(b)} as y))"
+    # Both term lists in one order; a shared term stands twice in a row, first as ``a``'s.
+    sides = ", ".join(
+        f"transform({c}.terms, (w, i) -> struct(w as term, {n} as side, get({c}.tfs, i) as tf))"
+        for n, c in enumerate((a, b))
+    )
+    pairs = (
+        "filter(transform(m, (t, i) -> case when i > 0 and get(m, i - 1).term = t.term"
+        " then struct(cast(get(m, i - 1).tf as bigint) as x, cast(t.tf as bigint) as y) end), p -> p is not null)"
     )
+    shared = let_sql(f"array_sort(concat({sides}))", "m", pairs)
     norms = " * ".join(
         f"(acc.{s} + {RARE_WEIGHT_SQUARED!r}D * ({c}.squares - acc.{s}))" for s, c in (("x", a), ("y", b))
     )

@@ -24,10 +24,11 @@ from hiresift.functions.text import is_blank
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Words of all pages on one continuous sheet, by height, then from left to right.
-_SORTED_WORDS = """sort_array(flatten(transform(coalesce(pages, array()), (page, p) ->
-  transform(page.words, (w, i) -> struct(
-    w.top + aggregate(slice(pages, 1, p), 0D, (acc, before) -> acc + before.height) as y,
-    w.x0 as x0, p as page_no, i as word_no, w.x1 as x1, w.text as text)))))"""
+# The height of the pages before is summed once per page.
+_SORTED_WORDS = """sort_array(flatten(transform(coalesce(pages, array()), (page, p) -> transform(
+  array(aggregate(slice(pages, 1, p), 0D, (acc, before) -> acc + coalesce(before.height, 0D))),
+  above -> transform(coalesce(page.words, array()), (w, i) -> struct(
+    w.top + above as y, w.x0 as x0, p as page_no, i as word_no, w.x1 as x1, w.text as text)))[0])))"""
 
 Word = tuple[float, float, float, str]  # y, x0, x1, text
 
@@ -73,19 +74,38 @@ def _in_order(lines: Iterable[list[Word]]) -> Iterator[str]:
     yield from right
 
 
-def reading_order(documents: DataFrame) -> DataFrame:
-    """``(doc_id, text)`` in reading order from ``(doc_id, pages)``; '' without words."""
+def _laid_out(documents: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and ``text``; NULL for a document whose words can't be placed, without harm to others."""
+
+    def one(words: tuple) -> str | None:
+        try:
+            return "\n".join(_in_order(_lines(list(zip(*words)))))
+        except TypeError:  # a word without text or a place
+            return None
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("y", "x0", "x1", "text")]
-            texts = ["\n".join(_in_order(_lines(list(zip(*words))))) for words in zip(*columns)]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
-
-    words = documents.select("doc_id", F.expr(_SORTED_WORDS).alias("words"))
-    return words.select(
-        "doc_id", *[F.col(f"words.{c}").alias(c) for c in ("y", "x0", "x1", "text")]
-    ).mapInArrow(read, "doc_id bigint, text string")
+            columns = [batch.column(c).to_pylist() for c in ("y", "x0", "x1", "word")]
+            texts = [one(words) for words in zip(*columns)]
+            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, "text"])
+
+    words = documents.select(*keep, F.expr(_SORTED_WORDS).alias("words"))
+    fields = {"y": "y", "x0": "x0", "x1": "x1", "text": "word"}
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in documents.select(*keep).schema.fields)
+    return words.select(*keep, *[F.col(f"words.{c}").alias(n) for c, n in fields.items()]).mapInArrow(
+        read, f"{schema}, text string"
+    )
+
+
+def reading_order(documents: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` in reading order from ``(doc_id, pages)``; '' without words, NULL if unreadable."""
+    return _laid_out(documents, ["doc_id"])
+
+
+def extract_texts(documents: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` from ``(doc_id, pages, plain_text)``: by layout, else the plain text, else ''."""
+    found = _laid_out(documents, ["doc_id", "plain_text"])
+    return found.select("doc_id", text_or_fallback(F.col("text"), F.col("plain_text")).alias("text"))
 
 
 def text_or_fallback(layout_text: Column, plain_text: Column) -> Column:

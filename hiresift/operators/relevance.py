@@ -31,7 +31,10 @@ def reply_score(reply: Column) -> Column:
     """
     bare = F.replace(F.replace(strip(reply), F.lit("```json"), F.lit("")), F.lit("```"), F.lit(""))
     bare = strip(bare)
-    value = strip(F.get_json_object(F.when(bare.rlike(r"(?s)^\{.*\}\z"), bare), "$.score"))
+    # As the one element of a list, anything after the object is an error; of repeated keys the last holds.
+    listed = F.concat(F.lit("["), F.when(bare.rlike(r"(?s)^\{.*\}\z"), bare), F.lit("]"))
+    parsed = F.from_json(listed, "array<struct<score:string>>", {"allowSingleQuotes": "false"})
+    value = strip(F.when(F.size(parsed) == 1, F.get(parsed, 0)["score"]))
     number = F.when(value.rlike(_NUMBER), value).try_cast("double")
     # ``greatest`` skips NULLs, so an unusable reply must be kept apart from a low one.
     return F.when(number.isNotNull(), F.least(F.greatest(number, F.lit(0.0)), F.lit(100.0)))

@@ -142,8 +142,8 @@ _REPLY = """case (c_custkey + i) % 6
   when 1 then '{"score": 85, "reason": "x"}'
   when 2 then '```json' || chr(10) || '{"score": 85, "reason": "x"}' || chr(10) || '```'
   when 3 then '{"score": "140"}'
-  when 4 then case when c_custkey % 2 = 0 then 'not json' else ' {"score": 61.25} ' end
-  when 5 then case when c_custkey % 2 = 0 then '{"reason": "x"}' else '{"score": -3}' end end"""
+  when 4 then case c_custkey % 4 when 0 then 'not json' when 2 then '{"score": 85} {}' else ' {"score": 61.25} ' end
+  when 5 then case c_custkey % 4 when 0 then '{"reason": "x"}' when 2 then '{''score'': 85}' else '{"score": -3}' end end"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -236,3 +236,27 @@ def extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
         ).alias("pages"),
     )
+
+
+def damaged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``extracted_pages`` with documents that layout can't read, or whose plain text is missing too.
+
+    By ``doc_id % 7``: 1 no pages, 2 pages without words, 3 a further page with NULL words,
+    4 a further word without a place.
+    """
+    docs = extracted_pages(spark, sf_dir)
+    page = docs.schema["pages"].dataType.elementType
+    words = page["words"].dataType
+    no_words = F.struct(F.lit(240.0).alias("height"), F.lit(None).cast(words).alias("words"))
+    lost = F.array(F.struct(F.lit("?").alias("text"), *[F.lit(None).cast("double").alias(c) for c in ("x0", "x1", "top")]))
+    no_place = F.struct(F.lit(240.0).alias("height"), lost.cast(words).alias("words"))
+    kind = F.col("doc_id") % 7
+    changed = (
+        F.when(kind == 1, F.lit(None).cast(docs.schema["pages"].dataType))
+        .when(kind == 2, F.transform("pages", lambda p: F.struct(p["height"].alias("height"), F.slice(p["words"], 1, 0).alias("words"))))
+        .when(kind == 3, F.concat("pages", F.array(no_words)))
+        .when(kind == 4, F.concat("pages", F.array(no_place)))
+        .otherwise(F.col("pages"))
+    )
+    plain = F.when(F.col("doc_id") % 10 != 0, F.col("plain_text"))
+    return docs.withColumns({"pages": changed, "plain_text": plain})

@@ -97,6 +97,7 @@ def test_reply_scores(spark):
         '{"reason": "x"}', '{"score": null}', '{"score": -3.5}', '{"score": " 7e1 "}', '{"score": "12d"}',
         '{"score": 85} extra', '[{"score": 85}]', '{"score": {"a": 1}}', '{"score": [1]}', '{"score": 61.25}',
         "", "   ", '{"score": ".5"}', '{"score": "5."}', '{"score": "0x10"}', '{"a": {"score": 5}}', '{"score": 85',
+        '{"score": 85} {}', "{'score': 85}", '{"score": 10, "score": 90}', '{"score": 85}, {"score": 86}',
     ]
     df = spark.createDataFrame(list(enumerate(replies)), "id int, r string")
     got = [r[0] for r in df.orderBy("id").select(relevance.reply_score(F.col("r"))).collect()]
