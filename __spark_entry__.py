@@ -440,8 +440,12 @@ def quick_questions(spark, d):
     return prompts.quick_questions(_sessions(spark, d))
 
 
+# Smaller pieces than a request holds, so that large sessions are sent in several.
+_PIECE = 200
+
+
 def _system_prompts(spark, d):
-    return tables.materialize(prompts.system_prompts(_sessions(spark, d), _ranked(spark, d)))
+    return tables.materialize(prompts.system_prompts(_ranked(spark, d), per_piece=_PIECE))
 
 
 def chat_messages(spark, d):
@@ -456,13 +460,21 @@ def _offline_answerer(messages: list[dict]) -> str:
 
 
 def chat_answers(spark, d):
-    return relevance.answer(prompts.chat_requests(chat_messages(spark, d)), _offline_answerer)
+    requests = prompts.chat_requests(tables.materialize(chat_messages(spark, d)))
+    return relevance.combined(relevance.answer(requests, _offline_answerer), ["conv_id"], _offline_answerer).drop("error")
+
+
+def _answers(spark, d, asked):
+    parts = relevance.answer_each(asked, _system_prompts(spark, d), "candidate_id", _offline_answerer)
+    return relevance.combined(parts, ["session_id", "candidate_id"], _offline_answerer).drop("error")
 
 
 def email_answers(spark, d):
-    asked = prompts.email_prompts(_candidates(spark, d)).select("session_id", "candidate_id", "prompt")
-    requests = prompts.single_requests(asked, _system_prompts(spark, d), "candidate_id")
-    return relevance.answer(requests, _offline_answerer)
+    return _answers(spark, d, prompts.email_prompts(_candidates(spark, d)))
+
+
+def interview_answers(spark, d):
+    return _answers(spark, d, interview_prompts(spark, d))
 
 
 # --- driver contract -------------------------------------------------------------------------------------
@@ -485,7 +497,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         relevance_with_scorer, rank_candidates, rank_min_score, score_band, top_k_per_session,
         rankings_table, column_widths, score_unpivot, profile_cards, compare_scores,
         compare_skills, report_lines, candidate_context, interview_prompts, email_prompts,
-        quick_questions, chat_messages, chat_answers, email_answers,
+        quick_questions, chat_messages, chat_answers, email_answers, interview_answers,
     ]
     named = {f.__name__: f for f in plain}
     named["extract_skills"] = skills

@@ -16,10 +16,15 @@ from pyspark.sql import functions as F
 
 from hiresift.functions.fixed_values import CHAT_APOLOGY
 from hiresift.functions.text import strip
+from hiresift.sources.tables import materialize
 
 # Task functions travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# How many partial answers one combining request holds, and how it begins.
+ANSWERS_PER_REQUEST = 20
+COMBINE_HEAD = "Each partial answer below was given from a part of the candidates. Make one answer of them.\nQuestion: "
+
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -74,26 +79,94 @@ def parsed_replies(replies: DataFrame) -> DataFrame:
     return replies.withColumn("score", reply_score(F.col("raw_reply")))
 
 
-def answer(requests: DataFrame, answerer: Callable[[list[dict]], str]) -> DataFrame:
-    """Add ``answer`` to rows with ``messages ARRAY<STRUCT<role, content>>``.
+Answerer = Callable[[list[dict]], str]
 
-    A request whose messages are NULL was too long to be put together; like any
-    failure of the model it gets the apology.
-    """
+
+def _spoken(answerer: Answerer, messages: list[dict]) -> tuple[str, str | None]:
+    """The answer, and the error if the model failed; only then is the answer the apology."""
+    try:
+        return answerer(messages), None
+    except Exception as error:
+        return f"{CHAT_APOLOGY}{error}", str(error)
+
+
+def answer(requests: DataFrame, answerer: Answerer) -> DataFrame:
+    """Replace ``messages ARRAY<STRUCT<role, content>>`` by ``answer`` and ``error`` (NULL if all went well)."""
     key_fields = [f for f in requests.schema.fields if f.name != "messages"]
     keys = [f.name for f in key_fields]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields) + ", answer string"
-
-    def one(messages) -> str:
-        try:
-            if messages is None:
-                raise ValueError("request too long")
-            return answerer([{"role": m["role"], "content": m["content"]} for m in messages])
-        except Exception as error:
-            return f"{CHAT_APOLOGY}{error}"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields) + ", answer string, error string"
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame[keys].assign(answer=[one(m) for m in frame["messages"]])
+            given = [[{"role": m["role"], "content": m["content"]} for m in ms] for ms in frame["messages"]]
+            told = [_spoken(answerer, ms) for ms in given]
+            yield frame[keys].assign(answer=[a for a, _ in told], error=[e for _, e in told])
 
     return requests.mapInPandas(batches, schema)
+
+
+def answer_each(
+    prompts: DataFrame, session_prompts: DataFrame, key: str, answerer: Answerer, salts: int = 8
+) -> DataFrame:
+    """Answers to ``prompts(session_id, key, prompt)``, one for each piece of the session's ranking.
+
+    ``session_prompts(session_id, piece_no, system_prompt)`` is not copied into the rows: a
+    task gets a piece once, ahead of the prompts it goes with, and holds one at a time.
+    ``salts`` tasks share a piece.  A session without pieces gets no answer.
+    """
+    by = ["session_id", "piece_no", "salt"]
+    pieces = session_prompts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    asked = prompts.select("session_id", key, "prompt").join(
+        session_prompts.select("session_id", "piece_no"), "session_id"
+    )
+    asked = asked.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    stream = pieces.unionByName(asked, allowMissingColumns=True).repartition(*by)
+    stream = stream.sortWithinPartitions(*by, F.col("system_prompt").isNull())
+    kind = prompts.schema[key].dataType.simpleString()
+    own = prompts.schema["session_id"].dataType.simpleString()
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system = None
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples(index=False):
+                if r.system_prompt is not None and r.system_prompt == r.system_prompt:
+                    system = r.system_prompt
+                    continue
+                sent = [{"role": "system", "content": system}, {"role": "user", "content": r.prompt}]
+                rows.append((r.session_id, getattr(r, key), r.piece_no, r.prompt, *_spoken(answerer, sent)))
+            yield pd.DataFrame(rows, columns=["session_id", key, "part_no", "question", "answer", "error"])
+
+    return stream.select("session_id", "piece_no", key, "prompt", "system_prompt").mapInPandas(
+        batches, f"session_id {own}, {key} {kind}, part_no bigint, question string, answer string, error string"
+    )
+
+
+def combined(parts: DataFrame, keys: list[str], answerer: Answerer, fan_in: int = ANSWERS_PER_REQUEST) -> DataFrame:
+    """One answer per key from ``parts(keys, part_no, question, answer, error)``.
+
+    ``fan_in`` partial answers at a time go back to the model, in rounds, until one is left;
+    a key with one part keeps its answer.  ``part_no`` counts from 0 within a key.
+    """
+    parts = materialize(parts)
+    while parts.where("part_no > 0").limit(1).count():
+        group = F.floor(F.col("part_no") / fan_in).alias("part_no")
+        grouped = parts.groupBy(*keys, group).agg(
+            F.first("question").alias("question"),
+            F.array_sort(F.collect_list(F.struct(F.col("part_no").alias("n"), "answer", "error"))).alias("_parts"),
+        )
+        alone = F.size("_parts") == 1
+        text = F.concat(
+            F.lit(COMBINE_HEAD), F.col("question"), F.lit("\n\n"),
+            F.array_join(F.transform("_parts", lambda x: x["answer"]), "\n\n"),
+        )
+        asked = grouped.where(~alone).select(
+            *keys, "part_no", "question",
+            F.array(F.struct(F.lit("user").alias("role"), text.alias("content"))).alias("messages"),
+        )
+        first = F.get("_parts", 0)
+        kept = grouped.where(alone).select(
+            *keys, "part_no", "question", first["answer"].alias("answer"), first["error"].alias("error")
+        )
+        parts = materialize(kept.unionByName(answer(asked, answerer)))
+    return parts.select(*keys, "answer", "error")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hiresift.functions.fixed_values import (
@@ -21,8 +22,8 @@ from hiresift.functions.text import bullet_text, joined_or
 from hiresift.operators.joins import lookup_join, rows_per_key
 from hiresift.plans.reports import CATEGORIES, percent_text
 
-# About what fits in one request to a model with a 128k-token window.  Larger sessions
-# keep their whole context, as a table of pieces.
+# About what fits in one request to a model with a 128k-token window.  Larger sessions and
+# longer conversations are sent whole, in several requests whose answers are combined.
 CANDIDATES_PER_PIECE = 1000
 MESSAGES_PER_REQUEST = 1000
 
@@ -100,36 +101,24 @@ def candidate_context(ranked: DataFrame, per_piece: int = CANDIDATES_PER_PIECE)
     )
 
 
-def system_prompts(
-    sessions: DataFrame, ranked: DataFrame, per_piece: int = CANDIDATES_PER_PIECE
-) -> DataFrame:
-    """System prompt of each session that has candidates and fits in one piece.
+def _system_text(context: Column) -> Column:
+    return F.concat(F.lit(CHAT_SYSTEM_HEAD), context, F.lit(CHAT_SYSTEM_TAIL))
 
-    ``system_prompt`` is NULL for larger sessions, whose context stays a table of
-    pieces.
-    """
-    sizes = ranked.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n"))
-    texts = candidate_context(ranked, per_piece).where("piece_no = 0")
-    return (
-        sizes.join(texts, "session_id")
-        .join(sessions.select(F.col("id").alias("session_id")), "session_id", "left_semi")
-        .select(
-            "session_id",
-            F.when(
-                F.col("_n") <= per_piece,
-                F.concat(F.lit(CHAT_SYSTEM_HEAD), F.col("context"), F.lit(CHAT_SYSTEM_TAIL)),
-            ).alias("system_prompt"),
-        )
-    )
+
+def system_prompts(ranked: DataFrame, per_piece: int = CANDIDATES_PER_PIECE) -> DataFrame:
+    """System prompts ``(session_id, piece_no, system_prompt)``: one for each piece of a session's ranking."""
+    texts = candidate_context(ranked, per_piece)
+    return texts.select("session_id", "piece_no", _system_text(F.col("context")).alias("system_prompt"))
 
 
 # --- chat --------------------------------------------------------------------------------------------
 def chat_messages(chat: DataFrame, prompts: DataFrame, **options) -> DataFrame:
     """Message list of each conversation's latest question, one row per message.
 
-    Read in (part, turn) order: 0 the system prompt, 1 the turns before the question,
-    2 the question itself, which is not repeated in the history.  The system row's
-    content is NULL when the session's context does not fit in one piece.
+    Read in (part, turn) order: 0 the system prompt, one row for each piece of the
+    session's ranking, 1 the turns before the question, 2 the question itself, which is
+    not repeated in the history.  Turns after the question are not sent.  Without
+    candidates the system prompt has an empty ranking.
     """
     questions = (
         chat.where(F.col("role") == "user").groupBy("conv_id").agg(F.max("turn").alias("_asked"))
@@ -141,6 +130,7 @@ def chat_messages(chat: DataFrame, prompts: DataFrame, **options) -> DataFrame:
         .select(
             "conv_id",
             F.when(F.col("turn") == F.col("_asked"), 2).otherwise(1).alias("part"),
+            F.lit(None).cast("bigint").alias("piece_no"),
             "turn",
             "role",
             F.col("text").alias("content"),
@@ -152,47 +142,45 @@ def chat_messages(chat: DataFrame, prompts: DataFrame, **options) -> DataFrame:
     system = lookup_join(conversations, prompts, "session_id", "conv_id", "left", **options).select(
         "conv_id",
         F.lit(0).alias("part"),
+        F.coalesce("piece_no", F.lit(0)).cast("bigint").alias("piece_no"),
         F.lit(-1).cast("bigint").alias("turn"),
         F.lit("system").alias("role"),
-        F.col("system_prompt").alias("content"),
+        F.coalesce("system_prompt", _system_text(F.lit(""))).alias("content"),
     )
     return system.unionByName(said)
 
 
+def _message(role: Column, content: Column) -> Column:
+    return F.struct(role.alias("role"), content.alias("content"))
+
+
 def chat_requests(messages: DataFrame, max_messages: int = MESSAGES_PER_REQUEST) -> DataFrame:
-    """One row per conversation with its messages as an array, ready for ``answer``.
+    """Requests ``(conv_id, part_no, question, messages)``: every piece with every stretch of history.
 
-    Messages are gathered only for conversations that fit in one request; for the
-    others (too many messages, or a system prompt in pieces) ``messages`` is NULL.
+    A stretch has ``max_messages`` turns at most, so no conversation is gathered whole.
+    One piece and a short history make the one request of the plain case.
     """
-    sizes = messages.groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("content").isNull()).alias("_open")
+    said = messages.where("part = 1").select("conv_id", "turn", "role", "content")
+    begins = said.groupBy("conv_id").agg(F.min("turn").alias("_begin"))
+    stretch = F.floor((F.col("turn") - F.col("_begin")) / max_messages)
+    history = (
+        lookup_join(said, begins, "conv_id", F.xxhash64("conv_id", "turn"))
+        .groupBy("conv_id", stretch.alias("_stretch"))
+        .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("_said"))
+        .withColumn("_said", F.transform("_said", lambda m: _message(m["role"], m["content"])))
     )
-    fits = (F.col("_n") <= max_messages) & (F.col("_open") == 0)
-    short = lookup_join(
-        messages, sizes.where(fits).select("conv_id"), "conv_id", F.xxhash64("conv_id", "turn"), "left_semi"
+    asked = messages.where("part = 2").groupBy("conv_id").agg(F.first("content").alias("question"))
+    system = messages.where("part = 0").select("conv_id", "piece_no", F.col("content").alias("_system"))
+    every = system.join(asked, "conv_id").join(history, "conv_id", "left")
+    none = F.array().cast("array<struct<role:string,content:string>>")
+    sent = F.concat(
+        F.array(_message(F.lit("system"), F.col("_system"))),
+        F.coalesce("_said", none),
+        F.array(_message(F.lit("user"), F.col("question"))),
     )
-    listed = (
-        short.groupBy("conv_id")
-        .agg(F.array_sort(F.collect_list(F.struct("part", "turn", "role", "content"))).alias("_m"))
-        .select(
-            "conv_id",
-            F.transform("_m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"),
-        )
-    )
-    return sizes.select("conv_id").join(listed, "conv_id", "left")
-
-
-def single_requests(prompts: DataFrame, session_prompts: DataFrame, key: str, **options) -> DataFrame:
-    """Requests without history from ``prompts(session_id, key, prompt)``."""
-    joined = lookup_join(prompts, session_prompts, "session_id", key, "left", **options)
-
-    def message(role: str, content: str) -> Column:
-        return F.struct(F.lit(role).alias("role"), F.col(content).alias("content"))
-
-    messages = F.array(message("system", "system_prompt"), message("user", "prompt"))
-    return joined.select(
-        "session_id", key, F.when(F.col("system_prompt").isNotNull(), messages).alias("messages")
+    order = W.partitionBy("conv_id").orderBy("piece_no", "_stretch")
+    return every.select(
+        "conv_id", (F.row_number().over(order) - 1).cast("bigint").alias("part_no"), "question", sent.alias("messages")
     )
 
 

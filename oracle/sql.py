@@ -28,7 +28,7 @@ from hiresift.functions.sections import ALIAS_PATTERN, SECTIONS
 from hiresift.functions.similarity import RARE_WEIGHT_SQUARED
 from hiresift.functions.skills import ALL_SKILLS
 from hiresift.functions.text import WHITESPACE, WS_CLASS
-from hiresift.plans.prompts import CANDIDATES_PER_PIECE
+from hiresift.operators.relevance import COMBINE_HEAD
 from hiresift.sources.fixtures import _REPLY, VIEW_SQL
 
 CATEGORIES = list(WEIGHTS)
@@ -273,24 +273,24 @@ CTES |= {
     ) c
     where len(c.items) > 0 and (c.category <> 'skills' or length(s.job_description) > 0)""",
     "context": _context(200),
-    "request_context": _context(CANDIDATES_PER_PIECE),
     "system_prompts": f"""
-    select c.session_id, case when n <= {CANDIDATES_PER_PIECE} then {q(CHAT_SYSTEM_HEAD)} || context || {q(CHAT_SYSTEM_TAIL)} end as system_prompt
-    from request_context c join (select session_id, count(*) as n from ranked group by 1) z using (session_id)
-    where piece_no = 0""",
-    "messages": """
+    select session_id, piece_no, {q(CHAT_SYSTEM_HEAD)} || context || {q(CHAT_SYSTEM_TAIL)} as system_prompt from context""",
+    "messages": f"""
     with asked as (select conv_id, max(turn) as q, from chat where role = 'user' group by 1),
          conv as (select conv_id, min(session_id) as session_id from chat group by 1)
-    select a.conv_id, 0 as part, -1::bigint as turn, 'system' as role, p.system_prompt as content
+    select a.conv_id, 0 as part, coalesce(p.piece_no, 0)::bigint as piece_no, -1::bigint as turn, 'system' as role,
+      coalesce(p.system_prompt, {q(CHAT_SYSTEM_HEAD + CHAT_SYSTEM_TAIL)}) as content
     from asked a join conv using (conv_id) left join system_prompts p using (session_id)
     union all
-    select conv_id, case when turn = q then 2 else 1 end, turn, role, text
+    select conv_id, case when turn = q then 2 else 1 end, null, turn, role, text
     from chat join asked using (conv_id) where role <> 'system' and turn <= q""",
     "mails": f"""
     select session_id, id as candidate_id, status,
       case status {' '.join(f"when '{s}' then {fill(t, name='name')}" for s, t in EMAIL_PROMPTS.items() if s)}
         else {fill(EMAIL_PROMPTS[None], name='name')} end as prompt
     from candidates""",
+    "interviews": f"""select session_id, candidate_id,
+      {fill(INTERVIEW_PROMPT, name='name', matched=listed('matched_skills', 'none'), missing=listed('missing_skills', 'none'))} as prompt from scored""",
     "checked": f"""
     select r.*, coalesce(n, 0) as n_resumes,
       case when coalesce(n, 0) = 0 then 'no resume'
@@ -384,6 +384,13 @@ select r.candidate_id as doc_id, coalesce(string_agg(s, chr(10) order by
   case when n = 1 then 0 when n % 2 = 0 then 1 else 2 end, n), '') as text
 from resumes r left join laid l using (candidate_id) group by 1"""
 
+def _combined(question: str, answer: str, order: str) -> str:
+    """The answer of one piece, or what a model is told that combines those of several (one round)."""
+    return f"""case when count(*) = 1 then any_value({answer})
+      else '1 messages, last: ' || {q(COMBINE_HEAD)} || any_value({question}) || chr(10) || chr(10)
+        || string_agg({answer}, chr(10) || chr(10) order by {order}) end"""
+
+
 # Documents 1, 2 and 4 of seven can't be read by layout; a tenth has no plain text.
 _FALLBACK = f"""case when candidate_id % 7 not in (1, 2, 4) and not ({blank('text')}) then text
   when candidate_id % 10 = 0 then '' else raw_text end"""
@@ -529,19 +536,23 @@ _SELECTS = {
     + " from pair",
     "report_lines": "select * from report",
     "candidate_context": "select session_id, piece_no, context from context",
-    "interview_prompts": f"""select session_id, candidate_id,
-      {fill(INTERVIEW_PROMPT, name='name', matched=listed('matched_skills', 'none'), missing=listed('missing_skills', 'none'))} as prompt from scored""",
+    "interview_prompts": "select * from interviews",
     "email_prompts": "select * from mails",
     "quick_questions": "select id as session_id, label, prompt from sessions, (values "
     + ", ".join(f"({q(k)}, {q(v)})" for k, v in QUICK_QUESTIONS.items())
     + ") v(label, prompt)",
     "chat_messages": "select * from messages",
-    "chat_answers": f"""select conv_id, case when bool_or(content is null) then {q(CHAT_APOLOGY)} || 'request too long'
-        when count(*) % 4 = 0 then {q(CHAT_APOLOGY)} || 'busy'
-        else count(*) || ' messages, last: ' || arg_max(content, part * 1000 + turn) end as answer
-      from messages group by 1""",
-    "email_answers": f"""select session_id, candidate_id, case when system_prompt is null then {q(CHAT_APOLOGY)} || 'request too long'
-      else '2 messages, last: ' || prompt end as answer from mails left join system_prompts using (session_id)""",
+    "chat_answers": f"""select conv_id, {_combined('question', 'answer', 'piece_no')} as answer from (
+      select conv_id, piece_no, question, case when (n + 2) % 4 = 0 then {q(CHAT_APOLOGY)} || 'busy'
+        else (n + 2) || ' messages, last: ' || question end as answer
+      from messages join (
+        select conv_id, count(*) filter (where part = 1) as n, max(content) filter (where part = 2) as question
+        from messages group by 1) using (conv_id)
+      where part = 0) group by 1""",
+    "email_answers": f"""select session_id, candidate_id, {_combined('prompt', "'2 messages, last: ' || prompt", 'piece_no')} as answer
+      from mails join system_prompts using (session_id) group by 1, 2""",
+    "interview_answers": f"""select session_id, candidate_id, {_combined('prompt', "'2 messages, last: ' || prompt", 'piece_no')} as answer
+      from interviews join system_prompts using (session_id) group by 1, 2""",
 }
 _SELECTS |= {
     f"score_{c}": f"select candidate_id, session_id, score_{c}::double as score_{c} from sub" for c in CATEGORIES

@@ -136,7 +136,7 @@ def test_prompts_only_for_items(spark):
 
 
 def test_answers_and_apologies(spark):
-    rows = [(1, [("system", "s"), ("user", "q")]), (2, None), (3, [("user", "boom")])]
+    rows = [(1, [("system", "s"), ("user", "q")]), (3, [("user", "boom")])]
     df = spark.createDataFrame(rows, "conv_id bigint, messages array<struct<role: string, content: string>>")
 
     def answerer(messages):
@@ -144,6 +144,65 @@ def test_answers_and_apologies(spark):
             raise ValueError("down")
         return messages[-1]["content"].upper()
 
-    got = {r["conv_id"]: r["answer"] for r in relevance.answer(df, answerer).collect()}
+    got = {r["conv_id"]: (r["answer"], r["error"]) for r in relevance.answer(df, answerer).collect()}
     apology = "Sorry, I ran into an error contacting the AI assistant: "
-    assert got == {1: "Q", 2: apology + "request too long", 3: apology + "down"}
+    assert got == {1: ("Q", None), 3: (apology + "down", "down")}
+
+
+def ranking(spark, sizes):
+    columns = "overall double, skills double, experience double, education double, certifications double, projects double"
+    rows = [
+        (s, i + 1, f"<{s}.{i}>", 50.0, 1.0, 2.0, 3.0, 4.0, 5.0, ["sql"], [])
+        for s, n in sizes.items() for i in range(n)
+    ]
+    return spark.createDataFrame(
+        rows, f"session_id bigint, rank bigint, name string, {columns}, matched_skills array<string>, missing_skills array<string>"
+    )
+
+
+def test_every_candidate_and_message_reaches_the_model(spark):
+    sizes = {0: 23, 1: 5}
+    pieces = prompts.system_prompts(ranking(spark, sizes), per_piece=5)
+    chat = [(c, s, t, "user" if t % 2 == 0 else "assistant", f"[{c}:{t}]") for c, s, n in ((7, 0, 9), (8, 1, 3), (9, 5, 1)) for t in range(n)]
+    chat = spark.createDataFrame(chat, "conv_id bigint, session_id bigint, turn bigint, role string, text string")
+    requests = prompts.chat_requests(prompts.chat_messages(chat, pieces), max_messages=3).collect()
+    for conv, session, turns, parts in ((7, 0, 9, 5 * 3), (8, 1, 3, 1), (9, 5, 1, 1)):
+        mine = [r for r in requests if r["conv_id"] == conv]
+        assert sorted(r["part_no"] for r in mine) == list(range(parts))
+        sent = "".join(m["content"] for r in mine for m in r["messages"])
+        for i in range(sizes.get(session, 0)):
+            assert sent.count(f"<{session}.{i}>") == parts * 5 // len(range(0, sizes[session], 5)) // 5
+        assert all(f"[{conv}:{t}]" in sent for t in range(turns))
+        assert all(r["messages"][0]["role"] == "system" and r["messages"][-1]["content"] == f"[{conv}:{turns - 1}]" for r in mine)
+        assert all(len(r["messages"]) <= 5 for r in mine)
+    whole = prompts.chat_requests(prompts.chat_messages(chat, prompts.system_prompts(ranking(spark, sizes)))).collect()
+    assert len(whole) == 3 and {len(r["messages"]) for r in whole if r["conv_id"] == 7} == {10}
+
+
+def test_partial_answers_are_combined_in_rounds(spark):
+    pieces = prompts.system_prompts(ranking(spark, {0: 23, 1: 5}), per_piece=3)
+    asked = spark.createDataFrame([(0, 1, "a"), (0, 2, "b"), (1, 3, "c")], "session_id bigint, candidate_id bigint, prompt string")
+
+    def names(messages):
+        import re
+
+        return " ".join(sorted(set(re.findall(r"<\d+\.\d+>", "".join(m["content"] for m in messages)))))
+
+    parts = relevance.answer_each(asked, pieces, "candidate_id", names, salts=2)
+    got = {r["candidate_id"]: r for r in relevance.combined(parts, ["session_id", "candidate_id"], names, fan_in=2).collect()}
+    assert {c: len(r["answer"].split()) for c, r in got.items()} == {1: 23, 2: 23, 3: 5}
+    assert all(r["error"] is None for r in got.values())
+
+
+def test_unreadable_pages_fall_back_without_harm_to_others(spark):
+    from hiresift.operators import layout
+
+    words = "array<struct<text: string, x0: double, x1: double, top: double>>"
+    rows = [
+        (1, [(100.0, [("a", 0.0, 5.0, 1.0)])], "plain"), (2, None, "plain"), (3, [(100.0, None)], "plain"),
+        (4, [(100.0, [("a", 0.0, 5.0, None), ("b", 6.0, 9.0, 1.0)])], "plain"), (5, [(100.0, [(None, 0.0, 5.0, 1.0)])], None),
+        (6, [(100.0, None), (None, [("b", 0.0, 5.0, 1.0)])], "plain"), (7, [None], "plain"),
+    ]
+    df = spark.createDataFrame(rows, f"doc_id bigint, pages array<struct<height: double, words: {words}>>, plain_text string")
+    got = {r["doc_id"]: r["text"] for r in layout.extract_texts(df).collect()}
+    assert got == {1: "a", 2: "plain", 3: "plain", 4: "plain", 5: "", 6: "b", 7: "plain"}
