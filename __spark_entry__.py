@@ -123,6 +123,20 @@ def append_sessions(spark, d):
     return store.append_sessions(_sessions(spark, d), batch, "id")
 
 
+def _processed(spark, d):
+    return screening.process_requests(fixtures.view(spark, d, "requests"), _resumes(spark, d), _sessions(spark, d))
+
+
+def process_sessions(spark, d):
+    done = _processed(spark, d)
+    made = done["sessions"].select(F.col("request_id").alias("id"), F.col("id").alias("session_id"))
+    return done["checked"].select("id", "reject_reason").join(made, "id", "left")
+
+
+def process_candidates(spark, d):
+    return _processed(spark, d)["candidates"].drop("data_json")
+
+
 def append_notes(spark, d):
     existing = fixtures.view(spark, d, "chat").selectExpr(
         "conv_id * 100 + turn as id", "conv_id as candidate_id", "text as note_text",
@@ -184,6 +198,14 @@ def candidate_notes(spark, d):
     return reports.candidate_notes(fixtures.view(spark, d, "notes"))
 
 
+def candidates_of_session(spark, d):
+    return reports.session_candidates(_candidates(spark, d), 0)
+
+
+def notes_of_candidate(spark, d):
+    return reports.candidate_notes(fixtures.view(spark, d, "notes"), 1)
+
+
 def session_options(spark, d):
     return reports.session_options(_sessions(spark, d))
 
@@ -363,6 +385,17 @@ def relevance_with_scorer(spark, d):
     return relevance.score_relevance(wanted, _offline_scorer)
 
 
+def rank_candidates_ai(spark, d):
+    """Requests to the model, its scores or the rules, overall score and rank, in one flow."""
+    ranked = screening.rank_resumes(
+        _resumes(spark, d),
+        _sessions(spark, d),
+        relevance_with_scorer(spark, d),
+        columns=["candidate_id", "session_id", "name", "email", "overall", *screening.WEIGHTS],
+    )
+    return ranked.select("session_id", "rank", "candidate_id", "name", "email", "overall", *screening.WEIGHTS)
+
+
 # --- rankings and reports ----------------------------------------------------------------------------
 def rank_candidates(spark, d):
     ranked = screening.rank_resumes(
@@ -415,6 +448,13 @@ def compare_scores(spark, d):
     return reports.compare_scores(reports.default_pairs(_scored(spark, d)))
 
 
+def compare_chosen(spark, d):
+    """The oldest candidate of each session against the newest."""
+    scored = tables.materialize(_scored(spark, d))
+    chosen = scored.groupBy("session_id").agg(F.min("candidate_id").alias("a_id"), F.max("candidate_id").alias("b_id"))
+    return reports.compare_scores(reports.pairs(scored, chosen))
+
+
 def compare_skills(spark, d):
     return reports.compare_skills(reports.default_pairs(_scored(spark, d)))
 
@@ -486,16 +526,16 @@ def entry(spark: SparkSession) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         scan_resumes, ingest_rejects, parsed_empty, final_jd, session_validation, schema_evolve,
-        append_sessions, append_notes, persist_candidates, candidate_json_roundtrip,
+        append_sessions, append_notes, process_sessions, process_candidates, persist_candidates, candidate_json_roundtrip,
         apply_status_updates, delete_cascade_sessions, delete_cascade_candidates,
         delete_cascade_notes, session_by_id, visible_sessions, session_candidates,
-        candidate_notes, session_options, dashboard, processed_count, candidates_with_notes,
+        candidate_notes, candidates_of_session, notes_of_candidate, session_options, dashboard, processed_count, candidates_with_notes,
         status_by_name, first_by_name, contact_info, contact_info_documents, skills_by_category,
         section_items, split_headers, sections_all, parse_resumes, sanitize_text, parse_ai_reply,
         reading_order, text_fallback, parse_documents, tfidf_pairwise, tfidf_pairwise_documents, tfidf_corpus,
         overall_score, matched_skills, missing_skills, ai_score_fallback, relevance_prompts,
-        relevance_with_scorer, rank_candidates, rank_min_score, score_band, top_k_per_session,
-        rankings_table, column_widths, score_unpivot, profile_cards, compare_scores,
+        relevance_with_scorer, rank_candidates, rank_candidates_ai, rank_min_score, score_band, top_k_per_session,
+        rankings_table, column_widths, score_unpivot, profile_cards, compare_scores, compare_chosen,
         compare_skills, report_lines, candidate_context, interview_prompts, email_prompts,
         quick_questions, chat_messages, chat_answers, email_answers, interview_answers,
     ]

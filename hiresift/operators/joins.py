@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 ROWS_PER_SALT = 1_000_000
+NULL_SALTS = 1024
 _SALT = "_salt"
 _SALTS = "_salts"
 
@@ -68,9 +69,12 @@ def salted_join(
     if _SALTS not in lookup.columns:
         lookup = lookup.join(hot, keys, "left")
     salts = F.coalesce(F.col(_SALTS), F.lit(1))
+    # A NULL key meets nothing, so its rows may go anywhere; outer and anti joins keep them.
+    nowhere = F.greatest(*[F.col(k).isNull() for k in keys]) if len(keys) > 1 else F.col(keys[0]).isNull()
+    own = F.when(nowhere, F.lit(NULL_SALTS)).otherwise(salts)
     salted_fact = (
         fact.join(hot, keys, "left")
-        .withColumn(_SALT, F.pmod(F.xxhash64(row_key), salts).cast("int"))
+        .withColumn(_SALT, F.pmod(F.xxhash64(row_key), own).cast("int"))
         .drop(_SALTS)
     )
     salted_lookup = lookup.withColumn(_SALT, F.explode(F.sequence(F.lit(0), salts - 1))).drop(_SALTS)

@@ -47,6 +47,8 @@ def rank_within_sessions(
 ) -> DataFrame:
     """Add ``rank``: 1-based, by descending score, then ascending id (ids are unique).
 
+    Without a session or a score a candidate is kept, with a NULL rank.
+
     ``scored`` is read several times, mostly for three columns only; pass a stored
     table, or a frame cut by ``materialize``, when it is costly to compute.
     """
@@ -70,7 +72,7 @@ def rank_within_sessions(
     position = F.row_number().over(Window.partitionBy(*keys).orderBy(id_col))
     return (
         keyed.withColumn("_position", position)
-        .join(offsets, keys)
+        .join(offsets, keys, "left")
         .withColumn("rank", (F.col("_offset") + F.col("_position")).cast("bigint"))
         .drop("_block", "_position", "_offset")
     )

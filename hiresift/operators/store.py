@@ -40,16 +40,20 @@ def _last_id(table: DataFrame) -> Column:
     return F.lit(last)
 
 
-def append_sessions(sessions: DataFrame, batch: DataFrame, order_col: str) -> DataFrame:
-    """Sessions plus a batch, new ids following the largest one in ``order_col`` order."""
+def new_sessions(sessions: DataFrame, batch: DataFrame, order_col: str) -> DataFrame:
+    """The batch as sessions, ids following the largest one in ``order_col`` order; ``request_id`` is the old id."""
     numbered = number_rows(batch, order_col, _last_id(sessions))
-    return sessions.unionByName(
-        numbered.select(
-            F.col("_number").alias("id"), "job_title", "job_description", "created_at", "browser_id"
-        )
+    return numbered.select(
+        F.col("_number").alias("id"), F.col("id").alias("request_id"),
+        "job_title", "job_description", "created_at", "browser_id",
     )
 
 
+def append_sessions(sessions: DataFrame, batch: DataFrame, order_col: str) -> DataFrame:
+    """Sessions plus a batch; ``new_sessions`` also tells which request became which session."""
+    return sessions.unionByName(new_sessions(sessions, batch, order_col).drop("request_id"))
+
+
 def append_notes(notes: DataFrame, batch: DataFrame, order_col: str) -> DataFrame:
     """Notes plus the batch's notes that are not blank, stored without outer blanks."""
     kept = batch.where(~is_blank(F.col("note_text"))).withColumn("note_text", strip(F.col("note_text")))

@@ -87,10 +87,10 @@ def processed_counts(sessions: DataFrame, candidates: DataFrame) -> DataFrame:
 
 # --- candidates and notes -----------------------------------------------------------------
 def session_candidates(candidates: DataFrame, session_id: int | None = None) -> DataFrame:
-    """Candidates of one session, or of all, best first."""
-    if session_id is not None:
-        candidates = candidates.where(F.col("session_id") == session_id)
-    return candidates.orderBy("session_id", F.desc("overall_score"), "id")
+    """Candidates of one session, best first; or of all, in no order."""
+    if session_id is None:
+        return candidates
+    return candidates.where(F.col("session_id") == session_id).orderBy(F.desc("overall_score"), "id")
 
 
 def _note_line() -> Column:
@@ -98,12 +98,11 @@ def _note_line() -> Column:
 
 
 def candidate_notes(notes: DataFrame, candidate_id: int | None = None) -> DataFrame:
-    """Notes of one candidate, or of all, newest first, with their display line."""
-    if candidate_id is not None:
-        notes = notes.where(F.col("candidate_id") == candidate_id)
-    return notes.withColumn("line", _note_line()).orderBy(
-        "candidate_id", F.desc("created_at"), F.desc("id")
-    )
+    """Notes of one candidate, newest first; or of all, in no order; with their display line."""
+    lines = notes.withColumn("line", _note_line())
+    if candidate_id is None:
+        return lines
+    return lines.where(F.col("candidate_id") == candidate_id).orderBy(F.desc("created_at"), F.desc("id"))
 
 
 def candidates_with_notes(candidates: DataFrame, notes: DataFrame, **options) -> DataFrame:

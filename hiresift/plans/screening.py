@@ -24,6 +24,7 @@ from hiresift.functions.skills import (
     required_skills,
 )
 from hiresift.functions.text import empty_strings, is_blank, term_counts
+from hiresift.operators import store
 from hiresift.operators.joins import lookup_join, rows_per_key
 from hiresift.operators.ranking import rank_within_sessions
 from hiresift.sources.tables import materialize
@@ -200,3 +201,22 @@ def rank_resumes(
     """Score and rank.  ``columns`` limits what is carried through the ranking."""
     scored = score_resumes(resumes, sessions, ai_scores, **options).select(*columns)
     return rank_within_sessions(materialize(scored))
+
+
+def process_requests(requests: DataFrame, resumes: DataFrame, sessions: DataFrame) -> dict[str, DataFrame]:
+    """Validate requests, make sessions of the good ones, score their résumés under the new ids.
+
+    ``requests(id, job_title, jd_text, jd_doc, created_at, browser_id)``; a résumé's
+    ``session_id`` is the request it came with.  Gives ``checked`` (requests with
+    ``reject_reason``), ``sessions`` (new rows with ``request_id``), ``ranked`` and the
+    rows of ``candidates`` to store.  Résumés of rejected requests go nowhere.
+    """
+    checked = store.validate_requests(requests, resumes)
+    batch = checked.where("reject_reason is null").withColumn(
+        "job_description", store.chosen_description(F.col("jd_text"), F.col("jd_doc"))
+    )
+    made = materialize(store.new_sessions(sessions, batch, "id"))
+    ids = made.select(F.col("request_id").alias("session_id"), F.col("id").alias("_new"))
+    sent = lookup_join(resumes, ids, "session_id", "candidate_id").withColumn("session_id", F.col("_new")).drop("_new")
+    ranked = rank_resumes(sent, made.drop("request_id"))
+    return {"checked": checked, "sessions": made, "ranked": ranked, "candidates": store.persisted_candidates(ranked)}

@@ -384,6 +384,12 @@ select r.candidate_id as doc_id, coalesce(string_agg(s, chr(10) order by
   case when n = 1 then 0 when n % 2 = 0 then 1 else 2 end, n), '') as text
 from resumes r left join laid l using (candidate_id) group by 1"""
 
+_SCORED_PROMPTS = """select candidate_id, category, least((length(user_prompt) % 130)::double, 100.0) as score
+      from prompt_rows where length(user_prompt) % 5 <> 0"""
+_NEW_IDS = """select id, (select max(id) from sessions) + row_number() over (order by id) as session_id
+      from checked where reject_reason is null"""
+
+
 def _combined(question: str, answer: str, order: str) -> str:
     """The answer of one piece, or what a model is told that combines those of several (one round)."""
     return f"""case when count(*) = 1 then any_value({answer})
@@ -447,6 +453,24 @@ _SELECTS = {
       from lookups left join sessions on id = wanted_session_id""",
     "visible_sessions": "select * from sessions where browser_id = 'b2' or browser_id is null",
     "session_candidates": "select * from candidates",
+    "candidates_of_session": "select * from candidates where session_id = 0",
+    "notes_of_candidate": "select *, substr(created_at, 1, 16) || ' — ' || note_text as line from notes where candidate_id = 1",
+    "process_sessions": f"select id, reject_reason, session_id from checked left join ({_NEW_IDS}) using (id)",
+    "process_candidates": f"""select candidate_id as id, n.session_id, name, email, overall as overall_score, 'New' as status
+      from scored s join ({_NEW_IDS}) n on s.session_id = n.id""",
+    "compare_chosen": " union all ".join(
+        f"""select session_id, a.name as a_name, b.name as b_name, '{c.capitalize()}' as category, a.{c} as a_value, b.{c} as b_value,
+        case when a.{c} > b.{c} then '←' when b.{c} > a.{c} then '→' else '−' end as arrow from (
+          select session_id, arg_min(scored, candidate_id) as a, arg_max(scored, candidate_id) as b from scored group by 1)"""
+        for c in _ALL_SCORES
+    ),
+    "rank_candidates_ai": f"""select session_id, row_number() over (partition by session_id order by overall desc, candidate_id) as rank,
+      candidate_id, name, email, {', '.join(_ALL_SCORES)} from (
+        select candidate_id, session_id, name, email, {_overall()} as overall, {', '.join(f'score_{c} as {c}' for c in CATEGORIES)}
+        from (select candidate_id, session_id, name, email, {_ai('skills', "length(job_description) > 0 and len(skills) > 0")},
+          {_ai('experience', 'len(experience) > 0')}, score_education::double as score_education,
+          {_ai('certifications', 'len(certifications) > 0')}, {_ai('projects', 'len(projects) > 0')}
+          from sub left join ({_AI_PIVOT.replace('from ai', f'from ({_SCORED_PROMPTS})')}) a using (candidate_id)))""",
     "candidate_notes": "select *, substr(created_at, 1, 16) || ' — ' || note_text as line from notes",
     "session_options": """select label, id from (
       select job_title || ' — ' || substr(created_at, 1, 10) as label, id,
@@ -501,8 +525,7 @@ _SELECTS = {
       {_ai('certifications', 'len(certifications) > 0')}, {_ai('projects', 'len(projects) > 0')}
       from sub left join ({_AI_PIVOT}) a using (candidate_id)""",
     "relevance_prompts": "select candidate_id, category, system_prompt, user_prompt from prompt_rows",
-    "relevance_with_scorer": """select candidate_id, category, least((length(user_prompt) % 130)::double, 100.0) as score
-      from prompt_rows where length(user_prompt) % 5 <> 0""",
+    "relevance_with_scorer": _SCORED_PROMPTS,
     "rank_candidates": f"select session_id, rank, candidate_id, name, email, {', '.join(_ALL_SCORES)} from ranked",
     "rank_min_score": "select session_id, rank, id, overall_score from stored_ranked where overall_score >= 60",
     "score_band": "select id, overall_score, case when overall_score >= 80 then 'high' when overall_score >= 60 then 'mid' else 'low' end as band from candidates",
