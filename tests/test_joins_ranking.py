@@ -101,3 +101,18 @@ def test_no_window_over_a_whole_session(spark):
     plan = ranking.rank_within_sessions(skewed(spark), block_rows=100)._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [row_number()" in line]
     assert windows and all("_block" in line for line in windows)
+
+
+def test_candidates_without_session_or_score_are_kept_unranked(spark):
+    rows = [(1, 5, 80.0), (2, 5, 90.0), (3, None, 70.0), (4, 5, None), (5, None, None)]
+    df = spark.createDataFrame(rows, "candidate_id bigint, session_id bigint, overall double")
+    got = {r["candidate_id"]: r["rank"] for r in ranking.rank_within_sessions(df).collect()}
+    assert got == {1: 2, 2: 1, 3: None, 4: None, 5: None}
+
+
+def test_null_keys_are_spread_and_meet_nothing(spark):
+    fact = spark.createDataFrame([(i, None if i % 2 else i % 6) for i in range(300)], "row bigint, k bigint")
+    lookup = spark.createDataFrame([(0, "a"), (2, "b"), (None, "x")], "k bigint, v string")
+    for how, n in (("inner", 100), ("left", 300), ("left_semi", 100), ("left_anti", 200)):
+        for per in (1_000_000, 10):
+            assert salted_join(fact, lookup, "k", "row", how, rows_per_salt=per).count() == n

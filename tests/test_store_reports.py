@@ -179,15 +179,24 @@ def test_resume_files(spark, tmp_path):
     assert [r["filename"] for r in tables.unreadable(files).collect()] == ["b.txt"]
 
 
-def test_materialize_writes_to_the_shared_folder(spark):
+def test_materialize_writes_to_the_shared_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "shared_folder", lambda spark: f"file://{tmp_path}")
     copy = tables.materialize(candidates(spark))
     assert sorted(copy.collect()) == sorted(candidates(spark).collect())
     file = copy.inputFiles()[0].removeprefix("file://")
-    assert file.startswith(tables._shared_folder(spark).removeprefix("file:")) and os.path.exists(file)
+    assert file.startswith(str(tmp_path)) and os.path.exists(file)
     tables.release(spark)
     assert not os.path.exists(os.path.dirname(file))
 
 
+def test_materialize_persists_without_a_shared_folder(spark, monkeypatch):
+    monkeypatch.setattr(tables, "shared_folder", lambda spark: None)
+    copy = tables.materialize(candidates(spark))
+    assert copy.is_cached and sorted(copy.collect()) == sorted(candidates(spark).collect())
+    tables.release(spark)
+    assert not copy.is_cached
+
+
 def test_context_pieces_add_up(spark):
     ranked = screening.rank_resumes(*frames(spark))
     whole = prompts.candidate_context(ranked, 1000).where("session_id = 10").first()["context"]
@@ -200,20 +209,17 @@ def test_chat_history_leaves_the_question_out(spark):
     turns = [(1, 10, 0, "user", "hi"), (1, 10, 1, "assistant", "hello"), (1, 10, 2, "user", "who?"),
              (2, 11, 0, "system", "x"), (2, 11, 1, "user", "best?"), (2, 11, 2, "assistant", "later")]
     chat = spark.createDataFrame(turns, "conv_id bigint, session_id bigint, turn bigint, role string, text string")
-    session_prompts = prompts.system_prompts(
-        frames(spark)[1], screening.rank_resumes(*frames(spark)), per_piece=2
-    )
+    session_prompts = prompts.system_prompts(screening.rank_resumes(*frames(spark)), per_piece=2)
     messages = prompts.chat_messages(chat, session_prompts)
     got = {
-        c: [(r["role"], r["content"]) for r in messages.where(f"conv_id = {c}").orderBy("part", "turn").collect()]
+        c: [(r["role"], r["content"]) for r in messages.where(f"conv_id = {c}").orderBy("part", "piece_no", "turn").collect()]
         for c in (1, 2)
     }
-    assert got[1] == [("system", None), ("user", "hi"), ("assistant", "hello"), ("user", "who?")]
+    assert [role for role, _ in got[1]] == ["system", "system", "user", "assistant", "user"]
+    assert [text for _, text in got[1][2:]] == ["hi", "hello", "who?"]
     assert got[2][0][1].startswith("You are an HR assistant") and got[2][1:] == [("user", "best?")]
-    requests = {r["conv_id"]: r["messages"] for r in prompts.chat_requests(messages).collect()}
-    assert requests[1] is None and [m["role"] for m in requests[2]] == ["system", "user"]
-    few = prompts.chat_requests(messages, max_messages=1).collect()
-    assert all(r["messages"] is None for r in few)
+    requests = prompts.chat_requests(messages).collect()
+    assert sorted((r["conv_id"], r["part_no"], len(r["messages"])) for r in requests) == [(1, 0, 4), (1, 1, 4), (2, 0, 2)]
 
 
 def test_email_prompt_follows_status(spark):
