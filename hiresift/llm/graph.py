@@ -23,6 +23,13 @@ def _state(links: DataFrame) -> tuple:
     return tuple(row)
 
 
+def _meet(links: DataFrame, low: DataFrame, n: int, rows_per_salt: int) -> DataFrame:
+    """Every link with the smallest neighbour of its ``u``; so few links in all that none is hot need no salt."""
+    if n <= rows_per_salt:
+        return links.join(low.drop("_rows"), "u")
+    return salted_join(links, low, "u", "v", sizes="_rows", rows_per_salt=rows_per_salt)
+
+
 def components(links: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """(node, component) for every node of ``links`` (u, v); component is its smallest node.
 
@@ -36,12 +43,12 @@ def components(links: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFram
         before = now
         both = links.union(links.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("_rows"))
-        large = salted_join(both.where("v >= u"), low, "u", "v", sizes="_rows", rows_per_salt=rows_per_salt)
+        large = _meet(both.where("v >= u"), low, now[0], rows_per_salt)
         links = materialize(large.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             low.where("m <= u").select("u", F.col("m").alias("v"))
         ).distinct())
         low = links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_rows"))
-        small = salted_join(links, low, "u", "v", sizes="_rows", rows_per_salt=rows_per_salt)
+        small = _meet(links, low, now[0], rows_per_salt)
         links = materialize(
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(low.select("u", F.col("m").alias("v")))

@@ -91,19 +91,22 @@ def in_quarter(elems: np.ndarray) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """_doc and _text (the row's name), sid, n_shingles, quarter, bitmap."""
+    """_doc and _text (the row's name), sid, n_shingles, quarter, bitmap, and the set itself if it is light."""
 
     def compute(batch: pa.RecordBatch) -> list:
         made = [shingles(t) for t in batch.column("text").to_pylist()]
-        names = [xxhash.xxh3_128_intdigest(s.tobytes()) & (1 << 64) - 1 for s in made]
         return [
-            np.array(names, np.uint64).view(np.int64), [len(s) for s in made],
+            [name_of(s) for s in made], [len(s) for s in made],
             [int(in_quarter(s).sum()) for s in made], [parity(s) if len(s) else b"" for s in made],
+            [s.view(np.int64).tolist() if len(s) <= LIGHT_MOST else None for s in made],
         ]
 
-    return add_columns(
-        docs.select("_doc", "_text", "text"), compute, "sid long, n_shingles long, quarter long, bitmap binary", drop=["text"]
-    )
+    new = "sid long, n_shingles long, quarter long, bitmap binary, light array<long>"
+    return add_columns(docs.select("_doc", "_text", "text"), compute, new, drop=["text"])
+
+
+def name_of(elems: np.ndarray) -> int:
+    return (xxhash.xxh3_128_intdigest(elems.tobytes()) & (1 << 64) - 1) - (1 << 63)
 
 
 def in_no_quarter(n, quarter):
@@ -128,27 +131,26 @@ def boundary_of(sizes: DataFrame) -> int:
     return best
 
 
-def light_subsets(docs: DataFrame, boundary: int) -> DataFrame:
+def light_subsets(classes: DataFrame, boundary: int) -> DataFrame:
     """key, share (its size), n and sid of every subset that suffices for a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                rows = []
-                for text, sid in zip(part.column("text").to_pylist(), part.column("sid").to_pylist(), strict=True):
-                    elems = mix(shingles(text)).tolist()
-                    n, total = len(elems), sum(elems)
-                    for k in range(may_miss(n) + 1):
-                        for out in itertools.combinations(elems, k):
-                            rest = (total - sum(out)) % (1 << 64) - (1 << 63)
-                            rows.append((rest, n - k, n, sid))
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["key", "share", "n", "sid"]
-                    )
-
-    few = docs.where((F.col("n_shingles") >= 1) & (F.col("n_shingles") <= boundary))
-    return few.select("sid", "text").mapInArrow(run, "key long, share long, n long, sid long")
+            rows = []
+            for light, sid in zip(batch.column("light").to_pylist(), batch.column("sid").to_pylist(), strict=True):
+                elems = mix(np.array(light, np.int64).view(np.uint64)).tolist()
+                n, total = len(elems), sum(elems)
+                for k in range(may_miss(n) + 1):
+                    for out in itertools.combinations(elems, k):
+                        rest = (total - sum(out)) % (1 << 64) - (1 << 63)
+                        rows.append((rest, n - k, n, sid))
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["key", "share", "n", "sid"]
+                )
+
+    few = classes.where((F.col("n_shingles") >= 1) & (F.col("n_shingles") <= boundary))
+    return few.select("sid", "light").mapInArrow(run, "key long, share long, n long, sid long")
 
 
 def light_links(subsets: DataFrame) -> DataFrame:
@@ -168,11 +170,12 @@ def postings(docs: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 made, seen = [], set()
-                for text, sid in zip(part.column("text").to_pylist(), part.column("sid").to_pylist(), strict=True):
-                    if sid in seen:
+                for text in part.column("text").to_pylist():
+                    elems = shingles(text)
+                    sid = name_of(elems)
+                    if len(elems) < least or sid in seen:
                         continue
                     seen.add(sid)
-                    elems = shingles(text)
                     some = elems[in_quarter(elems)]
                     made.append((1, some, sid))
                     if in_no_quarter(len(elems), len(some)):
@@ -188,7 +191,7 @@ def postings(docs: DataFrame, least: int) -> DataFrame:
                         names=["scope", "elem", "sid"],
                     )
 
-    return docs.where(F.col("n_shingles") >= least).select("sid", "text").mapInArrow(run, LISTED)
+    return docs.select("text").mapInArrow(run, LISTED)
 
 
 def shared_postings(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
@@ -287,47 +290,96 @@ def chosen(i: np.ndarray, j: np.ndarray, distance: np.ndarray, group: np.ndarray
     return take
 
 
+def small_pairs(n: np.ndarray, bitmaps: list[bytes], group: np.ndarray, side: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``close_pairs`` of many short lists at once, each from ``begin`` on ``size`` rows long."""
+    first, second = [], []
+    for k in np.unique(size):
+        a, b = np.triu_indices(int(k), 1)
+        at = begin[size == k]
+        first.append((at[:, None] + a).ravel())
+        second.append((at[:, None] + b).ravel())
+    i, j = np.concatenate(first), np.concatenate(second)
+    ok = (100 * n[i] >= PERCENT * n[j]) & (group[i] != group[j]) & (side[i] != side[j])
+    i, j = i[ok], j[ok]
+    bits = np.fromiter((8 * len(b) for b in bitmaps), np.int64, len(bitmaps))
+    keep = np.zeros(len(i), bool)
+    for low, high in set(zip(bits[i].tolist(), bits[j].tolist(), strict=True)):
+        here = np.flatnonzero((bits[i] == low) & (bits[j] == high))
+        chunk = max(1, (1 << 24) // high)
+        for begin_ in range(0, len(here), chunk):
+            some = here[begin_ : begin_ + chunk]
+            left, right = _folded([bitmaps[x] for x in i[some]], low), _folded([bitmaps[x] for x in j[some]], low)
+            distance = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
+            total = n[i[some]] + n[j[some]]
+            keep[some] = distance <= total - 2 * needed(total)
+    return i[keep], j[keep]
+
+
+BY = ["scope", "elem", "bi", "bj"]
+FOUND = "u long, v long, scope int, elem long, bi int, bj int"
+SHORT_LIST = 9  # such a list has at most four pairs a set, so it never holds any back
+
+
 def candidates(listed: DataFrame, wave: int) -> DataFrame:
-    """(u, v) to compare; a row with ``cut`` tells that its list held pairs back."""
+    """(u, v) to compare; and the keys of lists that held pairs back, without u and v."""
 
-    def scan(rows: pa.Table) -> pa.RecordBatch | None:
-        rows = rows.sort_by([("n", "ascending"), ("sid", "ascending")])
-        n, sid, group = (rows.column(c).to_numpy() for c in ("n", "sid", "component"))
-        side = rows.column("block").to_numpy()
-        two = rows.column("bi")[0].as_py() != rows.column("bj")[0].as_py()
-        i, j, distance = close_pairs(n, rows.column("bitmap").to_pylist(), group, side if two else None)
-        limit = 4 * len(n) * 4**wave
-        cut = len(i) > limit
-        if cut:
-            take = chosen(i, j, distance, group, n, limit)
-            i, j = i[take], j[take]
-        if not len(i):
-            return None
+    def result(u: np.ndarray, v: np.ndarray, cut: list[tuple]) -> pa.RecordBatch:
+        none = [None] * len(u)
+        keys = [[*none, *(int(k[c]) for k in cut)] for c in range(4)]
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays(
-            [pa.array(sid[i]), pa.array(sid[j]), pa.array(np.full(len(i), cut))], names=["u", "v", "cut"]
+            [
+                pa.array([*u.tolist(), *[None] * len(cut)], pa.int64()), pa.array([*v.tolist(), *[None] * len(cut)], pa.int64()),
+                *(pa.array(k, kind) for k, kind in zip(keys, kinds, strict=True)),
+            ],
+            names=["u", "v", *BY],
         )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if held and sum(b.num_rows for b in held) > 1 and (made := scan(pa.Table.from_batches(held))) is not None:
-                yield made
+    def scan(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Whole lists, each sorted by the size of its sets."""
+        keys = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in BY], axis=1)
+        begin = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1]
+        size = np.diff(np.r_[begin, len(keys)])
+        n, sid, group = (rows.column(c).to_numpy() for c in ("n", "sid", "component"))
+        # In a list of two blocks pairs go from one to the other; in others every row is a side of its own.
+        two = keys[:, 2] != keys[:, 3]
+        side = np.where(two, rows.column("block").to_numpy(), -1 - np.arange(len(keys)))
+        bitmaps = rows.column("bitmap").to_pylist()
+        few = (size > 1) & (size <= SHORT_LIST)
+        u, v, cut = [], [], []
+        if few.any():
+            i, j = small_pairs(n, bitmaps, group, side, begin[few], size[few])
+            u.append(sid[i]), v.append(sid[j])
+        for b, k in zip(begin[size > SHORT_LIST].tolist(), size[size > SHORT_LIST].tolist(), strict=True):
+            own = slice(b, b + k)
+            i, j, distance = close_pairs(n[own], bitmaps[own], group[own], side[own] if two[b] else None)
+            limit = 4 * k * 4**wave
+            if len(i) > limit:
+                take = chosen(i, j, distance, group[own], n[own], limit)
+                i, j = i[take], j[take]
+                cut.append(tuple(keys[b]))
+            u.append(sid[own][i]), v.append(sid[own][j])
+        if sum(map(len, u)) or cut:
+            pairs = np.unique(np.stack([np.concatenate(u), np.concatenate(v)]), axis=1)
+            yield result(pairs[0], pairs[1], cut)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last list of a batch may go on in the next
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("scope", "elem", "bi", "bj")], axis=1)
-            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            for begin, end in zip(edges, edges[1:], strict=False):
-                if begin == end:
-                    continue
-                if key != tuple(keys[begin]):
-                    yield from done()
-                    key, held = tuple(keys[begin]), []
-                held.append(batch.slice(begin, end - begin))
-        yield from done()
-
-    by = ["scope", "elem", "bi", "bj"]
-    return listed.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "u long, v long, cut boolean")
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in BY], axis=1)
+            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            if held and (keys[0] != [held[-1].column(c)[0].as_py() for c in BY]).any():
+                yield from scan(pa.concat_batches(held))
+                held = []
+            if len(edges):
+                yield from scan(pa.concat_batches([*held, batch.slice(0, int(edges[-1]))]))
+                held = [batch.slice(int(edges[-1]))]
+            else:
+                held.append(batch)
+        if held:
+            yield from scan(pa.concat_batches(held))
+
+    return listed.repartition(*BY).sortWithinPartitions(*BY, "n", "sid").mapInArrow(run, FOUND)
 
 
 def blocked(lists: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -370,15 +422,13 @@ def list_links(lists: DataFrame, classes: DataFrame, texts: DataFrame, links: Da
         else:
             known = components(links).select(F.col("node").alias("sid"), "component")
             here = listed.join(known, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-        if wave:
-            by = W.partitionBy("scope", "elem", "bi", "bj")
-            here = here.withColumns({"_lo": F.min("component").over(by), "_hi": F.max("component").over(by)})
-            here = here.where("_lo < _hi").drop("_lo", "_hi")
         found = materialize(candidates(here, wave))
-        new = verified(found.select("u", "v").distinct(), texts)
+        new = verified(found.where("u is not null").select("u", "v").distinct(), texts)
         links = materialize(links.unionByName(new))
-        if found.where("cut").isEmpty():
+        cut = found.where("u is null").select(*BY)
+        if cut.isEmpty():
             return links
+        listed = materialize(listed.join(cut, BY, "left_semi"))
         wave += 1
 
 
@@ -393,16 +443,15 @@ def join_ngrams(docs: DataFrame, rows_per_salt: int = ROWS_PER_SALT, block: int
         .groupBy("sid")
         .agg(
             F.min(F.struct("_doc", "_text")).alias("rep"), F.first("n_shingles").alias("n_shingles"),
-            F.first("quarter").alias("quarter"), F.first("bitmap").alias("bitmap"),
+            F.first("quarter").alias("quarter"), F.first("bitmap").alias("bitmap"), F.first("light").alias("light"),
         )
     )
     boundary = boundary_of(classes)
     least = -(-PERCENT * (boundary + 1) // 100)  # a smaller light set has no heavy partner
-    named = sized_texts(docs)
-    links = materialize(light_links(light_subsets(named, boundary)).distinct())
-    hot = materialize(common_shingles(named, least, rows_per_salt))
+    links = materialize(light_links(light_subsets(classes, boundary)).distinct())
+    hot = materialize(common_shingles(docs, least, rows_per_salt))
     hot = None if hot.isEmpty() else hot
-    lists = materialize(prefixes(shared_postings(postings(named, least), hot), classes))
+    lists = materialize(prefixes(shared_postings(postings(docs, least), hot), classes))
     in_lists = lists.groupBy("scope", "elem").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi")
     lists = lists.join(in_lists.select("scope", "elem"), ["scope", "elem"])
     reps = lists.select("sid").distinct().join(classes.select("sid", "rep.*"), "sid")
@@ -428,17 +477,6 @@ def join_ngrams(docs: DataFrame, rows_per_salt: int = ROWS_PER_SALT, block: int
     )
 
 
-def sized_texts(docs: DataFrame) -> DataFrame:
-    """_doc, text, sid and n_shingles of every row with words."""
-
-    def compute(batch: pa.RecordBatch) -> list:
-        made = [shingles(t) for t in batch.column("text").to_pylist()]
-        names = [xxhash.xxh3_128_intdigest(s.tobytes()) & (1 << 64) - 1 for s in made]
-        return [np.array(names, np.uint64).view(np.int64), [len(s) for s in made]]
-
-    return add_columns(docs.select("_doc", "text"), compute, "sid long, n_shingles long").where("n_shingles > 0")
-
-
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return join_ngrams(docs).select("doc_id", "n_shingles", "component_id")
