@@ -14,22 +14,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hiresift.functions.fixed_values import LOWEST_BAND, SCORE_BANDS
+from hiresift.sources.tables import materialize
 
 BLOCK_ROWS = 1_000_000
+MOST_SPLITS = 20  # each cuts an over-full block's own range into at least two
 
 
-def id_block(df: DataFrame, id_col: str, block_rows: int = BLOCK_ROWS) -> Column:
-    """A block number that never decreases with the id, about ``block_rows`` ids each.
+def _step(id_col: str, low: Column, high: Column, n: Column, block_rows: int) -> Column:
+    """Which of equal steps from low to high an id is in, as many as blocks are needed."""
+    width = F.greatest(F.lit(1.0), (high.cast("double") - low.cast("double") + 1.0) / F.ceil(n / block_rows))
+    return F.floor((F.col(id_col).cast("double") - low.cast("double")) / width).cast("bigint")
 
-    The id range is cut into equal steps, so both running numbers and evenly spread
-    ids (hashes) give blocks of about that size.  Only two numbers and a count are
-    read; uneven ids make uneven blocks, never wrong results.
+
+def with_blocks(df: DataFrame, id_col: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Add ``_block``, an array that never decreases with the id, for about ``block_rows`` ids each.
+
+    The id range is cut into equal steps.  A block that is still too full, as beside an
+    outlying id, is cut again by its own range, and so on; ids that are equal stay together.
+    Only numbers per over-full block are read, and none if the table is small.
     """
     low, high, n = df.agg(F.min(id_col), F.max(id_col), F.count(F.lit(1))).first()
+    known = F.col(id_col).isNotNull()
     if n <= block_rows:
-        return F.lit(0).cast("bigint")
-    step = max(1.0, (float(high) - float(low) + 1.0) / -(-n // block_rows))
-    return F.floor((F.col(id_col).cast("double") - F.lit(float(low))) / F.lit(step))
+        return df.withColumn("_block", F.when(known, F.array(F.lit(0).cast("bigint"))))
+    first = _step(id_col, F.lit(low), F.lit(high), F.lit(n), block_rows)
+    keyed = df.withColumn("_block", F.when(known, F.array(first)))
+    for _ in range(MOST_SPLITS):
+        sizes = keyed.where(known).groupBy("_block").agg(
+            F.count(F.lit(1)).alias("_rows"), F.min(id_col).alias("_low"), F.max(id_col).alias("_high")
+        )
+        full = materialize(sizes.where((F.col("_rows") > block_rows) & (F.col("_high") > F.col("_low"))))
+        if full.isEmpty():
+            break
+        cut = _step(id_col, F.col("_low"), F.col("_high"), F.col("_rows"), block_rows)
+        finer = F.when(F.col("_rows").isNotNull(), F.concat("_block", F.array(cut))).otherwise(F.col("_block"))
+        keyed = keyed.join(F.broadcast(full), "_block", "left").withColumn("_block", finer).drop("_rows", "_low", "_high")
+    return keyed
 
 
 def _before(window) -> Column:
@@ -53,7 +73,7 @@ def rank_within_sessions(
     table, or a frame cut by ``materialize``, when it is costly to compute.
     """
     keys = [session, score, "_block"]
-    keyed = scored.withColumn("_block", id_block(scored, id_col, block_rows))
+    keyed = with_blocks(scored, id_col, block_rows)
     # Said once here, the joins below need no filters of their own, which would differ
     # and keep the two uses of these counts from sharing one shuffle.
     present = F.col(session).isNotNull() & F.col(score).isNotNull() & F.col("_block").isNotNull()
@@ -83,7 +103,7 @@ def number_rows(df: DataFrame, order_col: str, start: Column, block_rows: int =
 
     Rows are numbered inside blocks; only the block counts are summed in one place.
     """
-    keyed = df.withColumn("_block", id_block(df, order_col, block_rows))
+    keyed = with_blocks(df, order_col, block_rows)
     blocks = keyed.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
     offsets = blocks.select("_block", _before(Window.orderBy("_block")).alias("_offset"))
     position = F.row_number().over(Window.partitionBy("_block").orderBy(order_col))

@@ -116,3 +116,12 @@ def test_null_keys_are_spread_and_meet_nothing(spark):
     for how, n in (("inner", 100), ("left", 300), ("left_semi", 100), ("left_anti", 200)):
         for per in (1_000_000, 10):
             assert salted_join(fact, lookup, "k", "row", how, rows_per_salt=per).count() == n
+
+
+def test_an_outlying_id_does_not_fill_one_block(spark):
+    df = spark.range(1000).selectExpr("case when id = 999 then 1000000000000 else id end as id")
+    blocks = ranking.with_blocks(df, "id", 100)
+    sizes = [r["count"] for r in blocks.groupBy("_block").count().collect()]
+    assert max(sizes) <= 200 and sum(sizes) == 1000
+    rows = sorted((r["_block"], r["id"]) for r in blocks.collect())
+    assert [i for _, i in rows] == sorted(i for _, i in rows)
