@@ -114,8 +114,12 @@ def _readable(data: bytes) -> str | None:
 
 def _opened(layer: Layer, begin: int, end: int, data: bytes) -> Layer | None:
     """The layer of compressed data that stands between begin and end."""
-    inner = _inflate(data)
-    while inner is not None and (more := _inflate(inner)) is not None and more != inner:
+    inner, seen = _inflate(data), set()
+    while inner is not None and (more := _inflate(inner)) is not None:
+        key = hashlib.blake2b(inner, digest_size=16).digest()
+        if key in seen:  # data that inflates to itself, at once or over others
+            return None
+        seen.add(key)
         inner = more
     text = None if inner is None else _readable(inner)
     if text is None:
