@@ -7,7 +7,7 @@ radii and the threshold distance together, and taken whole if centres and radii
 The upper levels are built by Spark: a node with too many members is split among pivots drawn
 from it, each member going to the nearest, until every node fits a task.  Node pairs are
 expanded level by level as joins on the parent.  Below, each leaf gets nested levels of halving
-radii (1, 1/2, ... ``LEVELS`` of them), every level's centres being members of the parent node;
+radii (1/2, 1/4, ... ``LEVELS`` of them), every level's centres being members of the parent node;
 one task traverses the trees of two leaves at once, level by level, in numpy.  Radii are always
 measured, not assumed.  The last level's members are compared one by one, in double precision;
 cosines next to the threshold are summed exactly.
@@ -36,7 +36,7 @@ from hiresift.sources.tables import materialize
 
 COSINE = 0.9
 LEAF = 4096
-LEVELS = 4
+LEVELS = 3
 SALTS = 8
 LAST = (1 << 63) - 1
 SLACK = 1e-9
@@ -179,16 +179,24 @@ def leaf_pairs(roots: DataFrame, levels: list[DataFrame], tau: float) -> DataFra
 
 # --- lower levels -------------------------------------------------------------------------
 def nested_centres(x: np.ndarray, levels: int = LEVELS) -> np.ndarray:
-    """(levels, n): the centre of each member at radii 1, 1/2, ...; a node's own centre is tried first."""
-    out = np.zeros((levels, len(x)), np.int64)
-    parent = np.zeros(len(x), np.int64)
+    """(levels, n): the centre of each member at radii 1/2, 1/4, ...; a node's own centre is tried first.
+
+    Nodes are found from one matrix of inner products; their rounding is harmless, as radii are measured later.
+    """
+    n = len(x)
+    out = np.tile(np.arange(n), (levels, 1))
+    single = x.astype(np.float32)
+    inner = single @ single.T
+    parent = np.zeros(n, np.int64)
     for level in range(levels):
-        radius = 2.0**-level
-        for top in np.unique(parent):
-            left = np.flatnonzero(parent == top)
+        close = 1 - 0.125 * 4.0**-level  # the inner product at that distance
+        members = np.argsort(parent, kind="stable")
+        tops, begin, size = np.unique(parent[members], return_index=True, return_counts=True)
+        for top, b, k in zip(tops[size > 1].tolist(), begin[size > 1].tolist(), size[size > 1].tolist()):
+            left = members[b : b + k]
             left = np.r_[top, left[left != top]]
             while len(left):
-                near = ((x[left] - x[left[0]]) ** 2).sum(axis=1) <= radius * radius
+                near = inner[left[0], left] >= close
                 near[0] = True
                 out[level, left[near]] = left[0]
                 left = left[~near]
@@ -270,7 +278,7 @@ def traverse(a: Levels, b: Levels, cosine: float, same: bool, chunk: int = 1 <<
             half = len(p) // 2
             work += [(level, p[:half], q[:half]), (level, p[half:], q[half:])]
             continue
-        for i, j, d in _expanded(a, b, level, p, q, chunk):
+        for i, j, d in _expanded(a, b, level, p, q, tau, chunk):
             reach = a.radius[level][i] + b.radius[level][j]
             stay = d <= reach + tau + SLACK
             i, j, d, reach = i[stay], j[stay], d[stay], reach[stay]
@@ -295,22 +303,40 @@ def traverse(a: Levels, b: Levels, cosine: float, same: bool, chunk: int = 1 <<
     return links_a, links_b, joined
 
 
-def _expanded(a: Levels, b: Levels, level: int, p: np.ndarray, q: np.ndarray, chunk: int) -> Iterator[tuple]:
-    """Child pairs of node pairs with the distance of their centres."""
+def _expanded(
+    a: Levels, b: Levels, level: int, p: np.ndarray, q: np.ndarray, tau: float, chunk: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Child pairs of node pairs, those that may hold links, with the distance of their centres."""
     xa, xb = a.x[a.centre[level]], b.x[b.centre[level]]
-    if len(p) == 1:  # one pair with many children: by matrix products
-        one, two = _spread(a.children[level], p)[0], _spread(b.children[level], q)[0]
-        step = max(1, chunk // max(1, len(two)))
-        for begin in range(0, len(one), step):
-            part = one[begin : begin + step]
-            square = np.maximum(2 - 2 * (xa[part] @ xb[two].T), 0)
-            i, j = np.nonzero(square <= (a.radius[level][part][:, None] + b.radius[level][two][None, :] + 2) ** 2)
-            yield part[i], two[j], np.sqrt(square[i, j])
+
+    def apart(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", xa[i], xb[j]), 0))
+
+    if len(p) == 1:  # one pair with many children: by products of matrices, in single precision with room for it
+        left, right = _spread(a.children[level], p)[0], _spread(b.children[level], q)[0]
+        for one in _by_radius(left, a.radius[level], tau):
+            for two in _by_radius(right, b.radius[level], tau):
+                if not len(one) or not len(two):
+                    continue
+                reach = a.radius[level][one].max() + b.radius[level][two].max() + tau
+                least = np.float32(1 - reach * reach / 2 - 1e-4)
+                low, high = xa[one].astype(np.float32), xb[two].astype(np.float32).T
+                step = max(1, 4 * chunk // len(two))
+                for begin in range(0, len(one), step):
+                    i, j = np.nonzero(low[begin : begin + step] @ high >= least)
+                    i, j = one[begin : begin + step][i], two[j]
+                    yield i, j, apart(i, j)
         return
     one, owner = _spread(a.children[level], p)
     j, back = _spread(b.children[level], q[owner])
     i = one[back]
-    yield i, j, np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", xa[i], xb[j]), 0))
+    yield i, j, apart(i, j)
+
+
+def _by_radius(nodes: np.ndarray, radius: np.ndarray, tau: float) -> tuple[np.ndarray, np.ndarray]:
+    """Narrow and wide nodes, so that a few wide ones don't loosen the bound of all."""
+    narrow = radius[nodes] <= tau / 8
+    return nodes[narrow], nodes[~narrow]
 
 
 def _take_whole(a, b, level, i, j, links_a, links_b, joined) -> None:
@@ -355,7 +381,7 @@ def compare_leaves(planted: DataFrame, pairs: DataFrame, cosine: float) -> DataF
         for (p, q), rows in _groups(batches, ["p", "q"]):
             node = rows.column("node").to_numpy()
             x, weight = _matrix(rows.column("vec").combine_chunks()), rows.column("weight").to_numpy()
-            tree, nid = np.array(rows.column("tree").to_pylist(), np.int64), rows.column("nid").to_numpy()
+            tree, nid = _matrix(rows.column("tree").combine_chunks()).astype(np.int64), rows.column("nid").to_numpy()
             first, second = np.flatnonzero(node == p), np.flatnonzero(node == q)
             left = Levels(x[first], weight[first], tree[first])
             right = left if p == q else Levels(x[second], weight[second], tree[second])
