@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hiresift.llm.common import add_columns, slices, worker_cache
+from hiresift.operators.joins import lookup_join
 
 ORDER = 3
 SAMPLE_BYTES = 4_000_000
@@ -73,7 +74,7 @@ def gram_counts(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     parts = 1_000_000
     per_lang = learn.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
     share = per_lang.select("lang", F.least(F.lit(1.0), sample_bytes / F.greatest("bytes", F.lit(1))).alias("share"))
-    drawn = learn.join(share, "lang").where(
+    drawn = lookup_join(learn, share, "lang", "doc_id").where(
         F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(parts)) < F.col("share") * parts
     )
 
