@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str | None, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -91,8 +91,8 @@ def gram_hashes(hashes: np.ndarray, size: int, factor: int = 0x9E3779B97F4A7C15)
     return mix(total)
 
 
-def worker_cache(key: str, build: Callable[[], object], keep: int = 4) -> object:
-    """What ``build`` makes, kept in the worker process for later tasks of the same job."""
+def worker_cache(key: str, build: Callable[[], object], keep: int = 1) -> object:
+    """What ``build`` makes, kept in the worker process for later tasks of the same job; what was kept before goes."""
     store = sys.modules.setdefault("_hiresift_worker_cache", types.ModuleType("_hiresift_worker_cache")).__dict__
     held = store.setdefault("held", {})
     if key not in held:

@@ -42,6 +42,7 @@ HELD_OUT = 2  # of crc32(doc_id) mod 4
 UNKNOWN = "und"
 START = b"\n" * ORDER  # what stands before a document
 SLICE = 1 << 20
+PART = 1024
 
 
 # --- counting -----------------------------------------------------------------------------
@@ -153,15 +154,18 @@ class Tables:
             last = self.symbol[grams & 255]
             two = self.symbol[grams >> 16 & 255] * a + self.symbol[grams >> 8 & 255]
             one = self.symbol[grams >> 8 & 255]
-            c3, c2, c1, c0 = (np.zeros((m, a), np.int64) for m in (len(contexts) + 1, a * a, a, 1))
+            c3, c2, c1, c0 = (np.zeros((m, a), np.int32) for m in (len(contexts) + 1, a * a, a, 1))
             for table, at in ((c3, self.row[self._context(grams)]), (c2, two), (c1, one), (c0, 0)):
-                np.add.at(table, (at, last), n)
-            pair = np.arange(a * a)
-            zero = np.zeros(a * a, np.int64)
+                np.add.at(table, (at, last), n.astype(np.int32))
             unseen = 256 - len(seen)
-            self.short[:, :, i] = code_lengths([c2, c1[pair % a], c0[zero]], unseen)
-            inner = contexts % (a * a)
-            self.long[1:, :, i] = code_lengths([c3[1:], c2[inner], c1[inner % a], c0[np.zeros(len(inner), np.int64)]], unseen)
+            for begin in range(0, a * a, PART):  # in parts, as a worker shares its memory
+                pair = np.arange(begin, min(begin + PART, a * a))
+                self.short[pair, :, i] = code_lengths([c2[pair], c1[pair % a], c0[0 * pair]], unseen)
+            for begin in range(0, len(contexts), PART):
+                row = np.arange(begin, min(begin + PART, len(contexts)))
+                inner = contexts[row] % (a * a)
+                counts = [c3[1 + row], c2[inner], c1[inner % a], c0[0 * row]]
+                self.long[1 + row, :, i] = code_lengths(counts, unseen)
 
     def _context(self, grams: np.ndarray) -> np.ndarray:
         s, a = self.symbol, self.a
@@ -188,7 +192,7 @@ def total_bits(tables: Tables, texts: list[str | None]) -> np.ndarray:
     some = np.flatnonzero(sizes)
     if len(some):
         begins = (np.cumsum(sizes) - sizes)[some]
-        out[some] = np.add.reduceat(tables.bits(grams).astype(np.float64), begins, axis=0)
+        out[some] = np.add.reduceat(tables.bits(grams), begins, axis=0, dtype=np.float64)
     return out
 
 
