@@ -9,8 +9,11 @@ ends cycles such as data that inflates to itself; without new layers the fixpoin
 
 Defined cases: a null text is an empty one and stays null when secrets are masked.  Rows are
 judged one by one, so repeated rows get equal results.  Escapes that are no valid UTF-8 and
-base64 that is no printable text or known compression make no layer.  A layer may inflate to
-``MAX_INFLATED`` bytes; this guards memory, and larger layers stay closed.
+base64 that is no printable text or known compression make no layer.  Compressed data is
+inflated block by block, all its members, however large; the readable stretches are searched
+in pieces cut where nothing that is sought can cross.  Only where ``MAX_RUN`` characters have no
+such place, pieces overlap by ``BLOCK`` instead; compressed data that is longer than that and
+encoded in such a run is not opened.  A member that is damaged or cut off is not searched.
 """
 
 from __future__ import annotations
@@ -18,11 +21,13 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +35,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hiresift.llm.common import add_columns
 
-MAX_INFLATED = 1 << 26
+BLOCK = 1 << 20  # of inflated data
+FEED = 1 << 16  # of compressed data
+MAX_RUN = 1 << 26
 KINDS = ["assign", "access", "hex"]
 MASK = "[SECRET]"
 
@@ -43,6 +50,18 @@ HINTS = re.compile(r"(?i:passw|secret|token|api_?key)", re.ASCII)
 URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2})|u\{([0-9A-Fa-f]{1,6})\})")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: How compressed data begins.
+MAGICS = {
+    "zlib": re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]"),
+    "bzip2": re.compile(rb"BZh"),
+    "xz": re.compile(rb"\xfd7zXZ\x00"),
+    "zstd": re.compile(rb"\x28\xb5\x2f\xfd"),
+}
+HEAD = 6
+#: A stretch of readable text that may hold a secret; the shortest is like ``token=abcdef``.
+STRETCH = re.compile(r"[^\x00-\x08\x0e-\x1f\x7f\udc80-\udcff]{12,}")
+#: No find, escape or run, in the text or in what is decoded from it, crosses the end of one of these.
+BARRIER = re.compile(r"[^A-Za-z0-9+/_.=:\"'\x20\t\r\n%\\{}-]|\n\n|(?<=[G-Zg-z])\x20(?=[A-Za-z0-9])")
 CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 
 
@@ -78,30 +97,138 @@ class Layer:
         return (hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *place)
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """The content of whole gzip, zlib, bzip2, xz or zstandard data; None if it is none of them."""
-    if data[:2] in (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda"):
-        reader = zlib.decompressobj(47)
-    elif data[:3] == b"BZh":
-        reader = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        reader = lzma.LZMADecompressor(memlimit=MAX_INFLATED)
-    elif data[:4] == b"\x28\xb5\x2f\xfd":
-        import zstandard
-
-        try:
-            with zstandard.ZstdDecompressor().stream_reader(data) as stream:
-                inner = stream.read(MAX_INFLATED + 1)
-        except zstandard.ZstdError:
+class _Reader:
+    """One member of compressed data; ``step`` gives some of its content and the input not used yet."""
+
+    def __init__(self, head: bytes):
+        self.kind = next(k for k, magic in MAGICS.items() if magic.match(head))
+        if self.kind == "zstd":
+            import zstandard
+
+            self.reader = zstandard.ZstdDecompressor(max_window_size=1 << 31).decompressobj()
+            self.errors: tuple = (zstandard.ZstdError,)
+        else:
+            make = {"zlib": lambda: zlib.decompressobj(47), "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}
+            self.reader = make[self.kind]()
+            self.errors = (zlib.error, OSError, EOFError, lzma.LZMAError)
+
+    def step(self, data: bytes) -> tuple[bytes, bytes]:
+        if self.kind == "zlib":
+            out = self.reader.decompress(data, BLOCK)
+            return out, self.reader.unused_data if self.reader.eof else self.reader.unconsumed_tail
+        if self.kind == "zstd":  # has no bound for its output, so it gets little input at a time
+            given, rest = data[:256], data[256:]
+            out = self.reader.decompress(given)
+        else:
+            given, rest = (data, b"") if self.reader.needs_input else (b"", data)
+            out = self.reader.decompress(given, BLOCK)
+        return out, self.reader.unused_data + rest if self.reader.eof else rest
+
+
+class _Members:
+    """Content of compressed data that comes in blocks, member after member, in blocks again.
+
+    ``used`` input bytes and ``whole`` content bytes end with the last whole member; ``key`` tells
+    that content.  What comes after (damaged, cut off or something else) is no content.
+    """
+
+    def __init__(self, blocks: Iterable[bytes]):
+        self.blocks, self.used, self.whole, self.key = blocks, 0, 0, None
+
+    def __iter__(self) -> Iterator[bytes]:
+        blocks, held, pulled, made = iter(self.blocks), b"", 0, 0
+        digest = hashlib.blake2b(digest_size=16)
+        while True:
+            while len(held) < HEAD and (block := next(blocks, None)) is not None:
+                pulled += len(block)
+                held += block
+                if self.key is not None:
+                    held = held.lstrip(b"\0")  # padding between members
+            if not any(magic.match(held) for magic in MAGICS.values()):
+                return
+            member = _Reader(held)
+            try:
+                while not member.reader.eof:
+                    if not held and (block := next(blocks, None)) is not None:
+                        pulled += len(block)
+                        held = block
+                    none_left = not held
+                    out, held = member.step(held)
+                    if out:
+                        digest.update(out)
+                        made += len(out)
+                        yield out
+                    elif none_left and not member.reader.eof:
+                        return
+            except member.errors:
+                return
+            self.used, self.whole, self.key = pulled - len(held), made, digest.digest()
+            held = held.lstrip(b"\0")
+
+
+def _first(blocks: Iterable[bytes], size: int) -> Iterator[bytes]:
+    for block in blocks:
+        yield block[:size]
+        size -= len(block)
+        if size <= 0:
+            return
+
+
+def _content(data: bytes, begin: int, wholes: list[int]) -> Iterator[bytes]:
+    """The data from ``begin``, inflated once for each of ``wholes``, the bytes of content there."""
+    blocks: Iterator[bytes] = (data[i : i + FEED] for i in range(begin, len(data), FEED))
+    for whole in wholes:
+        blocks = _first(_Members(blocks), whole)
+    return blocks
+
+
+def _inflate(data: bytes, begin: int = 0) -> tuple[int, list[int]] | None:
+    """Where the compressed data at ``begin`` ends, and the content of every layer of it that opens.
+
+    Nothing is kept: deeper layers are reached by inflating again.  None if the data is not
+    compressed, not whole, or comes to itself, at once or over others.
+    """
+    used, wholes, seen = 0, [], set()
+    while True:
+        level = _Members(_content(data, begin, wholes))
+        for _ in level:
+            pass
+        if level.key is None:
+            return (used, wholes) if wholes else None
+        if level.key in seen:
             return None
-        return inner if len(inner) <= MAX_INFLATED else None
-    else:
-        return None
-    try:
-        inner = reader.decompress(data, MAX_INFLATED)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError):  # damaged data opens no layer
-        return None
-    return inner if reader.eof else None
+        seen.add(level.key)
+        used = used or begin + level.used
+        wholes.append(level.whole)
+
+
+def _last_barrier(text: str, begin: int) -> int:
+    """Where the last barrier from ``begin`` on ends; 0 without any."""
+    for at in (max(begin, len(text) - 4096), begin):
+        if last := max((m.end() for m in BARRIER.finditer(text, at)), default=0):
+            return last
+    return 0
+
+
+def _texts(blocks: Iterable[bytes]) -> Iterator[str]:
+    """The readable stretches of data in blocks, in pieces that no find and no run crosses."""
+    decode = codecs.getincrementaldecoder("utf-8")("surrogateescape").decode
+    tail, looked = "", 0
+    for block in itertools.chain(blocks, [None]):
+        tail += decode(block or b"", block is None)
+        if block is not None and len(tail) - looked < BLOCK:
+            continue
+        cut = len(tail) if block is None else _last_barrier(tail, max(0, looked - 1))
+        looked = len(tail)
+        if not cut and looked >= MAX_RUN:
+            yield from STRETCH.findall(tail)
+            tail = tail[-BLOCK:]
+        elif cut:
+            yield from STRETCH.findall(tail[:cut])
+            tail = tail[cut:]
+        else:
+            continue
+        looked = len(tail)
 
 
 def _readable(data: bytes) -> str | None:
@@ -112,20 +239,10 @@ def _readable(data: bytes) -> str | None:
     return None if not text or CONTROL.search(text) else text
 
 
-def _opened(layer: Layer, begin: int, end: int, data: bytes) -> Layer | None:
-    """The layer of compressed data that stands between begin and end."""
-    inner, seen = _inflate(data), set()
-    while inner is not None and (more := _inflate(inner)) is not None:
-        key = hashlib.blake2b(inner, digest_size=16).digest()
-        if key in seen:  # data that inflates to itself, at once or over others
-            return None
-        seen.add(key)
-        inner = more
-    text = None if inner is None else _readable(inner)
-    if text is None:
-        return None
-    at = layer.place(begin, end)
-    return Layer(text, np.full(len(text), at[0]), np.full(len(text), at[1]))
+def _opened(data: bytes, wholes: list[int], at: tuple[int, int]) -> Iterator[Layer]:
+    """The layers of compressed data that stands at a place of the document, one after the other."""
+    for text in _texts(_content(data, 0, wholes)):
+        yield Layer(text, np.broadcast_to(at[0], len(text)), np.broadcast_to(at[1], len(text)))
 
 
 def _replaced(layer: Layer, pieces: list[tuple[int, int, str, int]]) -> Layer:
@@ -149,8 +266,9 @@ def _url_layers(layer: Layer) -> Iterator[Layer]:
     pieces = []
     for m in URL_RUN.finditer(layer.text):
         data = bytes.fromhex(m[0].replace("%", ""))
-        if (opened := _opened(layer, m.start(), m.end(), data)) is not None:
-            yield opened
+        if (opened := _inflate(data)) is not None:
+            end = m.start() + 3 * opened[0]
+            yield from _opened(data, opened[1], layer.place(m.start(), end))
         at = m.start()
         for char in data.decode("utf-8", "surrogateescape"):
             if 0xDC80 <= ord(char) <= 0xDCFF:
@@ -189,8 +307,8 @@ def _base64_layers(layer: Layer) -> Iterator[Layer]:
             data = base64.b64decode(body + "=" * (-len(body) % 4))
         except binascii.Error:
             continue
-        if (opened := _opened(layer, m.start(), m.end(), data)) is not None:
-            yield opened
+        if (opened := _inflate(data)) is not None:
+            yield from _opened(data, opened[1], layer.place(m.start(), m.end()))
         elif (text := _readable(data)) is not None:
             starts, ends = layer.source(m.start(), m.end())
             sizes = np.array([len(c.encode()) for c in text])
@@ -199,23 +317,29 @@ def _base64_layers(layer: Layer) -> Iterator[Layer]:
             yield Layer(text, starts[first // 3 * 4], ends[np.minimum((last - 1) // 3 * 4 + 3, len(ends) - 1)])
 
 
+def _inner_layers(layer: Layer) -> Iterator[Layer]:
+    for make in (_url_layers, _unicode_layers, _base64_layers):
+        yield from make(layer)
+
+
 def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Plain finds, and all finds with those inside decoded layers, both sorted."""
     text = text or ""
     plain = find_plain(text)
-    found, seen, work = set(plain), set(), [Layer(text)]
-    while work:
-        layer = work.pop()
-        for make in (_url_layers, _unicode_layers, _base64_layers):
-            for inner in make(layer):
-                key = inner.key()
-                if key in seen:
-                    continue
-                seen.add(key)
-                work.append(inner)
-                for start, kind, end in find_plain(inner.text):
-                    begin, stop = inner.place(start, end)
-                    found.add((begin, kind, stop))
+    found, seen, work = set(plain), set(), [_inner_layers(Layer(text))]
+    while work:  # the layers of the last one first, so that an inflated stream is never held whole
+        inner = next(work[-1], None)
+        if inner is None:
+            work.pop()
+            continue
+        key = inner.key()
+        if key in seen:
+            continue
+        seen.add(key)
+        work.append(_inner_layers(inner))
+        for start, kind, end in find_plain(inner.text):
+            begin, stop = inner.place(start, end)
+            found.add((begin, kind, stop))
     return plain, sorted(found)
 
 

@@ -255,6 +255,27 @@ def test_hidden_secrets_are_mapped_to_their_place(name):
     assert secret_scan.MASK in secret_scan.masked(text, found)
 
 
+def test_all_members_of_large_compressed_data_are_searched():
+    import bz2
+    import lzma
+
+    import zstandard
+
+    # across the edge of a block, in a run without one, and behind what was the bound of a layer
+    across = gzip.compress(b"lorem ipsum, " * 80_659 + SECRET.encode() + b" ipsum" * 200_000)
+    run = gzip.compress(b"Q" * (3 << 20) + SECRET.encode())
+    late = gzip.compress(bytes(1 << 26) + b"lorem ipsum, " + SECRET.encode(), 1)
+    made = [across, run, late, gzip.compress(gzip.compress(late)), lzma.compress(SECRET.encode(), preset=9)]
+    for compress in (gzip.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress):
+        made.append(compress(b"first") + compress(b"second") + compress(SECRET.encode()) + b"rest")
+    made.append(gzip.compress(b"\x00\xff binary \x01" + SECRET.encode()))
+    for data in made:
+        text = f"x {base64.b64encode(data).decode()} y"
+        assert [f[1] for f in secret_scan.find_secrets(text)[1]] == [0]
+    cut = base64.b64encode(gzip.compress(b"first") + gzip.compress(SECRET.encode())[:-9]).decode()
+    assert secret_scan.find_secrets(cut)[1] == []
+
+
 def test_plain_secrets_equal_the_stated_patterns():
     r = random.Random(7)
     parts = ["password", "PassWD", "secret", "token", "api_key", "ApiKey", "=", ":", " ", '"', "'", "abc", "abcdef", "ſecret", "AKIA", "0A" * 8, "0a" * 12, "é", "\n"]
