@@ -3,13 +3,15 @@
 A worklist holds layers, each a text with the place in the document that every one of its
 characters came from.  The document is the first layer.  From each layer further ones are
 made: URL escapes decoded, Unicode escapes decoded, every base64 run decoded, compressed
-data inflated.  Every layer is searched for secrets; a find is reported at the place in the
+data inflated.  A base64 run may be wrapped (single line breaks, indentation) and may be glued to
+other characters of its alphabet: it is decoded from each of its first four characters, each line
+also by itself, and the readable stretches and compressed data anywhere inside are taken.  Every layer is searched for secrets; a find is reported at the place in the
 document.  Layers seen before (same text from the same place) are not taken up again, which
 ends cycles such as data that inflates to itself; without new layers the fixpoint is reached.
 
 Defined cases: a null text is an empty one and stays null when secrets are masked.  Rows are
 judged one by one, so repeated rows get equal results.  Escapes that are no valid UTF-8 and
-base64 that is no printable text or known compression make no layer.  Compressed data is
+stretches of less than twelve characters, too short for any secret, make no layer.  Compressed data is
 inflated block by block, all its members, however large; the readable stretches are searched
 in pieces cut where nothing that is sought can cross.  Only where ``MAX_RUN`` characters have no
 such place, pieces overlap by ``BLOCK`` instead; compressed data that is longer than that and
@@ -18,7 +20,6 @@ encoded in such a run is not opened.  A member that is damaged or cut off is not
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import codecs
@@ -49,7 +50,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 HINTS = re.compile(r"(?i:passw|secret|token|api_?key)", re.ASCII)
 URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2})|u\{([0-9A-Fa-f]{1,6})\})")
+SHORTEST = 16
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs that go on after single line breaks.
+BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+STANDARD = bytes.maketrans(b"-_", b"+/")
 #: How compressed data begins.
 MAGICS = {
     "zlib": re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]"),
@@ -58,11 +63,11 @@ MAGICS = {
     "zstd": re.compile(rb"\x28\xb5\x2f\xfd"),
 }
 HEAD = 6
+ANY_MAGIC = re.compile(b"|".join(m.pattern for m in MAGICS.values()))
 #: A stretch of readable text that may hold a secret; the shortest is like ``token=abcdef``.
 STRETCH = re.compile(r"[^\x00-\x08\x0e-\x1f\x7f\udc80-\udcff]{12,}")
 #: No find, escape or run, in the text or in what is decoded from it, crosses the end of one of these.
 BARRIER = re.compile(r"[^A-Za-z0-9+/_.=:\"'\x20\t\r\n%\\{}-]|\n\n|(?<=[G-Zg-z])\x20(?=[A-Za-z0-9])")
-CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 
 
 def find_plain(text: str) -> list[tuple[int, int, int]]:
@@ -231,14 +236,6 @@ def _texts(blocks: Iterable[bytes]) -> Iterator[str]:
         looked = len(tail)
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return None if not text or CONTROL.search(text) else text
-
-
 def _opened(data: bytes, wholes: list[int], at: tuple[int, int]) -> Iterator[Layer]:
     """The layers of compressed data that stands at a place of the document, one after the other."""
     for text in _texts(_content(data, 0, wholes)):
@@ -299,22 +296,45 @@ def _unicode_layers(layer: Layer) -> Iterator[Layer]:
 
 
 def _base64_layers(layer: Layer) -> Iterator[Layer]:
-    for m in BASE64_RUN.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            body = body[:-1]
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4))
-        except binascii.Error:
+    """What each run decodes to, whichever of its first four characters the base64 begins with."""
+    for m in itertools.chain(BASE64_RUN.finditer(layer.text), BASE64_LINES.finditer(layer.text)):
+        chars = np.frombuffer(m[0].encode(), np.uint8)
+        within = np.flatnonzero(chars > 32)  # without breaks and indentation
+        if len(within) < SHORTEST:
             continue
-        if (opened := _inflate(data)) is not None:
-            yield from _opened(data, opened[1], layer.place(m.start(), m.end()))
-        elif (text := _readable(data)) is not None:
-            starts, ends = layer.source(m.start(), m.end())
-            sizes = np.array([len(c.encode()) for c in text])
-            last = np.cumsum(sizes)
-            first = last - sizes
-            yield Layer(text, starts[first // 3 * 4], ends[np.minimum((last - 1) // 3 * 4 + 3, len(ends) - 1)])
+        if layer.starts is None:
+            starts = within + m.start()
+            ends = starts + 1
+        else:
+            starts, ends = layer.starts[within + m.start()], layer.ends[within + m.start()]
+        body = chars[within].tobytes().rstrip(b"=").translate(STANDARD)
+        for skip in range(4):
+            part = body[skip:]
+            if len(part) % 4 == 1:
+                part = part[:-1]
+            data = binascii.a2b_base64(part + b"=" * (-len(part) % 4))
+            yield from _data_layers(data, starts[skip:], ends[skip:])
+
+
+def _data_layers(data: bytes, starts: np.ndarray, ends: np.ndarray) -> Iterator[Layer]:
+    """Compressed data that begins anywhere in decoded base64, and the readable stretches."""
+    last_end, left, at = len(ends) - 1, bytearray(data), 0
+    while (magic := ANY_MAGIC.search(data, at)) is not None:
+        at = magic.start() + 1
+        if (opened := _inflate(data, magic.start())) is not None:
+            begin, at = magic.start(), opened[0]
+            until = last_end if at == len(data) else (at - 1) // 3 * 4 + 3
+            place = int(starts[begin // 3 * 4 : until + 1].min()), int(ends[begin // 3 * 4 : until + 1].max())
+            yield from _opened(data[begin:at], opened[1], place)
+            left[begin:at] = bytes(at - begin)  # what is opened isn't read as text too
+    text, char, byte = left.decode("utf-8", "surrogateescape"), 0, 0
+    for m in STRETCH.finditer(text):
+        byte += len(text[char : m.start()].encode("utf-8", "surrogateescape"))
+        sizes = np.array([len(c.encode()) for c in m[0]])
+        last = byte + np.cumsum(sizes)
+        first = last - sizes
+        yield Layer(m[0], starts[first // 3 * 4], ends[np.minimum((last - 1) // 3 * 4 + 3, last_end)])
+        char, byte = m.end(), int(last[-1])
 
 
 def _inner_layers(layer: Layer) -> Iterator[Layer]:

@@ -255,6 +255,32 @@ def test_hidden_secrets_are_mapped_to_their_place(name):
     assert secret_scan.MASK in secret_scan.masked(text, found)
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  \t"])
+def test_wrapped_base64_is_joined(end):
+    r = random.Random(5)
+    lead = "".join(r.choice("abcdefgh ,") for _ in range(100))
+    for data in (f"{lead} {SECRET} {lead}".encode(), gzip.compress(f"{lead} {SECRET}".encode()), zlib.compress(f"{SECRET} {lead}".encode())):
+        code = base64.b64encode(data).decode()
+        for width in (8, 64, 76):
+            wrapped = end.join(code[i : i + width] for i in range(0, len(code), width))
+            text = f"é: {wrapped}\n\nend"
+            found = secret_scan.find_secrets(text)[1]
+            assert (0 in {k for _, k, _ in found}) and all(3 <= s < e <= 4 + len(wrapped) for s, _, e in found)
+            if data[:2] == lead.encode()[:2]:
+                plain = data.index(SECRET.encode())
+                at = [j for j in range(3, len(text)) if not text[j].isspace()]
+                assert (at[plain // 3 * 4], 0, at[(plain + len(SECRET) - 1) // 3 * 4 + 3] + 1) in found
+
+
+@pytest.mark.parametrize("before", ["/v1/", "example/v1/", "key_", "a-", "ab", "abc"])
+def test_glued_base64_is_decoded(before):
+    for data in (SECRET.encode(), gzip.compress(SECRET.encode()), b"\xff\x00" + SECRET.encode() + b"\x01\xfe"):
+        text = f"x {before}{base64.b64encode(data).decode()} y"
+        found = secret_scan.find_secrets(text)[1]
+        assert found and all(s >= len(before) + 2 - 3 and e <= len(text) - 2 for s, _, e in found)
+        assert secret_scan.MASK in secret_scan.masked(text, found)
+
+
 def test_all_members_of_large_compressed_data_are_searched():
     import bz2
     import lzma
