@@ -20,8 +20,6 @@ from hiresift.llm import language_id, line_dedup, ngram_join, packing, secret_sc
 from hiresift.sources.tables import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document that costs this many bits a byte in every language is text in none.
-MOST_BITS = 8.0
 
 
 def _documents(df: DataFrame) -> DataFrame:
@@ -30,10 +28,9 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents of unknown language; a missing lang is filled with the prediction."""
+    """Without documents that language ID rejects (``und``); a missing lang is filled with the prediction."""
     judged = language_id.identify(docs.select(*COLUMNS), language_id.learn(docs))
-    known = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("bits_per_byte") < MOST_BITS)
-    return judged.where(known).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    return judged.where(F.col("lang_pred") != language_id.UNKNOWN).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,6 +69,14 @@ def test_stages_take_effect_in_order(spark, documents):
         assert ids == [*t.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_language_stage_drops_only_what_language_id_rejects(spark, documents):
+    encoded = "".join(f"%{b:02X}" for b in SECRET.encode())
+    clean = ["Это чистый русский текст", "Καλημέρα κόσμε", "你好世界", "xq", "Zaß", f"baba {encoded}", "baba 你好 gaga мир"]
+    rows = [*pipeline_rows()[:80], *((400 + i, t, None) for i, t in enumerate(clean)), (500, "12 + 34", None)]
+    kept = {r.doc_id for r in corpus_pipeline.by_language(spark, documents(rows), "").collect()}
+    assert kept == {d for d, _, _ in rows if d != 500}
+
+
 def test_stages_of_nothing(spark, documents):
     docs = documents([])
     for _, stage in corpus_pipeline.STAGES:
