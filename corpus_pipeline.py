@@ -20,6 +20,8 @@ from hiresift.llm import language_id, line_dedup, ngram_join, packing, secret_sc
 from hiresift.sources.tables import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def _documents(df: DataFrame) -> DataFrame:
@@ -41,7 +43,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of linked documents."""
-    grouped = ngram_join.join_ngrams(docs.select(*COLUMNS))
+    grouped = ngram_join.join_ngrams(docs.select(*COLUMNS), size=NEAR_WORDS, percent=NEAR_PERCENT)
     return grouped.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(*COLUMNS)
 
 

@@ -1,6 +1,6 @@
 """N-gram Jaccard self-join, size aware: subsets for light sets, inverted lists for heavy ones.
 
-A document's set are its distinct word 4-shingles, as 64-bit hashes.  Equal sets are one node
+A document's set are its distinct word shingles (``size`` words, four in op9), as 64-bit hashes.  Equal sets are one node
 from the start, so copies cost nothing afterwards.
 
 Light sets (at most ``boundary`` shingles).  Two of them link exactly if they share a subset
@@ -9,7 +9,7 @@ sets that list the same one meet.  Among the sets of a subset, all that link at
 the smallest; that star is the output.
 
 Heavy sets, and light ones against heavy ones.  A set of n shingles can miss at most
-t = n - ceil(0.85 n) in a partner, so among any t + 1 of its shingles is one that the partner
+t = n - ceil(s n) in a partner (s the share ``percent``, 85 in op9), so among any t + 1 of its shingles is one that the partner
 has too.  The inverted lists hold, for a fixed quarter of all shingles, the t + 1 of each set
 that are rarest in the corpus; sets in which the quarter falls short of t + 1 meet each other
 in lists over all their shingles.  Shingles of one set alone open no list, so most sets are in
@@ -69,14 +69,14 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(gram_hashes(hashes, min(size, len(hashes))) + np.uint64(min(size, len(hashes))))
 
 
-def may_miss(n):
+def may_miss(n, percent: int = PERCENT):
     """How many of n shingles a partner may lack."""
-    return n - -(-PERCENT * n // 100)
+    return n - -(-percent * n // 100)
 
 
-def needed(total):
+def needed(total, percent: int = PERCENT):
     """Least intersection of two sets with ``total`` shingles together."""
-    return -(-PERCENT * total // (100 + PERCENT))
+    return -(-percent * total // (100 + percent))
 
 
 def parity(sets: np.ndarray) -> bytes:
@@ -90,11 +90,11 @@ def in_quarter(elems: np.ndarray) -> np.ndarray:
     return (elems >> np.uint64(40)) % np.uint64(QUARTER) == 0
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """_doc and _text (the row's name), sid, n_shingles, quarter, bitmap, and the set itself if it is light."""
 
     def compute(batch: pa.RecordBatch) -> list:
-        made = [shingles(t) for t in batch.column("text").to_pylist()]
+        made = [shingles(t, size) for t in batch.column("text").to_pylist()]
         return [
             [name_of(s) for s in made], [len(s) for s in made],
             [int(in_quarter(s).sum()) for s in made], [parity(s) if len(s) else b"" for s in made],
@@ -109,29 +109,29 @@ def name_of(elems: np.ndarray) -> int:
     return (xxhash.xxh3_128_intdigest(elems.tobytes()) & (1 << 64) - 1) - (1 << 63)
 
 
-def in_no_quarter(n, quarter):
-    return quarter <= may_miss(n)
+def in_no_quarter(n, quarter, percent: int = PERCENT):
+    return quarter <= may_miss(n, percent)
 
 
 # --- light sets ---------------------------------------------------------------------------
-def subsets_of(n: int) -> int:
-    return sum(comb(n, k) for k in range(may_miss(n) + 1))
+def subsets_of(n: int, percent: int = PERCENT) -> int:
+    return sum(comb(n, k) for k in range(may_miss(n, percent) + 1))
 
 
-def boundary_of(sizes: DataFrame) -> int:
+def boundary_of(sizes: DataFrame, percent: int = PERCENT) -> int:
     """The largest size up to which listing subsets costs no more than keeping inverted lists."""
     rows = sizes.where(F.col("n_shingles").between(1, LIGHT_MOST)).groupBy("n_shingles").agg(F.count(F.lit(1)).alias("sets"))
     count = {r["n_shingles"]: r["sets"] for r in rows.collect()}  # at most LIGHT_MOST rows
     best, lists, subsets = 0, 0.0, 0.0
     for n in range(1, LIGHT_MOST + 1):
-        subsets += SUBSET_COST * count.get(n, 0) * subsets_of(n)
+        subsets += SUBSET_COST * count.get(n, 0) * subsets_of(n, percent)
         lists += LIST_COST * count.get(n, 0) * n
         if subsets <= lists:
             best = n
     return best
 
 
-def light_subsets(classes: DataFrame, boundary: int) -> DataFrame:
+def light_subsets(classes: DataFrame, boundary: int, percent: int = PERCENT) -> DataFrame:
     """key, share (its size), n and sid of every subset that suffices for a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +140,7 @@ def light_subsets(classes: DataFrame, boundary: int) -> DataFrame:
             for light, sid in zip(batch.column("light").to_pylist(), batch.column("sid").to_pylist(), strict=True):
                 elems = mix(np.array(light, np.int64).view(np.uint64)).tolist()
                 n, total = len(elems), sum(elems)
-                for k in range(may_miss(n) + 1):
+                for k in range(may_miss(n, percent) + 1):
                     for out in itertools.combinations(elems, k):
                         rest = (total - sum(out)) % (1 << 64) - (1 << 63)
                         rows.append((rest, n - k, n, sid))
@@ -153,17 +153,17 @@ def light_subsets(classes: DataFrame, boundary: int) -> DataFrame:
     return few.select("sid", "light").mapInArrow(run, "key long, share long, n long, sid long")
 
 
-def light_links(subsets: DataFrame) -> DataFrame:
+def light_links(subsets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (u, v) of light sets: to the smallest set that has the same subset."""
     hub = F.min(F.struct("n", "sid")).over(W.partitionBy("key", "share"))
-    fits = 100 * F.col("share") >= PERCENT * (F.col("n") + F.col("hub.n") - F.col("share"))
+    fits = 100 * F.col("share") >= percent * (F.col("n") + F.col("hub.n") - F.col("share"))
     return subsets.withColumn("hub", hub).where(fits & (F.col("sid") != F.col("hub.sid"))).select(
         F.col("sid").alias("u"), F.col("hub.sid").alias("v")
     )
 
 
 # --- inverted lists -----------------------------------------------------------------------
-def postings(docs: DataFrame, least: int) -> DataFrame:
+def postings(docs: DataFrame, least: int, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """scope 1: the quarter's shingles of every set of at least ``least``; scope 0: all, where the quarter is too small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,14 +171,14 @@ def postings(docs: DataFrame, least: int) -> DataFrame:
             for part in slices(batch, "text"):
                 made, seen = [], set()
                 for text in part.column("text").to_pylist():
-                    elems = shingles(text)
+                    elems = shingles(text, size)
                     sid = name_of(elems)
                     if len(elems) < least or sid in seen:
                         continue
                     seen.add(sid)
                     some = elems[in_quarter(elems)]
                     made.append((1, some, sid))
-                    if in_no_quarter(len(elems), len(some)):
+                    if in_no_quarter(len(elems), len(some), percent):
                         made.append((0, elems, sid))
                 if made:
                     sizes = [len(e) for _, e, _ in made]
@@ -209,19 +209,19 @@ def shared_postings(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
     return found.unionByName(common.join(counted, ["scope", "elem"]).select("scope", "elem", "sid", "df"))
 
 
-def common_shingles(docs: DataFrame, least: int, rows_per_salt: int) -> DataFrame:
+def common_shingles(docs: DataFrame, least: int, rows_per_salt: int, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Shingles estimated to be in more than rows_per_salt rows; decides only how they are processed."""
     every = min(SAMPLED, max(1, rows_per_salt // 4))
     part = docs.where(F.pmod(F.xxhash64("_doc"), F.lit(every)) == 0)
-    n = postings(part, least).groupBy("elem").agg(F.count(F.lit(1)).alias("n"))
+    n = postings(part, least, size, percent).groupBy("elem").agg(F.count(F.lit(1)).alias("n"))
     return n.where(F.col("n") * every > rows_per_salt).select("elem")
 
 
-def prefixes(shared: DataFrame, classes: DataFrame) -> DataFrame:
+def prefixes(shared: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """scope, elem, sid: the rarest shingles of each set, as many as a partner can't miss all of."""
     n, quarter = F.col("n_shingles"), F.col("quarter")
     posted = F.when(F.col("scope") == 0, n).otherwise(quarter)
-    missing = n - F.ceil(PERCENT * n / 100)
+    missing = n - F.ceil(percent * n / 100)
     per_set = shared.groupBy("scope", "sid").agg(F.collect_set(F.struct("df", "elem")).alias("own"))
     take = missing + 1 - (posted - F.size("own"))
     return (
@@ -243,7 +243,7 @@ def _folded(bitmaps: list[bytes], bits: int) -> np.ndarray:
     return out
 
 
-def close_pairs(n: np.ndarray, bitmaps: list[bytes], group: np.ndarray, side: np.ndarray | None) -> tuple[np.ndarray, ...]:
+def close_pairs(n: np.ndarray, bitmaps: list[bytes], group: np.ndarray, side: np.ndarray | None, percent: int = PERCENT) -> tuple[np.ndarray, ...]:
     """Pairs i < j (sets sorted by size) that the bitmaps and sizes allow, of different groups; and their distance.
 
     With ``side`` only pairs from one side to the other are of interest.
@@ -252,7 +252,7 @@ def close_pairs(n: np.ndarray, bitmaps: list[bytes], group: np.ndarray, side: np
     found = []
     for level in np.unique(bits):
         rows = np.flatnonzero(bits == level)
-        begin, end = rows[0], int(np.searchsorted(n, n[rows[-1]] * 100 // PERCENT, side="right"))
+        begin, end = rows[0], int(np.searchsorted(n, n[rows[-1]] * 100 // percent, side="right"))
         words = _folded(bitmaps[begin:end], int(level))
         chunk = max(1, (1 << 24) // max(1, words.nbytes))
         for at in range(0, len(rows), chunk):
@@ -260,8 +260,8 @@ def close_pairs(n: np.ndarray, bitmaps: list[bytes], group: np.ndarray, side: np
             distance = np.bitwise_count(words[some - begin][:, None, :] ^ words[None, :, :]).sum(axis=2, dtype=np.int64)
             other = np.arange(begin, end)
             total = n[some][:, None] + n[other][None, :]
-            ok = (other[None, :] > some[:, None]) & (100 * n[some][:, None] >= PERCENT * n[other][None, :])
-            ok &= (distance <= total - 2 * needed(total)) & (group[some][:, None] != group[other][None, :])
+            ok = (other[None, :] > some[:, None]) & (100 * n[some][:, None] >= percent * n[other][None, :])
+            ok &= (distance <= total - 2 * needed(total, percent)) & (group[some][:, None] != group[other][None, :])
             if side is not None:
                 ok &= side[some][:, None] != side[other][None, :]
             i, j = np.nonzero(ok)
@@ -290,7 +290,7 @@ def chosen(i: np.ndarray, j: np.ndarray, distance: np.ndarray, group: np.ndarray
     return take
 
 
-def small_pairs(n: np.ndarray, bitmaps: list[bytes], group: np.ndarray, side: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def small_pairs(n: np.ndarray, bitmaps: list[bytes], group: np.ndarray, side: np.ndarray, begin: np.ndarray, size: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """``close_pairs`` of many short lists at once, each from ``begin`` on ``size`` rows long."""
     first, second = [], []
     for k in np.unique(size):
@@ -299,7 +299,7 @@ def small_pairs(n: np.ndarray, bitmaps: list[bytes], group: np.ndarray, side: np
         first.append((at[:, None] + a).ravel())
         second.append((at[:, None] + b).ravel())
     i, j = np.concatenate(first), np.concatenate(second)
-    ok = (100 * n[i] >= PERCENT * n[j]) & (group[i] != group[j]) & (side[i] != side[j])
+    ok = (100 * n[i] >= percent * n[j]) & (group[i] != group[j]) & (side[i] != side[j])
     i, j = i[ok], j[ok]
     bits = np.fromiter((8 * len(b) for b in bitmaps), np.int64, len(bitmaps))
     keep = np.zeros(len(i), bool)
@@ -311,7 +311,7 @@ def small_pairs(n: np.ndarray, bitmaps: list[bytes], group: np.ndarray, side: np
             left, right = _folded([bitmaps[x] for x in i[some]], low), _folded([bitmaps[x] for x in j[some]], low)
             distance = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
             total = n[i[some]] + n[j[some]]
-            keep[some] = distance <= total - 2 * needed(total)
+            keep[some] = distance <= total - 2 * needed(total, percent)
     return i[keep], j[keep]
 
 
@@ -320,7 +320,7 @@ FOUND = "u long, v long, scope int, elem long, bi int, bj int"
 SHORT_LIST = 9  # such a list has at most four pairs a set, so it never holds any back
 
 
-def candidates(listed: DataFrame, wave: int) -> DataFrame:
+def candidates(listed: DataFrame, wave: int, percent: int = PERCENT) -> DataFrame:
     """(u, v) to compare; and the keys of lists that held pairs back, without u and v."""
 
     def result(u: np.ndarray, v: np.ndarray, cut: list[tuple]) -> pa.RecordBatch:
@@ -348,11 +348,11 @@ def candidates(listed: DataFrame, wave: int) -> DataFrame:
         few = (size > 1) & (size <= SHORT_LIST)
         u, v, cut = [], [], []
         if few.any():
-            i, j = small_pairs(n, bitmaps, group, side, begin[few], size[few])
+            i, j = small_pairs(n, bitmaps, group, side, begin[few], size[few], percent)
             u.append(sid[i]), v.append(sid[j])
         for b, k in zip(begin[size > SHORT_LIST].tolist(), size[size > SHORT_LIST].tolist(), strict=True):
             own = slice(b, b + k)
-            i, j, distance = close_pairs(n[own], bitmaps[own], group[own], side[own] if two[b] else None)
+            i, j, distance = close_pairs(n[own], bitmaps[own], group[own], side[own] if two[b] else None, percent)
             limit = 4 * k * 4**wave
             if len(i) > limit:
                 take = chosen(i, j, distance, group[own], n[own], limit)
@@ -396,15 +396,15 @@ def blocked(lists: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFra
     )
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The pairs whose texts' sets reach the threshold; exact."""
 
     def compute(batch: pa.RecordBatch) -> list:
         out = []
         for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            a, b = shingles(a), shingles(b)
+            a, b = shingles(a, size), shingles(b, size)
             both = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(100 * both >= PERCENT * (len(a) + len(b) - both))
+            out.append(100 * both >= percent * (len(a) + len(b) - both))
         return [out]
 
     named = pairs.join(texts.select(F.col("sid").alias("u"), F.col("text").alias("a")), "u")
@@ -412,7 +412,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return add_columns(named, compute, "linked boolean", sized_by="a", drop=["a", "b"]).where("linked").select("u", "v")
 
 
-def list_links(lists: DataFrame, classes: DataFrame, texts: DataFrame, links: DataFrame, block: int) -> DataFrame:
+def list_links(
+    lists: DataFrame, classes: DataFrame, texts: DataFrame, links: DataFrame, block: int,
+    size: int = SHINGLE, percent: int = PERCENT,
+) -> DataFrame:
     """All links that lists give, beyond those that follow from ``links`` and each other."""
     listed = materialize(blocked(lists, classes, block))
     wave = 0
@@ -422,8 +425,8 @@ def list_links(lists: DataFrame, classes: DataFrame, texts: DataFrame, links: Da
         else:
             known = components(links).select(F.col("node").alias("sid"), "component")
             here = listed.join(known, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-        found = materialize(candidates(here, wave))
-        new = verified(found.where("u is not null").select("u", "v").distinct(), texts)
+        found = materialize(candidates(here, wave, percent))
+        new = verified(found.where("u is not null").select("u", "v").distinct(), texts, size, percent)
         links = materialize(links.unionByName(new))
         cut = found.where("u is null").select(*BY)
         if cut.isEmpty():
@@ -432,12 +435,14 @@ def list_links(lists: DataFrame, classes: DataFrame, texts: DataFrame, links: Da
         wave += 1
 
 
-def join_ngrams(docs: DataFrame, rows_per_salt: int = ROWS_PER_SALT, block: int = BLOCK) -> DataFrame:
-    """``docs`` with n_shingles and component_id."""
+def join_ngrams(
+    docs: DataFrame, rows_per_salt: int = ROWS_PER_SALT, block: int = BLOCK, size: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
+    """``docs`` with n_shingles and component_id; sets of ``size``-word shingles link from ``percent`` on."""
     docs = docs.drop("n_shingles", "component_id").withColumns(
         {"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_text": F.xxhash64("text")}
     )
-    members = materialize(sets_of(docs))
+    members = materialize(sets_of(docs, size))
     classes = materialize(
         members.where("n_shingles > 0")
         .groupBy("sid")
@@ -446,17 +451,17 @@ def join_ngrams(docs: DataFrame, rows_per_salt: int = ROWS_PER_SALT, block: int
             F.first("quarter").alias("quarter"), F.first("bitmap").alias("bitmap"), F.first("light").alias("light"),
         )
     )
-    boundary = boundary_of(classes)
-    least = -(-PERCENT * (boundary + 1) // 100)  # a smaller light set has no heavy partner
-    links = materialize(light_links(light_subsets(classes, boundary)).distinct())
-    hot = materialize(common_shingles(docs, least, rows_per_salt))
+    boundary = boundary_of(classes, percent)
+    least = -(-percent * (boundary + 1) // 100)  # a smaller light set has no heavy partner
+    links = materialize(light_links(light_subsets(classes, boundary, percent), percent).distinct())
+    hot = materialize(common_shingles(docs, least, rows_per_salt, size, percent))
     hot = None if hot.isEmpty() else hot
-    lists = materialize(prefixes(shared_postings(postings(docs, least), hot), classes))
+    lists = materialize(prefixes(shared_postings(postings(docs, least, size, percent), hot), classes, percent))
     in_lists = lists.groupBy("scope", "elem").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi")
     lists = lists.join(in_lists.select("scope", "elem"), ["scope", "elem"])
     reps = lists.select("sid").distinct().join(classes.select("sid", "rep.*"), "sid")
     texts = materialize(docs.select("_doc", "_text", "text").join(reps, ["_doc", "_text"]).select("sid", "text").dropDuplicates(["sid"]))
-    links = list_links(lists, classes, texts, links, block)
+    links = list_links(lists, classes, texts, links, block, size, percent)
     groups = components(links)
     first = (
         classes.select("sid", F.col("rep._doc").alias("_low"))
@@ -479,4 +484,4 @@ def join_ngrams(docs: DataFrame, rows_per_salt: int = ROWS_PER_SALT, block: int
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return join_ngrams(docs).select("doc_id", "n_shingles", "component_id")
+    return join_ngrams(docs, size=SHINGLE, percent=PERCENT).select("doc_id", "n_shingles", "component_id")

@@ -77,6 +77,19 @@ def test_language_stage_drops_only_what_language_id_rejects(spark, documents):
     assert kept == {d for d, _, _ in rows if d != 500}
 
 
+def test_near_copies_from_five_words_and_four_fifths(spark, documents):
+    words = [f"w{i}" for i in range(84)]  # 80 shingles of five words
+    longer = {n: " ".join([*words, *(f"z{n}x{i}" for i in range(n))]) for n in (20, 21)}
+    few = [f"v{i}" for i in range(8)]  # light sets: 4 shingles against 5 and 6
+    rows = [
+        (1, " ".join(words)), (2, longer[20]),  # 80 of 100: linked
+        (3, " ".join(w.upper() + "q" for w in words)), (4, " ".join([*(w.upper() + "q" for w in words), *map(str, range(21))])),
+        (5, " ".join(few)), (6, " ".join([*few, "a"])), (7, " ".join(f"u{x}" for x in few)), (8, " ".join([*(f"u{x}" for x in few), "a", "b"])),
+    ]
+    kept = {r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, documents(rows), "").collect()}
+    assert kept == {1, 3, 4, 5, 7, 8}
+
+
 def test_stages_of_nothing(spark, documents):
     docs = documents([])
     for _, stage in corpus_pipeline.STAGES:
