@@ -14,7 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hiresift.functions.fixed_values import CHAT_APOLOGY
+from hiresift.functions.fixed_values import CHAT_APOLOGY, CHAT_SYSTEM_HEAD, CHAT_SYSTEM_TAIL
 from hiresift.functions.text import strip
 from hiresift.sources.tables import materialize
 
@@ -112,13 +112,15 @@ def answer_each(
 
     ``session_prompts(session_id, piece_no, system_prompt)`` is not copied into the rows: a
     task gets a piece once, ahead of the prompts it goes with, and holds one at a time.
-    ``salts`` tasks share a piece.  A session without pieces gets no answer.
+    ``salts`` tasks share a piece.  Prompts without a session, or of one without pieces, are
+    sent with the system text of an empty ranking.
     """
     by = ["session_id", "piece_no", "salt"]
     pieces = session_prompts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    asked = prompts.select("session_id", key, "prompt").join(
-        session_prompts.select("session_id", "piece_no"), "session_id"
+    placed = prompts.select("session_id", key, "prompt").join(
+        session_prompts.select("session_id", "piece_no"), "session_id", "left"
     )
+    asked = placed.where("piece_no is not null")
     asked = asked.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
     stream = pieces.unionByName(asked, allowMissingColumns=True).repartition(*by)
     stream = stream.sortWithinPartitions(*by, F.col("system_prompt").isNull())
@@ -137,9 +139,18 @@ def answer_each(
                 rows.append((r.session_id, getattr(r, key), r.piece_no, r.prompt, *_spoken(answerer, sent)))
             yield pd.DataFrame(rows, columns=["session_id", key, "part_no", "question", "answer", "error"])
 
-    return stream.select("session_id", "piece_no", key, "prompt", "system_prompt").mapInPandas(
+    answered = stream.select("session_id", "piece_no", key, "prompt", "system_prompt").mapInPandas(
         batches, f"session_id {own}, {key} {kind}, part_no bigint, question string, answer string, error string"
     )
+    messages = [
+        F.struct(F.lit("system").alias("role"), F.lit(f"{CHAT_SYSTEM_HEAD}{CHAT_SYSTEM_TAIL}").alias("content")),
+        F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")),
+    ]
+    alone = placed.where("piece_no is null").select(
+        F.col("session_id").cast("string"), key, F.lit(0).cast("bigint").alias("part_no"),  # a null would make numbers floats
+        F.col("prompt").alias("question"), F.array(*messages).alias("messages"),
+    )
+    return answered.unionByName(answer(alone, answerer).withColumn("session_id", F.col("session_id").cast(own)))
 
 
 def combined(parts: DataFrame, keys: list[str], answerer: Answerer, fan_in: int = ANSWERS_PER_REQUEST) -> DataFrame:

@@ -194,6 +194,24 @@ def test_partial_answers_are_combined_in_rounds(spark):
     assert all(r["error"] is None for r in got.values())
 
 
+def test_candidates_without_session_or_ranking_are_answered(spark):
+    pieces = prompts.system_prompts(ranking(spark, {0: 5}), per_piece=3)
+    rows = [(0, 1, "a"), (None, 2, "b"), (9, 3, "c"), (2**60 + 1, 4, "d")]
+    asked = spark.createDataFrame(rows, "session_id bigint, candidate_id bigint, prompt string")
+
+    def told(messages):
+        return f"{len(messages)}|{messages[0]['content']}|{messages[-1]['content']}"
+
+    parts = relevance.answer_each(asked, pieces, "candidate_id", told, salts=2)
+    got = {r["candidate_id"]: r for r in parts.where("candidate_id > 1").collect()}
+    empty = prompts.CHAT_SYSTEM_HEAD + prompts.CHAT_SYSTEM_TAIL
+    assert {c: (r["session_id"], r["part_no"], r["answer"]) for c, r in got.items()} == {
+        c: (s, 0, f"2|{empty}|{p}") for s, c, p in rows[1:]
+    }
+    whole = relevance.combined(parts, ["session_id", "candidate_id"], told)
+    assert sorted(r["candidate_id"] for r in whole.collect()) == [1, 2, 3, 4]
+
+
 def test_unreadable_pages_fall_back_without_harm_to_others(spark):
     from hiresift.operators import layout
 
