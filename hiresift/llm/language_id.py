@@ -12,8 +12,9 @@ for all others, rows for shorter contexts; scoring a batch is then two table loo
 for all languages together.
 
 Learning reads the counts of byte 4-grams of a sample of labelled documents: at most about
-``SAMPLE_BYTES`` bytes of text per language, drawn by a hash of the id (the same ones at every
-run).  Only these counts, whose number the sample bounds, come to the driver.
+``SAMPLE_BYTES`` bytes of text per language, in stretches of ``STRETCH`` bytes drawn by a hash of
+the id and the stretch's number (the same ones at every run), so that a few very long documents
+neither exceed the bound nor leave out the others.  Only these counts, whose number the sample bounds, come to the driver.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, and so is
 everything if nothing can be learned.  A null doc_id is neither held out nor learned from.
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hiresift.llm.common import add_columns, slices, worker_cache
+from hiresift.llm.common import add_columns, mix, slices, worker_cache
 from hiresift.operators.joins import lookup_join
 
 ORDER = 3
@@ -42,15 +43,21 @@ HELD_OUT = 2  # of crc32(doc_id) mod 4
 UNKNOWN = "und"
 START = b"\n" * ORDER  # what stands before a document
 SLICE = 1 << 20
+STRETCH = 4096
+SHARES = 1_000_000
 PART = 1024
 
 
 # --- counting -----------------------------------------------------------------------------
 def grams_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The gram (three bytes before, and the byte) at every byte of the texts; where each text begins."""
-    data = [(t or "").encode() for t in texts]
-    sizes = np.array([len(d) for d in data], np.int64)
-    raw = np.frombuffer(b"".join(START + d for d in data), np.uint8).astype(np.uint32)
+    return _grams_of([START + (t or "").encode() for t in texts])
+
+
+def _grams_of(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of bytes that each have the ``ORDER`` bytes before them in front."""
+    sizes = np.array([len(p) - ORDER for p in pieces], np.int64)
+    raw = np.frombuffer(b"".join(pieces), np.uint8).astype(np.uint32)
     if not len(raw):
         return np.zeros(0, np.uint32), sizes
     gram = raw.copy()
@@ -67,31 +74,38 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == HELD_OUT, F.lit(False))
 
 
+def drawn_stretches(text: str, seed: int, share: float) -> list[bytes]:
+    """The stretches of a text that are learned from, each with the bytes before it."""
+    data = START + text.encode()
+    number = np.arange(-(-(len(data) - ORDER) // STRETCH)).astype(np.uint64)
+    drawn = mix(number * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed % (1 << 64))) % np.uint64(SHARES) < share * SHARES
+    return [data[k * STRETCH : (k + 1) * STRETCH + ORDER] for k in np.flatnonzero(drawn).tolist()]
+
+
 def gram_counts(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """(lang, gram, n) over the learning sample; counted per batch before the shuffle."""
     learn = docs.select("doc_id", "text", "lang").where(
         F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    parts = 1_000_000
     per_lang = learn.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
     share = per_lang.select("lang", F.least(F.lit(1.0), sample_bytes / F.greatest("bytes", F.lit(1))).alias("share"))
-    drawn = lookup_join(learn, share, "lang", "doc_id").where(
-        F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(parts)) < F.col("share") * parts
-    )
+    drawn = lookup_join(learn, share, "lang", "doc_id").withColumn("seed", F.xxhash64(F.lit("language"), "doc_id"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                langs, texts = part.column("lang").to_pylist(), part.column("text").to_pylist()
-                for lang in sorted(set(langs)):
-                    gram, _ = grams_of([t for t, x in zip(texts, langs, strict=True) if x == lang])
+                pieces: dict[str, list[bytes]] = {}
+                for lang, *row in zip(*(part.column(c).to_pylist() for c in ("lang", "text", "seed", "share")), strict=True):
+                    pieces.setdefault(lang, []).extend(drawn_stretches(*row))
+                for lang in sorted(x for x in pieces if pieces[x]):
+                    gram, _ = _grams_of(pieces[lang])
                     grams, n = np.unique(gram, return_counts=True)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))],
                         names=["lang", "gram", "n"],
                     )
 
-    counted = drawn.select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
+    counted = drawn.select("lang", "text", "seed", "share").mapInArrow(count, "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 

@@ -1,6 +1,7 @@
 """Packing, language ID, the byte-pair codec, quality rules, secret scan, against brute force."""
 
 import base64
+import binascii
 import gzip
 import math
 import random
@@ -181,6 +182,21 @@ def test_learning_ignores_held_out_rows_and_may_find_nothing(spark, documents):
     assert few < 0.5 * language_id.gram_counts(documents(rows)).agg(F.sum("n")).first()[0]
 
 
+def test_a_long_document_does_not_thin_out_its_language(spark, documents):
+    short = [(4 * i, f"kurz {i} " * 100, "aa") for i in range(40)]
+    rows = [*short, (1000, "lang und laenger " * 400_000, "aa"), (1001, "andere " * 2000, "bb")]
+    rows = [r for r in rows if binascii.crc32(str(r[0]).encode()) % 4 != language_id.HELD_OUT] + [(7777, "z", "cc"), (7778, "z", "cc"), (7779, "z", "cc")]
+    bound = 400_000
+    n = {r["lang"]: r["n"] for r in language_id.gram_counts(documents(rows), bound).groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    sizes = {}
+    for _, t, lang in rows:
+        sizes[lang] = sizes.get(lang, 0) + len(t)
+    assert sizes["aa"] > 10 * bound and 0.5 * bound < n["aa"] < 1.5 * bound and n["bb"] == sizes["bb"]
+    assert "cc" in n
+    whole = language_id._grams_of(language_id.drawn_stretches("äb c" * 3000, 5, 1.0))[0]
+    assert (whole == language_id.grams_of(["äb c" * 3000])[0]).all()
+
+
 # --- quality rules ------------------------------------------------------------------------
 def brute_counts(text):
     text = text or ""
