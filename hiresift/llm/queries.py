@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hiresift.llm import bpe, conversation_repair, embedding_dedup, language_id, line_dedup, ngram_join, packing, quality, secret_scan, substring_dedup, tree_bpe, url_filter
+from hiresift.llm import bpe, conversation_repair, embedding_dedup, hard_negatives, language_id, line_dedup, ngram_join, packing, quality, secret_scan, substring_dedup, tree_bpe, url_filter
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,10 +28,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ngram_join.op9_ngram_join,
         url_filter.op10_url_filter,
         conversation_repair.op11_conversation_repair,
+        hard_negatives.op12_hard_negatives,
         tree_bpe.op13_tree_bpe,
     ]
     return {f.__name__: f for f in [*found, pipeline]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**substring_dedup.SQL, **line_dedup.SQL, **embedding_dedup.SQL, **url_filter.SQL, **conversation_repair.SQL}
+    return {**substring_dedup.SQL, **line_dedup.SQL, **embedding_dedup.SQL, **url_filter.SQL, **conversation_repair.SQL, **hard_negatives.SQL}

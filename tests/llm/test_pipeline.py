@@ -99,8 +99,8 @@ def test_stages_of_nothing(spark, documents):
 
 def test_registered_once_with_their_sql():
     names = [n for n in entry_points.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry_points.queries()
     assert {n for n in entry_points.oracle_sql() if n.startswith("op")} == {
-        "op1_substring_dedup", "op4_line_dedup", "op5_embedding_dedup", "op10_url_filter",
+        "op1_substring_dedup", "op4_line_dedup", "op5_embedding_dedup", "op10_url_filter", "op11_conversation_repair", "op12_hard_negatives",
     }
