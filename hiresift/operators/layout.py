@@ -33,6 +33,11 @@ _SORTED_WORDS = """sort_array(flatten(transform(coalesce(pages, array()), (page,
 Word = tuple[float, float, float, str]  # y, x0, x1, text
 
 
+def _unplaced(word: Column) -> Column:
+    """Whether a word lacks its text or a part of its place; then the whole document can't be laid out."""
+    return word["y"].isNull() | word["x0"].isNull() | word["x1"].isNull() | word["text"].isNull()
+
+
 def _lines(words: list[Word]) -> Iterator[list[Word]]:
     """Words in lines, top to bottom; a line reaches a tolerance below its first word."""
     line: list[Word] = []
@@ -78,10 +83,7 @@ def _laid_out(documents: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` and ``text``; NULL for a document whose words can't be placed, without harm to others."""
 
     def one(words: tuple) -> str | None:
-        try:
-            return "\n".join(_in_order(_lines(list(zip(*words)))))
-        except TypeError:  # a word without text or a place
-            return None
+        return None if words[0] is None else "\n".join(_in_order(_lines(list(zip(*words)))))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +91,9 @@ def _laid_out(documents: DataFrame, keep: list[str]) -> DataFrame:
             texts = [one(words) for words in zip(*columns)]
             yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, "text"])
 
-    words = documents.select(*keep, F.expr(_SORTED_WORDS).alias("words"))
+    words = documents.select(*keep, F.expr(_SORTED_WORDS).alias("words")).select(
+        *keep, F.when(~F.exists("words", _unplaced), F.col("words")).alias("words")
+    )
     fields = {"y": "y", "x0": "x0", "x1": "x1", "text": "word"}
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in documents.select(*keep).schema.fields)
     return words.select(*keep, *[F.col(f"words.{c}").alias(n) for c, n in fields.items()]).mapInArrow(

@@ -76,6 +76,20 @@ def test_documents_without_pages(spark):
     assert [r["text"] for r in layout.reading_order(df).collect()] == ["", ""]
 
 
+def test_words_without_a_place_or_text(spark):
+    """One lone word, or the last of a line, that lacks a field: the plain text is taken."""
+    whole = ("w", 1.0, 2.0, 3.0)
+    rows, want = [(0, [(100.0, [whole])], "plain")], {0: "w"}
+    for field in range(4):
+        broken = tuple(None if i == field else v for i, v in enumerate(whole))
+        for words in ([broken], [("a", 0.0, 0.5, 3.0), broken], [broken, ("z", 9.0, 10.0, 3.0)], [("up", 0.0, 1.0, 1.0), broken, ("down", 0.0, 1.0, 50.0)]):
+            rows.append((len(rows), [(100.0, words)], f"plain {len(rows)}"))
+            want[len(want)] = f"plain {len(want)}"
+    df = spark.createDataFrame(rows, f"id int, pages {PAGES}, plain string").selectExpr("cast(id as bigint) as doc_id", "pages", "plain as plain_text")
+    assert {r["doc_id"]: r["text"] for r in layout.extract_texts(df).collect()} == want
+    assert {r["doc_id"] for r in layout.reading_order(df).collect() if r["text"] is not None} == {0}
+
+
 def test_fallback(spark):
     rows = [(1, "laid out", "plain"), (2, " \n", "plain"), (3, None, "plain"), (4, None, None)]
     df = spark.createDataFrame(rows, "id int, a string, b string")
