@@ -17,12 +17,14 @@ No pairs are made: each step finds the first of a group.  Anchors that are estim
 in more than ``rows_per_salt`` documents take a way of their own (aggregates, merged before the
 shuffle, and a salted join); the others are sorted together.  Repeats inside one document
 are found in the document, so only the first seed of a class in it is moved.  Words are
-compared through 64-bit hashes, and windows by two of them.
+compared through 64-bit hashes, and windows by two of them; a row is named by its id and two
+64-bit hashes of its text.
 
 Defined cases: a null text has no words.  Texts under ``WINDOW`` words keep everything.  A
 null doc_id counts as larger than all others.  Of rows with one doc_id, windows at the same
 place are not earlier than each other, so equal rows keep their words alike.  The words come
-out joined by one space; extra columns stay, those with a result's name are replaced.
+out joined by one space; extra columns stay, those with a result's name are replaced.  Texts of
+any length are read whole, each by itself.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ from hiresift.sources.tables import materialize
 WINDOW, ANCHOR = 20, 5
 LAST = (1 << 63) - 1
 SAMPLED = 64  # one document in so many estimates which anchors are very common
-ROW = ["_doc", "_text"]  # what names a row: its id and a hash of its text
+ROW = ["_doc", "_text", "_text2"]  # what names a row: its id and 128 bits of hashes of its text
 LOW = np.uint64((1 << 24) - 1)
 
 
@@ -95,7 +97,7 @@ def covered(n: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
 # --- all documents ------------------------------------------------------------------------
 def named_rows(docs: DataFrame) -> DataFrame:
     return docs.withColumns(
-        {"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_text": F.hash("text")}
+        {"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_text": F.xxhash64("text"), "_text2": F.xxhash64(F.lit(1), "text")}
     )
 
 
@@ -120,13 +122,13 @@ def seeds(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
                 key, kind, row, place, first, last = (np.concatenate(c) for c in zip(*made, strict=True))
                 columns = [
                     pa.array(key.view(np.int64)), pa.array(kind.view(np.int64)),
-                    part.column("_doc").take(pa.array(row)), part.column("_text").take(pa.array(row)),
+                    *(part.column(c).take(pa.array(row)) for c in ROW),
                     *(pa.array(c.astype(np.int32)) for c in (place, first, last)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select(*ROW, "text").mapInArrow(
-        run, "anchor long, class long, _doc long, _text int, place int, first int, last int"
+        run, "anchor long, class long, _doc long, _text long, _text2 long, place int, first int, last int"
     )
 
 
@@ -187,14 +189,14 @@ def seed_windows(docs: DataFrame, firsts: DataFrame, window: int = WINDOW) -> Da
                 key, words, row, start = (np.concatenate(c) for c in zip(*made, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(key), pa.array(words.view(np.int64)), part.column("_doc").take(pa.array(row)),
-                        part.column("_text").take(pa.array(row)), pa.array(start.astype(np.int32)),
+                        pa.array(key), pa.array(words.view(np.int64)), *(part.column(c).take(pa.array(row)) for c in ROW),
+                        pa.array(start.astype(np.int32)),
                     ],
                     names=["anchor", "words", *ROW, "start"],
                 )
 
     joined = docs.select(*ROW, "text").join(per_row, ROW).select(*ROW, "text", "_seeds")
-    return joined.mapInArrow(run, "anchor long, words long, _doc long, _text int, start int")
+    return joined.mapInArrow(run, "anchor long, words long, _doc long, _text long, _text2 long, start int")
 
 
 def repeats(

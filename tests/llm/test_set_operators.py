@@ -88,6 +88,21 @@ def test_substring_dedup_equals_brute_force(documents, odd_rows, rows_per_salt):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=str) == brute_repeats(rows, 20)
 
 
+def test_rows_with_equal_ids_and_short_hashes(spark, documents):
+    """Rows of one id, null or not, whose texts agree in 32 bits of hash are still rows of their own."""
+    numbered = spark.range(200_000).select(F.concat(F.lit("t "), F.col("id").cast("string")).alias("head"))
+    tails = [" ".join(f"a{i}" for i in range(24)), " ".join(f"b{i}" for i in range(70)) + " " + " ".join(f"a{i}" for i in range(24))]
+    texts = [F.concat("head", F.lit(" " + t)) for t in tails]
+    both = numbered.select(texts[0].alias("text")).union(numbered.select(texts[1].alias("text")))
+    same = both.groupBy(F.hash("text").alias("h")).agg(F.min("text").alias("x"), F.max("text").alias("y")).where("length(y) - length(x) > 100 or length(x) - length(y) > 100")
+    x, y = same.limit(1).select("x", "y").first()
+    assert len(words(x)) != len(words(y)) and x != y
+    for doc_id in (None, 5):
+        rows = [(doc_id, x), (doc_id, y), (doc_id, tails[1]), (9, f"{tails[0]} {tails[1]}")]
+        got = substring_dedup.remove_repeats(documents(rows)).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=str) == brute_repeats(rows, 20)
+
+
 def test_substring_dedup_of_nothing(documents):
     assert substring_dedup.remove_repeats(documents([])).count() == 0
     assert substring_dedup.remove_repeats(documents([(1, None)])).first().kept_text == ""
