@@ -20,12 +20,15 @@ from hiresift.functions.text import plain_characters, term_counts  # noqa: E402
 from hiresift.operators import layout, ranking, relevance, store  # noqa: E402
 from hiresift.operators.corpus import corpus_similarity  # noqa: E402
 from hiresift.operators.joins import lookup_join  # noqa: E402
+from hiresift.operators.replies import ReplyStore  # noqa: E402
 from hiresift.plans import prompts, reports, screening  # noqa: E402
-from hiresift.sources import fixtures, tables  # noqa: E402
+from hiresift.sources import fixtures, stored, tables  # noqa: E402
 
 try:
     from hiresift.llm import queries as llm_queries  # noqa: E402
-except ImportError:  # the rest works without that subpackage
+except ModuleNotFoundError as missing:  # the rest works without that subpackage
+    if not (missing.name or "").startswith("hiresift.llm"):
+        raise
     llm_queries = None
 
 # The stand-in models below travel with the job to the executors.
@@ -179,6 +182,92 @@ def delete_cascade_notes(spark, d):
     return _after_delete(spark, d)[2]
 
 
+# --- stored tables: written, changed and read back --------------------------------------------
+def _stored(spark, **tables_of):
+    made = stored.StoredTables(spark, tables.new_folder(spark), buckets=16)
+    for name, rows in tables_of.items():
+        made.append(name, rows)
+    return made
+
+
+def _processed_twice(spark, d):
+    """Two batches of requests, one after the other; the second leaves the first one's files alone."""
+    made, requests = _stored(spark), fixtures.view(spark, d, "requests")
+    for half in (0, 1):
+        screening.process_and_store(requests.where(F.col("id") % 2 == half), _resumes(spark, d), made)
+    return made
+
+
+def stored_sessions(spark, d):
+    return _processed_twice(spark, d).read("sessions")
+
+
+def stored_candidates(spark, d):
+    return _processed_twice(spark, d).read("candidates").drop("data_json")
+
+
+def _candidate_rows(spark, d):
+    return _candidates(spark, d).withColumn("data_json", F.lit("{}"))
+
+
+def stored_notes(spark, d):
+    made = _stored(spark)
+    notes = fixtures.view(spark, d, "notes")
+    for half in (0, 1):
+        batch = notes.where(F.col("id") % 2 == half)
+        made.append("notes", store.new_notes(made.read("notes"), batch, "id"))
+    return made.read("notes")
+
+
+def stored_status_updates(spark, d):
+    """Two rounds of updates; the later round wins."""
+    made, updates = _stored(spark, candidates=_candidate_rows(spark, d)), fixtures.view(spark, d, "status_updates")
+    for half in (0, 1):
+        made.update_status(updates.where(F.col("seq") % 2 == half))
+    return made.read("candidates").drop("data_json")
+
+
+def _stored_after_delete(spark, d):
+    made = _stored(
+        spark, sessions=_sessions(spark, d), candidates=_candidate_rows(spark, d), notes=fixtures.view(spark, d, "notes")
+    )
+    made.delete_sessions(fixtures.table(spark, d, "supplier").where("s_acctbal < 0").selectExpr("s_suppkey as id"))
+    return made
+
+
+def stored_delete_sessions(spark, d):
+    return _stored_after_delete(spark, d).read("sessions")
+
+
+def stored_delete_candidates(spark, d):
+    return _stored_after_delete(spark, d).read("candidates").drop("data_json")
+
+
+def stored_delete_notes(spark, d):
+    return _stored_after_delete(spark, d).read("notes")
+
+
+def stored_session_by_id(spark, d):
+    return _stored(spark, sessions=_sessions(spark, d)).lookup("sessions", 7)
+
+
+def stored_candidates_of_session(spark, d):
+    return _stored(spark, candidates=_candidate_rows(spark, d)).lookup("candidates", 0).drop("data_json")
+
+
+def stored_notes_of_candidate(spark, d):
+    return _stored(spark, notes=fixtures.view(spark, d, "notes")).lookup("notes", 1)
+
+
+def stored_schema_evolve(spark, d):
+    """Files of two generations in one table: the older ones lack a column."""
+    path = tables.new_folder(spark)
+    stored.append_evolved(_sessions(spark, d).drop("browser_id"), path)
+    new = fixtures.view(spark, d, "requests").select("id", "job_title", F.col("jd_text").alias("job_description"), "created_at", "browser_id")
+    stored.append_evolved(new, path)
+    return stored.evolved(spark, path)
+
+
 # --- reads ------------------------------------------------------------------------------------
 def session_by_id(spark, d):
     return reports.sessions_by_ids(
@@ -484,6 +573,10 @@ def quick_questions(spark, d):
 _PIECE = 200
 
 
+def _contexts(spark, d):
+    return tables.materialize(prompts.candidate_context(_ranked(spark, d), per_piece=_PIECE))
+
+
 def _system_prompts(spark, d):
     return tables.materialize(prompts.system_prompts(_ranked(spark, d), per_piece=_PIECE))
 
@@ -496,17 +589,28 @@ def _offline_answerer(messages: list[dict]) -> str:
     """A stand-in for a chat model: tells what it was sent, refuses some requests."""
     if len(messages) % 4 == 0:
         raise RuntimeError("busy")
-    return f"{len(messages)} messages, last: {messages[-1]['content']}"
+    return f"{len(messages)} messages, first of {len(messages[0]['content'])} characters, last: {messages[-1]['content']}"
+
+
+def _digests(contexts, answerer=_offline_answerer):
+    return tables.materialize(relevance.condensed(prompts.as_system_prompts(contexts), answerer))
 
 
 def chat_answers(spark, d):
-    requests = prompts.chat_requests(tables.materialize(chat_messages(spark, d)))
+    """One request a conversation, with the session's whole ranking or what it was condensed to."""
+    contexts = _contexts(spark, d)
+    whole = tables.materialize(prompts.whole_prompts(contexts, _digests(contexts)))
+    messages = prompts.chat_messages(fixtures.view(spark, d, "chat"), whole)
+    requests = prompts.chat_requests(tables.materialize(messages))
     return relevance.combined(relevance.answer(requests, _offline_answerer), ["conv_id"], _offline_answerer).drop("error")
 
 
 def _answers(spark, d, asked):
-    parts = relevance.answer_each(asked, _system_prompts(spark, d), "candidate_id", _offline_answerer)
-    return relevance.combined(parts, ["session_id", "candidate_id"], _offline_answerer).drop("error")
+    """One request a candidate, and one for each piece of a ranking that has several."""
+    ranked = _ranked(spark, d)
+    contexts = tables.materialize(prompts.candidate_context(ranked, per_piece=_PIECE))
+    texts = tables.materialize(prompts.own_prompts(contexts, _digests(contexts)))
+    return relevance.answer_each(asked, prompts.places(ranked, _PIECE), texts, "candidate_id", _offline_answerer).drop("error")
 
 
 def email_answers(spark, d):
@@ -517,6 +621,18 @@ def interview_answers(spark, d):
     return _answers(spark, d, interview_prompts(spark, d))
 
 
+def _refuse(*_):
+    raise RuntimeError("asked again")
+
+
+def stored_replies(spark, d):
+    """Scores from a reply store: the second run has a model that refuses everything, and gets the first one's replies."""
+    kept = ReplyStore(spark, tables.new_folder(spark), "offline")
+    wanted = tables.materialize(prompts.relevance_prompts(_parsed(spark, d), _sessions(spark, d)))
+    relevance.score_relevance(wanted, _offline_scorer, kept).write.format("noop").mode("overwrite").save()
+    return relevance.score_relevance(wanted, _refuse, kept)
+
+
 # --- driver contract -------------------------------------------------------------------------------------
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: every résumé parsed, scored and ranked within its session."""
@@ -528,7 +644,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         scan_resumes, ingest_rejects, parsed_empty, final_jd, session_validation, schema_evolve,
         append_sessions, append_notes, process_sessions, process_candidates, persist_candidates, candidate_json_roundtrip,
         apply_status_updates, delete_cascade_sessions, delete_cascade_candidates,
-        delete_cascade_notes, session_by_id, visible_sessions, session_candidates,
+        delete_cascade_notes, stored_sessions, stored_candidates, stored_notes, stored_status_updates, stored_delete_sessions,
+        stored_delete_candidates, stored_delete_notes, stored_session_by_id, stored_candidates_of_session,
+        stored_notes_of_candidate, stored_schema_evolve, session_by_id, visible_sessions, session_candidates,
         candidate_notes, candidates_of_session, notes_of_candidate, session_options, dashboard, processed_count, candidates_with_notes,
         status_by_name, first_by_name, contact_info, contact_info_documents, skills_by_category,
         section_items, split_headers, sections_all, parse_resumes, sanitize_text, parse_ai_reply,
@@ -537,7 +655,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         relevance_with_scorer, rank_candidates, rank_candidates_ai, rank_min_score, score_band, top_k_per_session,
         rankings_table, column_widths, score_unpivot, profile_cards, compare_scores, compare_chosen,
         compare_skills, report_lines, candidate_context, interview_prompts, email_prompts,
-        quick_questions, chat_messages, chat_answers, email_answers, interview_answers,
+        quick_questions, chat_messages, chat_answers, email_answers, interview_answers, stored_replies,
     ]
     named = {f.__name__: f for f in plain}
     named["extract_skills"] = skills

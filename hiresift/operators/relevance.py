@@ -1,13 +1,15 @@
 """Relevance scores and free-text answers from a model the caller supplies.
 
 The model is a plain Python callable.  It runs on Arrow batches inside tasks
-(``mapInPandas``); everything before and after it is built-in expressions.
+(``mapInPandas``); everything before and after it is built-in expressions.  The number
+of requests grows with the candidates and the pieces of rankings, not with their product:
+a ranking in several pieces is condensed once, and each request takes what came of that.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 
 from hiresift.functions.fixed_values import CHAT_APOLOGY, CHAT_SYSTEM_HEAD, CHAT_SYSTEM_TAIL
 from hiresift.functions.text import strip
+from hiresift.operators.joins import lookup_join
+from hiresift.operators.replies import NAME, SCHEMA, ReplyStore, request_name
 from hiresift.sources.tables import materialize
 
 # Task functions travel with the job, so executors need no copy of this package.
@@ -23,6 +27,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # How many partial answers one combining request holds, and how it begins.
 ANSWERS_PER_REQUEST = 20
+CONDENSE_PROMPT = (
+    "Condense this part of the ranking: keep every candidate's rank, name and overall score, "
+    "and what sets the strongest and the weakest apart."
+)
 COMBINE_HEAD = "Each partial answer below was given from a part of the candidates. Make one answer of them.\nQuestion: "
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -45,30 +53,62 @@ def reply_score(reply: Column) -> Column:
     return F.when(number.isNotNull(), F.least(F.greatest(number, F.lit(0.0)), F.lit(100.0)))
 
 
-def ask_model(prompts: DataFrame, scorer: Callable[[str, str], str | None]) -> DataFrame:
-    """Add ``raw_reply``: ``scorer(system_prompt, user_prompt)`` per row, NULL if it fails."""
+def ask_model(
+    prompts: DataFrame, scorer: Callable[[str, str], str | None], replies: ReplyStore | None = None
+) -> DataFrame:
+    """Add ``raw_reply``: ``scorer(system_prompt, user_prompt)`` per row, NULL if it fails.
 
-    def one(system: str, user: str) -> str | None:
-        try:
-            return scorer(system, user)
-        except Exception:
-            return None
+    With a reply store, requests that it knows are not sent, and the others are stored.
+    """
+    if replies is not None:
+        attempts = replies.attempts
+        asked = prompts.select(
+            "candidate_id", "category", "system_prompt", "user_prompt",
+            request_name(replies.model, F.col("system_prompt"), F.col("user_prompt")).alias(NAME),
+        )
+        one = lambda r: _tried(lambda: scorer(r.system_prompt, r.user_prompt), attempts)
+        told = replies.answered(asked, F.struct("candidate_id", "category"), lambda part: _called(part, one))
+        return told.select("candidate_id", "category", F.col("reply").alias("raw_reply"))
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            replies = [one(s, u) for s, u in zip(frame["system_prompt"], frame["user_prompt"])]
-            yield frame[["candidate_id", "category"]].assign(raw_reply=replies)
+            told = [_tried(lambda s=s, u=u: scorer(s, u), 1)[0] for s, u in zip(frame["system_prompt"], frame["user_prompt"])]
+            yield frame[["candidate_id", "category"]].assign(raw_reply=told)
 
     return prompts.select("candidate_id", "category", "system_prompt", "user_prompt").mapInPandas(
         batches, "candidate_id bigint, category string, raw_reply string"
     )
 
 
-def score_relevance(prompts: DataFrame, scorer: Callable[[str, str], str | None]) -> DataFrame:
+def _tried(call: Callable[[], str | None], attempts: int) -> tuple[str | None, str | None, int]:
+    """(reply, last error, attempts made) of a call that is repeated while it fails."""
+    error = None
+    for attempt in range(1, attempts + 1):
+        try:
+            return call(), None, attempt
+        except Exception as failed:
+            error = str(failed)
+    return None, error, attempts
+
+
+def _called(requests: DataFrame, one: Callable) -> DataFrame:
+    """Rows of a reply store: ``one`` gives (reply, error, attempts) for a row of ``requests``."""
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            told = [(getattr(r, NAME), *one(r)) for r in frame.itertuples(index=False)]
+            yield pd.DataFrame(told, columns=[NAME, "reply", "error", "attempts"])
+
+    return requests.mapInPandas(batches, SCHEMA)
+
+
+def score_relevance(
+    prompts: DataFrame, scorer: Callable[[str, str], str | None], replies: ReplyStore | None = None
+) -> DataFrame:
     """``(candidate_id, category, score)``; rows whose reply is unusable are left out,
     so that scoring falls back to the rules for them."""
     return (
-        ask_model(prompts, scorer)
+        ask_model(prompts, scorer, replies)
         .select("candidate_id", "category", reply_score(F.col("raw_reply")).alias("score"))
         .where(F.col("score").isNotNull())
     )
@@ -84,76 +124,126 @@ Answerer = Callable[[list[dict]], str]
 
 def _spoken(answerer: Answerer, messages: list[dict]) -> tuple[str, str | None]:
     """The answer, and the error if the model failed; only then is the answer the apology."""
-    try:
-        return answerer(messages), None
-    except Exception as error:
-        return f"{CHAT_APOLOGY}{error}", str(error)
+    reply, error, _ = _tried(lambda: answerer(messages), 1)
+    return (f"{CHAT_APOLOGY}{error}" if error is not None else reply), error
+
+
+def _answer_or_apology() -> list[Column]:
+    apology = F.concat(F.lit(CHAT_APOLOGY), F.col("error"))
+    return [F.when(F.col("error").isNotNull(), apology).otherwise(F.col("reply")).alias("answer"), F.col("error")]
 
 
-def answer(requests: DataFrame, answerer: Answerer) -> DataFrame:
-    """Replace ``messages ARRAY<STRUCT<role, content>>`` by ``answer`` and ``error`` (NULL if all went well)."""
+def _message_list(messages: Iterable) -> list[dict]:
+    return [{"role": m["role"], "content": m["content"]} for m in messages]
+
+
+def answer(requests: DataFrame, answerer: Answerer, replies: ReplyStore | None = None) -> DataFrame:
+    """Replace ``messages ARRAY<STRUCT<role, content>>`` by ``answer`` and ``error`` (NULL if all went well).
+
+    With a reply store, requests that it knows are not sent, and the others are stored.
+    """
     key_fields = [f for f in requests.schema.fields if f.name != "messages"]
     keys = [f.name for f in key_fields]
+    if replies is not None:
+        attempts = replies.attempts
+        asked = requests.withColumn(NAME, request_name(replies.model, F.col("messages")))
+        one = lambda r: _tried(lambda: answerer(_message_list(r.messages)), attempts)
+        told = replies.answered(asked, F.struct(*keys), lambda part: _called(part.select(NAME, "messages"), one))
+        return told.select(*keys, *_answer_or_apology())
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields) + ", answer string, error string"
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            given = [[{"role": m["role"], "content": m["content"]} for m in ms] for ms in frame["messages"]]
-            told = [_spoken(answerer, ms) for ms in given]
+            told = [_spoken(answerer, _message_list(ms)) for ms in frame["messages"]]
             yield frame[keys].assign(answer=[a for a, _ in told], error=[e for _, e in told])
 
     return requests.mapInPandas(batches, schema)
 
 
-def answer_each(
-    prompts: DataFrame, session_prompts: DataFrame, key: str, answerer: Answerer, salts: int = 8
+def condensed(
+    session_prompts: DataFrame, answerer: Answerer, fan_in: int = ANSWERS_PER_REQUEST, replies: ReplyStore | None = None
 ) -> DataFrame:
-    """Answers to ``prompts(session_id, key, prompt)``, one for each piece of the session's ranking.
+    """``(session_id, digest)`` for each session whose ranking has several pieces.
 
-    ``session_prompts(session_id, piece_no, system_prompt)`` is not copied into the rows: a
-    task gets a piece once, ahead of the prompts it goes with, and holds one at a time.
-    ``salts`` tasks share a piece.  Prompts without a session, or of one without pieces, are
-    sent with the system text of an empty ranking.
+    Every piece of ``session_prompts(session_id, piece_no, system_prompt)`` is condensed once;
+    the parts are combined ``fan_in`` at a time until one is left.
     """
-    by = ["session_id", "piece_no", "salt"]
-    pieces = session_prompts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    placed = prompts.select("session_id", key, "prompt").join(
-        session_prompts.select("session_id", "piece_no"), "session_id", "left"
+    several = session_prompts.where("piece_no > 0").select("session_id").distinct()
+    asked = session_prompts.join(several, "session_id", "left_semi").select(
+        "session_id", F.col("piece_no").alias("part_no"), F.lit(CONDENSE_PROMPT).alias("question"),
+        F.array(_message("system", F.col("system_prompt")), _message("user", F.lit(CONDENSE_PROMPT))).alias("messages"),
     )
-    asked = placed.where("piece_no is not null")
-    asked = asked.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    stream = pieces.unionByName(asked, allowMissingColumns=True).repartition(*by)
-    stream = stream.sortWithinPartitions(*by, F.col("system_prompt").isNull())
-    kind = prompts.schema[key].dataType.simpleString()
-    own = prompts.schema["session_id"].dataType.simpleString()
+    whole = combined(answer(asked, answerer, replies), ["session_id"], answerer, fan_in, replies)
+    return whole.select("session_id", F.col("answer").alias("digest"))
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system = None
-        for frame in frames:
-            rows = []
-            for r in frame.itertuples(index=False):
-                if r.system_prompt is not None and r.system_prompt == r.system_prompt:
-                    system = r.system_prompt
-                    continue
-                sent = [{"role": "system", "content": system}, {"role": "user", "content": r.prompt}]
-                rows.append((r.session_id, getattr(r, key), r.piece_no, r.prompt, *_spoken(answerer, sent)))
-            yield pd.DataFrame(rows, columns=["session_id", key, "part_no", "question", "answer", "error"])
-
-    answered = stream.select("session_id", "piece_no", key, "prompt", "system_prompt").mapInPandas(
-        batches, f"session_id {own}, {key} {kind}, part_no bigint, question string, answer string, error string"
-    )
-    messages = [
-        F.struct(F.lit("system").alias("role"), F.lit(f"{CHAT_SYSTEM_HEAD}{CHAT_SYSTEM_TAIL}").alias("content")),
-        F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")),
-    ]
-    alone = placed.where("piece_no is null").select(
-        F.col("session_id").cast("string"), key, F.lit(0).cast("bigint").alias("part_no"),  # a null would make numbers floats
-        F.col("prompt").alias("question"), F.array(*messages).alias("messages"),
-    )
-    return answered.unionByName(answer(alone, answerer).withColumn("session_id", F.col("session_id").cast(own)))
 
+def _message(role: str, content: Column) -> Column:
+    return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
-def combined(parts: DataFrame, keys: list[str], answerer: Answerer, fan_in: int = ANSWERS_PER_REQUEST) -> DataFrame:
+
+def answer_each(
+    prompts: DataFrame, places: DataFrame, session_prompts: DataFrame, key: str, answerer: Answerer, replies: ReplyStore | None = None
+) -> DataFrame:
+    """One answer to each of ``prompts(session_id, key, prompt)``: ``session_id, key, answer, error``.
+
+    A prompt is sent with one system text of ``session_prompts(session_id, piece_no, system_prompt)``:
+    that of the piece which ``places(key, piece_no)`` names, or, for a key without a place, of one
+    picked by its hash; so every text has a bounded number of prompts, apart from keys that repeat.
+    The texts are not copied into the rows: a task gets a text once, ahead of the prompts that go
+    with it, and holds one at a time.  Prompts without a session, or of one without pieces, are
+    sent with the system text of an empty ranking.  With a reply store, requests that it knows are
+    not sent, and the others are stored.
+    """
+    texts = session_prompts.select("session_id", "piece_no", "system_prompt", F.sha2("system_prompt", 256).alias("system_sha256"))
+    numbers = texts.groupBy("session_id").agg(F.max("piece_no").alias("_last"))
+    placed = lookup_join(prompts.select("session_id", key, "prompt"), numbers, "session_id", key, "left")
+    placed = placed.join(places.select(key, F.col("piece_no").alias("_own")), key, "left")
+    picked = F.coalesce("_own", F.pmod(F.xxhash64(key), F.col("_last") + 1))
+    nothing = F.lit(f"{CHAT_SYSTEM_HEAD}{CHAT_SYSTEM_TAIL}")
+    placed = placed.select("session_id", key, "prompt", F.when(F.col("_last").isNotNull(), picked).alias("piece_no"))
+
+    known = placed.where("piece_no is not null")
+    alone = placed.where("piece_no is null").select(
+        F.col("session_id").cast("string"), key, F.array(_message("system", nothing), _message("user", F.col("prompt"))).alias("messages"),
+    )  # a null would make numbers floats
+    own, kind = (prompts.schema[c].dataType.simpleString() for c in ("session_id", key))
+    rest = answer(alone, answerer, replies).select(F.col("session_id").cast(own), key, "answer", "error")
+
+    def streamed(asked: DataFrame, columns: list[str], schema: str, attempts: int) -> DataFrame:
+        """Rows of ``columns`` and (reply, error, attempts), each text ahead of its prompts."""
+        by = ["session_id", "piece_no"]
+        stream = texts.drop("system_sha256").unionByName(asked, allowMissingColumns=True).repartition(*by)
+        stream = stream.sortWithinPartitions(*by, F.col("system_prompt").isNull())
+
+        def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            system = None
+            for frame in frames:
+                rows = []
+                for r in frame.itertuples(index=False):
+                    if r.system_prompt is not None and r.system_prompt == r.system_prompt:
+                        system = r.system_prompt
+                        continue
+                    sent = [{"role": "system", "content": system}, {"role": "user", "content": r.prompt}]
+                    rows.append((*(getattr(r, c) for c in columns), *_tried(lambda sent=sent: answerer(sent), attempts)))
+                yield pd.DataFrame(rows, columns=[*columns, "reply", "error", "attempts"])
+
+        return stream.select(*by, *[c for c in columns if c not in by], "prompt", "system_prompt").mapInPandas(batches, schema)
+
+    if replies is None:
+        schema = f"session_id {own}, {key} {kind}, reply string, error string, attempts int"
+        told = streamed(known, ["session_id", key], schema, 1)
+    else:
+        shas = texts.select("session_id", "piece_no", "system_sha256")
+        named = lookup_join(known, shas, ["session_id", "piece_no"], key).withColumn(
+            NAME, request_name(replies.model, F.col("system_sha256"), F.col("prompt"))
+        ).drop("system_sha256")
+        told = replies.answered(named, key, lambda part: streamed(part.drop(key), [NAME], SCHEMA, replies.attempts))
+    return told.select("session_id", key, *_answer_or_apology()).unionByName(rest)
+
+
+def combined(
+    parts: DataFrame, keys: list[str], answerer: Answerer, fan_in: int = ANSWERS_PER_REQUEST, replies: ReplyStore | None = None
+) -> DataFrame:
     """One answer per key from ``parts(keys, part_no, question, answer, error)``.
 
     ``fan_in`` partial answers at a time go back to the model, in rounds, until one is left;
@@ -179,5 +269,5 @@ def combined(parts: DataFrame, keys: list[str], answerer: Answerer, fan_in: int
         kept = grouped.where(alone).select(
             *keys, "part_no", "question", first["answer"].alias("answer"), first["error"].alias("error")
         )
-        parts = materialize(kept.unionByName(answer(asked, answerer)))
+        parts = materialize(kept.unionByName(answer(asked, answerer, replies)))
     return parts.select(*keys, "answer", "error")

@@ -54,13 +54,16 @@ def append_sessions(sessions: DataFrame, batch: DataFrame, order_col: str) -> Da
     return sessions.unionByName(new_sessions(sessions, batch, order_col).drop("request_id"))
 
 
-def append_notes(notes: DataFrame, batch: DataFrame, order_col: str) -> DataFrame:
-    """Notes plus the batch's notes that are not blank, stored without outer blanks."""
+def new_notes(notes: DataFrame, batch: DataFrame, order_col: str) -> DataFrame:
+    """The batch's notes that are not blank, without outer blanks, ids following the largest one."""
     kept = batch.where(~is_blank(F.col("note_text"))).withColumn("note_text", strip(F.col("note_text")))
     numbered = number_rows(kept, order_col, _last_id(notes))
-    return notes.unionByName(
-        numbered.select(F.col("_number").alias("id"), "candidate_id", "note_text", "created_at")
-    )
+    return numbered.select(F.col("_number").alias("id"), "candidate_id", "note_text", "created_at")
+
+
+def append_notes(notes: DataFrame, batch: DataFrame, order_col: str) -> DataFrame:
+    """Notes plus ``new_notes``."""
+    return notes.unionByName(new_notes(notes, batch, order_col))
 
 
 def persisted_candidates(scored: DataFrame) -> DataFrame:
@@ -89,19 +92,20 @@ def with_columns_of(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 # --- updates and deletes ----------------------------------------------------------------
-def apply_status_updates(candidates: DataFrame, updates: DataFrame) -> DataFrame:
-    """Candidates after ``updates(id, new_status, seq)``: the highest ``seq`` per id wins.
+def latest_status(updates: DataFrame) -> DataFrame:
+    """``(id, _new)`` from ``updates(id, new_status, seq)``: the highest ``seq`` per id wins.
 
     Updates outside the known statuses are ignored.  The latest update is picked by
     an aggregate, so repeated updates of one candidate are merged before the shuffle.
     """
-    latest = (
-        updates.where(F.col("new_status").isin(STATUSES))
-        .groupBy("id")
-        .agg(F.max_by("new_status", "seq").alias("_new"))
-    )
+    known = updates.where(F.col("new_status").isin(STATUSES))
+    return known.groupBy("id").agg(F.max_by("new_status", "seq").alias("_new"))
+
+
+def apply_status_updates(candidates: DataFrame, updates: DataFrame) -> DataFrame:
+    """Candidates after ``updates`` (see ``latest_status``), with ``changed``."""
     return (
-        candidates.join(latest, "id", "left")
+        candidates.join(latest_status(updates), "id", "left")
         .withColumn("changed", F.coalesce(F.col("_new") != F.col("status"), F.lit(False)))
         .withColumn("status", F.coalesce("_new", "status"))
         .drop("_new")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hiresift.functions.fixed_values import (
@@ -82,15 +81,18 @@ def _context_part() -> Column:
     return F.concat(F.concat_ws("\n", *lines), F.lit("\n"))
 
 
+def _piece(per_piece: int) -> Column:
+    return F.floor((F.col("rank") - 1) / per_piece).cast("bigint")
+
+
 def candidate_context(ranked: DataFrame, per_piece: int = CANDIDATES_PER_PIECE) -> DataFrame:
     """The ranking of a session as text, in pieces of ``per_piece`` candidates.
 
     A small session is one piece.  The text of a larger one is its pieces in order,
     joined by a line break; no session is ever gathered into one value.
     """
-    piece = F.floor((F.col("rank") - 1) / per_piece).cast("bigint")
     return (
-        ranked.select("session_id", "rank", piece.alias("piece_no"), _context_part().alias("part"))
+        ranked.select("session_id", "rank", _piece(per_piece).alias("piece_no"), _context_part().alias("part"))
         .groupBy("session_id", "piece_no")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "part"))).alias("parts"))
         .select(
@@ -107,8 +109,29 @@ def _system_text(context: Column) -> Column:
 
 def system_prompts(ranked: DataFrame, per_piece: int = CANDIDATES_PER_PIECE) -> DataFrame:
     """System prompts ``(session_id, piece_no, system_prompt)``: one for each piece of a session's ranking."""
-    texts = candidate_context(ranked, per_piece)
-    return texts.select("session_id", "piece_no", _system_text(F.col("context")).alias("system_prompt"))
+    return as_system_prompts(candidate_context(ranked, per_piece))
+
+
+def as_system_prompts(contexts: DataFrame) -> DataFrame:
+    return contexts.select("session_id", "piece_no", _system_text(F.col("context")).alias("system_prompt"))
+
+
+def whole_prompts(contexts: DataFrame, digests: DataFrame) -> DataFrame:
+    """One system prompt per session: its ranking if that is one piece, else what it was condensed to."""
+    first = contexts.where("piece_no = 0").join(digests, "session_id", "left")
+    return first.select("session_id", "piece_no", _system_text(F.coalesce("digest", "context")).alias("system_prompt"))
+
+
+def own_prompts(contexts: DataFrame, digests: DataFrame) -> DataFrame:
+    """A system prompt for each piece: the piece itself, after the condensed ranking if there are several."""
+    both = lookup_join(contexts, digests, "session_id", "piece_no", "left")
+    text = F.concat_ws("\n\n", "digest", "context")
+    return both.select("session_id", "piece_no", _system_text(text).alias("system_prompt"))
+
+
+def places(ranked: DataFrame, per_piece: int = CANDIDATES_PER_PIECE) -> DataFrame:
+    """In which piece of its session's ranking each candidate stands."""
+    return ranked.select("candidate_id", _piece(per_piece).alias("piece_no"))
 
 
 # --- chat --------------------------------------------------------------------------------------------
@@ -161,11 +184,12 @@ def chat_requests(messages: DataFrame, max_messages: int = MESSAGES_PER_REQUEST)
     One piece and a short history make the one request of the plain case.
     """
     said = messages.where("part = 1").select("conv_id", "turn", "role", "content")
-    begins = said.groupBy("conv_id").agg(F.min("turn").alias("_begin"))
+    begins = said.groupBy("conv_id").agg(F.min("turn").alias("_begin"), F.max("turn").alias("_end"))
     stretch = F.floor((F.col("turn") - F.col("_begin")) / max_messages)
+    stretches = F.floor((F.col("_end") - F.col("_begin")) / max_messages) + 1
     history = (
         lookup_join(said, begins, "conv_id", F.xxhash64("conv_id", "turn"))
-        .groupBy("conv_id", stretch.alias("_stretch"))
+        .groupBy("conv_id", stretch.alias("_stretch"), stretches.alias("_stretches"))
         .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("_said"))
         .withColumn("_said", F.transform("_said", lambda m: _message(m["role"], m["content"])))
     )
@@ -178,10 +202,8 @@ def chat_requests(messages: DataFrame, max_messages: int = MESSAGES_PER_REQUEST)
         F.coalesce("_said", none),
         F.array(_message(F.lit("user"), F.col("question"))),
     )
-    order = W.partitionBy("conv_id").orderBy("piece_no", "_stretch")
-    return every.select(
-        "conv_id", (F.row_number().over(order) - 1).cast("bigint").alias("part_no"), "question", sent.alias("messages")
-    )
+    number = F.coalesce(F.col("piece_no") * F.col("_stretches") + F.col("_stretch"), F.col("piece_no"))
+    return every.select("conv_id", number.cast("bigint").alias("part_no"), "question", sent.alias("messages"))
 
 
 # --- other requests ---------------------------------------------------------------------------------

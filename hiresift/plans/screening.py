@@ -27,6 +27,7 @@ from hiresift.functions.text import empty_strings, is_blank, term_counts
 from hiresift.operators import store
 from hiresift.operators.joins import lookup_join, rows_per_key
 from hiresift.operators.ranking import rank_within_sessions
+from hiresift.sources.stored import StoredTables
 from hiresift.sources.tables import materialize
 
 SCORED = [
@@ -220,3 +221,11 @@ def process_requests(requests: DataFrame, resumes: DataFrame, sessions: DataFram
     sent = lookup_join(resumes, ids, "session_id", "candidate_id").withColumn("session_id", F.col("_new")).drop("_new")
     ranked = rank_resumes(sent, made.drop("request_id"))
     return {"checked": checked, "sessions": made, "ranked": ranked, "candidates": store.persisted_candidates(ranked)}
+
+
+def process_and_store(requests: DataFrame, resumes: DataFrame, stored: StoredTables) -> DataFrame:
+    """``process_requests`` against the stored tables; its sessions and candidates are appended.  Gives ``checked``."""
+    done = process_requests(requests, resumes, stored.read("sessions"))
+    stored.append("sessions", done["sessions"])
+    stored.append("candidates", done["candidates"])
+    return done["checked"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark import StorageLevel
@@ -89,6 +90,13 @@ def shared_folder(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own in the shared one; only where none is set, as in tests, in a local one.  ``release`` removes it."""
+    base = shared_folder(spark) or tempfile.mkdtemp(prefix="hiresift-")
+    _written.append(f"{base.rstrip('/')}/hiresift-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute a costly intermediate once.
 
@@ -99,14 +107,12 @@ def materialize(df: DataFrame) -> DataFrame:
     ``release`` removes the copies.
     """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if folder is None:
+    if shared_folder(spark) is None:
         kept = df.persist(StorageLevel.MEMORY_AND_DISK)
         _persisted.append(kept)
         return kept
-    path = f"{folder.rstrip('/')}/hiresift-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

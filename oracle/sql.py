@@ -28,7 +28,7 @@ from hiresift.functions.sections import ALIAS_PATTERN, SECTIONS
 from hiresift.functions.similarity import RARE_WEIGHT_SQUARED
 from hiresift.functions.skills import ALL_SKILLS
 from hiresift.functions.text import WHITESPACE, WS_CLASS
-from hiresift.operators.relevance import COMBINE_HEAD
+from hiresift.operators.relevance import COMBINE_HEAD, CONDENSE_PROMPT
 from hiresift.sources.fixtures import _REPLY, VIEW_SQL
 
 CATEGORIES = list(WEIGHTS)
@@ -319,7 +319,7 @@ CTES |= {
 }
 _REUSED = {
     "resumes", "raw_lines", "tagged", "plain_tagged", "own_skills", "sections", "own_terms", "job_terms",
-    "jd_match", "parsed", "sub", "scored", "ranked", "ranked_status", "messages", "replies",
+    "jd_match", "parsed", "sub", "scored", "ranked", "ranked_status", "messages", "replies", "context", "digests", "own_texts",
 }
 
 
@@ -390,11 +390,32 @@ _NEW_IDS = """select id, (select max(id) from sessions) + row_number() over (ord
       from checked where reject_reason is null"""
 
 
-def _combined(question: str, answer: str, order: str) -> str:
-    """The answer of one piece, or what a model is told that combines those of several (one round)."""
-    return f"""case when count(*) = 1 then any_value({answer})
-      else '1 messages, last: ' || {q(COMBINE_HEAD)} || any_value({question}) || chr(10) || chr(10)
-        || string_agg({answer}, chr(10) || chr(10) order by {order}) end"""
+_HEAD, _TAIL = q(CHAT_SYSTEM_HEAD), q(CHAT_SYSTEM_TAIL)
+
+
+def _told(first: str, last: str, n: str = "2") -> str:
+    """What the stand-in model says to n messages with these first and last ones."""
+    return f"""({n}) || ' messages, first of ' || length({first}) || ' characters, last: ' || {last}"""
+
+
+# Each piece of a ranking in several pieces is condensed; the parts are combined in one request (up to 20 of them).
+CTES |= {
+    "digests": f"""
+    select session_id, pieces, case when pieces > 1 then {_told('text', 'text', '1')} end as digest
+    from (select session_id, count(*) as pieces, {q(COMBINE_HEAD + CONDENSE_PROMPT)} || chr(10) || chr(10) || string_agg(
+        {_told(f"{_HEAD} || context || {_TAIL}", q(CONDENSE_PROMPT))}, chr(10) || chr(10) order by piece_no) as text
+      from context group by session_id)""",
+    "own_texts": f"""
+    select session_id, piece_no, pieces, {_HEAD} || coalesce(digest || chr(10) || chr(10), '') || context || {_TAIL} as system_prompt
+    from context join digests using (session_id)""",
+}
+
+
+def _answered(asked: str) -> str:
+    """One answer a candidate, told with the piece that holds it."""
+    return f"""select a.session_id, a.candidate_id, {_told("coalesce(t.system_prompt, " + q(CHAT_SYSTEM_HEAD + CHAT_SYSTEM_TAIL) + ")", 'a.prompt')} as answer
+      from {asked} a left join ranked r using (candidate_id)
+      left join own_texts t on t.session_id = a.session_id and t.piece_no = (r.rank - 1) // 200"""
 
 
 # Documents 1, 2 and 4 of seven can't be read by layout; a tenth has no plain text.
@@ -565,17 +586,38 @@ _SELECTS = {
     + ", ".join(f"({q(k)}, {q(v)})" for k, v in QUICK_QUESTIONS.items())
     + ") v(label, prompt)",
     "chat_messages": "select * from messages",
-    "chat_answers": f"""select conv_id, {_combined('question', 'answer', 'piece_no')} as answer from (
-      select conv_id, piece_no, question, case when (n + 2) % 4 = 0 then {q(CHAT_APOLOGY)} || 'busy'
-        else (n + 2) || ' messages, last: ' || question end as answer
-      from messages join (
+    "chat_answers": f"""select conv_id, case when (n + 2) % 4 = 0 then {q(CHAT_APOLOGY)} || 'busy'
+        else {_told('system', 'question', 'n + 2')} end as answer
+      from (select conv_id, {_HEAD} || coalesce(digest, context, '') || {_TAIL} as system, n, question from (
         select conv_id, count(*) filter (where part = 1) as n, max(content) filter (where part = 2) as question
-        from messages group by 1) using (conv_id)
-      where part = 0) group by 1""",
-    "email_answers": f"""select session_id, candidate_id, {_combined('prompt', "'2 messages, last: ' || prompt", 'piece_no')} as answer
-      from mails join system_prompts using (session_id) group by 1, 2""",
-    "interview_answers": f"""select session_id, candidate_id, {_combined('prompt', "'2 messages, last: ' || prompt", 'piece_no')} as answer
-      from interviews join system_prompts using (session_id) group by 1, 2""",
+        from messages group by 1)
+        join (select conv_id, min(session_id) as session_id from chat group by 1) using (conv_id)
+        left join (select session_id, context from context where piece_no = 0) using (session_id)
+        left join digests using (session_id))""",
+    "email_answers": _answered("mails"),
+    "interview_answers": _answered("interviews"),
+    "stored_replies": _SCORED_PROMPTS,
+}
+# Requests come in two batches, even ids first; ids of sessions begin at 1.
+_STORED_IDS = """select id, row_number() over (order by id % 2, id) as session_id from checked where reject_reason is null"""
+_SELECTS |= {
+    "stored_sessions": f"""select n.session_id as id, job_title, coalesce(jd_doc, jd_text) as job_description, created_at, browser_id
+      from checked join ({_STORED_IDS}) n using (id)""",
+    "stored_candidates": f"""select candidate_id as id, n.session_id, name, email, overall as overall_score, 'New' as status
+      from scored s join ({_STORED_IDS}) n on s.session_id = n.id""",
+    "stored_notes": f"""select row_number() over (order by id % 2, id) as id, candidate_id, {strip('note_text')} as note_text, created_at
+      from notes where not ({blank('note_text')})""",
+    "stored_status_updates": """select id, session_id, name, email, overall_score, coalesce(new_status, status) as status
+      from candidates left join (
+        select id, arg_max(new_status, (seq % 2) * 1000000000000 + seq) as new_status from status_updates
+        where new_status <> 'Hired' group by 1) u using (id)""",
+    "stored_delete_sessions": _SELECTS["delete_cascade_sessions"],
+    "stored_delete_candidates": _SELECTS["delete_cascade_candidates"],
+    "stored_delete_notes": _SELECTS["delete_cascade_notes"],
+    "stored_session_by_id": "select * from sessions where id = 7",
+    "stored_candidates_of_session": "select * from candidates where session_id = 0",
+    "stored_notes_of_candidate": "select * from notes where candidate_id = 1",
+    "stored_schema_evolve": _SELECTS["schema_evolve"],
 }
 _SELECTS |= {
     f"score_{c}": f"select candidate_id, session_id, score_{c}::double as score_{c} from sub" for c in CATEGORIES

@@ -1,12 +1,18 @@
 import json
 import random
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from hiresift.operators import layout, relevance
+from hiresift.operators.replies import ReplyStore, request_name
 from hiresift.plans import prompts, screening
+from hiresift.sources import tables
 from tests.test_scoring import by_id, frames
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the stand-in models travel with the job
+
 PAGES = "array<struct<height: double, words: array<struct<text: string, x0: double, x1: double, top: double>>>>"
 
 
@@ -193,37 +199,133 @@ def test_every_candidate_and_message_reaches_the_model(spark):
     assert len(whole) == 3 and {len(r["messages"]) for r in whole if r["conv_id"] == 7} == {10}
 
 
-def test_partial_answers_are_combined_in_rounds(spark):
-    pieces = prompts.system_prompts(ranking(spark, {0: 23, 1: 5}), per_piece=3)
-    asked = spark.createDataFrame([(0, 1, "a"), (0, 2, "b"), (1, 3, "c")], "session_id bigint, candidate_id bigint, prompt string")
+def names(messages):
+    """A stand-in that repeats every candidate it is told of."""
+    import re
+
+    return " ".join(sorted(set(re.findall(r"<\d+\.\d+>", "".join(m["content"] for m in messages)))))
+
+
+def test_rankings_in_pieces_are_condensed_in_rounds(spark):
+    ranked = ranking(spark, {0: 23, 1: 5, 2: 3})
+    contexts = prompts.candidate_context(ranked, per_piece=3)
+    digests = relevance.condensed(prompts.as_system_prompts(contexts), names, fan_in=2)
+    assert {r["session_id"]: len(r["digest"].split()) for r in digests.collect()} == {0: 23, 1: 5}
+    whole = {r["session_id"]: r["system_prompt"] for r in prompts.whole_prompts(contexts, digests).collect()}
+    assert all(names([{"content": whole[s]}]).split() == sorted(f"<{s}.{i}>" for i in range(n)) for s, n in {0: 23, 1: 5, 2: 3}.items())
+    own = {(r["session_id"], r["piece_no"]): r["system_prompt"] for r in prompts.own_prompts(contexts, digests).collect()}
+    assert len(own) == 8 + 2 + 1
+    assert own[2, 0] == {r["session_id"]: r for r in prompts.system_prompts(ranked, 3).collect()}[2]["system_prompt"]
+    assert own[0, 7].count("<0.21>") == 2 and own[0, 7].count("<0.20>") == 1  # the condensed ranking, and the own piece
 
-    def names(messages):
-        import re
 
-        return " ".join(sorted(set(re.findall(r"<\d+\.\d+>", "".join(m["content"] for m in messages)))))
+def test_one_request_for_each_candidate(spark):
+    """Requests grow with candidates and pieces, not with their product; each holds the candidate's own piece."""
+    n, per_piece = 60, 4
+    columns = "overall double, skills double, experience double, education double, certifications double, projects double"
+    ranked = spark.createDataFrame(
+        [(0, 100 + i, i + 1, f"<0.{i}>", 50.0, 1.0, 2.0, 3.0, 4.0, 5.0, ["sql"], []) for i in range(n)],
+        f"session_id bigint, candidate_id bigint, rank bigint, name string, {columns}, matched_skills array<string>, missing_skills array<string>",
+    )
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(messages):
+        calls.add(1)
+        return names(messages)
 
-    parts = relevance.answer_each(asked, pieces, "candidate_id", names, salts=2)
-    got = {r["candidate_id"]: r for r in relevance.combined(parts, ["session_id", "candidate_id"], names, fan_in=2).collect()}
-    assert {c: len(r["answer"].split()) for c, r in got.items()} == {1: 23, 2: 23, 3: 5}
-    assert all(r["error"] is None for r in got.values())
+    contexts = prompts.candidate_context(ranked, per_piece)
+    digests = tables.materialize(relevance.condensed(prompts.as_system_prompts(contexts), counted, fan_in=5))
+    asked = spark.createDataFrame([(0, 100 + i, f"about {i}") for i in range(n)], "session_id bigint, candidate_id bigint, prompt string")
+    answers = relevance.answer_each(asked, prompts.places(ranked, per_piece), prompts.own_prompts(contexts, digests), "candidate_id", counted)
+    got = {r["candidate_id"]: r["answer"].split() for r in answers.collect()}
+    assert len(got) == n and all(len(a) == n for a in got.values())
+    assert calls.value == n + 15 + 3 + 1  # 15 pieces, combined five at a time
 
 
 def test_candidates_without_session_or_ranking_are_answered(spark):
     pieces = prompts.system_prompts(ranking(spark, {0: 5}), per_piece=3)
-    rows = [(0, 1, "a"), (None, 2, "b"), (9, 3, "c"), (2**60 + 1, 4, "d")]
+    rows = [(0, 1, "a"), (None, 2, "b"), (9, 3, "c"), (2**60 + 1, 4, "d"), (0, 5, "e")]
     asked = spark.createDataFrame(rows, "session_id bigint, candidate_id bigint, prompt string")
+    places = spark.createDataFrame([(1, 1)], "candidate_id bigint, piece_no bigint")
 
     def told(messages):
         return f"{len(messages)}|{messages[0]['content']}|{messages[-1]['content']}"
 
-    parts = relevance.answer_each(asked, pieces, "candidate_id", told, salts=2)
-    got = {r["candidate_id"]: r for r in parts.where("candidate_id > 1").collect()}
     empty = prompts.CHAT_SYSTEM_HEAD + prompts.CHAT_SYSTEM_TAIL
-    assert {c: (r["session_id"], r["part_no"], r["answer"]) for c, r in got.items()} == {
-        c: (s, 0, f"2|{empty}|{p}") for s, c, p in rows[1:]
-    }
-    whole = relevance.combined(parts, ["session_id", "candidate_id"], told)
-    assert sorted(r["candidate_id"] for r in whole.collect()) == [1, 2, 3, 4]
+    texts = {r["piece_no"]: r["system_prompt"] for r in pieces.collect()}
+    for kept in (None, ReplyStore(spark, tables.new_folder(spark))):
+        answers = relevance.answer_each(asked, places, pieces, "candidate_id", told, kept)
+        got = {r["candidate_id"]: (r["session_id"], r["answer"], r["error"]) for r in answers.collect()}
+        assert got[1] == (0, f"2|{texts[1]}|a", None)
+        assert {c: got[c] for c in (2, 3, 4)} == {c: (s, f"2|{empty}|{p}", None) for s, c, p in rows[1:4]}
+        assert got[5] in [(0, f"2|{t}|e", None) for t in texts.values()]  # it has no place, but its session has pieces
+
+
+# --- kept replies -----------------------------------------------------------------------------
+def counting(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def told(messages):
+        calls.add(1)
+        if "bad" in messages[-1]["content"]:
+            raise RuntimeError(f"no {messages[-1]['content']}")
+        return messages[-1]["content"].upper()
+
+    return calls, told
+
+
+def message_rows(spark, texts):
+    rows = [(i, [("user", t)]) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "conv_id bigint, messages array<struct<role: string, content: string>>")
+
+
+def test_a_second_run_asks_nothing(spark, tmp_path):
+    calls, told = counting(spark)
+    kept = ReplyStore(spark, str(tmp_path), attempts=2, per_round=3)
+    asked = message_rows(spark, ["a", "b", "a", "bad", "c", "d", "e", "a"])
+    first = sorted(map(tuple, relevance.answer(asked, told, kept).collect()))
+    assert [a for _, a, _ in first if a.startswith("Sorry")] == [f"{relevance.CHAT_APOLOGY}no bad"]
+    assert [a for i, a, _ in first if i != 3] == ["A", "B", "A", "C", "D", "E", "A"]
+    assert calls.value == 5 + 2  # equal requests once; the failing one twice
+    again = relevance.answer(asked, told, ReplyStore(spark, str(tmp_path)))
+    assert sorted(map(tuple, again.collect())) == first and calls.value == 7
+    more = relevance.answer(message_rows(spark, ["a", "new"]), told, ReplyStore(spark, str(tmp_path)))
+    assert sorted(r["answer"] for r in more.collect()) == ["A", "NEW"] and calls.value == 8
+    assert {(r["error"], r["attempts"]) for r in kept.read().where("reply is null").collect()} == {("no bad", 2)}
+
+
+def test_failed_requests_can_be_sent_again(spark, tmp_path):
+    _, told = counting(spark)
+    asked = message_rows(spark, ["bad", "good"])
+    relevance.answer(asked, told, ReplyStore(spark, str(tmp_path))).collect()
+    better = ReplyStore(spark, str(tmp_path), retry_failed=True)
+    got = relevance.answer(asked, lambda messages: "now", better).collect()
+    assert sorted((r["conv_id"], r["answer"], r["error"]) for r in got) == [(0, "now", None), (1, "GOOD", None)]
+
+
+def test_models_and_message_borders_are_kept_apart(spark, tmp_path):
+    asked = message_rows(spark, ["x"])
+    assert relevance.answer(asked, lambda m: "one", ReplyStore(spark, str(tmp_path), "one")).first()["answer"] == "one"
+    assert relevance.answer(asked, lambda m: "two", ReplyStore(spark, str(tmp_path), "two")).first()["answer"] == "two"
+    name = lambda a, b: spark.range(1).select(request_name("m", F.lit(a), F.lit(b))).first()[0]
+    assert len({name("a", "b"), name("ab", ""), name("", "ab"), name(None, "ab")}) == 4
+
+
+def test_scores_and_combined_answers_from_a_store(spark, tmp_path):
+    resumes, sessions = frames(spark)
+    wanted = prompts.relevance_prompts(screening.parse_resumes(resumes), sessions)
+    plain = sorted(map(tuple, relevance.score_relevance(wanted, lambda s, u: '{"score": %d}' % (len(u) % 100)).collect()))
+    kept = ReplyStore(spark, str(tmp_path / "a"))
+    assert sorted(map(tuple, relevance.score_relevance(wanted, lambda s, u: '{"score": %d}' % (len(u) % 100), kept).collect())) == plain
+
+    def refuses(*_):
+        raise RuntimeError("asked again")
+
+    assert sorted(map(tuple, relevance.score_relevance(wanted, refuses, kept).collect())) == plain
+    contexts = prompts.candidate_context(ranking(spark, {0: 23}), per_piece=3)
+    kept = ReplyStore(spark, str(tmp_path / "b"))
+    made = [relevance.condensed(prompts.as_system_prompts(contexts), model, 2, kept).collect() for model in (names, refuses)]
+    assert made[0] == made[1] and len(made[0][0]["digest"].split()) == 23
 
 
 def test_unreadable_pages_fall_back_without_harm_to_others(spark):
