@@ -15,9 +15,9 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from hiresift.functions import contact  # noqa: E402
 from hiresift.functions.sections import SECTIONS, extract_sections, split_merged_headers  # noqa: E402
 from hiresift.functions.similarity import pairwise_similarity  # noqa: E402
-from hiresift.functions.skills import extract_skills, required_skills  # noqa: E402
+from hiresift.functions.skills import ALL_SKILLS, extract_skills, required_skills  # noqa: E402
 from hiresift.functions.text import plain_characters, term_counts  # noqa: E402
-from hiresift.operators import layout, ranking, relevance, store  # noqa: E402
+from hiresift.operators import layout, lexicon, ranking, relevance, store  # noqa: E402
 from hiresift.operators.corpus import corpus_similarity  # noqa: E402
 from hiresift.operators.joins import lookup_join  # noqa: E402
 from hiresift.operators.replies import ReplyStore  # noqa: E402
@@ -355,6 +355,34 @@ def required(spark, d):
     )
 
 
+def _skill_table(spark):
+    return spark.createDataFrame(list(enumerate(ALL_SKILLS)), "pos int, term string")
+
+
+def lexicon_skills(spark, d):
+    """Skills of résumés by a lexicon that is a table: an automaton over each text."""
+    table = _skill_table(spark)
+    found = lexicon.find_terms(_resumes(spark, d), table, "candidate_id", "raw_text")
+    return lexicon.terms_in_order(found, table, "candidate_id", "pos").select("candidate_id", F.array_join("terms", ", ").alias("skills"))
+
+
+def lexicon_required(spark, d):
+    """Skills named anywhere in job descriptions, by joins."""
+    table = _skill_table(spark)
+    found = lexicon.find_terms(_sessions(spark, d), table, "id", "job_description", how="anywhere", broadcast_limit=0)
+    return lexicon.terms_in_order(found, table, "id", "pos").select(
+        F.col("id").alias("session_id"), F.array_join("terms", ", ").alias("required_skills")
+    )
+
+
+def lexicon_documents(spark, d):
+    """Every two neighbouring words of the benchmark, as a lexicon, in all documents, by joins."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    pairs = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)))
+    terms = fixtures.table(spark, d, "benchmark").select(F.explode(pairs).alias("term"))
+    return lexicon.find_terms(fixtures.documents(spark, d), terms, "doc_id", "text", broadcast_limit=0)
+
+
 def skills_by_category(spark, d):
     return reports.skills_by_category(_parsed(spark, d))
 
@@ -391,6 +419,16 @@ def reading_order(spark, d):
     return layout.reading_order(fixtures.extracted_pages(spark, d))
 
 
+def reading_order_words(spark, d):
+    """Reading order from one row a word and one row a page."""
+    pages = fixtures.extracted_pages(spark, d).select("doc_id", F.posexplode_outer("pages").alias("page_no", "page"))
+    pages = tables.materialize(pages)
+    words = pages.select("doc_id", "page_no", F.posexplode("page.words").alias("word_no", "w")).select(
+        "doc_id", "page_no", "word_no", "w.text", "w.x0", "w.x1", "w.top"
+    )
+    return layout.texts_of_words(words, pages.select("doc_id", "page_no", "page.height"))
+
+
 def text_fallback(spark, d):
     return layout.extract_texts(fixtures.damaged_pages(spark, d)).withColumnRenamed("doc_id", "candidate_id")
 
@@ -648,9 +686,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         stored_delete_candidates, stored_delete_notes, stored_session_by_id, stored_candidates_of_session,
         stored_notes_of_candidate, stored_schema_evolve, session_by_id, visible_sessions, session_candidates,
         candidate_notes, candidates_of_session, notes_of_candidate, session_options, dashboard, processed_count, candidates_with_notes,
-        status_by_name, first_by_name, contact_info, contact_info_documents, skills_by_category,
+        status_by_name, first_by_name, contact_info, contact_info_documents, lexicon_skills, lexicon_required, lexicon_documents, skills_by_category,
         section_items, split_headers, sections_all, parse_resumes, sanitize_text, parse_ai_reply,
-        reading_order, text_fallback, parse_documents, tfidf_pairwise, tfidf_pairwise_documents, tfidf_corpus,
+        reading_order, reading_order_words, text_fallback, parse_documents, tfidf_pairwise, tfidf_pairwise_documents, tfidf_corpus,
         overall_score, matched_skills, missing_skills, ai_score_fallback, relevance_prompts,
         relevance_with_scorer, rank_candidates, rank_candidates_ai, rank_min_score, score_band, top_k_per_session,
         rankings_table, column_widths, score_unpivot, profile_cards, compare_scores, compare_chosen,

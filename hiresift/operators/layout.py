@@ -5,24 +5,32 @@ x1, top>>>>>``.  Spark stacks the pages and sorts the words inside the row.  Gro
 words into lines and lines into column blocks looks back at where the current line
 or block began, which no window frame expresses; that part runs over Arrow batches
 of rows (``mapInArrow``), so documents spread with the scan and nothing is shuffled.
+
+``lines_of_words`` does the same for a table with one row a word: the words are sorted within
+their document by a shuffle, and the same folds stream past them.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterable, Iterator
+from itertools import chain, groupby, islice
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from hiresift.functions.fixed_values import COLUMN_GAP, LINE_TOLERANCE
 from hiresift.functions.text import is_blank
+from hiresift.operators.joins import salted_join
 
 # Task functions travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+ROWS = 4096  # of a stream that are plain Python values at once
+
 # Words of all pages on one continuous sheet, by height, then from left to right.
 # The height of the pages before is summed once per page.
 _SORTED_WORDS = """sort_array(flatten(transform(coalesce(pages, array()), (page, p) -> transform(
@@ -101,6 +109,62 @@ def _laid_out(documents: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
+def _sheet(words: DataFrame, pages: DataFrame) -> DataFrame:
+    """Words with ``y``, their height on one continuous sheet, and ``lost``: without text or place."""
+    earlier = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+    heights = pages.groupBy("doc_id", "page_no").agg(F.max("height").alias("height"))
+    above = heights.select("doc_id", "page_no", F.coalesce(F.sum("height").over(earlier), F.lit(0.0)).alias("above"))
+    place = F.struct("doc_id", "page_no", "word_no")
+    placed = salted_join(words, above, ["doc_id", "page_no"], place, "left").withColumn("y", F.col("top") + F.col("above"))
+    return placed.withColumn("lost", F.col("y").isNull() | F.col("x0").isNull() | F.col("x1").isNull() | F.col("text").isNull())
+
+
+def lines_of_words(words: DataFrame, pages: DataFrame) -> DataFrame:
+    """``(doc_id, line_no, text)`` in reading order from one row a word.
+
+    ``words(doc_id, page_no, word_no, text, x0, x1, top)``, ``pages(doc_id, page_no, height)``.
+    The words of a document are sorted by their place and streamed past: a task holds one line
+    and the lines of one block, however long the document is.  A document with a word that has
+    no text or place gives one line with a NULL text.
+    """
+    kind = dict(words.dtypes)["doc_id"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, ROWS):
+                part = batch.slice(begin, ROWS)
+                yield from zip(*(part.column(c).to_pylist() for c in ("doc_id", "lost", "y", "x0", "x1", "text")), strict=True)
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for doc_id, of_one in groupby(rows(batches), key=lambda r: r[0]):
+            first = next(of_one)
+            if first[1]:  # lost words come first
+                yield doc_id, 0, None
+                continue
+            for line_no, text in enumerate(_in_order(_lines(r[2:] for r in chain([first], of_one)))):
+                yield doc_id, line_no, text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lines(batches)
+        while some := [*islice(made, ROWS)]:
+            columns = zip(*some, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (id_kind, pa.int64(), pa.string()), strict=True)], ["doc_id", "line_no", "text"])
+
+    id_kind = to_arrow_type(words.schema["doc_id"].dataType)
+    sheet = _sheet(words, pages).select("doc_id", "lost", "y", "x0", "x1", "text", "page_no", "word_no")
+    ordered = sheet.repartition("doc_id").sortWithinPartitions("doc_id", F.desc("lost"), "y", "x0", "page_no", "word_no")
+    return ordered.mapInArrow(run, f"doc_id {kind}, line_no bigint, text string")
+
+
+def texts_of_words(words: DataFrame, pages: DataFrame) -> DataFrame:
+    """``(doc_id, text)``: like ``reading_order``, from one row a word; '' for a document that only has pages."""
+    line = F.struct("line_no", "text")
+    found = lines_of_words(words, pages).groupBy("doc_id").agg(F.sort_array(F.collect_list(line)).alias("_l"), F.count_if(F.col("text").isNull()).alias("_lost"))
+    texts = found.select("doc_id", F.when(F.col("_lost") == 0, F.array_join("_l.text", "\n")).alias("_text"), F.lit(True).alias("_found"))
+    every = pages.select("doc_id").union(words.select("doc_id")).distinct()
+    return every.join(texts, "doc_id", "left").select("doc_id", F.when(F.col("_found"), F.col("_text")).otherwise("").alias("text"))
+
+
 def reading_order(documents: DataFrame) -> DataFrame:
     """``(doc_id, text)`` in reading order from ``(doc_id, pages)``; '' without words, NULL if unreadable."""
     return _laid_out(documents, ["doc_id"])

@@ -520,6 +520,19 @@ _SELECTS = {
       from documents""",
     "extract_skills": "select candidate_id, array_to_string(skills, ', ') as skills from own_skills",
     "required_skills": "select session_id, array_to_string(required, ', ') as required_skills from jobs",
+    "lexicon_skills": "select candidate_id, array_to_string(skills, ', ') as skills from own_skills where len(skills) > 0",
+    "lexicon_required": "select session_id, array_to_string(required, ', ') as required_skills from jobs where len(required) > 0",
+    "lexicon_documents": f"""with pairs as (
+        select distinct a || ' ' || b as term from (
+          select unnest(list_zip(w[:-2], w[2:])) as p, p[1] as a, p[2] as b
+          from (select regexp_extract_all(lower(text), '[{W}]+') as w from benchmark))
+        where a is not null and b is not null),
+      pieces as (
+        select doc_id, unnest(p) as x, unnest(range(1, len(p) + 1)) as i
+        from (select doc_id, regexp_extract_all(lower(text), '[{W}]+|[^{W}]') as p from documents)),
+      runs as (
+        select doc_id, x || lead(x) over w || lead(x, 2) over w as term, lead(x) over w as middle from pieces window w as (partition by doc_id order by i))
+      select distinct doc_id, term from runs join pairs using (term) where middle = ' '""",
     "skills_by_category": f"select {_CATEGORY_CASE} as category, skill, count(*) as candidates from (select unnest(skills) as skill from own_skills) group by all",
     "section_items": _columns_joined("plain_sections", SECTIONS, ["candidate_id"]),
     "split_headers": "select candidate_id, string_agg(raw, chr(10) order by pos) as text from split_lines group by 1",
@@ -530,6 +543,7 @@ _SELECTS = {
     "sanitize_text": f"""select candidate_id, replace(translate(raw_text, '—–‘’“”', {q('--' + "''" + '""')}), '…', '...') as text from resumes""",
     "parse_ai_reply": "select candidate_id, category, score from ai",
     "reading_order": _LAYOUT_TEXT,
+    "reading_order_words": _LAYOUT_TEXT,
     "text_fallback": f"""select candidate_id, {_FALLBACK} as text
       from resumes join ({_LAYOUT_TEXT}) on doc_id = candidate_id""",
     "tfidf_pairwise": "select r.candidate_id, r.session_id, coalesce(similarity, 0.0) as similarity from resumes r left join jd_match s using (candidate_id)",

@@ -77,6 +77,59 @@ def test_reading_order(spark):
     assert {r["doc_id"]: r["text"] for r in got} == {i: brute_force(p) for i, p in documents}
 
 
+def as_words(spark, documents):
+    """The pages of documents as one row a word and one row a page."""
+    pages = [(i, p, height) for i, all_pages in documents for p, (height, _) in enumerate(all_pages)]
+    words = [(i, p, k, *w) for i, all_pages in documents for p, (_, ws) in enumerate(all_pages) for k, w in enumerate(ws)]
+    r = random.Random(1)
+    r.shuffle(words)
+    return (
+        spark.createDataFrame(words, "doc_id bigint, page_no int, word_no int, text string, x0 double, x1 double, top double").repartition(5),
+        spark.createDataFrame(pages, "doc_id bigint, page_no int, height double"),
+    )
+
+
+def test_reading_order_of_a_word_table(spark, monkeypatch):
+    monkeypatch.setattr(layout, "ROWS", 7)
+    rng = random.Random(11)
+    documents = [(i, random_pages(rng)) for i in range(300)]
+    got = {r["doc_id"]: r["text"] for r in layout.texts_of_words(*as_words(spark, documents)).collect()}
+    assert got == {i: brute_force(p) for i, p in documents if p}
+
+
+def test_words_without_a_place_in_a_word_table(spark):
+    whole = ("w", 1.0, 2.0, 3.0)
+    documents = [(0, [(100.0, [whole])]), (1, [(100.0, [])])]
+    for field in range(4):
+        broken = tuple(None if i == field else v for i, v in enumerate(whole))
+        documents += [(len(documents) + k, [(100.0, w)]) for k, w in enumerate(([broken], [("a", 0.0, 0.5, 1.0), broken, ("z", 9.0, 10.0, 90.0)]))]
+    got = {r["doc_id"]: r["text"] for r in layout.texts_of_words(*as_words(spark, documents)).collect()}
+    assert got == {i: {0: "w", 1: ""}.get(i) for i, _ in documents}
+
+
+def test_a_long_document_is_streamed(spark):
+    """A million words in lines of ten, in two columns whose blocks are short: what a task holds doesn't grow."""
+    n, per_line = 1_000_000, 10
+    i = F.col("id")
+    line, k = F.floor(i / per_line), i % per_line
+    left = F.when(k < 5, 0.0).otherwise(400.0) + 20.0 * (k % 5)
+    across = line % 4 == 0
+    left = F.when(across, 50.0 * k).otherwise(left)
+    right = left + F.when(across, 45.0).otherwise(12.0)
+    words = spark.range(n).select(
+        F.lit(7).cast("bigint").alias("doc_id"), F.lit(0).alias("page_no"), i.cast("int").alias("word_no"),
+        F.concat(F.lit("w"), i.cast("string")).alias("text"), left.alias("x0"), right.alias("x1"), (10.0 * line).alias("top"),
+    )
+    pages = spark.createDataFrame([(7, 0, 1e9)], "doc_id bigint, page_no int, height double")
+    lines = layout.lines_of_words(words, pages)
+    # A block is three lines of two columns, between lines that go across: 1 + 6 lines out of 4.
+    assert lines.count() == n // per_line // 4 * 7
+    first = [r["text"] for r in lines.where("line_no < 8").orderBy("line_no").collect()]
+    at = lambda a, b: " ".join(f"w{x}" for x in range(a, b))
+    assert first == [at(0, 10), at(10, 15), at(20, 25), at(30, 35), at(15, 20), at(25, 30), at(35, 40), at(40, 50)]
+    assert sum(len(r["text"].split()) for r in lines.where("line_no < 70").collect()) == 400
+
+
 def test_documents_without_pages(spark):
     df = spark.createDataFrame([(1, []), (2, None)], f"doc_id bigint, pages {PAGES}")
     assert [r["text"] for r in layout.reading_order(df).collect()] == ["", ""]
