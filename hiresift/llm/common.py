@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator, Sequence
@@ -48,12 +50,15 @@ def add_columns(
         from pyspark.sql.pandas.types import to_arrow_type
 
         kinds = [to_arrow_type(f.dataType) for f in new.fields]
-        for batch in batches:
-            for part in slices(batch, sized_by):
-                made = [pa.array(v, kind) for v, kind in zip(compute(part), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(n) for n in old_names), *made], names=[*old_names, *new.fieldNames()]
-                )
+        try:
+            for batch in batches:
+                for part in slices(batch, sized_by):
+                    made = [pa.array(v, kind) for v, kind in zip(compute(part), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*(part.column(n) for n in old_names), *made], names=[*old_names, *new.fieldNames()]
+                    )
+        finally:
+            release_memory()
 
     return df.mapInArrow(run, T.StructType([*old, *new.fields]))
 
@@ -91,12 +96,23 @@ def gram_hashes(hashes: np.ndarray, size: int, factor: int = 0x9E3779B97F4A7C15)
     return mix(total)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: workers serve later stages, whose memory it would take."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc
+        trim(0)
+
+
 def worker_cache(key: str, build: Callable[[], object], keep: int = 1) -> object:
-    """What ``build`` makes, kept in the worker process for later tasks of the same job; what was kept before goes."""
+    """What ``build`` makes, kept in the worker process for later tasks; what was kept before goes first."""
     store = sys.modules.setdefault("_hiresift_worker_cache", types.ModuleType("_hiresift_worker_cache")).__dict__
     held = store.setdefault("held", {})
     if key not in held:
-        while len(held) >= keep:
-            held.pop(next(iter(held)))
+        if len(held) >= keep:
+            while len(held) >= keep:
+                held.pop(next(iter(held)))
+            release_memory()
         held[key] = build()
     return held[key]

@@ -44,6 +44,7 @@ UNKNOWN = "und"
 START = b"\n" * ORDER  # what stands before a document
 SLICE = 1 << 20
 STRETCH = 4096
+SCORED = 1 << 18
 SHARES = 1_000_000
 PART = 1024
 
@@ -200,13 +201,28 @@ def has_letter(text: str | None) -> bool:
 
 
 def total_bits(tables: Tables, texts: list[str | None]) -> np.ndarray:
-    """(texts, languages): code lengths of the texts."""
-    grams, sizes = grams_of(texts)
+    """(texts, languages): code lengths of the texts, read in runs of about ``SCORED`` bytes."""
     out = np.zeros((len(texts), tables.long.shape[2]))
-    some = np.flatnonzero(sizes)
-    if len(some):
-        begins = (np.cumsum(sizes) - sizes)[some]
-        out[some] = np.add.reduceat(tables.bits(grams), begins, axis=0, dtype=np.float64)
+    pieces: list[bytes] = []
+    owners: list[int] = []
+    size = 0
+
+    def score() -> None:
+        grams, sizes = _grams_of(pieces)
+        begins = np.cumsum(sizes) - sizes
+        np.add.at(out, owners, np.add.reduceat(tables.bits(grams), begins, axis=0, dtype=np.float64))
+
+    for i, text in enumerate(texts):
+        data = START + (text or "").encode()
+        for begin in range(0, len(data) - ORDER, SCORED):
+            pieces.append(data[begin : begin + SCORED + ORDER])
+            owners.append(i)
+            size += len(pieces[-1])
+            if size >= SCORED:
+                score()
+                pieces, owners, size = [], [], 0
+    if pieces:
+        score()
     return out
 
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hiresift.llm.bpe import BEYOND_LATIN, CACHED, DIGITS, LETTERS, SPACES, byte_characters
-from hiresift.llm.common import add_columns
+from hiresift.llm.common import add_columns, release_memory, slices, worker_cache
 
 CAPACITY = 4096
 END = 2
@@ -82,15 +82,17 @@ class WordTokenizer:
         return [b"".join([cache[p] for p in found]) for found in cut]
 
 
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One tokenizer a worker, with the pieces it has seen, for all tasks."""
+    return worker_cache(f"word tokenizer {path}", lambda: WordTokenizer(path))
+
+
 def tokenize_documents(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """doc_id and the ids of the text with the end token, as little-endian unsigned 32-bit integers."""
-    loaded: list[WordTokenizer] = []
     last = np.array([end], "<u4").tobytes()
 
     def compute(batch: pa.RecordBatch) -> list:
-        if not loaded:
-            loaded.append(WordTokenizer(path))
-        return [[ids + last for ids in loaded[0].encode_texts(batch.column("text").to_pylist())]]
+        return [[ids + last for ids in tokenizer_of(path).encode_texts(batch.column("text").to_pylist())]]
 
     return add_columns(docs.select("doc_id", "text"), compute, "ids binary", drop=["text"])
 
@@ -164,9 +166,9 @@ PIECE_COLUMNS = (
 )
 
 
-def pack(tokenized: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of ``tokenized`` (doc_id, ids) with their places in sequences."""
-    kind = dict(tokenized.dtypes)["doc_id"]
+def _packed(rows: DataFrame, ids_of: Callable[[pa.RecordBatch], Iterable[tuple]], capacity: int) -> DataFrame:
+    """Pieces of the (doc_id, ids) that ``ids_of`` makes of each batch, with their places in sequences."""
+    kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
@@ -183,8 +185,8 @@ def pack(tokenized: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         for batch in batches:
             id_kind = batch.schema.field("doc_id").type
             rows = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                rows += packer.add(doc_id, ids.as_py() or b"")
+            for doc_id, ids in ids_of(batch):
+                rows += packer.add(doc_id, ids)
                 if len(rows) > 2000:
                     yield made(rows)
                     rows = []
@@ -193,12 +195,30 @@ def pack(tokenized: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         rows = list(packer.finish())
         if rows:
             yield made(rows)
+        release_memory()
 
-    return tokenized.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, {PIECE_COLUMNS}")
+    return rows.mapInArrow(run, f"doc_id {kind}, {PIECE_COLUMNS}")
+
+
+def pack(tokenized: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Pieces of ``tokenized`` (doc_id, ids) with their places in sequences."""
+
+    def ids_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+        return ((d, ids.as_py() or b"") for d, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True))
+
+    return _packed(tokenized.select("doc_id", "ids"), ids_of, capacity)
+
+
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+    """``pack`` of ``tokenize_documents``, in one worker a task."""
+    last = np.array([end], "<u4").tobytes()
 
+    def ids_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for part in slices(batch, "text"):
+            ids = tokenizer_of(path).encode_texts(part.column("text").to_pylist())
+            yield from zip(part.column("doc_id").to_pylist(), (i + last for i in ids), strict=True)
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    return pack(tokenize_documents(docs, path), capacity)
+    return _packed(docs.select("doc_id", "text"), ids_of, capacity)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

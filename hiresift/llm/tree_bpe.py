@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hiresift.llm.bpe import PIECES, cut_pieces
-from hiresift.llm.common import add_columns
+from hiresift.llm.common import add_columns, worker_cache
 
 LEAF = 8
 SCANNED = 64  # windows of at most so many bytes are merged by scanning, longer ones with a heap
@@ -193,26 +193,26 @@ class TreeBpe:
         return self._concatenated(ids[:half]) + self._concatenated(ids[half:])
 
 
+def codec_of(path: str, pattern: str) -> TreeBpe:
+    """One codec a worker, with the pieces it has seen, for all tasks."""
+    return worker_cache(f"tree codec {path} {pattern}", lambda: TreeBpe(path, pattern))
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids``: the text's ids as little-endian unsigned 32-bit integers."""
-    loaded: list[TreeBpe] = []
 
     def compute(batch: pa.RecordBatch) -> list:
-        if not loaded:
-            loaded.append(TreeBpe(path, pattern))
-        return [loaded[0].encode_texts(batch.column(text).to_pylist())]
+        return [codec_of(path, pattern).encode_texts(batch.column(text).to_pylist())]
 
     return add_columns(docs, compute, "ids binary", sized_by=text)
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """``encoded`` with ``decoded``, the bytes of its ``ids``."""
-    loaded: list[TreeBpe] = []
 
     def compute(batch: pa.RecordBatch) -> list:
-        if not loaded:
-            loaded.append(TreeBpe(path, pattern))
-        return [[None if b is None else loaded[0].decode(b) for b in batch.column("ids").to_pylist()]]
+        codec = codec_of(path, pattern)
+        return [[None if b is None else codec.decode(b) for b in batch.column("ids").to_pylist()]]
 
     return add_columns(encoded, compute, "decoded binary", sized_by="ids")
 
