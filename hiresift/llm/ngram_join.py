@@ -13,7 +13,10 @@ t = n - ceil(s n) in a partner (s the share ``percent``, 85 in op9), so among an
 has too.  The inverted lists hold, for a fixed quarter of all shingles, the t + 1 of each set
 that are rarest in the corpus; sets in which the quarter falls short of t + 1 meet each other
 in lists over all their shingles.  Shingles of one set alone open no list, so most sets are in
-none.  A list is scanned pair by pair only in memory, against parity bitmaps whose Hamming
+none.  First come stars: in the lists of its ``SPINE`` rarest shingles each set is compared with
+the smallest set of its size, so a group of any number of near copies gives a few links per set
+and is one component from then on.  After that a list is scanned for pairs of sets that are not
+connected yet; one whose sets are all connected is skipped.  A list is scanned pair by pair only in memory, against parity bitmaps whose Hamming
 distance never exceeds the symmetric difference: what they rule out can't link.  From the rest
 come, per list, a spanning forest and the closest pairs; these are compared exactly by their
 texts.  If a list held pairs back, it is scanned again for pairs of sets that are not connected
@@ -44,7 +47,7 @@ from pyspark.sql import functions as F
 
 from hiresift.llm.common import add_columns, gram_hashes, lower_ascii, mix, slices, word_hashes
 from hiresift.llm.graph import components
-from hiresift.operators.joins import ROWS_PER_SALT
+from hiresift.operators.joins import ROWS_PER_SALT, salted_join
 from hiresift.sources.tables import materialize
 
 SHINGLE = 4
@@ -57,6 +60,7 @@ LIST_COST = 4.0
 BLOCK = 4096  # sets of one list that a task compares with as many others
 SAMPLED = 64
 LISTED = "scope int, elem long, sid long"
+SPINE = 2  # of a set's lists, the rarest, that take part in stars
 
 
 # --- sets ---------------------------------------------------------------------------------
@@ -153,11 +157,27 @@ def light_subsets(classes: DataFrame, boundary: int, percent: int = PERCENT) ->
     return few.select("sid", "light").mapInArrow(run, "key long, share long, n long, sid long")
 
 
-def light_links(subsets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (u, v) of light sets: to the smallest set that has the same subset."""
-    hub = F.min(F.struct("n", "sid")).over(W.partitionBy("key", "share"))
+def common_subsets(classes: DataFrame, boundary: int, rows_per_salt: int, percent: int = PERCENT) -> DataFrame:
+    """Subsets estimated to be in more than rows_per_salt sets; decides only how they are processed."""
+    every = min(SAMPLED, max(1, rows_per_salt // 4))
+    part = light_subsets(classes.where(F.pmod(F.xxhash64("sid"), F.lit(every)) == 0), boundary, percent)
+    n = part.groupBy("key", "share").agg(F.count(F.lit(1)).alias("n"))
+    return n.where(F.col("n") * every > rows_per_salt).select("key", "share")
+
+
+def light_links(subsets: DataFrame, percent: int = PERCENT, hot: DataFrame | None = None, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """Links (u, v) of light sets: to the smallest set that has the same subset; ``hot`` ones by a salted join."""
+    by = ["key", "share"]
+    smallest = F.min(F.struct("n", "sid"))
+    if hot is None:
+        met = subsets.withColumn("hub", smallest.over(W.partitionBy(*by)))
+    else:
+        cold = subsets.join(F.broadcast(hot), by, "left_anti").withColumn("hub", smallest.over(W.partitionBy(*by)))
+        common = subsets.join(F.broadcast(hot), by, "left_semi")
+        hubs = common.groupBy(*by).agg(smallest.alias("hub"), F.count(F.lit(1)).alias("_rows"))
+        met = cold.unionByName(salted_join(common, hubs, by, "sid", sizes="_rows", rows_per_salt=rows_per_salt))
     fits = 100 * F.col("share") >= percent * (F.col("n") + F.col("hub.n") - F.col("share"))
-    return subsets.withColumn("hub", hub).where(fits & (F.col("sid") != F.col("hub.sid"))).select(
+    return met.where(fits & (F.col("sid") != F.col("hub.sid"))).select(
         F.col("sid").alias("u"), F.col("hub.sid").alias("v")
     )
 
@@ -218,7 +238,7 @@ def common_shingles(docs: DataFrame, least: int, rows_per_salt: int, size: int =
 
 
 def prefixes(shared: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """scope, elem, sid: the rarest shingles of each set, as many as a partner can't miss all of."""
+    """scope, elem, sid, rank (0: the rarest): the rarest shingles of each set, as many as a partner can't miss all of."""
     n, quarter = F.col("n_shingles"), F.col("quarter")
     posted = F.when(F.col("scope") == 0, n).otherwise(quarter)
     missing = n - F.ceil(percent * n / 100)
@@ -228,8 +248,8 @@ def prefixes(shared: DataFrame, classes: DataFrame, percent: int = PERCENT) -> D
         per_set.join(classes.select("sid", "n_shingles", "quarter"), "sid")
         .withColumn("take", F.least(take, F.size("own")).cast("int"))
         .where("take > 0")
-        .select("scope", "sid", F.explode(F.slice(F.array_sort("own"), 1, F.col("take"))).alias("x"))
-        .select("scope", F.col("x.elem").alias("elem"), "sid")
+        .select("scope", "sid", F.posexplode(F.slice(F.array_sort("own"), 1, F.col("take"))).alias("rank", "x"))
+        .select("scope", F.col("x.elem").alias("elem"), "sid", "rank")
     )
 
 
@@ -290,6 +310,22 @@ def chosen(i: np.ndarray, j: np.ndarray, distance: np.ndarray, group: np.ndarray
     return take
 
 
+def may_link(n_i: np.ndarray, n_j: np.ndarray, left: list[bytes], right: list[bytes], percent: int = PERCENT) -> np.ndarray:
+    """Whether the bitmaps of pairs of sets allow a link."""
+    bits = [np.fromiter((8 * len(b) for b in side), np.int64, len(side)) for side in (left, right)]
+    low = np.minimum(*bits)
+    keep = np.zeros(len(low), bool)
+    for level in np.unique(low).tolist():
+        here = np.flatnonzero(low == level)
+        chunk = max(1, (1 << 24) // max(1, level))
+        for begin in range(0, len(here), chunk):
+            some = here[begin : begin + chunk]
+            a, b = (_folded([side[x] for x in some], level) for side in (left, right))
+            distance = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            keep[some] = distance <= n_i[some] + n_j[some] - 2 * needed(n_i[some] + n_j[some], percent)
+    return keep
+
+
 def small_pairs(n: np.ndarray, bitmaps: list[bytes], group: np.ndarray, side: np.ndarray, begin: np.ndarray, size: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """``close_pairs`` of many short lists at once, each from ``begin`` on ``size`` rows long."""
     first, second = [], []
@@ -301,17 +337,7 @@ def small_pairs(n: np.ndarray, bitmaps: list[bytes], group: np.ndarray, side: np
     i, j = np.concatenate(first), np.concatenate(second)
     ok = (100 * n[i] >= percent * n[j]) & (group[i] != group[j]) & (side[i] != side[j])
     i, j = i[ok], j[ok]
-    bits = np.fromiter((8 * len(b) for b in bitmaps), np.int64, len(bitmaps))
-    keep = np.zeros(len(i), bool)
-    for low, high in set(zip(bits[i].tolist(), bits[j].tolist(), strict=True)):
-        here = np.flatnonzero((bits[i] == low) & (bits[j] == high))
-        chunk = max(1, (1 << 24) // high)
-        for begin_ in range(0, len(here), chunk):
-            some = here[begin_ : begin_ + chunk]
-            left, right = _folded([bitmaps[x] for x in i[some]], low), _folded([bitmaps[x] for x in j[some]], low)
-            distance = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
-            total = n[i[some]] + n[j[some]]
-            keep[some] = distance <= total - 2 * needed(total, percent)
+    keep = may_link(n[i], n[j], [bitmaps[x] for x in i], [bitmaps[x] for x in j], percent)
     return i[keep], j[keep]
 
 
@@ -352,6 +378,8 @@ def candidates(listed: DataFrame, wave: int, percent: int = PERCENT) -> DataFram
             u.append(sid[i]), v.append(sid[j])
         for b, k in zip(begin[size > SHORT_LIST].tolist(), size[size > SHORT_LIST].tolist(), strict=True):
             own = slice(b, b + k)
+            if (group[own] == group[b]).all():
+                continue
             i, j, distance = close_pairs(n[own], bitmaps[own], group[own], side[own] if two[b] else None, percent)
             limit = 4 * k * 4**wave
             if len(i) > limit:
@@ -412,6 +440,27 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE, percent: i
     return add_columns(named, compute, "linked boolean", sized_by="a", drop=["a", "b"]).where("linked").select("u", "v")
 
 
+def star_pairs(lists: DataFrame, classes: DataFrame, rows_per_salt: int, percent: int = PERCENT) -> DataFrame:
+    """(u, v): each set with the smallest set about its size in the lists of its rarest shingles, if the bitmaps allow a link."""
+    by = ["scope", "elem", "band"]
+    band = F.floor(F.log("n") / F.log(F.lit(100 / percent))) if percent < 100 else F.col("n")
+    sets = classes.select("sid", F.col("n_shingles").alias("n"), "bitmap")
+    rows = lists.where(F.col("rank") < SPINE).join(sets, "sid").withColumn("band", band.cast("long")).select(*by, "sid", "n", "bitmap")
+    hubs = rows.groupBy(*by).agg(F.min(F.struct("n", "sid", "bitmap")).alias("hub"), F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
+    met = salted_join(rows, hubs, by, "sid", sizes="_rows", rows_per_salt=rows_per_salt).where("sid <> hub.sid")
+    pairs = met.select(
+        F.col("sid").alias("u"), F.col("hub.sid").alias("v"), "n", F.col("hub.n").alias("least"), "bitmap", F.col("hub.bitmap").alias("other")
+    ).where(100 * F.col("least") >= percent * F.col("n"))
+
+    def compute(batch: pa.RecordBatch) -> list:
+        sizes = (batch.column(c).to_numpy() for c in ("n", "least"))
+        maps = (batch.column(c).to_pylist() for c in ("bitmap", "other"))
+        return [may_link(*sizes, *maps, percent)]
+
+    judged = add_columns(pairs, compute, "near boolean", sized_by="bitmap", drop=["n", "least", "bitmap", "other"])
+    return judged.where("near").select("u", "v").distinct()
+
+
 def list_links(
     lists: DataFrame, classes: DataFrame, texts: DataFrame, links: DataFrame, block: int,
     size: int = SHINGLE, percent: int = PERCENT,
@@ -453,15 +502,19 @@ def join_ngrams(
     )
     boundary = boundary_of(classes, percent)
     least = -(-percent * (boundary + 1) // 100)  # a smaller light set has no heavy partner
-    links = materialize(light_links(light_subsets(classes, boundary, percent), percent).distinct())
+    often = materialize(common_subsets(classes, boundary, rows_per_salt, percent))
+    often = None if often.isEmpty() else often
+    links = materialize(light_links(light_subsets(classes, boundary, percent), percent, often, rows_per_salt).distinct())
     hot = materialize(common_shingles(docs, least, rows_per_salt, size, percent))
     hot = None if hot.isEmpty() else hot
     lists = materialize(prefixes(shared_postings(postings(docs, least, size, percent), hot), classes, percent))
     in_lists = lists.groupBy("scope", "elem").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi")
-    lists = lists.join(in_lists.select("scope", "elem"), ["scope", "elem"])
+    lists = materialize(lists.join(in_lists.select("scope", "elem"), ["scope", "elem"]))
     reps = lists.select("sid").distinct().join(classes.select("sid", "rep.*"), "sid")
     texts = materialize(docs.select("_doc", "_text", "text").join(reps, ["_doc", "_text"]).select("sid", "text").dropDuplicates(["sid"]))
-    links = list_links(lists, classes, texts, links, block, size, percent)
+    stars = verified(star_pairs(lists, classes, rows_per_salt, percent), texts, size, percent)
+    links = materialize(links.unionByName(stars))
+    links = list_links(lists.drop("rank"), classes, texts, links, block, size, percent)
     groups = components(links)
     first = (
         classes.select("sid", F.col("rep._doc").alias("_low"))

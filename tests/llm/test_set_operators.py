@@ -217,6 +217,24 @@ def test_lists_that_hold_pairs_back_are_scanned_again():
     assert len(set(smallest_reachable(300, list(zip(i[take].tolist(), j[take].tolist()))))) == 1
 
 
+def test_a_group_of_near_copies_gives_few_pairs(documents, monkeypatch):
+    """What is compared grows with the group, not with its square; afterwards its lists are skipped."""
+    r = random.Random(2)
+    base = [f"w{r.randrange(400)}" for _ in range(300)]
+    compared = {}
+    for g in (60, 240):
+        rows = [(i, " ".join([*base[:k], f"x{i}", *base[k + 1 :]])) for i in range(g) for k in [r.randrange(300)]]
+        seen = []
+        plain, verified = ngram_join.candidates, ngram_join.verified
+        monkeypatch.setattr(ngram_join, "verified", lambda pairs, *a, **k: seen.append(pairs.count()) or verified(pairs, *a, **k))
+        monkeypatch.setattr(ngram_join, "candidates", lambda listed, *a, **k: (lambda f: seen.append(f.count()) or f)(plain(listed, *a, **k)))
+        got = ngram_join.join_ngrams(documents(rows)).collect()
+        monkeypatch.undo()
+        assert {x.component_id for x in got} == {0}
+        compared[g] = sum(seen)
+    assert compared[240] <= 6 * compared[60] and compared[240] <= 240 * 2 * ngram_join.SPINE
+
+
 def test_ngram_join_of_nothing(documents):
     assert ngram_join.join_ngrams(documents([])).count() == 0
 
