@@ -18,11 +18,11 @@ from hiresift.functions.similarity import pairwise_similarity  # noqa: E402
 from hiresift.functions.skills import ALL_SKILLS, extract_skills, required_skills  # noqa: E402
 from hiresift.functions.text import plain_characters, term_counts  # noqa: E402
 from hiresift.operators import layout, lexicon, ranking, relevance, store  # noqa: E402
-from hiresift.operators.corpus import corpus_similarity  # noqa: E402
+from hiresift.operators.corpus import append_frequencies, corpus_similarity, document_frequencies, stored_frequencies  # noqa: E402
 from hiresift.operators.joins import lookup_join  # noqa: E402
 from hiresift.operators.replies import ReplyStore  # noqa: E402
 from hiresift.plans import prompts, reports, screening  # noqa: E402
-from hiresift.sources import fixtures, stored, tables  # noqa: E402
+from hiresift.sources import files, fixtures, stored, tables  # noqa: E402
 
 try:
     from hiresift.llm import queries as llm_queries  # noqa: E402
@@ -259,6 +259,40 @@ def stored_notes_of_candidate(spark, d):
     return _stored(spark, notes=fixtures.view(spark, d, "notes")).lookup("notes", 1)
 
 
+def candidate_json_variant(spark, d):
+    """Records with keys that no schema knows, stored as VARIANT and opened again."""
+    unknown = F.format_string(', "reviewed": {"team": "T%d", "level": %d}}', F.col("id") % 5, F.col("id") % 3)
+    candidates = persist_candidates(spark, d)
+    longer = F.concat(F.expr("substring(data_json, 1, length(data_json) - 1)"), unknown)
+    path = tables.new_folder(spark)
+    store.variant_records(candidates.withColumn("data_json", longer)).write.parquet(path)
+    fields = {
+        "record_name": ("$.name", "string"), "overall": ("$.overall", "double"), "first_skill": ("$.all_skills[0]", "string"),
+        "team": ("$.reviewed.team", "string"), "level": ("$.reviewed.level", "int"), "absent": ("$.reviewed.none", "string"),
+    }
+    opened = store.record_fields(spark.read.parquet(path), fields)
+    return opened.select("id", "session_id", *fields)
+
+
+def scan_files(spark, d):
+    """Job descriptions as files, some of them damaged: each is read or rejected."""
+    path = tables.new_folder(spark)
+    jobs = fixtures.view(spark, d, "requests").select("id", F.encode("jd_text", "utf-8").alias("bytes"))
+    damaged = F.when(F.col("id") % 7 == 1, F.concat("bytes", F.unhex(F.lit("FFFE")))).otherwise(F.col("bytes"))
+    files_of = jobs.select(F.concat(F.lit("jd_"), F.col("id").cast("string")).alias("file"), damaged.cast("string").alias("value"))
+    files_of.repartition("file").write.partitionBy("file").text(path)
+    number = F.regexp_extract("path", "/file=jd_([0-9]+)/", 1).cast("bigint")
+    return files.scan_files(spark, path, "*.txt").select(number.alias("id"), "raw_text", "reject_reason")
+
+
+def tfidf_corpus_stored(spark, d):
+    """Document frequencies kept as a table and added to in two batches."""
+    path, resumes = tables.new_folder(spark), _resumes(spark, d)
+    for half in (0, 1):
+        append_frequencies(document_frequencies(resumes.where(F.col("candidate_id") % 2 == half)), path)
+    return corpus_similarity(resumes, _sessions(spark, d), frequencies=tables.materialize(stored_frequencies(spark, path)))
+
+
 def stored_schema_evolve(spark, d):
     """Files of two generations in one table: the older ones lack a column."""
     path = tables.new_folder(spark)
@@ -684,7 +718,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         apply_status_updates, delete_cascade_sessions, delete_cascade_candidates,
         delete_cascade_notes, stored_sessions, stored_candidates, stored_notes, stored_status_updates, stored_delete_sessions,
         stored_delete_candidates, stored_delete_notes, stored_session_by_id, stored_candidates_of_session,
-        stored_notes_of_candidate, stored_schema_evolve, session_by_id, visible_sessions, session_candidates,
+        stored_notes_of_candidate, stored_schema_evolve, candidate_json_variant, scan_files, tfidf_corpus_stored, session_by_id, visible_sessions, session_candidates,
         candidate_notes, candidates_of_session, notes_of_candidate, session_options, dashboard, processed_count, candidates_with_notes,
         status_by_name, first_by_name, contact_info, contact_info_documents, lexicon_skills, lexicon_required, lexicon_documents, skills_by_category,
         section_items, split_headers, sections_all, parse_resumes, sanitize_text, parse_ai_reply,

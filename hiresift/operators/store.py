@@ -86,6 +86,26 @@ def loaded_candidates(candidates: DataFrame) -> DataFrame:
     )
 
 
+def variant_records(candidates: DataFrame) -> DataFrame:
+    """Candidates with ``data``, the JSON record as a VARIANT: unknown keys stay; NULL where it is no JSON."""
+    return candidates.withColumn("data", F.try_parse_json("data_json")).drop("data_json")
+
+
+def record_fields(records: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """``records`` with a column for each ``name: (path, type)`` of ``data``; NULL where it is absent or of another type."""
+    return records.withColumns({name: F.try_variant_get("data", path, kind) for name, (path, kind) in fields.items()})
+
+
+def record_schema(records: DataFrame) -> str:
+    """The schema of all records together, merged in the tasks."""
+    return records.agg(F.schema_of_variant_agg("data").alias("s")).first()["s"]
+
+
+def json_records(records: DataFrame) -> DataFrame:
+    """Back to ``data_json``, with every key that the record had."""
+    return records.withColumn("data_json", F.to_json("data")).drop("data")
+
+
 def with_columns_of(old: DataFrame, new: DataFrame) -> DataFrame:
     """Both tables as one; columns the older one lacks are NULL."""
     return old.unionByName(new, allowMissingColumns=True)

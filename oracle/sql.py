@@ -632,6 +632,12 @@ _SELECTS |= {
     "stored_candidates_of_session": "select * from candidates where session_id = 0",
     "stored_notes_of_candidate": "select * from notes where candidate_id = 1",
     "stored_schema_evolve": _SELECTS["schema_evolve"],
+    "candidate_json_variant": """select candidate_id as id, session_id, name as record_name, overall, all_skills[1] as first_skill,
+      'T' || (candidate_id % 5) as team, (candidate_id % 3)::int as level, null::varchar as absent from scored""",
+    "scan_files": f"""select id, case when id % 7 <> 1 then jd_text || chr(10) end as raw_text,
+      case when id % 7 = 1 then 'the file is not UTF-8 text' when {blank('jd_text')} then 'no text could be extracted' end as reject_reason
+      from requests""",
+    "tfidf_corpus_stored": _CORPUS,
 }
 _SELECTS |= {
     f"score_{c}": f"select candidate_id, session_id, score_{c}::double as score_{c} from sub" for c in CATEGORIES

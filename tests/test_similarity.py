@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hiresift.functions.fixed_values import STOP_WORDS
 from hiresift.functions.similarity import pairwise_similarity
 from hiresift.functions.text import term_counts
-from hiresift.operators.corpus import corpus_similarity
+from hiresift.operators.corpus import append_frequencies, corpus_similarity, document_frequencies, stored_frequencies
 
 WORDS = "python data team The and sql cloud built services lead été kafka spark with of go".split()
 
@@ -68,3 +68,34 @@ def test_corpus(spark, rows_per_salt, limit):
         own = [(i, t) for i, session, t in resumes if session == s]
         for (i, _), want in zip(own, similarities(job, [t for _, t in own])):
             assert got[i] == pytest.approx(want, abs=0.0501)
+
+
+def test_corpus_sums_do_not_depend_on_partitions(spark):
+    rng = random.Random(9)
+    jobs = spark.createDataFrame([(s, random_text(rng, 40)) for s in range(3)], "id bigint, job_description string")
+    rows = [(i, rng.randrange(3), random_text(rng, 60)) for i in range(200)]
+    resumes = spark.createDataFrame(rows, "candidate_id bigint, session_id bigint, raw_text string")
+    results = []
+    for partitions in (1, 7, 200):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            results.append(sorted(map(tuple, corpus_similarity(resumes.repartition(partitions), jobs, broadcast_limit=0).collect())))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert results[0] == results[1] == results[2]
+
+
+def test_stored_frequencies_are_added_to(spark, tmp_path):
+    rng = random.Random(10)
+    jobs = spark.createDataFrame([(s, random_text(rng, 15)) for s in range(3)], "id bigint, job_description string")
+    rows = [(i, rng.randrange(3), random_text(rng, 25)) for i in range(90)]
+    make = lambda some: spark.createDataFrame(some, "candidate_id bigint, session_id bigint, raw_text string")
+    path = str(tmp_path / "df")
+    for begin in (0, 30, 60):
+        append_frequencies(document_frequencies(make(rows[begin : begin + 30])), path)
+    known = stored_frequencies(spark, path)
+    assert sorted(map(tuple, known.collect()), key=str) == sorted(map(tuple, document_frequencies(make(rows)).collect()), key=str)
+    whole = sorted(map(tuple, corpus_similarity(make(rows), jobs).collect()))
+    assert sorted(map(tuple, corpus_similarity(make(rows), jobs, frequencies=known).collect())) == whole
+    # The last batch by itself, against the frequencies of all: the session isn't counted again.
+    assert sorted(map(tuple, corpus_similarity(make(rows[60:]), jobs, frequencies=known).collect())) == [r for r in whole if r[0] >= 60]

@@ -52,6 +52,21 @@ def test_json_record_comes_back_whole(spark):
     assert by_id(loaded.drop("status").select(scored.columns)) == by_id(scored)
 
 
+def test_unknown_keys_survive_as_variant(spark, tmp_path):
+    import json
+
+    records = ['{"name": "Ann", "overall": 81.5, "extra": {"a": [1, "x", null], "b": true}}', '{"name": null, "list": []}', "no json", None, '{"overall": "high"}']
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(records)], "id bigint, data_json string")
+    store.variant_records(df).write.parquet(str(tmp_path / "v"))
+    stored = spark.read.parquet(str(tmp_path / "v"))
+    back = {r["id"]: r["data_json"] and json.loads(r["data_json"]) for r in store.json_records(stored).collect()}
+    assert back == {0: json.loads(records[0]), 1: json.loads(records[1]), 2: None, 3: None, 4: json.loads(records[4])}
+    fields = {"name": ("$.name", "string"), "overall": ("$.overall", "double"), "deep": ("$.extra.a[1]", "string")}
+    got = {r["id"]: (r["name"], r["overall"], r["deep"]) for r in store.record_fields(stored, fields).collect()}
+    assert got == {0: ("Ann", 81.5, "x"), 1: (None, None, None), 2: (None, None, None), 3: (None, None, None), 4: (None, None, None)}
+    assert "extra" in store.record_schema(stored) and "list" in store.record_schema(stored)
+
+
 def test_delete_leaves_no_orphans(spark):
     gone = spark.createDataFrame([(1,), (77,)], "id bigint")
     for options in ({}, {"broadcast_limit": 0, "rows_per_salt": 1}):
