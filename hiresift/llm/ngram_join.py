@@ -28,8 +28,9 @@ The boundary comes from the cost of both ways, by the number of sets of each siz
 Defined cases: a null or empty text has an empty set and is a component of its own.  Rows
 with one doc_id and different texts are compared apart and both bear that id.  A null doc_id
 counts as larger than all others and gives a null component_id if nothing else is reached.
-Sets are named by 64 bits of their 128-bit hash.  Extra columns stay, those with a result's
-name are replaced.
+Sets are named by 64 bits of their 128-bit hash.  An empty table gives an empty one; texts of
+any length are read whole, and compared by their bitmaps first.  Extra columns stay, those with
+a result's name are replaced.
 """
 
 from __future__ import annotations
@@ -488,6 +489,27 @@ def join_ngrams(
     docs: DataFrame, rows_per_salt: int = ROWS_PER_SALT, block: int = BLOCK, size: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
     """``docs`` with n_shingles and component_id; sets of ``size``-word shingles link from ``percent`` on."""
+    return _grouped(docs, rows_per_salt, block, size, percent).drop("_doc", "_text", "_low", "_rows")
+
+
+def first_of_groups(
+    docs: DataFrame, rows_per_salt: int = ROWS_PER_SALT, block: int = BLOCK, size: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
+    """One row of each group of linked documents: of the smallest id, and of that the smallest hash of a text.
+
+    So of near copies without an id, or with one id, one stays too, and of equal rows one.
+    Documents without words are linked with nothing and stay.
+    """
+    name = F.struct("_doc", "_text")
+    grouped = _grouped(docs, rows_per_salt, block, size, percent)
+    kept = grouped.where((F.col("n_shingles") == 0) | (F.col("_low") == name))
+    again = (F.col("n_shingles") > 0) & (F.col("_rows") > 1)
+    whole = kept.where(~again).unionByName(kept.where(again).dropDuplicates(["_doc", "_text"]))
+    return whole.drop("n_shingles", "component_id", "_doc", "_text", "_low", "_rows")
+
+
+def _grouped(docs: DataFrame, rows_per_salt: int, block: int, size: int, percent: int) -> DataFrame:
+    """``docs`` with n_shingles, component_id, the rows' names, ``_low``, the first name of the component, and ``_rows`` of a name."""
     docs = docs.drop("n_shingles", "component_id").withColumns(
         {"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_text": F.xxhash64("text")}
     )
@@ -517,21 +539,19 @@ def join_ngrams(
     links = list_links(lists.drop("rank"), classes, texts, links, block, size, percent)
     groups = components(links)
     first = (
-        classes.select("sid", F.col("rep._doc").alias("_low"))
+        classes.select("sid", F.col("rep").alias("_low"))
         .join(groups.withColumnRenamed("node", "sid"), "sid", "left")
         .withColumn("component", F.coalesce("component", "sid"))
     )
-    low = first.groupBy("component").agg(F.min("_low").alias("component_id"))
-    per_set = first.join(low, "component").select("sid", "component_id")
+    low = first.groupBy("component").agg(F.min("_low").alias("_low"))
+    per_set = first.drop("_low").join(low, "component").select("sid", "_low")
     per_row = (
-        members.select("_doc", "_text", "sid", "n_shingles").distinct()
+        members.groupBy("_doc", "_text").agg(F.first("sid").alias("sid"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("_rows"))
         .join(per_set, "sid", "left")
-        .select("_doc", "_text", "n_shingles", F.coalesce("component_id", "_doc").alias("component_id"))
+        .select("_doc", "_text", "n_shingles", "_low", "_rows", F.coalesce("_low._doc", "_doc").alias("component_id"))
     )
-    return (
-        docs.join(per_row, ["_doc", "_text"], "left")
-        .withColumn("component_id", F.when(F.col("component_id") < LAST, F.col("component_id")))
-        .drop("_doc", "_text")
+    return docs.join(per_row, ["_doc", "_text"], "left").withColumn(
+        "component_id", F.when(F.col("component_id") < LAST, F.col("component_id"))
     )
 
 

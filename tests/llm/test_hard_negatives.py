@@ -76,10 +76,12 @@ def test_query_equals_brute_force_and_sql(spark, tmp_path):
     assert sorted(cursor.fetchall(), key=str) == want
 
 
-def test_many_groups_and_small_blocks(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("ranges,first", [(3, 1), (4096, 2), (4096, 100)])
+def test_many_groups_and_small_blocks(spark, tmp_path, monkeypatch, ranges, first):
     monkeypatch.setattr(hard, "GROUP_ROWS", 60)
     monkeypatch.setattr(hard, "LEAST_ROWS", 20)
-    monkeypatch.setattr(hard, "RANGES", 3)
+    monkeypatch.setattr(hard, "RANGES", ranges)
+    monkeypatch.setattr(hard, "FIRST", first)
     rows = odd_vectors()
     assert sorted(map(tuple, ask(spark, tmp_path, rows).collect()), key=str) == brute(rows)
 

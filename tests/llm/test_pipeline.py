@@ -90,6 +90,19 @@ def test_near_copies_from_five_words_and_four_fifths(spark, documents):
     assert kept == {1, 3, 4, 5, 7, 8}
 
 
+def test_one_row_of_near_copies_whatever_their_ids(spark, documents):
+    base = " ".join(f"w{i}" for i in range(100))
+    other = " ".join(f"v{i}" for i in range(100))
+    rows = [
+        (1, f"{base} a"), (2, f"{base} b"), (2, f"{base} c"),  # near copies, two of one id
+        (None, f"{other} a"), (None, f"{other} b"), (None, f"{other} b"),  # without ids, two of them equal
+        (7, "only one here"), (7, "only one here"), (8, "one id"), (8, "and another text"), (9, None), (9, None), (10, ""),
+    ]
+    kept = corpus_pipeline.one_of_near_copies(spark, documents(rows), "").collect()
+    got = sorted((r.doc_id or 0, (r.text or "")[:3]) for r in kept)
+    assert got == [(0, "v0 "), (1, "w0 "), (7, "onl"), (8, "and"), (8, "one"), (9, ""), (9, ""), (10, "")]
+
+
 def test_stages_of_nothing(spark, documents):
     docs = documents([])
     for _, stage in corpus_pipeline.STAGES:
