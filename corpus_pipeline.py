@@ -6,7 +6,8 @@ secrets are masked, and what is left becomes sequences of token ids.  All stages
 return the columns of ``documents``; ``n_chars`` follows the text.
 
 A document that has lost all its words to line dedup goes too; one that had none before stays.
-Rows with one doc_id are one document and stay or go together.
+Rows with one doc_id and different texts are judged one by one, and so are rows without an id; of
+near copies among them one row stays.  Equal rows are copies of each other.
 """
 
 from __future__ import annotations
@@ -42,9 +43,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of linked documents."""
-    grouped = ngram_join.join_ngrams(docs.select(*COLUMNS), size=NEAR_WORDS, percent=NEAR_PERCENT)
-    return grouped.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(*COLUMNS)
+    """One row of each group of linked documents, that of the smallest doc_id; of equal ids that of the smallest text hash."""
+    return ngram_join.first_of_groups(docs.select(*COLUMNS), size=NEAR_WORDS, percent=NEAR_PERCENT).select(*COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
