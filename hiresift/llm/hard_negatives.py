@@ -15,8 +15,10 @@ rows and for whole groups, with the ranges of their angles and norms.
 
 At scale: rows are range-partitioned by label, nearest direction and angle into groups of
 about ``GROUP_ROWS`` rows, whatever shares a label or a vector.  The anchors, a stated query
-set, are sent to the groups that they may meet and stream past the group's rows in batches, so
-a task holds one group and one batch.  From each group come at most a few rows per anchor.
+set, are sent to groups and stream past a group's rows in batches, so a task holds one group and
+one batch.  They first go to the ``FIRST`` groups with the highest bounds; what is found there
+narrows their windows, and they go on to those of the other groups that may still meet one.
+From each group come at most a few rows per anchor.
 Directions are chosen from ``SAMPLE`` rows; they decide only how much is filtered.  The driver
 holds these and the ranges of at most ``RANGES`` runs of groups.
 
@@ -44,6 +46,7 @@ from hiresift.sources.tables import materialize
 GROUP_ROWS, LEAST_ROWS = 32_768, 2_048
 BLOCK_ROWS, BATCH_ANCHORS = 256, 512
 DIRECTIONS, SAMPLE, RANGES = 32, 2_048, 4_096
+FIRST = 8
 NEAREST = 3  # directions by which single rows are judged, besides their block's
 ANGLE_SLACK, SCORE_SLACK = 1e-6, 1e-9
 LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
@@ -53,7 +56,7 @@ LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
 def matrix(column: pa.ListArray, dim: int) -> np.ndarray:
     """Integer vectors as rows of a matrix, shorter ones filled up with zeros."""
     lengths = np.diff(column.offsets.to_numpy())
-    values = column.flatten().to_numpy(zero_copy_only=False)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
     if (lengths == dim).all():
         return values.reshape(len(lengths), dim)
     made = np.zeros((len(lengths), dim), np.int64)
@@ -122,7 +125,7 @@ class Group:
         self.ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
         self.labels = rows.column("label").to_numpy()
         self.norms = rows.column("norm").to_numpy()
-        self.angles = rows.column("angles").flatten().to_numpy().reshape(len(self.rows), -1)
+        self.angles = rows.column("angles").flatten().to_numpy().astype(np.float64).reshape(len(self.rows), -1)
         self.vectors = matrix(rows.column("v"), dim)
         self.peak = max((abs(int(f(self.vectors))) for f in (np.min, np.max) if self.vectors.size), default=0)
         changes = np.flatnonzero(np.diff(self.labels)) + 1
@@ -229,8 +232,12 @@ def usable_rows(embeddings: DataFrame) -> DataFrame:
 
 def laid_out(rows: DataFrame) -> tuple[DataFrame, int, int, int]:
     """Rows with norm, angles, ``row`` (their name) and ``group``; the numbers of groups, dimensions and directions."""
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
+    size = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim"), F.min(F.array_min("v")).alias("low"), F.max(F.array_max("v")).alias("high")
+    ).first()
     n, dim = size["n"], max(size["dim"] or 0, 1)
+    peak = max(abs(size["low"] or 0), abs(size["high"] or 0))
+    narrow = "smallint" if peak < 2**15 else "int" if peak < 2**31 else "bigint"  # what is shuffled
     drawn = rows.select("v").orderBy(F.xxhash64("vec_id", "v")).limit(SAMPLE).toArrow()
     vectors = matrix(drawn.column("v").combine_chunks(), dim) if n else np.zeros((0, dim), np.int64)
     directions = choose_directions(np.unique(vectors, axis=0))
@@ -241,13 +248,13 @@ def laid_out(rows: DataFrame) -> tuple[DataFrame, int, int, int]:
 
     cores = rows.sparkSession.sparkContext.defaultParallelism
     groups = max(1, math.ceil(n / GROUP_ROWS), min(cores, math.ceil(n / LEAST_ROWS)))
-    placed = add_columns(rows, compute, "norm double, angles array<double>, cell int, near double", sized_by=None)
+    placed = add_columns(rows, compute, "norm double, angles array<float>, cell int, near double", sized_by=None)
     order = ["label", "cell", "near", "vec_id"]
     placed = placed.withColumn("_any", F.monotonically_increasing_id())  # spreads equal rows
     return (
         placed.repartitionByRange(groups, *order, "_any").sortWithinPartitions(*order, "_any")
         .withColumn("row", F.monotonically_increasing_id()).withColumn("group", F.spark_partition_id())
-        .select("row", "group", "vec_id", "label", "v", "norm", "angles"),
+        .select("row", "group", "vec_id", "label", F.col("v").cast(f"array<{narrow}>").alias("v"), "norm", "angles"),
         groups, dim, len(directions),
     )
 
@@ -262,26 +269,29 @@ def ranges_of(laid: DataFrame, groups: int, directions: int) -> list:
     ).collect()
 
 
-def sent_to_groups(anchors: DataFrame, ranges: list, same_label: bool) -> DataFrame:
-    """Anchors, repeated for each ``group`` with rows that they may want (``low``: their windows' begins)."""
-    low, high = (np.array([r[c] for r in ranges]) for c in ("low", "high"))
+def sent_to_groups(anchors: DataFrame, ranges: list, same_label: bool, at_first: bool) -> DataFrame:
+    """Anchors, repeated for each ``group`` whose rows their windows (``low`` to ``high``) may want.
+
+    ``at_first`` only for the ``FIRST`` runs of groups with the highest bounds, else only for the others.
+    """
+    low, high = (np.array([r[c] for r in ranges], np.float64) for c in ("low", "high"))
     firsts, lasts = ([r[c] for r in ranges] for c in ("min_group", "max_group"))
     low_label, high_label, low_norm, high_norm = (
         np.array([r[c] for r in ranges]) for c in ("min_label", "max_label", "min_norm", "max_norm")
     )
 
     def compute(batch: pa.RecordBatch) -> list:
-        norms = batch.column("norm").to_numpy()[:, None]
         labels = batch.column("label").to_numpy()[:, None]
-        if same_label:
-            meets = (low_label <= labels) & (labels <= high_label)
-        else:
-            own = batch.column("angles").flatten().to_numpy().reshape(batch.num_rows, -1)
-            least, most = angle_ranges(own, low, high)
-            floor, ceiling = score_bounds(least, most, norms, low_norm, high_norm)
-            begins = np.array([min(v) for v in batch.column("low").to_pylist()], np.float64)[:, None]
-            ends = np.array([max(v) for v in batch.column("high").to_pylist()], np.float64)[:, None]
-            meets = (ceiling >= begins) & (floor <= ends) & ((low_label != labels) | (high_label != labels))
+        own = batch.column("angles").flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
+        least, most = angle_ranges(own, low, high)
+        floor, ceiling = score_bounds(least, most, batch.column("norm").to_numpy()[:, None], low_norm, high_norm)
+        fits = (low_label <= labels) & (labels <= high_label) if same_label else (low_label != labels) | (high_label != labels)
+        order = np.argsort(np.where(fits, -ceiling, math.inf), axis=1, kind="stable")
+        early = np.zeros(fits.shape, bool)
+        np.put_along_axis(early, order[:, :FIRST], True, axis=1)
+        begins = np.array([min(v, default=LONG_MAX) for v in batch.column("low").to_pylist()], np.float64)[:, None]
+        ends = np.array([max(v, default=LONG_MIN) for v in batch.column("high").to_pylist()], np.float64)[:, None]
+        meets = fits & (early == at_first) & (ceiling >= begins) & (floor <= ends)
         return [[[g for i in np.flatnonzero(m) for g in range(firsts[i], lasts[i] + 1)] for m in meets]]
 
     spread = add_columns(anchors.drop("group"), compute, "groups array<int>", sized_by=None)
@@ -292,27 +302,23 @@ def mined(laid: DataFrame, sent: DataFrame, dim: int, k: int, same_label: bool)
     """From each group the k best rows of each window of each anchor: ``anchor``, ``window``, ``score``, ``vec_id``, ``row``."""
     columns = ["group", "kind", "label", "row", "vec_id", "v", "norm", "angles", "low", "high"]
     none = F.lit(None).cast("array<long>")
-    if same_label:
-        sent = sent.withColumn("low", none).withColumn("high", none)
+    sent = materialize(sent)
+    asked = laid.join(sent.select("group").distinct(), "group", "left_semi")
     stream = (
-        laid.withColumn("low", none).withColumn("high", none).withColumn("kind", F.lit(0)).select(columns)
+        asked.withColumn("low", none).withColumn("high", none).withColumn("kind", F.lit(0)).select(columns)
         .union(sent.withColumn("kind", F.lit(1)).select(columns))
         .repartition("group").sortWithinPartitions("group", "kind", "label", "row")
     )
 
     def judged(group: Group, batch: pa.RecordBatch) -> pa.RecordBatch | None:
         anchors = Group([batch], dim)
-        if same_label:  # one window without ends
-            starts = np.full((batch.num_rows, 1), -math.inf)
-            ends = -starts
-        else:
-            low, high = batch.column("low").to_pylist(), batch.column("high").to_pylist()
-            windows = max(map(len, low))
-            large = max(abs(v) for w in (*low, *high) for v in w) > 2**53
-            starts, ends = (
-                np.array([[*x, *[fill] * (windows - len(x))] for x in w], object if large else np.float64)
-                for w, fill in ((low, math.inf), (high, -math.inf))
-            )
+        low, high = batch.column("low").to_pylist(), batch.column("high").to_pylist()
+        windows = max(map(len, low))
+        large = any(2**53 < abs(v) < LONG_MAX for w in (*low, *high) for v in w)
+        starts, ends = (
+            np.array([[*(-fill if v == open_ else v for v in x), *[fill] * (windows - len(x))] for x in w], object if large else np.float64)
+            for w, fill, open_ in ((low, math.inf, LONG_MIN), (high, -math.inf, LONG_MAX))
+        )
         found = best_in_windows(group, anchors, starts, ends, k, same_label)
         if found is None:
             return None
@@ -356,6 +362,18 @@ def first_rows(found: DataFrame, by: list[str], k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def best_rows(laid: DataFrame, anchors: DataFrame, ranges: list, dim: int, k: int, same_label: bool) -> DataFrame:
+    """The k best rows of each window (``low`` to ``high``) of each anchor, with their ``rank``."""
+    slot = ["anchor", "window"]
+    early = materialize(first_rows(mined(laid, sent_to_groups(anchors, ranges, same_label, True), dim, k, same_label), slot, k))
+    reached = early.where(F.col("rank") == k).groupBy("anchor").agg(F.map_from_entries(F.collect_list(F.struct("window", "score"))).alias("reached"))
+    raised = anchors.join(reached, anchors["row"] == reached["anchor"], "left").drop("anchor").withColumn(
+        "low", F.transform("low", lambda x, i: F.coalesce(F.try_element_at("reached", i), x))
+    ).drop("reached")
+    late = mined(laid, sent_to_groups(raised, ranges, same_label, False), dim, k, same_label)
+    return first_rows(early.drop("rank").unionByName(late), slot, k)
+
+
 def mine_hard_negatives(
     embeddings: DataFrame, is_anchor: Column, positives: int = 5, negatives: int = 3, low_percent: int = 50, high_percent: int = 95
 ) -> DataFrame:
@@ -364,15 +382,16 @@ def mine_hard_negatives(
     laid = materialize(placed)
     ranges = ranges_of(laid, groups, directions)
     anchors = laid.where(F.coalesce(is_anchor, F.lit(False)))
-    near = materialize(first_rows(mined(laid, sent_to_groups(anchors, ranges, True), dim, positives, True), ["anchor"], positives))
+    everything = anchors.withColumns({"low": F.array(F.lit(LONG_MIN)), "high": F.array(F.lit(LONG_MAX))})
+    near = materialize(best_rows(laid, everything, ranges, dim, positives, True))
     exact = F.col("score").cast("decimal(38)")
     windows = near.groupBy("anchor").agg(F.sort_array(F.collect_list(F.struct(
         "rank", F.ceil(exact * low_percent / 100).cast("long").alias("low"), F.floor(exact * high_percent / 100).cast("long").alias("high")
     ))).alias("w"))
-    asking = anchors.join(windows, anchors["row"] == windows["anchor"]).where(F.exists("w", lambda w: w["low"] <= w["high"])).select(
+    asking = materialize(anchors.join(windows, anchors["row"] == windows["anchor"]).where(F.exists("w", lambda w: w["low"] <= w["high"])).select(
         *anchors.columns, F.col("w.low").alias("low"), F.col("w.high").alias("high")
-    )
-    far = first_rows(mined(laid, sent_to_groups(asking, ranges, False), dim, negatives, False), ["anchor", "window"], negatives)
+    ))
+    far = best_rows(laid, asking, ranges, dim, negatives, False)
     names = anchors.select(F.col("row").alias("anchor"), F.col("vec_id").alias("anchor_id"))
     chosen = near.select("anchor", (F.col("rank") - 1).alias("window"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
     return far.join(chosen, ["anchor", "window"]).join(names, "anchor").select(
