@@ -558,3 +558,25 @@ def _grouped(docs: DataFrame, rows_per_salt: int, block: int, size: int, percent
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return join_ngrams(docs, size=SHINGLE, percent=PERCENT).select("doc_id", "n_shingles", "component_id")
+
+
+SQL = {
+    "op9_ngram_join": f"""
+with recursive split as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words from documents
+), shingled as (
+  select doc_id, list_distinct(case when len(words) between 1 and {SHINGLE - 1} then [array_to_string(words, ' ')]
+    else list_transform(range(1, len(words) - {SHINGLE - 2}), lambda i: array_to_string(words[i:i + {SHINGLE - 1}], ' ')) end) as shingles
+  from split
+), elems as (
+  select doc_id, len(shingles) as n, unnest(shingles) as s from shingled
+), links as (
+  select a.doc_id as u, b.doc_id as v from elems a join elems b
+    on a.s = b.s and a.doc_id <> b.doc_id and 100 * a.n >= {PERCENT} * b.n and 100 * b.n >= {PERCENT} * a.n
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))
+), reach(id, other) as (
+  select doc_id, doc_id from documents union select r.id, l.v from reach r join links l on r.other = l.u
+)
+select d.doc_id, len(d.shingles)::bigint as n_shingles, (select min(other) from reach where id = d.doc_id) as component_id from shingled d"""
+}

@@ -35,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**substring_dedup.SQL, **line_dedup.SQL, **embedding_dedup.SQL, **url_filter.SQL, **conversation_repair.SQL, **hard_negatives.SQL}
+    return {**substring_dedup.SQL, **line_dedup.SQL, **embedding_dedup.SQL, **ngram_join.SQL, **url_filter.SQL, **conversation_repair.SQL, **hard_negatives.SQL}

@@ -115,5 +115,5 @@ def test_registered_once_with_their_sql():
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry_points.queries()
     assert {n for n in entry_points.oracle_sql() if n.startswith("op")} == {
-        "op1_substring_dedup", "op4_line_dedup", "op5_embedding_dedup", "op10_url_filter", "op11_conversation_repair", "op12_hard_negatives",
+        "op1_substring_dedup", "op4_line_dedup", "op5_embedding_dedup", "op9_ngram_join", "op10_url_filter", "op11_conversation_repair", "op12_hard_negatives",
     }
