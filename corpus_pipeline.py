@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hiresift.llm import language_id, line_dedup, ngram_join, packing, secret_scan
-from hiresift.sources.tables import materialize
+from hiresift.sources.tables import drop, scope
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more.
@@ -73,9 +73,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage stored for itself, and the documents it read, are deleted once its own are stored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = materialize(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scope(spark) as made:
+            read, docs = docs, made.keep(stage(spark, docs, sf_dir))
+        drop(read)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -104,7 +104,7 @@ def materialize(df: DataFrame) -> DataFrame:
     read back: the copy survives lost executors, and each later pass reads only the
     columns it needs.  Without one it is persisted in memory and on disk with its
     lineage, so a lost part is computed again.  Both ways hold on every master.
-    ``release`` removes the copies.
+    ``drop``, ``scope`` and ``release`` remove the copies.
     """
     spark = df.sparkSession
     if shared_folder(spark) is None:
@@ -113,7 +113,50 @@ def materialize(df: DataFrame) -> DataFrame:
         return kept
     path = new_folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    copy = spark.read.schema(df.schema).parquet(path)
+    copy.stored_at = path
+    return copy
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop(copy: DataFrame) -> None:
+    """Give up one copy that ``materialize`` made, when nothing reads it any more."""
+    path = getattr(copy, "stored_at", None)
+    if path in _written:
+        _written.remove(path)
+        _delete(copy.sparkSession, path)
+    elif any(copy is p for p in _persisted):
+        _persisted[:] = [p for p in _persisted if p is not copy]
+        copy.unpersist()
+
+
+class scope:
+    """A step whose intermediates are given up at its end; ``keep`` stores what stays."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> scope:
+        self.written, self.persisted, self.kept = list(_written), list(_persisted), []
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(materialize(df))
+        if shared_folder(self.spark) is None:
+            self.kept[-1].count()  # computed while its intermediates are there
+        return self.kept[-1]
+
+    def __exit__(self, *failure) -> None:
+        stay = [*self.written, *(getattr(k, "stored_at", None) for k in self.kept)]
+        for path in [p for p in _written if p not in stay]:
+            _written.remove(path)
+            _delete(self.spark, path)
+        for copy in [p for p in _persisted if not any(p is k for k in [*self.persisted, *self.kept])]:
+            drop(copy)
 
 
 def release(spark: SparkSession) -> None:
@@ -121,8 +164,7 @@ def release(spark: SparkSession) -> None:
     while _persisted:
         _persisted.pop().unpersist()
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
 
 
 def export_rankings(table: DataFrame, path: str, max_rows_per_file: int = 1_000_000) -> None:

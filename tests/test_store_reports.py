@@ -212,6 +212,26 @@ def test_materialize_persists_without_a_shared_folder(spark, monkeypatch):
     assert not copy.is_cached
 
 
+def test_scopes_drop_what_they_made(spark, tmp_path, monkeypatch):
+    import os
+
+    for folder in (None, str(tmp_path)):
+        monkeypatch.setattr(tables, "shared_folder", lambda _: folder)
+        before = tables.materialize(spark.range(3))
+        with tables.scope(spark) as made:
+            inner = tables.materialize(spark.range(5).withColumn("x", F.col("id") * 2))
+            kept = made.keep(inner.where("x > 2"))
+        assert sorted(r["x"] for r in kept.collect()) == [4, 6, 8] and before.count() == 3
+        if folder:
+            assert not os.path.exists(inner.stored_at) and os.path.exists(kept.stored_at)
+        else:
+            assert not inner.is_cached and kept.is_cached and before.is_cached
+        tables.drop(kept)
+        tables.drop(before)
+        assert not (os.path.exists(kept.stored_at) if folder else kept.is_cached)
+        tables.drop(spark.range(1))  # not a copy: nothing happens
+
+
 def test_context_pieces_add_up(spark):
     ranked = screening.rank_resumes(*frames(spark))
     whole = prompts.candidate_context(ranked, 1000).where("session_id = 10").first()["context"]
