@@ -26,8 +26,8 @@ from hiresift.sources import files, fixtures, stored, tables  # noqa: E402
 
 try:
     from hiresift.llm import queries as llm_queries  # noqa: E402
-except ModuleNotFoundError as missing:  # the rest works without that subpackage
-    if not (missing.name or "").startswith("hiresift.llm"):
+except ImportError as missing:  # the rest works without that subpackage, but not without what that needs
+    if missing.name not in ("hiresift.llm", "hiresift.llm.queries"):
         raise
     llm_queries = None
 
