@@ -3,7 +3,7 @@
 ``how="words"`` finds terms as whole words, by the rule of ``functions.skills``; ``how="anywhere"``
 finds them inside words too.  Terms are compared in lower case with the lower-cased text.
 
-A lexicon whose measured size is under a limit is broadcast, and each worker builds an
+A lexicon whose measured size is under a limit is broadcast, and each task builds an
 Aho-Corasick automaton of it once: one pass over a text finds all terms, however many there
 are and however they overlap.  A larger lexicon stays where it is.  Whole words: the text is cut
 into pieces (runs of word characters and single others), and its distinct runs of as many
