@@ -5,11 +5,15 @@ bounds all its members: a pair of nodes is dropped if its centres are farther ap
 radii and the threshold distance together, and taken whole if centres and radii stay below it.
 
 The upper levels are built by Spark: a node with too many members is split among pivots drawn
-from it, each member going to the nearest, until every node fits a task.  Node pairs are
+from it and its farthest member, each member going to the nearest, until every node fits a task.
+A node whose members differ by rounding only, such as multiples of one vector, is split by a hash
+and its parts keep its centre and radius.  Node pairs are
 expanded level by level as joins on the parent.  Below, each leaf gets nested levels of halving
 radii (1/2, 1/4, ... ``LEVELS`` of them), every level's centres being members of the parent node;
-one task traverses the trees of two leaves at once, level by level, in numpy.  Radii are always
-measured, not assumed.  The last level's members are compared one by one, in double precision;
+one task traverses the trees of two leaves at once, level by level, in numpy.  Leaves are dealt
+into as many groups as the root of their number (more if a group had over ``HELD`` leaves); a task
+holds the leaves of one group and streams those of another past them, so a vector is sent once
+per group and not once per leaf that it may meet.  Radii are always measured, not assumed.  The last level's members are compared one by one, in double precision;
 cosines next to the threshold are summed exactly.
 
 Equal vectors are one member with a weight.  A task reports, per member, the number of vectors
@@ -17,8 +21,9 @@ linked, and links enough to connect what is connected; pairs are never put out.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link
 with nothing.  Vectors of different lengths link with nothing of another length.  Rows with one
-vec_id are rows of their own.  A null vec_id counts as larger than all others.  Extra columns
-stay, those with a result's name are replaced.
+vec_id are rows of their own.  A null vec_id counts as larger than all others.  Vectors are
+named by a 64-bit hash.  An empty table gives an empty one.  Extra columns stay, those with a
+result's name are replaced.
 """
 
 from __future__ import annotations
@@ -40,6 +45,8 @@ LEVELS = 3
 SALTS = 8
 LAST = (1 << 63) - 1
 SLACK = 1e-9
+TIGHT = 1e-7  # a node of this radius holds one direction, up to rounding
+HELD = 16
 POINT = "nid long, vec array<double>, weight long"
 
 
@@ -126,36 +133,50 @@ def build_upper(points: DataFrame, leaf: int = LEAF) -> tuple[DataFrame, list[Da
     levels: list[DataFrame] = []
     centres = None
     depth = 0
+    points = points.withColumn("away", F.lit(None).cast("double"))
     while True:
-        sizes = materialize(points.groupBy("node").agg(F.count(F.lit(1)).alias("n")))
-        large = sizes.where(F.col("n") > leaf)
+        sizes = points.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max_by("nid", "away").alias("far"))
+        if centres is not None:
+            sizes = sizes.join(centres.select("node", "radius"), "node")
+        else:
+            sizes = sizes.withColumn("radius", F.lit(2.0))
+        large = materialize(sizes.where(F.col("n") > leaf))
         if large.isEmpty():
-            return points, levels
+            return points.drop("away"), levels
         depth += 1
         parts = 1 << 40
+        points = points.select("nid", "vec", "weight", "node")
+        tight = large.where(F.col("radius") <= TIGHT).select("node", F.ceil(2.0 * F.col("n") / leaf).alias("k"))
+        split_by_hash = points.join(tight, "node").select(
+            "nid", "vec", "weight", F.col("node").alias("parent"),
+            F.xxhash64("node", F.pmod(F.xxhash64(F.lit("part"), "nid"), "k")).alias("node"), F.lit(None).cast("double").alias("away"),
+        )
         # Twice as many pivots as leaves are needed, but few enough for a task to hold.
         wanted = F.least(F.lit(512.0), F.greatest(F.lit(16.0), 2.0 * F.col("n") / leaf))
         drawn = F.pmod(F.xxhash64(F.lit(depth), "nid"), F.lit(parts)) < wanted / F.col("n") * parts
-        pivots = materialize(points.join(large, "node").where(drawn).select("nid", "vec", "weight", "node"))
-        salted = points.select("nid", "vec", "weight", "node").withColumns(
+        wide = large.where(F.col("radius") > TIGHT)
+        pivots = materialize(points.join(wide, "node").where(drawn | F.col("nid").eqNullSafe(F.col("far"))).select("nid", "vec", "weight", "node"))
+        salted = points.join(tight, "node", "left_anti").select("nid", "vec", "weight", "node").withColumns(
             {"salt": F.pmod(F.xxhash64("nid"), F.lit(SALTS)), "is_pivot": F.lit(False)}
         )
         copies = pivots.withColumns({"salt": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))), "is_pivot": F.lit(True)})
         stream = salted.unionByName(copies).repartition("node", "salt")
         stream = stream.sortWithinPartitions("node", "salt", F.col("is_pivot").desc())
-        placed = materialize(stream.mapInArrow(_nearest_pivot, f"{POINT}, parent long, node long, away double"))
+        placed = stream.mapInArrow(_nearest_pivot, f"{POINT}, parent long, node long, away double")
+        placed = materialize(placed.unionByName(split_by_hash))
         found = placed.groupBy("node").agg(F.first("parent").alias("parent"), F.max("away").alias("radius"))
         split = found.where("radius is not null").join(
             pivots.select(F.col("nid").alias("node"), F.col("vec").alias("centre")), "node"
         )
+        # Nodes that stay, and parts of tight ones, lie where their node lay.
         same = found.where("radius is null").drop("radius")
         if centres is None:
             same = same.withColumns({"radius": F.lit(2.0), "centre": F.lit(None).cast("array<double>")})
         else:
-            same = same.join(centres.select("node", "radius", "centre"), "node")
+            same = same.join(centres.select(F.col("node").alias("parent"), "radius", "centre"), "parent")
         centres = materialize(split.unionByName(same))
         levels.append(centres)
-        points = placed.select("nid", "vec", "weight", "node")
+        points = placed.select("nid", "vec", "weight", "node", "away")
 
 
 def leaf_pairs(roots: DataFrame, levels: list[DataFrame], tau: float) -> DataFrame:
@@ -372,39 +393,66 @@ def connecting(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return member, low[member]
 
 
-def compare_leaves(planted: DataFrame, pairs: DataFrame, cosine: float) -> DataFrame:
+def dealt(planted: DataFrame, pairs: DataFrame, held: int = HELD) -> DataFrame:
+    """Rows of leaves for each task (a, b): those of group a that are held, side 0, and those of b that stream past, side 1.
+
+    The first row of a streamed leaf names the held leaves it is compared with.
+    """
+    leaves = planted.select("node").distinct().count()
+    groups = max(1, math.ceil(math.sqrt(leaves)), math.ceil(leaves / held))
+
+    def group(node: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit("group"), node), F.lit(groups)).cast("int")
+
+    turned = F.col("gp") > F.col("gq")
+    tasks = pairs.select("p", "q", group("p").alias("gp"), group("q").alias("gq")).select(
+        F.least("gp", "gq").alias("a"), F.greatest("gp", "gq").alias("b"),
+        F.when(turned, F.col("q")).otherwise(F.col("p")).alias("one"), F.when(turned, F.col("p")).otherwise(F.col("q")).alias("two"),
+    )
+    first = tasks.select("a", "b", F.col("one").alias("node")).distinct().withColumns(
+        {"side": F.lit(0), "partners": F.lit(None).cast("array<long>")}
+    )
+    second = tasks.groupBy("a", "b", F.col("two").alias("node")).agg(F.collect_list("one").alias("partners")).withColumn("side", F.lit(1))
+    rows = planted.join(first.unionByName(second), "node")
+    return rows.withColumn("partners", F.when(F.col("place") == 0, F.col("partners")))
+
+
+def compare_leaves(planted: DataFrame, pairs: DataFrame, cosine: float, held: int = HELD) -> DataFrame:
     """Rows (nid, links, null) and (nid, null, other): counts, and links that connect."""
-    sides = pairs.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("node"))
-    rows = planted.join(sides, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (p, q), rows in _groups(batches, ["p", "q"]):
-            node = rows.column("node").to_numpy()
+        at, leaves = None, {}
+        for (a, b, side, node), rows in _groups(batches, ["a", "b", "side", "node"]):
+            if (a, b) != at:
+                at, leaves = (a, b), {}
             x, weight = _matrix(rows.column("vec").combine_chunks()), rows.column("weight").to_numpy()
             tree, nid = _matrix(rows.column("tree").combine_chunks()).astype(np.int64), rows.column("nid").to_numpy()
-            first, second = np.flatnonzero(node == p), np.flatnonzero(node == q)
-            left = Levels(x[first], weight[first], tree[first])
-            right = left if p == q else Levels(x[second], weight[second], tree[second])
-            links_a, links_b, joined = traverse(left, right, cosine, p == q)
-            shift = 0 if p == q else len(first)
-            none = np.zeros(0, np.int64)
-            i = np.concatenate([none, *(a for a, _ in joined)])
-            j = np.concatenate([none, *(b for _, b in joined)]) + shift
-            names = nid[first] if p == q else np.r_[nid[first], nid[second]]
-            counts = links_a if p == q else np.r_[links_a, links_b]
-            u, v = connecting(i, j, len(names))
-            some = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.r_[names[some], names[u]]),
-                    pa.array([*counts[some].tolist(), *[None] * len(u)], pa.int64()),
-                    pa.array([*[None] * len(some), *names[v].tolist()], pa.int64()),
-                ],
-                names=["nid", "links", "other"],
-            )
-
-    by = ["p", "q"]
-    stream = rows.repartition(*by).sortWithinPartitions(*by, "node", "place")
+            here = Levels(x, weight, tree)
+            if side == 0:
+                leaves[node] = (here, nid)
+                continue
+            for partner in rows.column("partners")[0].as_py():
+                same = partner == node
+                there, others = leaves[partner]
+                links_there, links_here, joined = traverse(there, there if same else here, cosine, same)
+                names = nid if same else np.r_[others, nid]
+                none = np.zeros(0, np.int64)
+                i = np.concatenate([none, *(one for one, _ in joined)])
+                j = np.concatenate([none, *(two for _, two in joined)]) + (0 if same else len(others))
+                counts = links_there if same else np.r_[links_there, links_here]
+                u, v = connecting(i, j, len(names))
+                some = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.r_[names[some], names[u]]),
+                        pa.array([*counts[some].tolist(), *[None] * len(u)], pa.int64()),
+                        pa.array([*[None] * len(some), *names[v].tolist()], pa.int64()),
+                    ],
+                    names=["nid", "links", "other"],
+                )
+
+    by = ["a", "b"]
+    stream = dealt(planted, pairs, held).repartition(*by).sortWithinPartitions(*by, "side", "node", "place")
     return stream.mapInArrow(run, "nid long, links long, other long")
 
 
@@ -445,10 +493,16 @@ def link_embeddings(
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [unit(np.array([v]))[0] for v in batch.column("vec").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_nid"), pa.array(made, pa.list_(pa.float64())), batch.column("weight")], names=["nid", "vec", "weight"]
-            )
+            vecs = batch.column("vec")
+            lengths = vecs.value_lengths().to_numpy()
+            made = np.empty(len(vecs.flatten()))
+            ends = np.cumsum(lengths)
+            for length in np.unique(lengths):  # vectors of one length together
+                rows = np.flatnonzero(lengths == length)
+                at = (ends - lengths)[rows][:, None] + np.arange(length)
+                made[at] = unit(vecs.flatten().to_numpy()[at])
+            column = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(made))
+            yield pa.RecordBatch.from_arrays([batch.column("_nid"), column, batch.column("weight")], names=["nid", "vec", "weight"])
 
     points = materialize(distinct.select("_nid", "vec", "weight").mapInArrow(units, POINT).withColumn("node", F.size("vec").cast("long")))
     roots = points.select("node").distinct()

@@ -159,6 +159,18 @@ def test_insertions_and_deletions_are_reversible(spark, documents):
     assert sorted(map(tuple, back.refs.collect())) == sorted(map(tuple, start.refs.collect()))
 
 
+def test_shards_double_with_their_keys(spark, documents, monkeypatch):
+    monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", 3)
+    old, new = line_rows(3), [(i + 500, t + "\n" + "\n".join(f"another shared line, number {k}" for k in range(40))) for i, t in line_rows(4)[:20]]
+    start = line_dedup.insert(line_dedup.empty_store(spark, shards=2), documents(old))
+    grown = line_dedup.insert(start, documents(new))
+    assert start.shards < grown.shards and grown.shards & (grown.shards - 1) == 0
+    assert {r.shard for r in grown.filters.collect()} <= set(range(grown.shards))
+    assert judged(grown, documents(old + new)) == brute_lines(old + new)
+    back = line_dedup.delete(grown, documents(new).select("doc_id"))
+    assert back.shards == grown.shards and judged(back, documents(old)) == brute_lines(old)
+
+
 def test_cuckoo_filter_has_no_false_negatives():
     r = np.random.default_rng(5)
     k1, k2 = r.integers(-(1 << 63), LAST, (2, 6000))
@@ -274,6 +286,32 @@ def test_embedding_links_equal_brute_force(spark, leaf):
     assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str) == brute_embeddings(rows)
 
 
+def test_multiples_of_one_vector_end(spark):
+    """Far more points of one direction than a leaf holds, with some outliers between them."""
+    r = np.random.default_rng(3)
+    one, near = r.normal(size=6), r.normal(size=6)
+    rows = [(i, [float(np.float32(x)) for x in (1 + i) * one]) for i in range(300)]
+    rows += [(500 + i, [float(np.float32(x)) for x in r.normal(size=6)]) for i in range(20)]
+    rows += [(600 + i, [float(np.float32(x)) for x in near * 3.0**i]) for i in range(40)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = embedding_dedup.link_embeddings(vectors, leaf=12).collect()
+    assert sorted(((x.vec_id, x.n_links, x.component_id, x.kept) for x in got), key=str) == brute_embeddings(rows)
+
+
+def test_rows_sent_grow_with_the_root_of_the_leaves(spark):
+    """Without structure every leaf meets every other; a vector is sent once per group of leaves."""
+    r = np.random.default_rng(4)
+    for n in (400, 1600):
+        rows = [(i, [float(x) for x in r.normal(size=24)]) for i in range(n)]
+        points = spark.createDataFrame([(i, v, 1, 24) for i, v in rows], "nid long, vec array<double>, weight long, node long")
+        leaves, levels = embedding_dedup.build_upper(points, leaf=16)
+        planted = embedding_dedup.materialize(embedding_dedup.plant(leaves))
+        pairs = embedding_dedup.leaf_pairs(points.select("node").distinct(), levels, embedding_dedup.threshold_distance(0.9))
+        count = planted.select("node").distinct().count()
+        sent = embedding_dedup.dealt(planted, pairs.where("not whole"), held=count).count()
+        assert sent <= n * (np.ceil(np.sqrt(count)) + 1) and sent < n * count / 2
+
+
 def test_embedding_links_of_nothing(spark):
     assert embedding_dedup.link_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
