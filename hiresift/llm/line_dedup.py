@@ -10,12 +10,15 @@ State of the store, two tables:
   number and leaves when a deletion takes it below; cuckoo filters, unlike Bloom filters,
   allow that.  They answer most probes; what they let through is confirmed by the counts.
 
-Keys are 128-bit hashes of the stripped, lower-cased line, so no line text is moved.
+Keys are 128-bit hashes of the stripped, lower-cased line, so no line text is moved.  The number
+of shards is a power of two, kept in the store, and grows with the keys in the filters: when it
+doubles, each shard splits in two and the filters are filled again from the exact table.
 
 Defined cases: a null or empty text is one empty line.  Rows with one doc_id count as one
 document and each row loses the same lines.  A null doc_id sorts after all others, so its
 rows keep lines that are shared.  Keys shorter than ``min_chars`` code points always stay.
-Extra columns are kept; the result's own names are replaced.
+Extra columns are kept; the result's own names are replaced.  Texts of any length are split in
+the row.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from hiresift.operators.joins import salted_join
 from hiresift.sources.tables import materialize
 
 MIN_CHARS, MIN_DOCS, SHARDS, SALTS = 20, 3, 64, 8
+KEYS_PER_SHARD = 1 << 20  # a filter of about 3 MB; beyond it the number of shards is doubled
 BLANKS = " \t\n\x0b\x0c\r"
 LAST = (1 << 63) - 1  # stands for a null doc_id
 KEYS = ["shard", "k1", "k2"]
@@ -149,7 +153,11 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS, shards: int = SHARDS)
     ).select(
         "doc_id", "text_hash", "line_no", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2")
     )
-    return hashed.withColumn("shard", F.pmod("k1", F.lit(shards)).cast("int"))
+    return hashed.withColumn("shard", _shard(shards))
+
+
+def _shard(shards: int) -> Column:
+    return F.pmod("k1", F.lit(shards)).cast("int")
 
 
 # --- the store ----------------------------------------------------------------------------
@@ -172,8 +180,11 @@ def counts(refs: DataFrame) -> DataFrame:
     return refs.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
 
 
-def _updated(shard_filters: DataFrame, changes: DataFrame) -> DataFrame:
-    """Filters after keys have entered (change 1) or left (-1); keys that stay (0) serve to grow a filter."""
+def _updated(shard_filters: DataFrame, changes: DataFrame, shards: int) -> DataFrame:
+    """Filters after keys have entered (change 1) or left (-1); keys that stay (0) serve to grow a filter.
+
+    Shards are dealt to as many tasks, which a shuffle of small keys wouldn't do by itself.
+    """
 
     def update(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         shard = int((old if len(old) else new)["shard"].iloc[0])
@@ -186,8 +197,8 @@ def _updated(shard_filters: DataFrame, changes: DataFrame) -> DataFrame:
         return pd.DataFrame({"shard": [shard], "filter": [f.to_bytes()]})
 
     return (
-        shard_filters.groupBy("shard")
-        .cogroup(changes.groupBy("shard"))
+        shard_filters.repartition(shards, "shard").groupBy("shard")
+        .cogroup(changes.repartition(shards, "shard").groupBy("shard"))
         .applyInPandas(update, "shard int, filter binary")
     )
 
@@ -203,12 +214,25 @@ def _crossings(before: DataFrame, after: DataFrame, min_docs: int) -> DataFrame:
     )
 
 
+def _grown(shards: int, changes: DataFrame) -> int:
+    """The number of shards for the keys that the filters will hold; never fewer than before."""
+    held = changes.where("change >= 0").count()
+    while held > shards * KEYS_PER_SHARD:
+        shards *= 2
+    return shards
+
+
 def insert(store: LineStore, docs: DataFrame) -> LineStore:
     """Add documents; a document that is there already keeps its old references too."""
     added = line_keys(docs, store.min_chars, store.shards).select(*store.refs.columns)
     refs = materialize(store.refs.unionByName(added).groupBy(*KEYS, "doc_id").agg(F.lit(1).alias("_one")).drop("_one"))
-    changes = _crossings(counts(store.refs), counts(refs), store.min_docs)
-    return LineStore(refs, materialize(_updated(store.filters, changes)), store.min_docs, store.min_chars, store.shards)
+    changes = materialize(_crossings(counts(store.refs), counts(refs), store.min_docs))
+    shards, filters = _grown(store.shards, changes), store.filters
+    if shards > store.shards:  # every key of a filter enters one of the new ones
+        split = _shard(shards)
+        refs, filters = refs.withColumn("shard", split), filters.limit(0)
+        changes = changes.where("change >= 0").withColumns({"shard": split, "change": F.lit(1)})
+    return LineStore(refs, materialize(_updated(filters, changes, shards)), store.min_docs, store.min_chars, shards)
 
 
 def delete(store: LineStore, doc_ids: DataFrame) -> LineStore:
@@ -216,7 +240,7 @@ def delete(store: LineStore, doc_ids: DataFrame) -> LineStore:
     gone = doc_ids.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id")).distinct()
     refs = materialize(store.refs.join(gone, "doc_id", "left_anti").select(*store.refs.columns))
     changes = _crossings(counts(store.refs), counts(refs), store.min_docs)
-    return LineStore(refs, materialize(_updated(store.filters, changes)), store.min_docs, store.min_chars, store.shards)
+    return LineStore(refs, materialize(_updated(store.filters, changes, store.shards)), store.min_docs, store.min_chars, store.shards)
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
