@@ -252,6 +252,22 @@ def test_every_candidate_and_message_reaches_the_model(spark):
     assert len(whole) == 3 and {len(r["messages"]) for r in whole if r["conv_id"] == 7} == {10}
 
 
+def test_messages_hold_each_text_about_once(spark, tmp_path):
+    """Many conversations of one session: its texts are spread over tasks and lie side by side in the files."""
+    r = random.Random(5)
+    texts = {p: f"{r.getrandbits(160_000):x}" for p in range(60)}
+    pieces = spark.createDataFrame([(0, p, t) for p, t in texts.items()], "session_id bigint, piece_no bigint, system_prompt string")
+    sessions = {c: (None if c == 0 else 9 if c == 1 else 0) for c in range(150)}
+    chat = [(c, s, t, "user", f"[{c}:{t}]") for c, s in sessions.items() for t in range(2)]
+    chat = spark.createDataFrame(chat, "conv_id bigint, session_id bigint, turn bigint, role string, text string")
+    prompts.chat_messages(chat, pieces).write.parquet(str(tmp_path / "m"))
+    assert sum(f.stat().st_size for f in (tmp_path / "m").glob("*.parquet")) < 3 * sum(map(len, texts.values()))
+    got = spark.read.parquet(str(tmp_path / "m")).where("part = 0").collect()
+    empty = prompts.CHAT_SYSTEM_HEAD + prompts.CHAT_SYSTEM_TAIL
+    want = [(c, p, t) for c, s in sessions.items() if s == 0 for p, t in texts.items()] + [(0, 0, empty), (1, 0, empty)]
+    assert sorted((r["conv_id"], r["piece_no"], r["content"]) for r in got) == sorted(want)
+
+
 def names(messages):
     """A stand-in that repeats every candidate it is told of."""
     import re
