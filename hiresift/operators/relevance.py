@@ -1,26 +1,30 @@
 """Relevance scores and free-text answers from a model the caller supplies.
 
-The model is a plain Python callable.  It runs on Arrow batches inside tasks
-(``mapInPandas``); everything before and after it is built-in expressions.  The number
-of requests grows with the candidates and the pieces of rankings, not with their product:
-a ranking in several pieces is condensed once, and each request takes what came of that.
+The model is a plain Python callable.  It runs on Arrow batches inside tasks; everything
+before and after it is built-in expressions.  A ranking in several pieces reaches the model
+whole with every request: ``answer_pieces`` sends the request with each piece, and the
+answers are combined.  That takes requests x pieces calls.  Where this is too many,
+``condensed`` and ``answer_each`` take requests + pieces calls, but the model then sees of
+most pieces only what it was condensed to.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hiresift.functions.fixed_values import CHAT_APOLOGY, CHAT_SYSTEM_HEAD, CHAT_SYSTEM_TAIL
 from hiresift.functions.text import strip
-from hiresift.operators.joins import lookup_join
+from hiresift.operators.joins import lookup_join, rows_per_key
 from hiresift.operators.replies import NAME, SCHEMA, ReplyStore, request_name
-from hiresift.sources.tables import materialize
+from hiresift.sources.tables import drop, materialize
 
 # Task functions travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -31,6 +35,11 @@ CONDENSE_PROMPT = (
     "Condense this part of the ranking: keep every candidate's rank, name and overall score, "
     "and what sets the strongest and the weakest apart."
 )
+# How much text of a ranking a task holds, how many calls share one copy of it, and how many make a task, at least about.
+HELD_BYTES = 32 * 1024 * 1024
+CALLS_PER_COPY = 2_000_000
+CALLS_PER_TASK = 250_000
+MOST_TASKS = 10_000
 COMBINE_HEAD = "Each partial answer below was given from a part of the candidates. Make one answer of them.\nQuestion: "
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -241,6 +250,97 @@ def answer_each(
     return told.select("session_id", key, *_answer_or_apology()).unionByName(rest)
 
 
+def answer_pieces(
+    requests: DataFrame, session_prompts: DataFrame, answerer: Answerer, fan_in: int = ANSWERS_PER_REQUEST,
+    held_bytes: int = HELD_BYTES, calls_per_copy: int = CALLS_PER_COPY,
+) -> DataFrame:
+    """Every request with every piece of its session's ranking: ``requests`` with ``part_no``, ``answer`` and ``error``.
+
+    ``requests(session_id, question, messages, stretch, stretches, ...)`` hold what follows the system text;
+    ``stretch`` counts the requests that share a question, from 0.  The texts of
+    ``session_prompts(session_id, piece_no, system_prompt)`` are not copied into the rows: a task holds up to
+    ``held_bytes`` of one session (``fan_in`` pieces at least) and streams the requests past.  The first round of
+    combining is done there too, so what leaves is one answer for ``fan_in`` pieces; ``combined`` does the
+    others.  Requests without a session, or of one without pieces, are sent with the system text of an empty
+    ranking.  Pieces without a number, those of candidates without rank, are not sent.  ``messages`` is left out.
+    """
+    requests = materialize(requests)
+    pieces = session_prompts.where("session_id is not null and piece_no is not null")
+    sized = pieces.groupBy("session_id").agg((F.max("piece_no") + 1).alias("_pieces"), F.max(F.octet_length("system_prompt")).alias("_b"))
+    held = fan_in * F.greatest(F.floor(F.lit(held_bytes) / (fan_in * F.greatest("_b", F.lit(1)))), F.lit(1))
+    copies = F.ceil(F.col("_n") * F.least("_pieces", "_held") / calls_per_copy).cast("int")
+    sizes = sized.join(rows_per_key(requests, ["session_id"]), "session_id").withColumn("_held", held).withColumn("_copies", copies)
+    sizes = materialize(sizes.select("session_id", "_pieces", "_n", "_held", "_copies"))
+    calls = sizes.agg(F.sum(F.col("_pieces") * F.col("_n")).alias("c")).first()["c"] or 0
+    tasks = min(max(math.ceil(calls / CALLS_PER_TASK), requests.sparkSession.sparkContext.defaultParallelism), MOST_TASKS)
+
+    texts = lookup_join(pieces, sizes, "session_id", F.xxhash64("session_id", "piece_no")).select(
+        "session_id", F.floor(F.col("piece_no") / F.col("_held")).alias("_cell"),
+        F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"), "piece_no", "system_prompt",
+    )
+    cells = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_pieces") - 1) / F.col("_held")))).alias("_cell")
+    spread = F.xxhash64(*[c for c in requests.columns if c not in ("question", "messages")])
+    asked = lookup_join(requests, sizes.select("session_id", cells, "_copies"), "session_id", spread, "left")
+    asked = asked.withColumn("_copy", F.pmod(spread, F.col("_copies")).cast("int")).drop("_copies")
+
+    alone = asked.where("_cell is null").drop("_cell", "_copy")
+    nothing = _message("system", F.lit(f"{CHAT_SYSTEM_HEAD}{CHAT_SYSTEM_TAIL}"))
+    alone = alone.withColumn("messages", F.concat(F.array(nothing), "messages")).withColumn("part_no", F.col("stretch"))
+    kept = [f for f in requests.schema.fields if f.name not in ("messages", "stretch", "stretches")]
+    names, numbers = [f.name for f in kept], ["_cell", "_copy", "piece_no"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", part_no bigint, answer string, error string"
+
+    def said(batches: Iterator[pa.RecordBatch], told: Callable) -> Iterator[pa.RecordBatch]:
+        """A row for each (part_no, answer, error) that ``told`` gives for a row of its batch."""
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 64):
+                batch = whole.slice(begin, 64)
+                at, made = [], []
+                for i, row in enumerate(batch.to_pylist()):
+                    given = told(row)
+                    at += [i] * len(given)
+                    made += given
+                columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+                took = pa.array(at, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(n).take(took) for n in names), *columns], names=[*names, "part_no", "answer", "error"]
+                )
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, texts = None, []
+
+        def told(row: dict) -> list[tuple]:
+            nonlocal cell, texts
+            own = (row["session_id"], row["_cell"], row["_copy"])
+            if row["piece_no"] is not None:
+                if own != cell:
+                    cell, texts = own, []
+                texts.append((row["piece_no"] // fan_in, {"role": "system", "content": row["system_prompt"]}))
+                return []
+            groups: dict[int, list] = {}
+            for group, system in texts if own == cell else ():
+                groups.setdefault(group, []).append(_spoken(answerer, [system, *row["messages"]]))
+            return [(g * row["stretches"] + row["stretch"], *together(row["question"], a)) for g, a in groups.items()]
+
+        return said(batches, told)
+
+    def together(question: str | None, answers: list[tuple]) -> tuple[str | None, str | None]:
+        if len(answers) == 1:
+            return answers[0]
+        listed = "\n\n".join(a for a, _ in answers if a is not None)
+        text = None if question is None else f"{COMBINE_HEAD}{question}\n\n{listed}"
+        return _spoken(answerer, [{"role": "user", "content": text}])
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return said(batches, lambda row: [(row["part_no"], *_spoken(answerer, row["messages"]))])
+
+    by = ["session_id", "_cell", "_copy"]
+    stream = texts.unionByName(asked.where("_cell is not null"), allowMissingColumns=True)
+    stream = stream.repartition(tasks, *by).sortWithinPartitions(*by, F.col("piece_no").isNull(), "piece_no")
+    told = stream.select(*names, "messages", "stretch", "stretches", *numbers, "system_prompt").mapInArrow(streamed, schema)
+    return told.unionByName(alone.select(*names, "messages", F.col("part_no").cast("bigint")).mapInArrow(single, schema))
+
+
 def combined(
     parts: DataFrame, keys: list[str], answerer: Answerer, fan_in: int = ANSWERS_PER_REQUEST, replies: ReplyStore | None = None
 ) -> DataFrame:
@@ -269,5 +369,7 @@ def combined(
         kept = grouped.where(alone).select(
             *keys, "part_no", "question", first["answer"].alias("answer"), first["error"].alias("error")
         )
-        parts = materialize(kept.unionByName(answer(asked, answerer, replies)))
+        before, parts = parts, materialize(kept.unionByName(answer(asked, answerer, replies)))
+        if hasattr(parts, "stored_at"):  # else it is not computed yet
+            drop(before)
     return parts.select(*keys, "answer", "error")

@@ -28,7 +28,7 @@ from hiresift.functions.sections import ALIAS_PATTERN, SECTIONS
 from hiresift.functions.similarity import RARE_WEIGHT_SQUARED
 from hiresift.functions.skills import ALL_SKILLS
 from hiresift.functions.text import WHITESPACE, WS_CLASS
-from hiresift.operators.relevance import COMBINE_HEAD, CONDENSE_PROMPT
+from hiresift.operators.relevance import COMBINE_HEAD
 from hiresift.sources.fixtures import _REPLY, VIEW_SQL
 
 CATEGORIES = list(WEIGHTS)
@@ -319,7 +319,7 @@ CTES |= {
 }
 _REUSED = {
     "resumes", "raw_lines", "tagged", "plain_tagged", "own_skills", "sections", "own_terms", "job_terms",
-    "jd_match", "parsed", "sub", "scored", "ranked", "ranked_status", "messages", "replies", "context", "digests", "own_texts",
+    "jd_match", "parsed", "sub", "scored", "ranked", "ranked_status", "messages", "replies", "context",
 }
 
 
@@ -390,32 +390,28 @@ _NEW_IDS = """select id, (select max(id) from sessions) + row_number() over (ord
       from checked where reject_reason is null"""
 
 
-_HEAD, _TAIL = q(CHAT_SYSTEM_HEAD), q(CHAT_SYSTEM_TAIL)
-
-
 def _told(first: str, last: str, n: str = "2") -> str:
     """What the stand-in model says to n messages with these first and last ones."""
     return f"""({n}) || ' messages, first of ' || length({first}) || ' characters, last: ' || {last}"""
 
 
-# Each piece of a ranking in several pieces is condensed; the parts are combined in one request (up to 20 of them).
-CTES |= {
-    "digests": f"""
-    select session_id, pieces, case when pieces > 1 then {_told('text', 'text', '1')} end as digest
-    from (select session_id, count(*) as pieces, {q(COMBINE_HEAD + CONDENSE_PROMPT)} || chr(10) || chr(10) || string_agg(
-        {_told(f"{_HEAD} || context || {_TAIL}", q(CONDENSE_PROMPT))}, chr(10) || chr(10) order by piece_no) as text
-      from context group by session_id)""",
-    "own_texts": f"""
-    select session_id, piece_no, pieces, {_HEAD} || coalesce(digest || chr(10) || chr(10), '') || context || {_TAIL} as system_prompt
-    from context join digests using (session_id)""",
-}
+def _combined(parts: str, *keys: str) -> str:
+    """One answer a key from parts (keys, part_no, question, answer): 20 at a time, in three rounds, which 8,000 pieces take at most."""
+    for _ in range(3):
+        parts = f"""select {', '.join(keys)}, part_no, question, case when n = 1 then answer else {_told('text', 'text', '1')} end as answer
+          from (select {', '.join(keys)}, part_no // 20 as part_no, any_value(question) as question, count(*) as n, any_value(answer) as answer,
+            {q(COMBINE_HEAD)} || any_value(question) || chr(10) || chr(10) || string_agg(answer, chr(10) || chr(10) order by part_no) as text
+            from ({parts}) group by {', '.join(keys)}, part_no // 20)"""
+    return f"select {', '.join(keys)}, answer from ({parts})"
 
 
 def _answered(asked: str) -> str:
-    """One answer a candidate, told with the piece that holds it."""
-    return f"""select a.session_id, a.candidate_id, {_told("coalesce(t.system_prompt, " + q(CHAT_SYSTEM_HEAD + CHAT_SYSTEM_TAIL) + ")", 'a.prompt')} as answer
-      from {asked} a left join ranked r using (candidate_id)
-      left join own_texts t on t.session_id = a.session_id and t.piece_no = (r.rank - 1) // 200"""
+    """One answer a candidate, combined from those to its prompt with every piece."""
+    told = _told("coalesce(t.system_prompt, " + q(CHAT_SYSTEM_HEAD + CHAT_SYSTEM_TAIL) + ")", "a.prompt")
+    return _combined(
+        f"""select a.session_id, a.candidate_id, coalesce(t.piece_no, 0) as part_no, a.prompt as question, {told} as answer
+        from {asked} a left join system_prompts t using (session_id)""", "session_id", "candidate_id",
+    )
 
 
 # Documents 1, 2 and 4 of seven can't be read by layout; a tenth has no plain text.
@@ -600,14 +596,14 @@ _SELECTS = {
     + ", ".join(f"({q(k)}, {q(v)})" for k, v in QUICK_QUESTIONS.items())
     + ") v(label, prompt)",
     "chat_messages": "select * from messages",
-    "chat_answers": f"""select conv_id, case when (n + 2) % 4 = 0 then {q(CHAT_APOLOGY)} || 'busy'
-        else {_told('system', 'question', 'n + 2')} end as answer
-      from (select conv_id, {_HEAD} || coalesce(digest, context, '') || {_TAIL} as system, n, question from (
-        select conv_id, count(*) filter (where part = 1) as n, max(content) filter (where part = 2) as question
-        from messages group by 1)
-        join (select conv_id, min(session_id) as session_id from chat group by 1) using (conv_id)
-        left join (select session_id, context from context where piece_no = 0) using (session_id)
-        left join digests using (session_id))""",
+    "chat_answers": _combined(
+        f"""select conv_id, piece_no as part_no, question, case when (n + 2) % 4 = 0 then {q(CHAT_APOLOGY)} || 'busy'
+          else {_told('content', 'question', 'n + 2')} end as answer
+        from messages join (
+          select conv_id, count(*) filter (where part = 1) as n, max(content) filter (where part = 2) as question
+          from messages group by 1) using (conv_id)
+        where part = 0""", "conv_id",
+    ),
     "email_answers": _answered("mails"),
     "interview_answers": _answered("interviews"),
     "stored_replies": _SCORED_PROMPTS,

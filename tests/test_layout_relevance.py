@@ -330,6 +330,58 @@ def test_candidates_without_session_or_ranking_are_answered(spark):
         assert got[5] in [(0, f"2|{t}|e", None) for t in texts.values()]  # it has no place, but its session has pieces
 
 
+def ranks_told(messages):
+    """A stand-in that names the ranks it is told of, and forgets all when asked to condense."""
+    import re
+
+    if messages[-1]["content"] == relevance.CONDENSE_PROMPT:
+        return "short"
+    return " ".join(sorted(set(re.findall(r"Rank \d+:", "".join(m["content"] for m in messages)))))
+
+
+def test_the_queries_send_every_question_with_the_whole_ranking(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as entry_points
+
+    spark.range(60).selectExpr("id as c_custkey", "concat('Ann ', id) as c_name", "'FURNITURE' as c_mktsegment").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(6).selectExpr("id as s_suppkey", "concat('S', id) as s_name", "cast(id as int) as s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    chat = spark.createDataFrame([(c, t, "user", f"[{c}:{t}]") for c in (0, 1, 3, 9) for t in range(3)], "conv_id bigint, turn bigint, role string, text string")
+    chat.write.parquet(str(tmp_path / "conversations.parquet"))
+    monkeypatch.setattr(entry_points, "_PIECE", 4)
+    monkeypatch.setattr(entry_points, "_offline_answerer", ranks_told)
+    sizes = {r["session_id"]: r["count"] for r in entry_points.rank_candidates(spark, str(tmp_path)).groupBy("session_id").count().collect()}
+    assert sizes[0] == 30
+    want = lambda s: " ".join(sorted(f"Rank {i + 1}:" for i in range(sizes.get(s, 0))))
+    for asked in (entry_points.email_answers, entry_points.interview_answers):
+        got = {r["candidate_id"]: (r["session_id"], r["answer"]) for r in asked(spark, str(tmp_path)).collect()}
+        assert len(got) == 60 and all(a == want(s) for s, a in got.values())
+    said = {r["conv_id"]: r["answer"] for r in entry_points.chat_answers(spark, str(tmp_path)).collect()}
+    assert said == {c: want(0 if c % 3 == 0 else c) for c in (0, 1, 3, 9)}
+
+
+def test_answers_of_pieces_are_combined(spark):
+    """Small cells and several copies of a text give what one task would; repeated and null keys keep their rows."""
+    sizes = {0: 23, 1: 5}
+    pieces = prompts.system_prompts(ranking(spark, sizes), per_piece=2)
+    rows = [(0, 1, "a"), (0, 1, "a"), (0, None, "b"), (None, 2, "c"), (7, 3, "d"), (1, 4, "e"), (1, 5, None)]
+    asked = prompts.single_questions(spark.createDataFrame(rows, "session_id bigint, candidate_id bigint, prompt string"), "candidate_id")
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(messages):
+        calls.add(1)
+        return names(messages) if messages[-1]["content"] is not None else None
+
+    for options in ({}, {"held_bytes": 1, "calls_per_copy": 5}):
+        calls.value = 0
+        parts = tables.materialize(relevance.answer_pieces(asked, pieces, counted, fan_in=3, **options))
+        assert parts.count() == 3 * 4 + 2 + 2 * 1
+        assert calls.value == 3 * (12 + 4) + 2 + 2 * (3 + 1)
+        got = relevance.combined(parts, ["session_id", "candidate_id", "_row"], counted, fan_in=3).collect()
+        told = {(r["session_id"], r["candidate_id"]): (r["answer"] or "").split() for r in got}
+        assert len(got) == len(rows) and all(e is None for e in (r["error"] for r in got))
+        whole = {s: sorted(f"<{s}.{i}>" for i in range(n)) for s, n in sizes.items()}
+        assert told == {(0, 1): whole[0], (0, None): whole[0], (None, 2): [], (7, 3): [], (1, 4): whole[1], (1, 5): []}
+
+
 # --- kept replies -----------------------------------------------------------------------------
 def counting(spark):
     calls = spark.sparkContext.accumulator(0)
