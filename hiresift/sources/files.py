@@ -27,16 +27,14 @@ def scan_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
     ``pattern`` is a glob on file names.  A byte order mark is left out of the text.
     """
 
-    def source(ignore: str) -> DataFrame:
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-        return found.option("ignoreCorruptFiles", ignore).load(folder)
-
-    index = source("false")
+    # One listing serves all three reads.  Only reading contents can find a corrupt file; it is left out there.
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    index = found.option("ignoreCorruptFiles", "true").load(folder)
     # An empty authority is written as three slashes there and as one in the column.
     names = spark.createDataFrame([(unquote(p).replace(":///", ":/", 1),) for p in index.inputFiles()], "path string")
     filled = index.select("path", F.lit(True).alias("_filled"))  # nothing of the contents is asked for, so no file is opened
     listed = names.join(filled, "path", "left")
-    contents = source("true").select("path", F.col("content").cast("string").alias("_bytes"))
+    contents = index.select("path", F.col("content").cast("string").alias("_bytes"))
     text = F.regexp_replace(F.try_validate_utf8("_bytes"), "^\\x{FEFF}", "")
     read = contents.select("path", F.lit(True).alias("_read"), text.alias("raw_text"))
     reason = (

@@ -58,3 +58,15 @@ def test_good_files_are_parsed(spark, tmp_path):
     numbered = good.select(F.xxhash64("filename").alias("candidate_id"), F.lit(1).cast("bigint").alias("session_id"), "filename", "raw_text")
     names = {r["filename"]: r["name"] for r in screening.parse_resumes(numbered).collect()}
     assert names == {"good.txt": "Ann Müller", "other.txt": "x", "with spaces ä.txt": "spaces", "mark.txt": "marked"}
+
+
+def test_many_small_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """However few bytes they have, files are not all written by one task; each is still read or rejected."""
+    import __spark_entry__ as entry_points
+
+    spark.range(600).selectExpr("id as s_suppkey", "concat('S', id) as s_name", "cast(id as int) as s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    monkeypatch.setattr(entry_points.tables, "new_folder", lambda _: str(tmp_path / "files"))
+    scanned = entry_points.scan_files(spark, str(tmp_path)).collect()
+    assert sorted(r["id"] for r in scanned) == list(range(600))
+    assert {r["id"] for r in scanned if r["reject_reason"] == files.NO_TEXT} == {i for i in range(600) if i % 7 == 1}
+    assert len({f.name.split("-")[1] for f in (tmp_path / "files").glob("*/part-*")}) >= 4
