@@ -408,10 +408,9 @@ def _combined(parts: str, *keys: str) -> str:
 def _answered(asked: str) -> str:
     """One answer a candidate, combined from those to its prompt with every piece."""
     told = _told("coalesce(t.system_prompt, " + q(CHAT_SYSTEM_HEAD + CHAT_SYSTEM_TAIL) + ")", "a.prompt")
-    return _combined(
-        f"""select a.session_id, a.candidate_id, coalesce(t.piece_no, 0) as part_no, a.prompt as question, {told} as answer
-        from {asked} a left join system_prompts t using (session_id)""", "session_id", "candidate_id",
-    )
+    parts = f"""select a.session_id, a.candidate_id, a.rn, coalesce(t.piece_no, 0) as part_no, a.prompt as question, {told} as answer
+      from (select *, row_number() over () as rn from {asked}) a left join system_prompts t using (session_id)"""
+    return f"select session_id, candidate_id, answer from ({_combined(parts, 'session_id', 'candidate_id', 'rn')})"
 
 
 # Documents 1, 2 and 4 of seven can't be read by layout; a tenth has no plain text.
