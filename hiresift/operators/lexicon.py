@@ -7,7 +7,8 @@ A lexicon whose measured size is under a limit is broadcast, and each task build
 Aho-Corasick automaton of it once: one pass over a text finds all terms, however many there
 are and however they overlap.  A larger lexicon stays where it is.  Whole words: the text is cut
 into pieces (runs of word characters and single others), and its distinct runs of as many
-pieces as a term may have are joined with the terms.  Anywhere: the distinct beginnings of
+pieces as a term may have are joined with the terms, but for those that a filter of the terms'
+hashes, of bounded size, already rules out.  Anywhere: the distinct beginnings of
 terms that occur in the text are joined with the terms, and what meets is looked for in the
 text.  Both joins split hot keys.
 """
@@ -16,18 +17,22 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hiresift.functions.text import WORD_CLASS, quoted
+from hiresift.functions.text import WORD_CLASS
 from hiresift.operators.joins import BROADCAST_LIMIT_BYTES, ROWS_PER_SALT, measured_bytes, salted_join
+from hiresift.sources.tables import materialize
 
 # Task functions travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+MOST_BITS = 1 << 25  # of the filter that runs of pieces pass before they are shuffled; 4 MB however many terms there are
 PREFIX = 4  # characters of a term's beginning that texts and terms meet on
 _PIECE = f"[{WORD_CLASS}]+|[^{WORD_CLASS}]"
 
@@ -95,24 +100,60 @@ def _pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
 
 
+def _hash_bits(terms: DataFrame) -> bytes:
+    """A bit for each CRC-32 (lowest bits) that a term has: 16 bits a term, up to ``MOST_BITS`` in all."""
+    size = min(max(1 << (16 * terms.count()).bit_length(), 64), MOST_BITS)
+    slot = F.crc32("term").bitwiseAND(F.lit(size - 1))
+    words = terms.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w"))
+    found = words.agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("b")).toArrow()
+    bits = np.zeros(size // 64, "<i8")
+    bits[found["w"].to_numpy()] = found["b"].to_numpy()
+    return bits.tobytes()
+
+
 def _joined_words(texts: DataFrame, terms: DataFrame, key: str, strict: bool, rows_per_salt: int) -> DataFrame:
     sizes = sorted(r[0] for r in terms.select(F.size(_pieces(F.col("term"))).alias("n")).distinct().collect())
     if not sizes:
         return texts.select(key, F.lit("").alias("term")).limit(0)
-    cut = texts.select(key, _pieces(F.col("_text")).alias("_p"))
-
-    def is_word(piece: str) -> str:
-        return f"coalesce(rlike({piece}, {quoted(f'^[{WORD_CLASS}]')}), false)"
+    sent = texts.sparkSession.sparkContext.broadcast(_hash_bits(terms))
 
-    def runs(n: int) -> str:
-        """The runs of n pieces that begin at a word's border and end at one; an ending symbol decides what must follow."""
-        follows = is_word(f"get(_p, i + {n})")
-        end = f"case when {is_word(f'get(_p, i + {n - 1})')} then not {follows} else {'' if strict else 'not '}{follows} end"
-        begin = f"size(_p) >= {n} and (i = 0 or not {is_word('get(_p, i - 1)')})"  # sequence counts down below zero
-        return f"transform(filter(sequence(0, size(_p) - {n}), i -> {begin} and {end}), i -> array_join(slice(_p, i + 1, {n}), ''))"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct runs, of those that pass the filter, that begin at a word's border and end at one; an ending symbol decides what must follow."""
+        import regex
 
-    every = f"array_distinct(concat({', '.join(map(runs, sizes))}))"
-    spread = cut.select(key, F.explode(F.expr(every)).alias("term"))
+        pieces, word = regex.compile(_PIECE).findall, regex.compile(f"[{WORD_CLASS}]").match
+        bits, most = sent.value, 8 * len(sent.value) - 1
+        begins = {}  # whether a character is one of words
+
+        def runs(text: str) -> list[str]:
+            cut = pieces(text)
+            for c in {p[0] for p in cut} - begins.keys():
+                begins[c] = word(c) is not None
+            words = [begins[p[0]] for p in cut]
+            words.append(False)  # nothing follows the last piece
+            found = set()
+            for n in sizes:
+                for i in range(len(cut) - n + 1):
+                    if i and words[i - 1]:
+                        continue
+                    if words[i + n] == (strict and not words[i + n - 1]):
+                        found.add("".join(cut[i : i + n]))
+            hashed = ((r, crc32(r.encode()) & most) for r in found)
+            return [r for r, h in hashed if bits[h >> 3] >> (h & 7) & 1]
+
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 64):
+                batch = whole.slice(begin, 64)
+                at, found = [], []
+                for i, text in enumerate(batch.column("_text").to_pylist()):
+                    own = runs(text)
+                    at += [i] * len(own)
+                    found += own
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(key).take(pa.array(at, pa.int32())), pa.array(found, pa.string())], names=[key, "term"]
+                )
+
+    spread = materialize(texts.mapInArrow(run, f"{key} {dict(texts.dtypes)[key]}, term string"))  # the join reads it twice
     return salted_join(spread, terms, "term", key, rows_per_salt=rows_per_salt).select(key, "term")
 
 

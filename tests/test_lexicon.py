@@ -75,6 +75,21 @@ def test_a_hundred_thousand_terms(spark, options):
     assert set(map(tuple, lexicon.find_terms(df.where("id < 5"), table, "id", "body", "anywhere", **options).collect())) == inside
 
 
+@pytest.mark.parametrize("bits", [lexicon.MOST_BITS, 64])
+def test_only_runs_that_may_be_terms_are_joined(spark, monkeypatch, bits):
+    """The filter keeps most runs out of the shuffle, and a full one costs rows but no term."""
+    r = random.Random(3)
+    texts = [(i, " ".join(f"w{r.randrange(500)}" for _ in range(200))) for i in range(50)]
+    terms = [f"w{i} w{i + 1}" for i in range(0, 500, 3)]
+    joined, real = [], lexicon.salted_join
+    monkeypatch.setattr(lexicon, "MOST_BITS", bits)
+    monkeypatch.setattr(lexicon, "salted_join", lambda fact, *rest, **options: joined.append(fact.count()) or real(fact, *rest, **options))
+    df, table = spark.createDataFrame(texts, "id long, body string"), spark.createDataFrame([(t,) for t in terms], "term string")
+    got = sorted(map(tuple, lexicon.find_terms(df, table, "id", "body", broadcast_limit=0).collect()))
+    assert got == brute(texts, terms, "words")
+    assert len(got) <= joined[0] <= 50 * 199 and (bits == 64 or joined[0] < 2000)
+
+
 def test_the_fixed_lexicon_as_a_table(spark):
     texts = [(i, t) for i, t in enumerate(["Python, SQL and C++x; ci/cd", "JavaScript", "java js", "", "rest api REST API nlp"])]
     df = spark.createDataFrame(texts, "id long, body string")
