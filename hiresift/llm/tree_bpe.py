@@ -31,7 +31,8 @@ from __future__ import annotations
 import base64
 import heapq
 import itertools
-from collections.abc import Iterable, Iterator
+import struct
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,24 +45,32 @@ from hiresift.llm.common import add_columns, worker_cache
 
 LEAF = 8
 SCANNED = 64  # windows of at most so many bytes are merged by scanning, longer ones with a heap
-CACHED, CACHED_LENGTH = 300_000, 64
-SHARED, SHARED_LENGTH = 100_000, 12  # parts and windows of so few bytes are kept, as many pieces share them
+CACHED, CACHED_LENGTH = 400_000, 64  # pieces kept in either half, and the most characters of one
+SHARED, SHARED_LENGTH = 200_000, 12  # the same for parts and windows, as many pieces share them, and bytes
 LONG_TEXT, RUN = 1 << 20, 100_000
 NONE = 1 << 62
 
 
-class _Pieces(dict):
-    """Ids of short pieces seen before in the task; emptied when full."""
+class _Recent(dict):
+    """What ``make`` gives for the keys met lately, in two halves; ``limits`` gives a half's size and a key's length.
 
-    def __init__(self, tree: TreeBpe):
-        self.tree = tree
+    A full half becomes the older one, and what is met again there comes back: only keys that are
+    not met while a half fills are made anew.
+    """
 
-    def __missing__(self, piece: str) -> bytes:
-        made = self.tree.piece_ids(piece.encode())
-        if len(piece) <= CACHED_LENGTH:
-            if len(self) >= CACHED:
+    def __init__(self, make: Callable, limits: Callable[[], tuple[int, int]]):
+        self.make, self.limits, self.older = make, limits, {}
+
+    def __missing__(self, key: str | bytes) -> bytes | list[bytes]:
+        made = self.older.get(key)
+        if made is None:
+            made = self.make(key)
+        half, length = self.limits()
+        if len(key) <= length:
+            if len(self) >= half:
+                self.older = self.copy()
                 self.clear()
-            self[piece] = made
+            self[key] = made
         return made
 
 
@@ -76,31 +85,26 @@ class TreeBpe:
             self.tokens[rank] = token
         self.pattern = regex.compile(pattern)
         self.cut = cut_pieces if pattern == PIECES else self.pattern.findall
-        self.cache = _Pieces(self)
-        self.shared: dict[bytes, list[bytes]] = {}
+        self.cache = _Recent(lambda piece: self.piece_ids(piece.encode()), lambda: (CACHED, CACHED_LENGTH))
+        self.shared = _Recent(self._merged_by_scan, lambda: (SHARED, SHARED_LENGTH))
 
     # --- merges of a leaf or a window -----------------------------------------------------
     def merged(self, raw: bytes) -> list[bytes]:
-        if len(raw) > SHARED_LENGTH:
-            return self._merged_by_scan(raw) if len(raw) <= SCANNED else self._merged_by_heap(raw)
-        found = self.shared.get(raw)
-        if found is None:
-            if len(self.shared) >= SHARED:
-                self.shared.clear()
-            found = self.shared[raw] = self._merged_by_scan(raw)
-        return found
+        if len(raw) <= SHARED_LENGTH:
+            return self.shared[raw]
+        return self._merged_by_scan(raw) if len(raw) <= SCANNED else self._merged_by_heap(raw)
 
     def _merged_by_scan(self, raw: bytes) -> list[bytes]:
-        rank = self.ranks.get
+        rank, tokens = self.ranks.get, self.tokens  # the tokens' own objects, as parts are kept
         parts = [raw[i : i + 1] for i in range(len(raw))]
-        found = [rank(a + b, NONE) for a, b in itertools.pairwise(parts)]
+        found = [rank(raw[i : i + 2], NONE) for i in range(len(raw) - 1)]
         while found:
             lowest = min(found)
             if lowest == NONE:
                 break
             at = found.index(lowest)
-            parts[at : at + 2] = [new] = [parts[at] + parts[at + 1]]
-            del found[at]
+            parts[at] = new = tokens[lowest]
+            del parts[at + 1], found[at]
             if at < len(found):
                 found[at] = rank(new + parts[at + 1], NONE)
             if at:
@@ -162,7 +166,7 @@ class TreeBpe:
     def piece_ids(self, piece: bytes) -> bytes:
         whole = self.ranks.get(piece)
         ids = [self.ranks[t] for t in self.reduced(piece)] if whole is None else [whole]
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     # --- texts ----------------------------------------------------------------------------
     def _runs(self, text: str) -> Iterator[list[str]]:
@@ -217,14 +221,25 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return add_columns(encoded, compute, "decoded binary", sized_by="ids")
 
 
+def round_trip_documents(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``docs`` with ``ids`` and what they decode to, ``decoded``: a worker does both, so half as many hold a codec."""
+
+    def compute(batch: pa.RecordBatch) -> list:
+        codec = codec_of(path, pattern)
+        ids = codec.encode_texts(batch.column(text).to_pylist())
+        return [ids, [codec.decode(b) for b in ids]]
+
+    return add_columns(docs, compute, "ids binary, decoded binary", sized_by=text)
+
+
 def op13_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    encoded = encode_documents(docs, path, pattern).select(
-        "doc_id", "ids", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256")
-    )
-    return decode_documents(encoded, path, pattern).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
+    return round_trip_documents(docs, path, pattern).select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )

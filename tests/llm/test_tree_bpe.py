@@ -2,6 +2,7 @@
 
 import base64
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -83,6 +84,22 @@ def test_long_texts_and_full_caches(own, library, monkeypatch):
     assert own.decode(own.encode(text)) == text.encode()
 
 
+def test_pieces_in_use_are_encoded_once_though_caches_fill(library, monkeypatch):
+    monkeypatch.setattr(tree_bpe, "CACHED", 40)
+    monkeypatch.setattr(tree_bpe, "SHARED", 40)
+    own, made = tree_bpe.TreeBpe(PATH, PATTERN), Counter()
+    encoded = own.piece_ids
+    monkeypatch.setattr(own, "piece_ids", lambda piece: made.update([piece]) or encoded(piece))
+    word = lambda k: "".join("bdfghklmnprstvwz"[k >> s & 15] for s in (8, 4, 0))
+    common = [f" {word(k)}ounenti" for k in range(10)]
+    for line in range(100):
+        rare = [f" {word(100 + line * 10 + k)}erhaing" for k in range(10)]
+        text = "".join(c + r for c, r in zip(common, rare, strict=True))
+        assert ids_of(own.encode(text)) == library.encode_ordinary(text)
+    assert len(made) == 1010 and set(made.values()) == {1}
+    assert all(len(half) <= 40 for cache in (own.cache, own.shared) for half in (cache, cache.older))
+
+
 def test_codec_on_tables(spark, documents, odd_rows, library):
     docs = documents(odd_rows).withColumn("ids", F.lit("clash"))
     rows = tree_bpe.decode_documents(tree_bpe.encode_documents(docs, PATH, PATTERN), PATH, PATTERN).collect()
@@ -94,6 +111,15 @@ def test_codec_on_tables(spark, documents, odd_rows, library):
     assert decoded[1] is None and bytes(decoded[0]) == library.decode_bytes([255])
 
 
+def test_round_trip_equals_both_ways(documents, odd_rows):
+    docs = documents(odd_rows).withColumn("decoded", F.lit("clash"))
+    both = tree_bpe.decode_documents(tree_bpe.encode_documents(docs, PATH, PATTERN), PATH, PATTERN)
+    once = tree_bpe.round_trip_documents(docs, PATH, PATTERN)
+    assert sorted(map(str, once.select(both.columns).collect())) == sorted(map(str, both.collect()))
+    assert once.dtypes == both.dtypes
+    assert tree_bpe.round_trip_documents(documents([]), PATH, PATTERN).count() == 0
+
+
 def test_query_equals_the_library(spark, tmp_path, documents, odd_rows, library):
     import hashlib
 
