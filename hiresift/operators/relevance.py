@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import sys
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from hiresift.functions.fixed_values import CHAT_APOLOGY, CHAT_SYSTEM_HEAD, CHAT_SYSTEM_TAIL
 from hiresift.functions.text import strip
-from hiresift.operators.joins import lookup_join, rows_per_key
+from hiresift.operators.joins import lookup_join
 from hiresift.operators.replies import NAME, SCHEMA, ReplyStore, request_name
 from hiresift.sources.tables import drop, materialize
 
@@ -35,11 +36,14 @@ CONDENSE_PROMPT = (
     "Condense this part of the ranking: keep every candidate's rank, name and overall score, "
     "and what sets the strongest and the weakest apart."
 )
-# How much text of a ranking a task holds, how many calls share one copy of it, and how many make a task, at least about.
+# How much text of a ranking a task holds if partial answers leave it, and if it makes whole answers (in Python a text may take
+# twice its bytes); how many calls share one copy of it at most, and how many make a task, at least about; how much a batch holds.
 HELD_BYTES = 32 * 1024 * 1024
-CALLS_PER_COPY = 2_000_000
-CALLS_PER_TASK = 250_000
+WHOLE_BYTES = 96 * 1024 * 1024
+CALLS_PER_COPY = 16_000_000
+CALLS_PER_TASK = 1_000_000
 MOST_TASKS = 10_000
+BATCH_BYTES = 16 * 1024 * 1024
 COMBINE_HEAD = "Each partial answer below was given from a part of the candidates. Make one answer of them.\nQuestion: "
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -133,8 +137,11 @@ Answerer = Callable[[list[dict]], str]
 
 def _spoken(answerer: Answerer, messages: list[dict]) -> tuple[str, str | None]:
     """The answer, and the error if the model failed; only then is the answer the apology."""
-    reply, error, _ = _tried(lambda: answerer(messages), 1)
-    return (f"{CHAT_APOLOGY}{error}" if error is not None else reply), error
+    try:
+        return answerer(messages), None
+    except Exception as failed:
+        error = str(failed)
+        return f"{CHAT_APOLOGY}{error}", error
 
 
 def _answer_or_apology() -> list[Column]:
@@ -264,19 +271,82 @@ def answer_pieces(
     others.  Requests without a session, or of one without pieces, are sent with the system text of an empty
     ranking.  Pieces without a number, those of candidates without rank, are not sent.  ``messages`` is left out.
     """
-    requests = materialize(requests)
+    return _streamed(materialize(requests), _packed(session_prompts), answerer, fan_in, held_bytes, calls_per_copy)
+
+
+def answer_rankings(
+    requests: DataFrame, session_prompts: DataFrame, keys: list[str], answerer: Answerer, fan_in: int = ANSWERS_PER_REQUEST,
+    whole_bytes: int = WHOLE_BYTES, calls_per_copy: int = CALLS_PER_COPY,
+) -> DataFrame:
+    """One answer to each question, from every piece of its session's ranking: ``keys, answer, error``.
+
+    It is what ``combined`` makes of ``answer_pieces``.  Where the ranking's text has up to ``whole_bytes``, a task
+    holds all of it and does all rounds of combining, so that partial answers, which may be long, are never stored
+    or shuffled.  Larger rankings, and questions that need several requests, go the other way; their
+    partial answers meet on ``keys``.
+    """
+    requests, pieces = materialize(requests), _packed(session_prompts)
+    large = pieces.groupBy("session_id").agg(F.sum("_b").alias("_b")).where(F.col("_b") > whole_bytes).select("session_id", F.lit(True).alias("_large"))
+    told = lookup_join(requests, large, "session_id", F.xxhash64(*keys), "left")
+    told = told.withColumn("_large", F.coalesce("_large", F.lit(False)) | (F.col("stretches") > 1))
+    if told.where("_large").isEmpty():
+        return _streamed(requests, pieces, answerer, fan_in, None, calls_per_copy, keys)
+    parts = _streamed(materialize(told.where("_large").drop("_large")), pieces, answerer, fan_in, HELD_BYTES, calls_per_copy)
+    rest = materialize(told.where("not _large").drop("_large"))
+    return _streamed(rest, pieces, answerer, fan_in, None, calls_per_copy, keys).unionByName(
+        combined(parts.select(*keys, "part_no", "question", "answer", "error"), keys, answerer, fan_in)
+    )
+
+
+def _packed(session_prompts: DataFrame) -> DataFrame:
+    """``(session_id, piece_no, packed, _b)``: the texts of numbered pieces, compressed, and their sizes.
+
+    A ranking's lines are much alike.  Compressed, its copies for many tasks take little room on disk and in the
+    batches that go to Python.
+    """
     pieces = session_prompts.where("session_id is not null and piece_no is not null")
-    sized = pieces.groupBy("session_id").agg((F.max("piece_no") + 1).alias("_pieces"), F.max(F.octet_length("system_prompt")).alias("_b"))
-    held = fan_in * F.greatest(F.floor(F.lit(held_bytes) / (fan_in * F.greatest("_b", F.lit(1)))), F.lit(1))
-    copies = F.ceil(F.col("_n") * F.least("_pieces", "_held") / calls_per_copy).cast("int")
-    sizes = sized.join(rows_per_key(requests, ["session_id"]), "session_id").withColumn("_held", held).withColumn("_copies", copies)
-    sizes = materialize(sizes.select("session_id", "_pieces", "_n", "_held", "_copies"))
-    calls = sizes.agg(F.sum(F.col("_pieces") * F.col("_n")).alias("c")).first()["c"] or 0
-    tasks = min(max(math.ceil(calls / CALLS_PER_TASK), requests.sparkSession.sparkContext.defaultParallelism), MOST_TASKS)
-
-    texts = lookup_join(pieces, sizes, "session_id", F.xxhash64("session_id", "piece_no")).select(
+    pieces = pieces.select("session_id", "piece_no", "system_prompt", F.coalesce(F.octet_length("system_prompt"), F.lit(0)).cast("bigint").alias("_b"))
+    tasks = _tasks(pieces, pieces.agg(F.sum("_b").alias("b")).first()["b"] or 0, BATCH_BYTES)
+    kinds = [pieces.schema[c].dataType.simpleString() for c in ("session_id", "piece_no")]
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column("system_prompt")]
+            small = pa.array([None if t is None else zlib.compress(t.encode(), 1) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("session_id"), batch.column("piece_no"), small, batch.column("_b")], names=["session_id", "piece_no", "packed", "_b"]
+            )
+
+    schema = f"session_id {kinds[0]}, piece_no {kinds[1]}, packed binary, _b bigint"
+    return materialize(pieces.repartition(tasks, "session_id", "piece_no").mapInArrow(packed, schema))
+
+
+def _tasks(df: DataFrame, work: int, each: int) -> int:
+    return min(max(math.ceil(work / each), df.sparkSession.sparkContext.defaultParallelism), MOST_TASKS)
+
+
+def _streamed(
+    requests: DataFrame, pieces: DataFrame, answerer: Answerer, fan_in: int, held_bytes: int | None, calls_per_copy: int,
+    keys: list[str] | None = None,
+) -> DataFrame:
+    """``answer_pieces`` with the texts of ``_packed``; with ``keys``, whole rankings are held and all rounds done."""
+    whole = keys is not None
+    sized = pieces.groupBy("session_id").agg((F.max("piece_no") + 1).alias("_pieces"), F.max("_b").alias("_b"))
+    said = F.aggregate("messages", F.lit(0).cast("bigint"), lambda a, m: a + F.coalesce(F.octet_length(m["content"]), F.lit(0)))
+    asking = requests.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n"), F.sum(said).alias("_said"))
+    sizes = materialize(sized.join(asking, "session_id"))
+    calls, text = sizes.agg(F.sum(F.col("_pieces") * F.col("_n")), F.sum("_said")).first()
+    calls, text = calls or 0, text or 0
+    tasks = max(_tasks(requests, calls, CALLS_PER_TASK), _tasks(requests, text, BATCH_BYTES))
+    # A copy of the texts costs little beside the calls that share it, but all cores should have some.
+    shared = min(calls_per_copy, max(_ceil(calls, 2 * requests.sparkSession.sparkContext.defaultParallelism), CALLS_PER_TASK))
+    held = F.col("_pieces") if whole else fan_in * F.greatest(F.floor(F.lit(held_bytes) / (fan_in * F.greatest("_b", F.lit(1)))), F.lit(1))
+    copies = F.greatest(F.ceil(F.col("_n") * F.least("_pieces", "_held") / shared), F.ceil(F.col("_said") / BATCH_BYTES), F.lit(1)).cast("int")
+    sizes = sizes.withColumn("_held", held).withColumn("_copies", copies).select("session_id", "_pieces", "_held", "_copies")
+
+    texts = lookup_join(pieces.drop("_b"), sizes, "session_id", F.xxhash64("session_id", "piece_no")).select(
         "session_id", F.floor(F.col("piece_no") / F.col("_held")).alias("_cell"),
-        F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"), "piece_no", "system_prompt",
+        F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"), "piece_no", "packed",
     )
     cells = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_pieces") - 1) / F.col("_held")))).alias("_cell")
     spread = F.xxhash64(*[c for c in requests.columns if c not in ("question", "messages")])
@@ -285,44 +355,61 @@ def answer_pieces(
 
     alone = asked.where("_cell is null").drop("_cell", "_copy")
     nothing = _message("system", F.lit(f"{CHAT_SYSTEM_HEAD}{CHAT_SYSTEM_TAIL}"))
-    alone = alone.withColumn("messages", F.concat(F.array(nothing), "messages")).withColumn("part_no", F.col("stretch"))
-    kept = [f for f in requests.schema.fields if f.name not in ("messages", "stretch", "stretches")]
+    alone = alone.withColumn("messages", F.concat(F.array(nothing), "messages")).withColumn("part_no", F.col("stretch").cast("bigint"))
+    kept = [f for f in requests.schema.fields if (f.name in keys if whole else f.name not in ("messages", "stretch", "stretches"))]
     names, numbers = [f.name for f in kept], ["_cell", "_copy", "piece_no"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", part_no bigint, answer string, error string"
-
-    def said(batches: Iterator[pa.RecordBatch], told: Callable) -> Iterator[pa.RecordBatch]:
-        """A row for each (part_no, answer, error) that ``told`` gives for a row of its batch."""
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 64):
-                batch = whole.slice(begin, 64)
-                at, made = [], []
-                for i, row in enumerate(batch.to_pylist()):
-                    given = told(row)
-                    at += [i] * len(given)
-                    made += given
-                columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
-                took = pa.array(at, pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(n).take(took) for n in names), *columns], names=[*names, "part_no", "answer", "error"]
-                )
+    made = ["answer", "error"] if whole else ["part_no", "answer", "error"]
+    kinds = [pa.int64(), pa.string(), pa.string()][-len(made) :]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{m} {'bigint' if m == 'part_no' else 'string'}" for m in made)])
+
+    def said_by(batches: Iterator[pa.RecordBatch], told: Callable) -> Iterator[pa.RecordBatch]:
+        """A row for each tuple of ``made`` that ``told`` gives for a row of its batch, in batches of bounded size."""
+        for batch in batches:
+            rows = max(1, min(64, BATCH_BYTES // 4 * batch.num_rows // max(batch.nbytes, 1)))
+            for begin in range(0, batch.num_rows, rows):
+                some = batch.slice(begin, rows)
+                at, given, size = [], [], 0
+                for i, row in enumerate(some.to_pylist()):
+                    for g in told(row):
+                        at.append(i)
+                        given.append(g)
+                        size += len(g[-2] or "")
+                    if size > BATCH_BYTES // 4:
+                        yield rows_of(some, at, given)
+                        at, given, size = [], [], 0
+                yield rows_of(some, at, given)
+
+    def rows_of(batch: pa.RecordBatch, at: list[int], given: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array([g[k] for g in given], kind) for k, kind in enumerate(kinds)]
+        took = pa.array(at, pa.int32())
+        return pa.RecordBatch.from_arrays([*(batch.column(n).take(took) for n in names), *columns], names=[*names, *made])
 
     def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, texts = None, []
+        cell, groups = None, {}
 
         def told(row: dict) -> list[tuple]:
-            nonlocal cell, texts
+            nonlocal cell, groups
             own = (row["session_id"], row["_cell"], row["_copy"])
             if row["piece_no"] is not None:
                 if own != cell:
-                    cell, texts = own, []
-                texts.append((row["piece_no"] // fan_in, {"role": "system", "content": row["system_prompt"]}))
+                    cell, groups = own, {}
+                text = None if row["packed"] is None else zlib.decompress(row["packed"]).decode()
+                groups.setdefault(row["piece_no"] // fan_in, []).append({"role": "system", "content": text})
                 return []
-            groups: dict[int, list] = {}
-            for group, system in texts if own == cell else ():
-                groups.setdefault(group, []).append(_spoken(answerer, [system, *row["messages"]]))
-            return [(g * row["stretches"] + row["stretch"], *together(row["question"], a)) for g, a in groups.items()]
-
-        return said(batches, told)
+            if own != cell:
+                return []
+            messages, question = row["messages"], row["question"]
+            answers = {g: together(question, [_spoken(answerer, [s, *messages]) for s in systems]) for g, systems in groups.items()}
+            if not whole:
+                return [(g * row["stretches"] + row["stretch"], *a) for g, a in answers.items()]
+            while any(answers):
+                rounds: dict[int, list] = {}
+                for g, a in answers.items():
+                    rounds.setdefault(g // fan_in, []).append(a)
+                answers = {g: together(question, a) for g, a in rounds.items()}
+            return [answers[0]]
+
+        return said_by(batches, told)
 
     def together(question: str | None, answers: list[tuple]) -> tuple[str | None, str | None]:
         if len(answers) == 1:
@@ -332,13 +419,19 @@ def answer_pieces(
         return _spoken(answerer, [{"role": "user", "content": text}])
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return said(batches, lambda row: [(row["part_no"], *_spoken(answerer, row["messages"]))])
+        number = (lambda row: ()) if whole else (lambda row: (row["part_no"],))
+        return said_by(batches, lambda row: [(*number(row), *_spoken(answerer, row["messages"]))])
 
     by = ["session_id", "_cell", "_copy"]
     stream = texts.unionByName(asked.where("_cell is not null"), allowMissingColumns=True)
     stream = stream.repartition(tasks, *by).sortWithinPartitions(*by, F.col("piece_no").isNull(), "piece_no")
-    told = stream.select(*names, "messages", "stretch", "stretches", *numbers, "system_prompt").mapInArrow(streamed, schema)
-    return told.unionByName(alone.select(*names, "messages", F.col("part_no").cast("bigint")).mapInArrow(single, schema))
+    columns = list(dict.fromkeys([*names, "session_id", "question", "messages", "stretch", "stretches", *numbers, "packed"]))
+    told = stream.select(*columns).mapInArrow(streamed, schema)
+    return told.unionByName(alone.select(*names, "messages", "part_no").mapInArrow(single, schema))
+
+
+def _ceil(a: int, b: int) -> int:
+    return -(-a // b)
 
 
 def combined(

@@ -382,6 +382,59 @@ def test_answers_of_pieces_are_combined(spark):
         assert told == {(0, 1): whole[0], (0, None): whole[0], (None, 2): [], (7, 3): [], (1, 4): whole[1], (1, 5): []}
 
 
+def small_tables(spark, folder):
+    spark.range(60).selectExpr("id as c_custkey", "concat('Ann ', id) as c_name", "'FURNITURE' as c_mktsegment").write.parquet(f"{folder}/customer.parquet")
+    spark.range(6).selectExpr("id as s_suppkey", "concat('S', id) as s_name", "cast(id as int) as s_nationkey").write.parquet(f"{folder}/supplier.parquet")
+    chat = spark.createDataFrame([(c, t, "user", f"[{c}:{t}]") for c in (0, 1, 3, 9) for t in range(3)], "conv_id bigint, turn bigint, role string, text string")
+    chat.write.parquet(f"{folder}/conversations.parquet")
+
+
+def stored_columns(monkeypatch):
+    """The columns of all intermediates that answers are made from."""
+    stored, kept = [], relevance.materialize
+    monkeypatch.setattr(relevance, "materialize", lambda df: stored.append(df.columns) or kept(df))
+    return stored
+
+
+def test_chat_answers_stores_no_partial_answers(spark, tmp_path, monkeypatch):
+    """Partial answers of a long ranking, which filled executors, stay in the task that asks; no other row needs them."""
+    import __spark_entry__ as entry_points
+
+    small_tables(spark, tmp_path)
+    stored = stored_columns(monkeypatch)
+    monkeypatch.setattr(entry_points, "_PIECE", 1)  # 30 pieces, so two rounds
+    monkeypatch.setattr(entry_points, "_offline_answerer", ranks_told)
+    said = {r["conv_id"]: r["answer"] for r in entry_points.chat_answers(spark, str(tmp_path)).collect()}
+    assert len(said) == 4 and len(said[0].split("Rank")) == 1 + 30
+    assert stored and not any("answer" in columns for columns in stored)
+
+
+def test_whole_rankings_give_what_their_pieces_do(spark):
+    """In one task, in cells, or with a history in stretches: the answers, failures among them, are those of the rounds over stored parts."""
+    pieces = prompts.system_prompts(ranking(spark, {0: 23, 1: 5}), per_piece=1)
+    no_number = spark.createDataFrame([(0, None, "?"), (None, 0, "?")], "session_id bigint, piece_no bigint, system_prompt string")
+    pieces = pieces.unionByName(no_number)
+
+    def told(messages):
+        text = "".join(f"{m['role']}:{m['content']}" for m in messages)
+        if len(text) % 7 == 0:
+            raise RuntimeError(f"no {len(text)}")
+        return None if len(text) % 5 == 0 else f"<{text[-300:]}>"
+
+    rows = [(0, 1, "a"), (0, 1, "a"), (0, None, "bb"), (None, 2, "c"), (7, 3, "d"), (1, 4, "eee"), (1, 5, None), *((s % 2, 10 + s, "q" * s) for s in range(20))]
+    single = prompts.single_questions(spark.createDataFrame(rows, "session_id bigint, candidate_id bigint, prompt string"), "candidate_id")
+    chat = [(c, s, t, "user" if t % 2 == 0 else "assistant", f"[{c}:{t}]") for c, s, n in ((7, 0, 9), (8, 1, 3), (9, 5, 1), (10, 0, 1)) for t in range(n)]
+    chat = spark.createDataFrame(chat, "conv_id bigint, session_id bigint, turn bigint, role string, text string")
+    for asked, keys in (
+        (tables.materialize(single), ["session_id", "candidate_id", "_row"]), (tables.materialize(prompts.chat_questions(chat, max_messages=3)), ["conv_id"]),
+    ):
+        parts = relevance.answer_pieces(asked, pieces, told, fan_in=3)
+        want = sorted(map(str, relevance.combined(parts.select(*keys, "part_no", "question", "answer", "error"), keys, told, fan_in=3).collect()))
+        assert len(want) in (len(rows), 4) and any("Sorry" in w for w in want)
+        for options in ({}, {"whole_bytes": 2500}, {"whole_bytes": 1}, {"calls_per_copy": 5}):
+            assert sorted(map(str, relevance.answer_rankings(asked, pieces, keys, told, fan_in=3, **options).collect())) == want
+
+
 # --- kept replies -----------------------------------------------------------------------------
 def counting(spark):
     calls = spark.sparkContext.accumulator(0)
