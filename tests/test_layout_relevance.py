@@ -409,6 +409,22 @@ def test_chat_answers_stores_no_partial_answers(spark, tmp_path, monkeypatch):
     assert stored and not any("answer" in columns for columns in stored)
 
 
+def no_partial_answers_stored(spark, folder, monkeypatch, name):
+    import __spark_entry__ as entry_points
+
+    small_tables(spark, folder)
+    stored = stored_columns(monkeypatch)
+    monkeypatch.setattr(entry_points, "_PIECE", 1)  # 30 pieces, so two rounds
+    monkeypatch.setattr(entry_points, "_offline_answerer", ranks_told)
+    said = {r["candidate_id"]: (r["session_id"], r["answer"]) for r in getattr(entry_points, name)(spark, str(folder)).collect()}
+    assert len(said) == 60 and all(len(a.split("Rank")) == 1 + 30 for s, a in said.values() if s == 0)
+    assert stored and not any("answer" in columns for columns in stored)
+
+
+def test_email_answers_stores_no_partial_answers(spark, tmp_path, monkeypatch):
+    no_partial_answers_stored(spark, tmp_path, monkeypatch, "email_answers")
+
+
 def test_whole_rankings_give_what_their_pieces_do(spark):
     """In one task, in cells, or with a history in stretches: the answers, failures among them, are those of the rounds over stored parts."""
     pieces = prompts.system_prompts(ranking(spark, {0: 23, 1: 5}), per_piece=1)
