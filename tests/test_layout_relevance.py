@@ -425,6 +425,10 @@ def test_email_answers_stores_no_partial_answers(spark, tmp_path, monkeypatch):
     no_partial_answers_stored(spark, tmp_path, monkeypatch, "email_answers")
 
 
+def test_interview_answers_stores_no_partial_answers(spark, tmp_path, monkeypatch):
+    no_partial_answers_stored(spark, tmp_path, monkeypatch, "interview_answers")
+
+
 def test_whole_rankings_give_what_their_pieces_do(spark):
     """In one task, in cells, or with a history in stretches: the answers, failures among them, are those of the rounds over stored parts."""
     pieces = prompts.system_prompts(ranking(spark, {0: 23, 1: 5}), per_piece=1)
