@@ -268,6 +268,18 @@ def test_messages_hold_each_text_about_once(spark, tmp_path):
     assert sorted((r["conv_id"], r["piece_no"], r["content"]) for r in got) == sorted(want)
 
 
+def test_neighbouring_messages_hold_different_texts(spark, tmp_path):
+    """A writer that keeps the least and the greatest text would compare equal neighbours to the end, for each row."""
+    import pyarrow.parquet as pq
+
+    pieces = spark.createDataFrame([(0, p, f"{p:03d}" * 2000) for p in range(12)], "session_id bigint, piece_no bigint, system_prompt string")
+    chat = spark.createDataFrame([(c, 0, 0, "user", "?") for c in range(200)], "conv_id bigint, session_id bigint, turn bigint, role string, text string")
+    prompts.chat_messages(chat, pieces).where("part = 0").write.parquet(str(tmp_path / "m"))
+    texts = [pq.read_table(f).column("content").to_pylist() for f in (tmp_path / "m").glob("*.parquet")]
+    assert sum(map(len, texts)) == 200 * 12
+    assert sum(a == b for t in texts for a, b in zip(t, t[1:])) < 200 * 12 / 10
+
+
 def names(messages):
     """A stand-in that repeats every candidate it is told of."""
     import re
